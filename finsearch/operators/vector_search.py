@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from finsearch.functions.vectors import cosine_distance, distances, matrix, nearest, rounded, unit_rows
 from finsearch.operators.ranking import small_side, top_k
+from finsearch.session import written
 
 PACK_ROWS = 1024
 BLOCK_ROWS = 4096
@@ -218,7 +219,8 @@ def lsh_search(index: BandIndex, corpus: DataFrame, queries: DataFrame, k: int =
     """Rows that share a band with the query, re-scored exactly.
 
     The join runs on (band, signature) with the query side counted and broadcast, so a crowded
-    signature is matched in place, and only ids travel until the re-score.
+    signature is matched in place. The candidate ids are written once and counted, so the re-score
+    can leave the corpus vectors where they are while the candidates are few.
     """
     n_bands = index.planes.shape[0] // index.bits
     asked = queries.where(F.col("vector").isNotNull())
@@ -230,10 +232,11 @@ def lsh_search(index: BandIndex, corpus: DataFrame, queries: DataFrame, k: int =
         queries.schema["query_id"].dataType,
     ).withColumnRenamed("id", "query_id")
     candidates = index.bands.join(small_side(sides, n_queries * n_bands), ["band", "signature"]).select("query_id", "id").distinct()
+    candidates = written(candidates, "lsh-candidates")
     vectors = corpus.where(F.col("embedding").isNotNull()).select("id", "embedding")
     scored = (
-        candidates.join(small_side(asked.select("query_id", "vector"), n_queries * 64), "query_id")
-        .join(vectors, "id")
+        vectors.join(small_side(candidates, candidates.count()), "id")
+        .join(small_side(asked.select("query_id", "vector"), n_queries), "query_id")
         .select("query_id", "id", rounded(cosine_distance(F.col("embedding"), F.col("vector")), 9).alias("distance"))
     )
     if cutoff is not None:
