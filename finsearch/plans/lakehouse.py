@@ -144,8 +144,8 @@ def mapping_flags(tickers: DataFrame, mapping: DataFrame) -> DataFrame:
 
 def ticker_exposure(holdings: DataFrame, mapping: DataFrame, k: int = 5) -> DataFrame:
     """Largest k positions per ticker with the mapping flag; unknown values come first."""
-    order = [F.desc_nulls_first("value_usd"), F.asc("manager_name"), F.asc("id")]
-    rows = holdings.where(F.col("ticker").isNotNull()).select("ticker", "manager_name", "shares", "value_usd", "id")
+    order = [F.desc_nulls_first("value_usd"), F.asc("manager_name"), F.asc("shares")]
+    rows = holdings.where(F.col("ticker").isNotNull()).select("ticker", "manager_name", "shares", "value_usd")
     return mapping_flags(top_k(rows, ["ticker"], order, k), mapping)
 
 

@@ -83,12 +83,21 @@ def load_share_stream(
 
 
 def trade_stream(stream: DataFrame, out: str, checkpoint: str, now: datetime) -> StreamingQuery:
-    """Append trades to a file sink with the casts and checks of the batch append."""
+    """Append trades with the casts, checks and generated ids of the batch append.
+
+    Ids continue after those of the earlier batches only, so a repeated batch gets the same range again.
+    """
+
+    def batch(df: DataFrame, batch_id: int) -> None:
+        base = 0
+        if batch_id > 0:
+            top = df.sparkSession.read.parquet(out).where(F.col("batch_id") < batch_id).agg(F.max("trade_id")).first()[0]
+            base = 0 if top is None else top + 1
+        rows = checked_trades(df, now).withColumn("trade_id", F.lit(base).cast("long") + F.monotonically_increasing_id())
+        rows.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+
     return (
-        checked_trades(stream, now)
-        .writeStream.outputMode("append")
-        .format("parquet")
-        .option("path", out)
+        stream.writeStream.foreachBatch(batch)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
