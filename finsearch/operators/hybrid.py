@@ -108,7 +108,7 @@ def user_scores(candidates: DataFrame, queries: DataFrame, scorer: Callable[[str
         candidates.select("query_id", "rank_id", "chunk_text")
         .join(queries.select("query_id", "text"), "query_id")
         .groupBy("query_id")
-        .applyInPandas(score, f"query_id {key}, rank_id int, rerank_score double")
+        .applyInPandas(score, f"query_id {key}, rank_id long, rerank_score double")
     )
     return candidates.join(scored, ["query_id", "rank_id"]).withColumn("bm25", F.lit(0.0))
 

@@ -17,7 +17,8 @@ def top_k(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int, ran
     the shuffle, so a key that holds most rows still sends k rows per task.
     """
     window = Window.partitionBy(*by).orderBy(*order)
-    return df.withColumn(rank, F.row_number().over(window)).where(F.col(rank) <= k)
+    numbered = df.withColumn(rank, F.row_number().over(window)).where(F.col(rank) <= k)
+    return numbered.withColumn(rank, F.col(rank).cast("long"))
 
 
 def small_side(df: DataFrame, max_rows: int, limit: int = MAX_BROADCAST_ROWS) -> DataFrame:

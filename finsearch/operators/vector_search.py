@@ -105,14 +105,12 @@ def _scan(vectors: DataFrame, queries: DataFrame, pack: QueryPack, k: int, cutof
                     best.add(query, line, ids[rows])
         yield best.batch(pack.ids, schema)
 
-    out = T.StructType().add("query_id", key).add("id", "long").add("distance", "double")
-    return vectors.mapInArrow(scan, out)
+    return vectors.mapInArrow(scan, f"query_id {key.simpleString()}, id long, distance double")
 
 
 def _empty(spark: SparkSession, queries: DataFrame) -> DataFrame:
-    return spark.createDataFrame(
-        [], T.StructType().add("query_id", queries.schema["query_id"].dataType).add("id", "long").add("distance", "double")
-    )
+    key = queries.schema["query_id"].dataType.simpleString()
+    return spark.createDataFrame([], f"query_id {key}, id long, distance double")
 
 
 def _best_of(parts: list[DataFrame], spark: SparkSession, queries: DataFrame, k: int) -> DataFrame:
@@ -204,8 +202,7 @@ def _signatures(vectors: DataFrame, planes: np.ndarray, bits: int, id_type: T.Da
             columns = [ids, band, (side @ weights).reshape(-1)]
             yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema)], schema=schema)
 
-    out = T.StructType().add("id", id_type).add("band", "int").add("signature", "long")
-    return vectors.mapInArrow(sign, out)
+    return vectors.mapInArrow(sign, f"id {id_type.simpleString()}, band int, signature long")
 
 
 def build_lsh(corpus: DataFrame, dim: int, bands: int = 16, bits: int = 8, seed: int = 7) -> BandIndex:
@@ -272,7 +269,8 @@ def knn_within(
     def blocks(name: str, other: str) -> DataFrame:
         own = F.pmod(F.xxhash64("id"), F.col(f"n_{name}")).cast("int").alias(f"block_{name}")
         copies = F.explode(F.sequence(F.lit(0), F.col(f"n_{other}") - 1)).alias(f"block_{other}")
-        return sides[name][0].join(sizes, partition).select(*cols, own, copies)
+        # fresh aliases, since both sides may come from the same table
+        return sides[name][0].join(sizes, partition).select(*[F.col(c).alias(c) for c in cols], own, copies)
 
     schema = pa.schema([("scored_id", pa.int64()), ("id", pa.int64()), ("distance", pa.float64())])
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from finsearch.functions.text import STOPWORDS, TOKEN_GAP
 from finsearch.operators.text_index import TextIndex, build_text_index, save_text_index
@@ -35,7 +36,10 @@ class Roles:
         self.folder = folder.rstrip("/")
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        path = f"{self.folder}/{name}.parquet"
+        if path not in _SCHEMAS:
+            _SCHEMAS[path] = self.spark.read.parquet(path).schema
+        return self.spark.read.schema(_SCHEMAS[path]).parquet(path)
 
     def chunks(self) -> DataFrame:
         docs, vectors = self.table("documents"), self.table("embeddings")
@@ -188,6 +192,7 @@ class Roles:
 
 
 _INDEXES: dict[tuple[str, str], TextIndex] = {}
+_SCHEMAS: dict[str, StructType] = {}
 
 # --- the same tables as SQL common table expressions ---------------------------------------------
 

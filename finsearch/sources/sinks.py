@@ -7,7 +7,8 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from finsearch.schemas import TRADES
 
 
 def build_clustered(
@@ -69,10 +70,7 @@ def append_trades(df: DataFrame, path: str, now: datetime) -> DataFrame:
         .write.mode("append")
         .parquet(path)
     )
-    return spark.read.schema(
-        T.StructType().add("trade_id", "long").add("ticker", "string").add("shares", "int")
-        .add("price", T.DecimalType(10, 2)).add("executed_at", "timestamp_ntz")
-    ).parquet(path)
+    return spark.read.schema(TRADES).parquet(path)
 
 
 def delete_keys(df: DataFrame, keys: DataFrame, on: str | Sequence[str]) -> DataFrame:
