@@ -12,7 +12,7 @@ from finsearch.functions.text import document_type
 from finsearch.functions.vectors import rounded
 from finsearch.operators.ranking import small_side, top_k, with_payload
 from finsearch.operators.text_index import TextIndex
-from finsearch.operators.text_search import SCORE_DIGITS, term_hits, text_pool, weighted_terms
+from finsearch.operators.text_search import SCORE_DIGITS, asked_terms, term_hits, text_pool
 from finsearch.operators.vector_search import vector_search
 
 PAYLOAD = ("ticker", "accession_number", "chunk_index", "chunk_text")
@@ -72,13 +72,13 @@ def hybrid_candidates(
 
 def coverage_scores(index: TextIndex, queries: DataFrame, candidates: DataFrame, n_candidates: int) -> DataFrame:
     """Default reranker: idf-weighted share of the query's terms found in the candidate, then BM25."""
-    weights, bound = weighted_terms(index, queries)
-    total = weights.groupBy("query_id").agg(F.sum("idf").alias("query_weight"))
+    asked = asked_terms(index, queries)
+    total = asked.weighted.groupBy("query_id").agg(F.sum("idf").alias("query_weight"))
     avg_len = index.stats.select("avg_len").scalar()
     norm = F.lit(1.2) * (F.lit(0.25) + F.lit(0.75) * F.col("doc_len") / avg_len)
     few = small_side(candidates.select("query_id", "id"), n_candidates)
     found = (
-        term_hits(index, queries)
+        term_hits(index, asked)
         .join(few, ["query_id", "id"])
         .groupBy("query_id", "id")
         .agg(
@@ -88,7 +88,7 @@ def coverage_scores(index: TextIndex, queries: DataFrame, candidates: DataFrame,
     )
     return (
         candidates.join(found, ["query_id", "id"], "left")
-        .join(small_side(total, bound), "query_id", "left")
+        .join(small_side(total, asked.bound), "query_id", "left")
         .withColumn("rerank_score", rounded(F.coalesce(F.col("weight") / F.col("query_weight"), F.lit(0.0)), SCORE_DIGITS))
         .withColumn("bm25", rounded(F.coalesce("bm25", F.lit(0.0)), SCORE_DIGITS))
         .drop("weight", "query_weight")
@@ -125,24 +125,27 @@ def hybrid_search(
     reranker: Callable[[str, list[str]], Sequence[float]] | None = None,
     columns: Sequence[str] = PAYLOAD,
     vector_hits: DataFrame | None = None,
+    payload: DataFrame | None = None,
 ) -> DataFrame:
     """Hybrid search over ``queries(query_id, text, vector)``.
 
     ``fusion`` is ``"sum"``, ``"rrf"`` or ``"rerank"``: the last fuses pools of 100, numbers the best
-    100 and lets a reranker pick the final k, by default with ``coverage_scores``.
+    100 and lets a reranker pick the final k, by default with ``coverage_scores``. ``corpus`` holds the
+    vectors; texts and other columns come from ``payload`` where they are stored apart.
     """
+    payload = corpus if payload is None else payload
     n_queries = queries.count()
     if fusion != "rerank":
         top = hybrid_candidates(index, corpus, queries, pool or 20, k, fusion, cutoff, scorer, vector_hits=vector_hits)
-        return with_payload(top, corpus, columns, k * n_queries)
+        return with_payload(top, payload, columns, k * n_queries)
     pool = pool or 100
     top = hybrid_candidates(index, corpus, queries, pool, pool, "rrf", cutoff, scorer, vector_hits=vector_hits)
     if reranker is None:
         scored = coverage_scores(index, queries, top, pool * n_queries)
     else:
-        scored = user_scores(with_payload(top, corpus, ["chunk_text"], pool * n_queries), queries, reranker).drop("chunk_text")
+        scored = user_scores(with_payload(top, payload, ["chunk_text"], pool * n_queries), queries, reranker).drop("chunk_text")
     best = top_k(scored, ["query_id"], [F.desc("rerank_score"), F.desc("bm25"), F.asc("rank_id")], k, "rn")
-    return with_payload(best, corpus, columns, k * n_queries)
+    return with_payload(best, payload, columns, k * n_queries)
 
 
 def candidate_arrays(candidates: DataFrame, corpus: DataFrame, n_candidates: int) -> DataFrame:

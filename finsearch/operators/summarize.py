@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from finsearch.functions.text import STOPWORDS, is_indexed, words
@@ -18,7 +18,7 @@ MARK = "\u0001"
 def sentences(docs: DataFrame, text: str = "text") -> DataFrame:
     """``(id, sentence_no, sentence)`` of ``docs(id, text)``."""
     cut = F.split(F.regexp_replace(F.col(text), SENTENCE_END, "$1" + MARK), MARK)
-    return docs.select("id", F.posexplode(cut).alias("sentence_no", "sentence")).where(F.trim("sentence") != "")
+    return docs.select("id", F.posexplode_outer(cut).alias("sentence_no", "sentence")).where(F.trim("sentence") != "")
 
 
 def summarize(
@@ -27,21 +27,28 @@ def summarize(
     """``(id, summary)``: the best sentences of each text in their original order.
 
     A sentence scores the mean tf-idf of its words, tf within its text and idf over all texts.
+    Texts are hashed by id first, so counting words per sentence and per text moves nothing more.
     """
-    parts = sentences(docs, text)
-    tokens = parts.select("id", "sentence_no", F.explode(words(F.col("sentence"))).alias("term")).where(
+    parts = sentences(docs.select("id", text).repartition("id"), text)
+    tokens = parts.select("id", "sentence_no", F.explode_outer(words(F.col("sentence"))).alias("term")).where(
         is_indexed(F.col("term"), tuple(stopwords))
     )
-    in_sentence = tokens.groupBy("id", "sentence_no", "term").agg(F.count("*").alias("n"))
-    in_text = in_sentence.groupBy("id", "term").agg(
-        F.sum("n").alias("tf"), F.collect_list(F.struct("sentence_no", "n")).alias("at")
+    in_sentence = tokens.groupBy("id", "term", "sentence_no").agg(F.count("*").alias("n"))
+    same_word = Window.partitionBy("id", "term")
+    weighted = in_sentence.select(
+        "id",
+        "term",
+        "sentence_no",
+        "n",
+        F.sum("n").over(same_word).alias("tf"),
+        (F.min("sentence_no").over(same_word) == F.col("sentence_no")).alias("is_first"),
     )
     n_docs = docs.agg(F.count("*").alias("n")).scalar()
-    idf = in_text.groupBy("term").agg(F.log(n_docs / F.count("*")).alias("idf"))
-    weights = in_text.join(idf, "term").select("id", F.col("tf") * F.col("idf"), F.explode("at").alias("a"))
-    weights = weights.toDF("id", "weight", "a").select("id", "a.sentence_no", "a.n", "weight")
-    scored = weights.groupBy("id", "sentence_no").agg(
-        rounded(F.sum(F.col("weight") * F.col("n")) / F.sum("n"), 9).alias("score")
+    idf = weighted.where("is_first").groupBy("term").agg(F.log(n_docs / F.count("*")).alias("idf"))
+    scored = (
+        weighted.join(idf, "term")
+        .groupBy("id", "sentence_no")
+        .agg(rounded(F.sum(F.col("tf") * F.col("idf") * F.col("n")) / F.sum("n"), 9).alias("score"))
     )
     best = top_k(scored, ["id"], [F.desc("score"), F.asc("sentence_no")], n_sentences)
     chosen = parts.join(best.select("id", "sentence_no"), ["id", "sentence_no"])

@@ -16,7 +16,7 @@ BUCKETS = 64
 
 @dataclass(frozen=True)
 class TextIndex:
-    """``postings(bucket, term, id, tf, first_pos, positions, doc_len)``, ``vocabulary(term, df)``
+    """``postings(bucket, term, id, tf, first_pos, doc_len[, positions])``, ``vocabulary(term, df)``
     and one row of ``stats(n_docs, avg_len)``, with the settings queries must share."""
 
     postings: DataFrame
@@ -37,23 +37,28 @@ def build_text_index(
     stopwords: Sequence[str] = tuple(STOPWORDS),
     stem: bool = False,
     buckets: int = BUCKETS,
+    positions: bool = False,
 ) -> TextIndex:
-    """Describe the index of one text column; ``save_text_index`` materializes it."""
+    """Describe the index of one text column; ``save_text_index`` materializes it.
+
+    Texts are hashed by id before they are cut into words: moving a text is cheaper than moving
+    its words, and all grouping by (term, id) then happens where the text lies. The outer explode
+    keeps Spark from testing the words a second time for the filter it infers otherwise.
+    """
     stop = tuple(stopwords)
-    docs = df.select(F.col(id_col).alias("id"), words(F.col(text_col)).alias("words")).withColumn(
+    texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).repartition("id")
+    docs = texts.select("id", words(F.col("text")).alias("words")).withColumn(
         "doc_len", F.size(F.filter("words", lambda w: is_indexed(w, stop)))
     )
-    tokens = docs.select("id", "doc_len", F.posexplode("words").alias("pos", "term")).where(
+    tokens = docs.select("id", "doc_len", F.posexplode_outer("words").alias("pos", "term")).where(
         is_indexed(F.col("term"), stop)
     )
     if stem:
         tokens = tokens.withColumn("term", stem_words(F.col("term")))
-    postings = tokens.groupBy("term", "id").agg(
-        F.count("*").alias("tf"),
-        F.min("pos").alias("first_pos"),
-        F.sort_array(F.collect_list("pos")).alias("positions"),
-        F.min("doc_len").alias("doc_len"),
-    )
+    measures = [F.count("*").alias("tf"), F.min("pos").alias("first_pos"), F.min("doc_len").alias("doc_len")]
+    if positions:
+        measures.append(F.sort_array(F.collect_list("pos")).alias("positions"))
+    postings = tokens.groupBy("term", "id").agg(*measures)
     stats = docs.agg(F.count("*").alias("n_docs"), F.avg("doc_len").alias("avg_len"))
     index = TextIndex(postings, _vocabulary(postings), stats, stop, stem, buckets)
     return replace(index, postings=postings.withColumn("bucket", index.bucket(F.col("term"))))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,39 +15,65 @@ from finsearch.operators.ranking import small_side, top_k, with_payload
 from finsearch.operators.text_index import TextIndex
 
 SCORE_DIGITS = 9
+LITERAL_TERMS = 200
 
 
 def query_terms(index: TextIndex, queries: DataFrame) -> DataFrame:
     """``queries(query_id, text)`` to distinct terms, normalized like the documents."""
-    kept = F.filter(words(F.col("text")), lambda w: is_indexed(w, index.stopwords))
-    terms = queries.select("query_id", F.explode(F.array_distinct(kept)).alias("term"))
+    kept = F.array_distinct(F.filter(words(F.col("text")), lambda w: is_indexed(w, index.stopwords)))
+    terms = queries.select("query_id", kept.alias("terms"))
     if index.stem:
-        terms = terms.withColumn("term", stem_words(F.col("term"))).distinct()
-    counts = terms.groupBy("query_id").agg(F.count("*").alias("n_terms"))
-    return terms.join(counts, "query_id")
+        stems = terms.select("query_id", F.explode("terms").alias("term")).withColumn("term", stem_words(F.col("term")))
+        terms = stems.groupBy("query_id").agg(F.collect_set("term").alias("terms"))
+    return terms.select("query_id", F.size("terms").cast("long").alias("n_terms"), F.explode("terms").alias("term"))
 
 
-def weighted_terms(index: TextIndex, queries: DataFrame) -> tuple[DataFrame, int]:
-    """Query terms that occur in the corpus, with their inverse document frequency; and a bound on their number."""
-    terms = query_terms(index, queries)
-    bound = terms.count()
+@dataclass(frozen=True)
+class AskedTerms:
+    """Terms of some queries with ``n_terms``, ``bucket``, ``df`` and ``idf``, and how many rows there are at most.
+
+    ``literals`` holds the distinct (bucket, term) pairs while they are few, ``None`` otherwise.
+    """
+
+    weighted: DataFrame
+    bound: int
+    literals: list[tuple[int, str]] | None
+
+    def narrow(self, table: DataFrame) -> DataFrame:
+        """Only the folders and row groups that can hold the asked terms, when these fit in a filter."""
+        return table if self.literals is None else _narrow(table, self.literals)
+
+
+def _narrow(table: DataFrame, literals: list[tuple[int, str]]) -> DataFrame:
+    rows = table.where(F.col("term").isin([term for _, term in literals]))
+    if "bucket" in table.columns:
+        rows = rows.where(F.col("bucket").isin(sorted({bucket for bucket, _ in literals})))
+    return rows
+
+
+def asked_terms(index: TextIndex, queries: DataFrame) -> AskedTerms:
+    """Weigh the query terms that occur in the corpus."""
+    terms = query_terms(index, queries).withColumn("bucket", index.bucket(F.col("term")))
+    head = terms.select("bucket", "term").limit(LITERAL_TERMS + 1).collect()
+    few = len(head) <= LITERAL_TERMS
+    literals = sorted({(row[0], row[1]) for row in head}) if few else None
+    bound = len(head) if few else terms.count()
+    vocabulary = _narrow(index.vocabulary, literals) if few else index.vocabulary
     n_docs = index.stats.select("n_docs").scalar()
-    weighted = index.vocabulary.join(small_side(terms, bound), "term").withColumn(
+    weighted = vocabulary.join(small_side(terms, bound), "term").withColumn(
         "idf", F.log(F.lit(1.0) + (n_docs - F.col("df") + F.lit(0.5)) / (F.col("df") + F.lit(0.5)))
     )
-    return weighted, bound
+    return AskedTerms(weighted, bound, literals)
 
 
-def term_hits(index: TextIndex, queries: DataFrame) -> DataFrame:
+def term_hits(index: TextIndex, asked: AskedTerms) -> DataFrame:
     """One row per query, document and common term.
 
     The query side is broadcast when its counted size allows, so frequent terms are
     matched where their postings lie; joining on the bucket prunes the other folders.
     """
-    terms, bound = weighted_terms(index, queries)
-    terms = terms.withColumn("bucket", index.bucket(F.col("term")))
-    postings = index.postings.select("bucket", "term", "id", "tf", "first_pos", "doc_len")
-    return postings.join(small_side(terms, bound), ["bucket", "term"])
+    postings = asked.narrow(index.postings.select("bucket", "term", "id", "tf", "first_pos", "doc_len"))
+    return postings.join(small_side(asked.weighted, asked.bound), ["bucket", "term"])
 
 
 def matches(index: TextIndex, queries: DataFrame, scorer: str = "bm25", k1: float = 1.2, b: float = 0.75) -> DataFrame:
@@ -61,7 +88,7 @@ def matches(index: TextIndex, queries: DataFrame, scorer: str = "bm25", k1: floa
     else:
         raise ValueError(f"unknown scorer {scorer!r}")
     return (
-        term_hits(index, queries)
+        term_hits(index, asked_terms(index, queries))
         .groupBy("query_id", "id", "n_terms")
         .agg(F.count("*").alias("n_matched"), rounded(score, SCORE_DIGITS).alias("score"))
         .where(F.col("n_matched") == F.col("n_terms"))
@@ -94,7 +121,7 @@ def match_evidence(index: TextIndex, queries: DataFrame, pool: int = 10, k1: flo
     norm = F.lit(k1) * (F.lit(1.0 - b) + F.lit(b) * F.col("doc_len") / avg_len)
     part = F.col("idf") * F.col("tf") * F.lit(k1 + 1.0) / (F.col("tf") + norm)
     return (
-        term_hits(index, queries)
+        term_hits(index, asked_terms(index, queries))
         .join(small_side(found, pool * queries.count()), ["query_id", "id"])
         .select("query_id", "id", "rn", "term", "tf", "idf", (part / F.col("score")).alias("share"))
     )

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from finsearch.functions.vectors import rounded
 from finsearch.operators.vector_search import knn_within
+from finsearch.session import written
 
 # Thresholds on the mean neighbour distance, width of the grey band.
 SERVICE_THRESHOLD = 0.011
@@ -260,9 +261,10 @@ def semantic_filter(
     """Bulk yes/no filter: a small model learns the answers of a labelled sample from the embeddings
     and is applied to the whole table. Returns ids with their probability where the answer is yes."""
     known = sample.select("id", F.col(label).cast("double").alias("label")).join(
-        transactions.select("id", array_to_vector("embedding").alias("features")), "id"
+        transactions.select("id", "embedding").where(F.col("embedding").isNotNull()), "id"
     )
-    model = LogisticRegression(maxIter=50, regParam=0.01).fit(known.select("features", "label"))
+    training = written(known, "training").select(array_to_vector("embedding").alias("features"), "label")
+    model = LogisticRegression(maxIter=25, regParam=0.01).fit(training)
     scored = model.transform(transactions.where(F.col("embedding").isNotNull()).select("id", array_to_vector("embedding").alias("features")))
     probability = vector_to_array("probability")[1]
     return scored.select("id", rounded(probability, 6).alias("probability")).where(F.col("probability") >= threshold)

@@ -53,11 +53,12 @@ def latest_financials(
 
 
 def semantic_financials(
-    corpus: DataFrame, queries: DataFrame, concepts: DataFrame, tickers: DataFrame, tag: str, fp: str, k: int = 5
+    corpus: DataFrame, queries: DataFrame, concepts: DataFrame, tickers: DataFrame, tag: str, fp: str, k: int = 5,
+    payload: DataFrame | None = None,
 ) -> DataFrame:
     """Nearest k chunks per query with every matching value of one tag; no match keeps the chunk."""
     near = vector_search(corpus, queries, k, None).drop("rn")
-    chunks = with_payload(near, corpus, ["ticker"], k * queries.count())
+    chunks = with_payload(near, corpus if payload is None else payload, ["ticker"], k * queries.count())
     values = concepts.where((F.col("tag") == tag) & (F.col("fp") == fp)).select("cik", "val", "fy")
     revenue = values.join(tickers.select("cik", "ticker"), "cik").select(
         "ticker", F.col("val").alias("revenue"), F.col("fy").cast("double").alias("fy")
@@ -80,6 +81,7 @@ def advanced_search(
     cutoff: float | None = 0.5,
     prefilter: bool = False,
     columns: Sequence[str] = ("ticker", "chunk_index", "chunk_text"),
+    payload: DataFrame | None = None,
 ) -> DataFrame:
     """Nearest chunks with pivoted financials under band filters.
 
@@ -90,7 +92,7 @@ def advanced_search(
     if prefilter and condition is not None:
         corpus = corpus.join(financials.where(condition).select("ticker"), "ticker", "left_semi")
     near = vector_search(corpus, queries, pool, cutoff).drop("rn")
-    chunks = with_payload(near, corpus, columns, pool * queries.count())
+    chunks = with_payload(near, corpus if payload is None else payload, columns, pool * queries.count())
     joined = chunks.join(financials, "ticker", "left")
     if condition is not None:
         joined = joined.where(condition)

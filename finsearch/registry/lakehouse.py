@@ -150,7 +150,7 @@ def mapping_flag(r: Roles) -> DataFrame:
     ),
 )
 def semantic_financials(r: Roles) -> DataFrame:
-    return lakehouse.semantic_financials(r.chunks(), r.queries(), r.concepts(), r.tickers(), "1-URGENT", FISCAL_PERIOD)
+    return lakehouse.semantic_financials(r.chunks(), r.queries(), r.concepts(), r.tickers(), "1-URGENT", FISCAL_PERIOD, payload=r.texts())
 
 
 ADVANCED = with_roles(
@@ -170,7 +170,7 @@ ADVANCED = with_roles(
 
 
 def _advanced(r: Roles, values: DataFrame) -> DataFrame:
-    found = lakehouse.advanced_search(r.chunks(), r.queries(), values, BANDS, EDGES, cutoff=CUTOFF)
+    found = lakehouse.advanced_search(r.chunks(), r.queries(), values, BANDS, EDGES, cutoff=CUTOFF, payload=r.texts())
     return found.withColumn("distance", rounded(F.col("distance"), 6))
 
 

@@ -43,15 +43,11 @@ class Roles:
 
     def chunks(self) -> DataFrame:
         docs, vectors = self.table("documents"), self.table("embeddings")
-        form = F.when(F.col("doc_id") % 2 == 0, F.lit("-13F-")).otherwise(F.lit("-10K-"))
-        return docs.join(vectors, F.col("vec_id") == F.col("doc_id"), "left").select(
-            F.col("doc_id").alias("id"),
-            F.col("source").alias("ticker"),
-            F.concat("lang", form, F.col("doc_id").cast("string")).alias("accession_number"),
-            F.lit(0).alias("chunk_index"),
-            F.col("text").alias("chunk_text"),
-            "embedding",
-        )
+        return _chunk_columns(docs.join(vectors, F.col("vec_id") == F.col("doc_id"), "left"), "embedding")
+
+    def texts(self) -> DataFrame:
+        """The chunks without their vectors."""
+        return _chunk_columns(self.table("documents"))
 
     def vectors(self) -> DataFrame:
         return self.table("embeddings").select(F.col("vec_id").alias("id"), "embedding")
@@ -186,11 +182,24 @@ class Roles:
         """The saved index of the chunks, built once per session and folder."""
         key = (self.spark.sparkContext.applicationId, self.folder)
         if key not in _INDEXES:
-            index = build_text_index(self.chunks().drop("embedding"), "id", "chunk_text", buckets=8)
+            index = build_text_index(self.texts(), "id", "chunk_text", buckets=8)
             _INDEXES[key] = save_text_index(index, work_dir(self.spark, "text-index"))
         return _INDEXES[key]
 
 
+
+def _chunk_columns(docs: DataFrame, *more: str) -> DataFrame:
+    form = F.when(F.col("doc_id") % 2 == 0, F.lit("-13F-")).otherwise(F.lit("-10K-"))
+    return docs.select(
+        F.col("doc_id").alias("id"),
+        F.col("source").alias("ticker"),
+        F.concat("lang", form, F.col("doc_id").cast("string")).alias("accession_number"),
+        F.lit(0).alias("chunk_index"),
+        F.col("text").alias("chunk_text"),
+        *more,
+    )
+
+
 _INDEXES: dict[tuple[str, str], TextIndex] = {}
 _SCHEMAS: dict[str, StructType] = {}
 

@@ -12,7 +12,7 @@ from finsearch.operators.prepare import embed
 from finsearch.operators.summarize import summarize
 from finsearch.registry import query
 from finsearch.registry.roles import CUTOFF, QUERIES, Roles, with_roles
-from finsearch.session import work_dir
+from finsearch.session import spread, work_dir
 
 N_QUERIES = len(QUERIES)
 
@@ -97,12 +97,12 @@ def _fulltext_sql(score: str) -> str:
 
 @query("fulltext_search", _fulltext_sql("score"))
 def fulltext_search(r: Roles) -> DataFrame:
-    return text_search.fulltext_search(r.text_index(), r.chunks(), r.queries()).withColumn("score", rounded(F.col("score"), 6))
+    return text_search.fulltext_search(r.text_index(), r.texts(), r.queries()).withColumn("score", rounded(F.col("score"), 6))
 
 
 @query("fulltext_search_proximity", _fulltext_sql("near_score"))
 def fulltext_search_proximity(r: Roles) -> DataFrame:
-    found = text_search.fulltext_search(r.text_index(), r.chunks(), r.queries(), scorer="distance")
+    found = text_search.fulltext_search(r.text_index(), r.texts(), r.queries(), scorer="distance")
     return found.withColumn("score", rounded(F.col("score"), 6))
 
 
@@ -176,7 +176,7 @@ NEAREST = with_roles(
 def vector_search_payload(r: Roles) -> DataFrame:
     queries, corpus = r.query_batch(), r.chunks()
     near = vector_search.vector_search(corpus, queries, 50, CUTOFF).where(F.col("rn") <= 10)
-    found = hybrid.with_payload(near, corpus, hybrid.PAYLOAD, 10 * queries.count())
+    found = hybrid.with_payload(near, r.texts(), hybrid.PAYLOAD, 10 * queries.count())
     return found.withColumn("score", rounded(F.lit(1.0) - F.col("distance"), 6)).drop("distance")
 
 
@@ -214,7 +214,7 @@ def lsh_search(r: Roles) -> DataFrame:
 
 @query("embed_docs")
 def embed_docs(r: Roles) -> DataFrame:
-    return embed(r.table("documents").select("doc_id", "text")).select("doc_id", "embedding", "embedding_model")
+    return embed(spread(r.table("documents").select("doc_id", "text"), "doc_id")).select("doc_id", "embedding", "embedding_model")
 
 
 # --- hybrid --------------------------------------------------------------------------------------
@@ -225,7 +225,7 @@ def embed_docs(r: Roles) -> DataFrame:
     fused_sql(SUM, 20, 10, f"SELECT query_id, n.id, rank_id, round(score, 6) + 0.0 AS score, retrieval_method, {PAYLOAD} FROM numbered n JOIN chunks c ON n.id = c.id"),
 )
 def hybrid_sum(r: Roles) -> DataFrame:
-    found = hybrid.hybrid_search(r.text_index(), r.chunks(), r.queries(), "sum", cutoff=CUTOFF)
+    found = hybrid.hybrid_search(r.text_index(), r.chunks(), r.queries(), "sum", cutoff=CUTOFF, payload=r.texts())
     return found.withColumn("score", rounded(F.col("score"), 6))
 
 
@@ -234,7 +234,7 @@ RRF_RESULT = f"SELECT query_id, n.id, rank_id, round(score, 6) + 0.0 AS score, r
 
 @query("hybrid_rrf", fused_sql(RRF, 20, 10, RRF_RESULT))
 def hybrid_rrf(r: Roles) -> DataFrame:
-    found = hybrid.hybrid_search(r.text_index(), r.chunks(), r.queries(), "rrf", cutoff=CUTOFF)
+    found = hybrid.hybrid_search(r.text_index(), r.chunks(), r.queries(), "rrf", cutoff=CUTOFF, payload=r.texts())
     return found.withColumn("score", rounded(F.col("score"), 6))
 
 
@@ -263,7 +263,7 @@ def hybrid_batch(r: Roles) -> DataFrame:
     ),
 )
 def search_decorated(r: Roles) -> DataFrame:
-    return hybrid.decorate(hybrid.hybrid_search(r.text_index(), r.chunks(), r.queries(), "rrf", cutoff=CUTOFF))
+    return hybrid.decorate(hybrid.hybrid_search(r.text_index(), r.chunks(), r.queries(), "rrf", cutoff=CUTOFF, payload=r.texts()))
 
 
 RERANK = {
@@ -290,7 +290,7 @@ RERANK = {
     ),
 )
 def hybrid_rerank(r: Roles) -> DataFrame:
-    found = hybrid.hybrid_search(r.text_index(), r.chunks(), r.queries(), "rerank", cutoff=CUTOFF).drop("score")
+    found = hybrid.hybrid_search(r.text_index(), r.chunks(), r.queries(), "rerank", cutoff=CUTOFF, payload=r.texts()).drop("score")
     return found.withColumn("rerank_score", rounded(F.col("rerank_score"), 6)).withColumn("bm25", rounded(F.col("bm25"), 6))
 
 
@@ -307,7 +307,7 @@ def hybrid_rerank(r: Roles) -> DataFrame:
 def candidate_arrays(r: Roles) -> DataFrame:
     corpus = r.chunks()
     top = hybrid.hybrid_candidates(r.text_index(), corpus, r.queries(), 100, 100, "rrf", CUTOFF)
-    arrays = hybrid.candidate_arrays(top, corpus, 100 * N_QUERIES)
+    arrays = hybrid.candidate_arrays(top, r.texts(), 100 * N_QUERIES)
     return arrays.select(
         "query_id", F.size("documents").cast("long").alias("n_documents"), F.md5(F.array_join("documents", "|")).alias("digest")
     )

@@ -17,7 +17,7 @@ from finsearch.plans.lakehouse import exact_sum
 from finsearch.registry import query
 from finsearch.registry.roles import FISCAL_PERIOD, FISCAL_YEAR, Roles, with_roles
 from finsearch.schemas import TABLES
-from finsearch.session import work_dir
+from finsearch.session import spread, work_dir
 from finsearch.sources import audit, sinks, snapshots
 from finsearch.sources import tables as sources
 
@@ -223,7 +223,7 @@ def _html_sql() -> str:
 
 @query("html_text", _html_sql())
 def html_text(r: Roles) -> DataFrame:
-    return prepare.clean_pages(r.table("pages"))
+    return prepare.clean_pages(spread(r.table("pages"), "page_id"))
 
 
 @query(

@@ -40,6 +40,16 @@ def work_dir(spark: SparkSession, label: str) -> str:
     return f"{base.rstrip('/')}/finsearch/{label}-{uuid.uuid4().hex[:12]}"
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Hash a scan by its key when it arrives in fewer partitions than there are cores.
+
+    For per-row work that is heavy on the processor, on single small files. Large tables have
+    more splits than cores and stay as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """Write an intermediate table to the shared folder and read it back.
 
