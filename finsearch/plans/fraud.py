@@ -10,7 +10,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from finsearch.functions.vectors import rounded
+from finsearch.functions.vectors import DISTANCE_DIGITS, rounded
 from finsearch.operators.vector_search import knn_within
 from finsearch.session import written
 
@@ -66,8 +66,10 @@ def score_transactions(
 ) -> DataFrame:
     """Mean neighbour distance per scored transaction (0 without history) and the anomaly flag.
 
-    Neighbours count only if their card and merchant code are known. The flag is strict.
+    Neighbours count only if their card and merchant code are known. The flag is strict. Distances
+    are summed as whole billionths, so the mean does not depend on the order of the rows.
     """
+    units = 10.0**DISTANCE_DIGITS
     known = history.select("id", F.col("card_id").cast("long").alias("card_id"), F.col("mcc").cast("int").alias("mcc"))
     counted = (
         neighbours(scored, history, k, as_of)
@@ -75,9 +77,10 @@ def score_transactions(
         .join(cards.select(F.col("id").alias("card_id")), "card_id")
         .join(mcc_codes.select(F.col("mcc").cast("int").alias("mcc")), "mcc")
         .groupBy("scored_id")
-        .agg(F.avg("distance").alias("mean"), F.count("*").alias("n"))
+        .agg(F.sum(F.round(F.col("distance") * units).cast("long")).alias("units"), F.count("*").alias("n"))
+        .withColumn("mean", F.col("units") / (F.col("n") * units))
     )
-    mean = rounded(F.coalesce("mean", F.lit(0.0)), 6)
+    mean = F.coalesce("mean", F.lit(0.0))
     return (
         scored.select(F.col("id").alias("scored_id"))
         .join(counted, "scored_id", "left")
@@ -136,7 +139,7 @@ ANSWERS = ("card_testing", "lifestyle_mismatch", "structured_amounts")
 
 def route_questions(scores: DataFrame, threshold: float, grey_band: float = GREY_BAND, force: bool = False) -> DataFrame:
     """``asked`` inside the grey band around the threshold, else ``skipped``."""
-    gap = F.round(F.abs(F.col("avg_distance") - F.lit(threshold)), 6)
+    gap = F.abs(F.col("avg_distance") - F.lit(threshold))
     asked = F.lit(True) if force else gap <= grey_band
     return scores.withColumn("route", F.when(asked, F.lit("asked")).otherwise(F.lit("skipped")))
 
@@ -175,7 +178,7 @@ def threshold_sweep(
     sums, unfolded = [], []
     for i, threshold in enumerate(thresholds):
         flag = F.col("avg_distance") > threshold
-        grey = F.round(F.abs(F.col("avg_distance") - F.lit(threshold)), 6) <= grey_band
+        grey = F.abs(F.col("avg_distance") - F.lit(threshold)) <= grey_band
         for with_questions, predicted in ((False, flag), (True, flag | (grey & any_yes))):
             names = [f"c{i}_{int(with_questions)}_{cell}" for cell in ("tp", "fp", "fn", "tn")]
             cells = [

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from finsearch.functions.finance import BAND_EDGES, CONCEPT_COLUMNS, bands, percent_gain
 from finsearch.functions.text import preview
-from finsearch.operators.ranking import small_side, top_k, with_payload
+from finsearch.operators.ranking import top_k, with_payload
 from finsearch.operators.vector_search import vector_search
 from finsearch.schemas import FILING_ITEMS, RETURN_HORIZONS
 

@@ -7,7 +7,6 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from finsearch.functions.vectors import rounded
 from finsearch.plans import fraud
 from finsearch.registry import query
 from finsearch.registry.roles import THRESHOLD, THRESHOLDS, Roles, with_roles
@@ -26,9 +25,10 @@ def pairs_sql(scored: str, earlier: bool = False) -> str:
 def scores_sql(scored: str, earlier: bool = False) -> dict[str, str]:
     return {
         "near": pairs_sql(scored, earlier),
-        "counted": "SELECT scored_id, avg(distance) AS mean, count(*) AS n FROM near JOIN known USING (id) GROUP BY scored_id",
-        "scores": f"""SELECT s.id, round(coalesce(mean, 0.0::DOUBLE), 6) + 0.0 AS avg_distance, coalesce(n, 0) AS n_neighbours,
-            round(coalesce(mean, 0.0::DOUBLE), 6) + 0.0 > {THRESHOLD}::DOUBLE AS is_anomalous
+        "counted": """SELECT scored_id, CAST(sum(CAST(round(distance * 1e9) AS BIGINT)) AS DOUBLE) / (count(*) * 1e9) AS mean, count(*) AS n
+            FROM near JOIN known USING (id) GROUP BY scored_id""",
+        "scores": f"""SELECT s.id, coalesce(mean, 0.0::DOUBLE) AS avg_distance, coalesce(n, 0) AS n_neighbours,
+            coalesce(mean, 0.0::DOUBLE) > {THRESHOLD}::DOUBLE AS is_anomalous
             FROM {scored} s LEFT JOIN counted ON s.id = scored_id""",
     }
 
@@ -41,7 +41,7 @@ QUESTIONS = {
         CASE WHEN (amount > 0 AND amount = floor(amount)) OR (amount >= 9500.0::DOUBLE AND amount < 10000.0::DOUBLE) THEN 'Yes' ELSE 'No' END AS structured_amounts
         FROM transactions t JOIN own USING (client_id) LEFT JOIN users u ON u.id = t.client_id""",
 }
-ROUTED = f"""SELECT *, CASE WHEN round(abs(avg_distance - {THRESHOLD}::DOUBLE), 6) <= 0.007::DOUBLE THEN 'asked' ELSE 'skipped' END AS route FROM scores"""
+ROUTED = f"""SELECT *, CASE WHEN abs(avg_distance - {THRESHOLD}::DOUBLE) <= 0.007::DOUBLE THEN 'asked' ELSE 'skipped' END AS route FROM scores"""
 SCORE_ROLES = ("labelled", "known")
 
 
@@ -66,7 +66,7 @@ def latest_tx(r: Roles) -> DataFrame:
     with_roles(
         "known",
         more={"latest": LATEST, "near": pairs_sql("latest")},
-        body="""SELECT scored_id, id, round(distance, 6) + 0.0 AS distance, rn, date, amount, transaction_description, merchant_city,
+        body="""SELECT scored_id, id, distance, rn, date, amount, transaction_description, merchant_city,
         card_brand, card_on_dark_web, mcc_description FROM near JOIN known USING (id)""",
     ),
 )
@@ -74,7 +74,7 @@ def fraud_history(r: Roles) -> DataFrame:
     history = r.transactions()
     chosen = fraud.latest_transactions(history.select("client_id", "id", "date", "embedding"))
     found = fraud.similar_history(fraud.neighbours(chosen, history), history, r.cards(), r.mcc_codes())
-    return found.drop("card_id", "mcc").withColumn("distance", rounded(F.col("distance"), 6))
+    return found.drop("card_id", "mcc")
 
 
 @query("fraud_scores", with_roles(*SCORE_ROLES, more=scores_sql("labelled"), body="SELECT * FROM scores"))
@@ -141,7 +141,7 @@ ANY_YES = "'Yes' IN (card_testing, lifestyle_mismatch, structured_amounts)"
             + ", ".join(f"({t})" for t in THRESHOLDS)
             + ") a(threshold), (VALUES (false), (true)) b(with_questions)",
             "predicted": f"""SELECT threshold, with_questions, is_fraud, avg_distance > threshold OR (with_questions
-                AND round(abs(avg_distance - threshold), 6) <= 0.007::DOUBLE AND {ANY_YES}) AS p
+                AND abs(avg_distance - threshold) <= 0.007::DOUBLE AND {ANY_YES}) AS p
                 FROM scores s JOIN fraud_labels l ON s.id = l.transaction_id JOIN questions q ON q.id = s.id CROSS JOIN settings""",
             "cells": """SELECT threshold, with_questions, count(*) FILTER (p AND is_fraud) AS tp, count(*) FILTER (p AND NOT is_fraud) AS fp,
                 count(*) FILTER (NOT p AND is_fraud) AS fn, count(*) FILTER (NOT p AND NOT is_fraud) AS tn FROM predicted GROUP BY ALL""",

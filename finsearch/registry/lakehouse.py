@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from finsearch.functions.finance import bands
 from finsearch.functions.text import route_query
-from finsearch.functions.vectors import rounded
 from finsearch.plans import lakehouse
 from finsearch.registry import query
 from finsearch.registry.roles import CONCEPTS, CUTOFF, FISCAL_PERIOD, FISCAL_YEAR, Roles, with_roles
@@ -162,7 +161,7 @@ ADVANCED = with_roles(
             FROM far WHERE distance < {CUTOFF} QUALIFY place <= 50""",
         "f": PIVOT.format(key="ticker"),
     },
-    body=f"""SELECT query_id, n.id, round(n.distance, 6) + 0.0 AS distance, c.ticker, chunk_index, chunk_text, assets, liabilities, equity, cash, inventories,
+    body=f"""SELECT query_id, n.id, n.distance, c.ticker, chunk_index, chunk_text, assets, liabilities, equity, cash, inventories,
     row_number() OVER (PARTITION BY query_id ORDER BY n.distance, n.id) AS rn
     FROM near n JOIN chunks c ON n.id = c.id LEFT JOIN f ON c.ticker = f.ticker
     WHERE assets > {EDGES[1]} AND liabilities > {EDGES[1]} QUALIFY rn <= 24""",
@@ -170,8 +169,7 @@ ADVANCED = with_roles(
 
 
 def _advanced(r: Roles, values: DataFrame) -> DataFrame:
-    found = lakehouse.advanced_search(r.chunks(), r.queries(), values, BANDS, EDGES, cutoff=CUTOFF, payload=r.texts())
-    return found.withColumn("distance", rounded(F.col("distance"), 6))
+    return lakehouse.advanced_search(r.chunks(), r.queries(), values, BANDS, EDGES, cutoff=CUTOFF, payload=r.texts())
 
 
 @query("advanced_search", ADVANCED)

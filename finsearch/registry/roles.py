@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -170,13 +170,7 @@ class Roles:
         )
 
     def requests(self) -> DataFrame:
-        kind = (
-            F.when(F.col("event_type") == "view", "read")
-            .when(F.col("event_type") == "click", "forwarded")
-            .when(F.col("event_type") == "error", "disqualified")
-            .otherwise("write")
-        )
-        return self.table("events").select("event_id", "ts", kind.alias("kind"))
+        return self.table("events").select("event_id", "ts", request_kind().alias("kind"))
 
     def text_index(self) -> TextIndex:
         """The saved index of the chunks, built once per session and folder."""
@@ -188,6 +182,16 @@ class Roles:
 
 
 
+def request_kind() -> Column:
+    """What an event stands for in the load log."""
+    return (
+        F.when(F.col("event_type") == "view", "read")
+        .when(F.col("event_type") == "click", "forwarded")
+        .when(F.col("event_type") == "error", "disqualified")
+        .otherwise("write")
+    )
+
+
 def _chunk_columns(docs: DataFrame, *more: str) -> DataFrame:
     form = F.when(F.col("doc_id") % 2 == 0, F.lit("-13F-")).otherwise(F.lit("-10K-"))
     return docs.select(

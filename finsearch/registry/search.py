@@ -76,14 +76,14 @@ def fts_match(r: Roles) -> DataFrame:
     return text_search.matches(r.text_index(), r.queries()).select("query_id", "id")
 
 
-@query("fts_bm25", with_roles("matched", body="SELECT query_id, id, round(score, 6) + 0.0 AS score FROM matched"))
+@query("fts_bm25", with_roles("matched", body="SELECT query_id, id, score FROM matched"))
 def fts_bm25(r: Roles) -> DataFrame:
-    return text_search.matches(r.text_index(), r.queries()).withColumn("score", rounded(F.col("score"), 6))
+    return text_search.matches(r.text_index(), r.queries())
 
 
-@query("fts_proximity", with_roles("matched", body="SELECT query_id, id, round(near_score, 6) + 0.0 AS score FROM matched"))
+@query("fts_proximity", with_roles("matched", body="SELECT query_id, id, near_score AS score FROM matched"))
 def fts_proximity(r: Roles) -> DataFrame:
-    return text_search.matches(r.text_index(), r.queries(), "distance").withColumn("score", rounded(F.col("score"), 6))
+    return text_search.matches(r.text_index(), r.queries(), "distance")
 
 
 def _fulltext_sql(score: str) -> str:
@@ -91,19 +91,18 @@ def _fulltext_sql(score: str) -> str:
         "matched",
         "chunks",
         more={"pool": TEXT_POOL.format(score=score, k=10)},
-        body=f"""SELECT query_id, p.id, round(score, 6) + 0.0 AS score, rn, {PAYLOAD} FROM pool p JOIN chunks c ON p.id = c.id""",
+        body=f"""SELECT query_id, p.id, score, rn, {PAYLOAD} FROM pool p JOIN chunks c ON p.id = c.id""",
     )
 
 
 @query("fulltext_search", _fulltext_sql("score"))
 def fulltext_search(r: Roles) -> DataFrame:
-    return text_search.fulltext_search(r.text_index(), r.texts(), r.queries()).withColumn("score", rounded(F.col("score"), 6))
+    return text_search.fulltext_search(r.text_index(), r.texts(), r.queries())
 
 
 @query("fulltext_search_proximity", _fulltext_sql("near_score"))
 def fulltext_search_proximity(r: Roles) -> DataFrame:
-    found = text_search.fulltext_search(r.text_index(), r.texts(), r.queries(), scorer="distance")
-    return found.withColumn("score", rounded(F.col("score"), 6))
+    return text_search.fulltext_search(r.text_index(), r.texts(), r.queries(), scorer="distance")
 
 
 @query(
@@ -169,7 +168,7 @@ NEAREST = with_roles(
             FROM chunks CROSS JOIN query_batch WHERE embedding IS NOT NULL""",
             "pool": VECTOR_POOL.replace("FROM far", "FROM far_batch").format(cutoff=CUTOFF, k=10),
         },
-        body=f"""SELECT query_id, p.id, rn, round(1.0::DOUBLE - distance, 6) + 0.0 AS score, {PAYLOAD}
+        body=f"""SELECT query_id, p.id, rn, round(1.0::DOUBLE - distance, 9) + 0.0 AS score, {PAYLOAD}
         FROM pool p JOIN chunks c ON p.id = c.id""",
     ),
 )
@@ -177,7 +176,7 @@ def vector_search_payload(r: Roles) -> DataFrame:
     queries, corpus = r.query_batch(), r.chunks()
     near = vector_search.vector_search(corpus, queries, 50, CUTOFF).where(F.col("rn") <= 10)
     found = hybrid.with_payload(near, r.texts(), hybrid.PAYLOAD, 10 * queries.count())
-    return found.withColumn("score", rounded(F.lit(1.0) - F.col("distance"), 6)).drop("distance")
+    return found.withColumn("score", rounded(F.lit(1.0) - F.col("distance"), 9)).drop("distance")
 
 
 @query(
@@ -222,20 +221,18 @@ def embed_docs(r: Roles) -> DataFrame:
 
 @query(
     "hybrid_sum",
-    fused_sql(SUM, 20, 10, f"SELECT query_id, n.id, rank_id, round(score, 6) + 0.0 AS score, retrieval_method, {PAYLOAD} FROM numbered n JOIN chunks c ON n.id = c.id"),
+    fused_sql(SUM, 20, 10, f"SELECT query_id, n.id, rank_id, score, retrieval_method, {PAYLOAD} FROM numbered n JOIN chunks c ON n.id = c.id"),
 )
 def hybrid_sum(r: Roles) -> DataFrame:
-    found = hybrid.hybrid_search(r.text_index(), r.chunks(), r.queries(), "sum", cutoff=CUTOFF, payload=r.texts())
-    return found.withColumn("score", rounded(F.col("score"), 6))
+    return hybrid.hybrid_search(r.text_index(), r.chunks(), r.queries(), "sum", cutoff=CUTOFF, payload=r.texts())
 
 
-RRF_RESULT = f"SELECT query_id, n.id, rank_id, round(score, 6) + 0.0 AS score, retrieval_method, {PAYLOAD} FROM numbered n JOIN chunks c ON n.id = c.id"
+RRF_RESULT = f"SELECT query_id, n.id, rank_id, score, retrieval_method, {PAYLOAD} FROM numbered n JOIN chunks c ON n.id = c.id"
 
 
 @query("hybrid_rrf", fused_sql(RRF, 20, 10, RRF_RESULT))
 def hybrid_rrf(r: Roles) -> DataFrame:
-    found = hybrid.hybrid_search(r.text_index(), r.chunks(), r.queries(), "rrf", cutoff=CUTOFF, payload=r.texts())
-    return found.withColumn("score", rounded(F.col("score"), 6))
+    return hybrid.hybrid_search(r.text_index(), r.chunks(), r.queries(), "rrf", cutoff=CUTOFF, payload=r.texts())
 
 
 BATCH_ROLE = {"queries": "SELECT item_id AS query_id, text, embedding::DOUBLE[] AS vector FROM benchmark JOIN embeddings ON vec_id = item_id"}
@@ -243,11 +240,10 @@ BATCH_ROLE = {"queries": "SELECT item_id AS query_id, text, embedding::DOUBLE[]
 
 @query(
     "hybrid_batch",
-    fused_sql(RRF, 20, 10, "SELECT query_id, id, rank_id, round(score, 6) + 0.0 AS score, retrieval_method FROM numbered", replace=BATCH_ROLE),
+    fused_sql(RRF, 20, 10, "SELECT query_id, id, rank_id, score, retrieval_method FROM numbered", replace=BATCH_ROLE),
 )
 def hybrid_batch(r: Roles) -> DataFrame:
-    found = hybrid.hybrid_candidates(r.text_index(), r.chunks(), r.query_batch(), 20, 10, "rrf", CUTOFF)
-    return found.withColumn("score", rounded(F.col("score"), 6))
+    return hybrid.hybrid_candidates(r.text_index(), r.chunks(), r.query_batch(), 20, 10, "rrf", CUTOFF)
 
 
 @query(
@@ -284,14 +280,13 @@ RERANK = {
         RRF,
         100,
         100,
-        f"""SELECT query_id, b.id, rank_id, rn, round(rerank_score, 6) + 0.0 AS rerank_score, round(bm25, 6) + 0.0 AS bm25,
+        f"""SELECT query_id, b.id, rank_id, rn, rerank_score, bm25,
         retrieval_method, {PAYLOAD} FROM best b JOIN chunks c ON b.id = c.id""",
         more=RERANK,
     ),
 )
 def hybrid_rerank(r: Roles) -> DataFrame:
-    found = hybrid.hybrid_search(r.text_index(), r.chunks(), r.queries(), "rerank", cutoff=CUTOFF, payload=r.texts()).drop("score")
-    return found.withColumn("rerank_score", rounded(F.col("rerank_score"), 6)).withColumn("bm25", rounded(F.col("bm25"), 6))
+    return hybrid.hybrid_search(r.text_index(), r.chunks(), r.queries(), "rerank", cutoff=CUTOFF, payload=r.texts()).drop("score")
 
 
 @query(

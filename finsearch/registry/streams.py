@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from finsearch.plans import fraud
 from finsearch.registry import query
 from finsearch.registry.fraud import scores_sql
-from finsearch.registry.roles import THRESHOLD, Roles, with_roles
+from finsearch.registry.roles import THRESHOLD, Roles, request_kind, with_roles
 from finsearch.registry.tables import LOAD, SHARE
 from finsearch.session import work_dir
 from finsearch.sources.snapshots import read_snapshot
@@ -55,15 +55,7 @@ def stream_latest50(r: Roles) -> DataFrame:
 )
 def stream_load_share(r: Roles) -> DataFrame:
     base = work_dir(r.spark, "stream-load")
-    kinds = r.requests().schema  # the stream repeats the batch expression for kind
-    assert "kind" in kinds.names
-    kind = (
-        F.when(F.col("event_type") == "view", "read")
-        .when(F.col("event_type") == "click", "forwarded")
-        .when(F.col("event_type") == "error", "disqualified")
-        .otherwise("write")
-    )
-    stream = _events(r).select(F.col("ts").cast("timestamp").alias("ts"), kind.alias("kind"))
+    stream = _events(r).select(F.col("ts").cast("timestamp").alias("ts"), request_kind().alias("kind"))
     streams.load_share_stream(stream, "ts", "6 hours", "1 hour", f"{base}/out", f"{base}/checkpoint").awaitTermination()
     return r.spark.read.parquet(f"{base}/out").withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
