@@ -22,11 +22,16 @@ def sentences(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def summarize(
-    docs: DataFrame, text: str = "text", n_sentences: int = 3, stopwords: Sequence[str] = tuple(STOPWORDS)
+    docs: DataFrame,
+    text: str = "text",
+    n_sentences: int = 3,
+    stopwords: Sequence[str] = tuple(STOPWORDS),
+    idf: DataFrame | None = None,
 ) -> DataFrame:
     """``(id, summary)``: the best sentences of each text in their original order.
 
-    A sentence scores the mean tf-idf of its words, tf within its text and idf over all texts.
+    A sentence scores the mean tf-idf of its words, tf within its text and idf over all texts, or
+    ``idf(term, idf)`` of a larger corpus when only some of its texts are summarized.
     Texts are hashed by id first, so counting words per sentence and per text moves nothing more.
     """
     parts = sentences(docs.select("id", text).repartition("id"), text)
@@ -43,8 +48,9 @@ def summarize(
         F.sum("n").over(same_word).alias("tf"),
         (F.min("sentence_no").over(same_word) == F.col("sentence_no")).alias("is_first"),
     )
-    n_docs = docs.agg(F.count("*").alias("n")).scalar()
-    idf = weighted.where("is_first").groupBy("term").agg(F.log(n_docs / F.count("*")).alias("idf"))
+    if idf is None:
+        n_docs = docs.agg(F.count("*").alias("n")).scalar()
+        idf = weighted.where("is_first").groupBy("term").agg(F.log(n_docs / F.count("*")).alias("idf"))
     scored = (
         weighted.join(idf, "term")
         .groupBy("id", "sentence_no")

@@ -20,6 +20,7 @@ from finsearch.session import written
 
 PACK_ROWS = 1024
 BLOCK_ROWS = 4096
+MAX_BROADCAST_VECTORS = 16_384
 
 
 @dataclass(frozen=True)
@@ -233,7 +234,7 @@ def lsh_search(index: BandIndex, corpus: DataFrame, queries: DataFrame, k: int =
     vectors = corpus.where(F.col("embedding").isNotNull()).select("id", "embedding")
     scored = (
         vectors.join(small_side(candidates, candidates.count()), "id")
-        .join(small_side(asked.select("query_id", "vector"), n_queries), "query_id")
+        .join(small_side(asked.select("query_id", "vector"), n_queries, MAX_BROADCAST_VECTORS), "query_id")
         .select("query_id", "id", rounded(cosine_distance(F.col("embedding"), F.col("vector")), 9).alias("distance"))
     )
     if cutoff is not None:

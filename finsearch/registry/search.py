@@ -10,6 +10,9 @@ from finsearch.operators import hybrid, text_search, vector_search
 from finsearch.operators.hybrid import ranked
 from finsearch.operators.prepare import embed
 from finsearch.operators.summarize import summarize
+from finsearch.operators.text_index import build_text_index
+from finsearch.plans.search import SearchTables, search
+from finsearch.plans.search import analyze_hits as explain_hits
 from finsearch.registry import query
 from finsearch.registry.roles import CUTOFF, QUERIES, Roles, with_roles
 from finsearch.session import spread, work_dir
@@ -58,7 +61,8 @@ def fused_sql(fusion: str, pool: int, k: int, body: str, more: dict | None = Non
     ),
 )
 def text_index_stats(r: Roles) -> DataFrame:
-    index = r.text_index()
+    """Built anew, unlike the saved index the searches share."""
+    index = build_text_index(r.texts(), "id", "chunk_text")
     n_docs, avg_len = (index.stats.select(c).scalar() for c in ("n_docs", "avg_len"))
     return (
         index.postings.groupBy("term")
@@ -331,3 +335,51 @@ SENTENCES = r"string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g
 )
 def chunk_summaries(r: Roles) -> DataFrame:
     return summarize(r.table("documents").select(F.col("doc_id").alias("id"), "text"))
+
+
+# --- all modes through one entry -----------------------------------------------------------------
+
+
+@query(
+    "hybrid_rrf_cells",
+    fused_sql(
+        RRF,
+        20,
+        10,
+        f"""SELECT query_id, CAST(n.id AS VARCHAR) AS id, round(score, 4) + 0.0 AS score, retrieval_method, {PAYLOAD}
+        FROM numbered n JOIN chunks c ON n.id = c.id""",
+    ),
+)
+def hybrid_rrf_cells(r: Roles) -> DataFrame:
+    """The hybrid search over the stored cells, all of them probed: equal to the exact scan."""
+    cells = vector_search.build_ivf(r.chunks(), 8, work_dir(r.spark, "cells"))
+    tables = SearchTables(r.text_index(), r.chunks(), r.texts(), cells)
+    found = search(tables, r.queries(), "hybrid", "cells", "bm25", "rrf", CUTOFF, nprobe=8)
+    return found.drop("type").withColumnRenamed("text", "chunk_text")
+
+
+@query(
+    "analyze_hits",
+    with_roles(
+        "matched",
+        "hits",
+        "stop",
+        more={
+            "pool": TEXT_POOL.format(score="score", k=10),
+            "why": """SELECT p.query_id, p.id, p.rn, string_agg(term, ', ' ORDER BY round(h.part / p.score, 6) DESC, term) AS explanation
+                FROM hits h JOIN pool p ON h.query_id = p.query_id AND h.id = p.id GROUP BY p.query_id, p.id, p.rn""",
+            "sentences": f"""SELECT id, no, sentence FROM (SELECT doc_id AS id, generate_subscripts(s, 1) - 1 AS no, unnest(s) AS sentence
+                FROM (SELECT doc_id, {SENTENCES} AS s FROM documents WHERE doc_id IN (SELECT id FROM pool))) WHERE trim(sentence) <> ''""",
+            "words": r"""SELECT id, no, term FROM (SELECT id, no, unnest(regexp_split_to_array(lower(sentence), '[^\p{L}\p{N}]+')) AS term
+                FROM sentences) WHERE term <> '' AND term NOT IN (SELECT term FROM stop)""",
+            "scored": """SELECT w.id, no, round(avg(tf * ln(n_docs::DOUBLE / df)), 9) + 0.0 AS score FROM words w
+                JOIN (SELECT id, term, count(*) AS tf FROM words GROUP BY id, term) t ON w.id = t.id AND w.term = t.term
+                JOIN vocabulary v ON v.term = w.term CROSS JOIN stats GROUP BY w.id, no""",
+            "best": "SELECT id, no, row_number() OVER (PARTITION BY id ORDER BY score DESC, no) AS rn FROM scored QUALIFY rn <= 3",
+            "summaries": "SELECT id, string_agg(sentence, ' ' ORDER BY no) AS summary FROM best JOIN sentences USING (id, no) GROUP BY id",
+        },
+        body="SELECT * FROM why JOIN summaries USING (id)",
+    ),
+)
+def analyze_hits(r: Roles) -> DataFrame:
+    return explain_hits(r.text_index(), r.texts(), r.queries())

@@ -59,7 +59,7 @@ def load_counts(r: Roles) -> DataFrame:
     }
     parquet = {"company_concepts": r.concepts(), "company_tickers": r.tickers()}
     for name, df in csv.items():
-        df.write.csv(f"{base}/{name}", header=True)
+        df.write.csv(f"{base}/{name}", header=True, escape='"')
     for name, df in parquet.items():
         _as_declared(df, name).write.parquet(f"{base}/{name}")
     sources.register_sources(

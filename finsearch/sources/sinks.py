@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from finsearch.schemas import TRADES
+from finsearch.sources.snapshots import complete_parts
 
 
 def build_clustered(
@@ -50,27 +51,26 @@ def checked_trades(df: DataFrame, now: datetime) -> DataFrame:
     )
 
 
-def _has_rows(spark: SparkSession, path: str) -> bool:
-    jvm = spark._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
-
-
 def append_trades(df: DataFrame, path: str, now: datetime) -> DataFrame:
-    """Append trades under generated ids: unique and growing over appends, gaps allowed."""
+    """Append trades under generated ids: unique and growing over appends, gaps allowed.
+
+    Every append fills its own folder, so the next free id is read from the last folder alone, and an
+    append that failed half way is overwritten by its repetition.
+    """
     spark = df.sparkSession
+    done = complete_parts(spark, path, "append")
     base = 0
-    if _has_rows(spark, path):
-        top = spark.read.parquet(path).agg(F.max("trade_id")).first()[0]
+    if done:
+        top = spark.read.parquet(f"{path}/append={done[-1]}").agg(F.max("trade_id")).first()[0]
         base = 0 if top is None else top + 1
     (
         checked_trades(df, now)
         .withColumn("trade_id", F.lit(base).cast("long") + F.monotonically_increasing_id())
-        .select("trade_id", "ticker", "shares", "price", "executed_at")
-        .write.mode("append")
-        .parquet(path)
+        .select(TRADES.names)
+        .write.mode("overwrite")
+        .parquet(f"{path}/append={done[-1] + 1 if done else 0}")
     )
-    return spark.read.schema(TRADES).parquet(path)
+    return spark.read.schema(TRADES).parquet(path).select(TRADES.names)
 
 
 def delete_keys(df: DataFrame, keys: DataFrame, on: str | Sequence[str]) -> DataFrame:

@@ -10,18 +10,23 @@ def _filesystem(spark: SparkSession, path: str):
     return target, target.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-def snapshot_versions(spark: SparkSession, base_path: str) -> list[int]:
-    """Complete versions in rising order; a version counts once its success marker exists."""
+def complete_parts(spark: SparkSession, base_path: str, key: str) -> list[int]:
+    """Numbers n of the folders ``key=n`` in rising order; a folder counts once its success marker exists."""
     base, fs = _filesystem(spark, base_path)
     if not fs.exists(base):
         return []
-    versions = []
+    parts = []
     for status in fs.listStatus(base):
         name = status.getPath().getName()
         marker, _ = _filesystem(spark, f"{base_path}/{name}/_SUCCESS")
-        if name.startswith("v=") and fs.exists(marker):
-            versions.append(int(name[2:]))
-    return sorted(versions)
+        if name.startswith(f"{key}=") and fs.exists(marker):
+            parts.append(int(name.removeprefix(f"{key}=")))
+    return sorted(parts)
+
+
+def snapshot_versions(spark: SparkSession, base_path: str) -> list[int]:
+    """Complete versions in rising order."""
+    return complete_parts(spark, base_path, "v")
 
 
 def read_snapshot(spark: SparkSession, base_path: str) -> DataFrame:

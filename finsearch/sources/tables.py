@@ -22,9 +22,13 @@ def _csv_column(field: T.StructField) -> Column:
 
 
 def load_table(
-    spark: SparkSession, name: str, path: str, fmt: str, schema: T.StructType | None = None
+    spark: SparkSession, name: str, path: str, fmt: str, schema: T.StructType | None = None, multiline: bool = False
 ) -> DataFrame:
-    """Load one named table with its declared schema; a malformed record fails the load."""
+    """Load one named table with its declared schema; a malformed record fails the load.
+
+    CSV quotes are doubled inside quoted text. ``multiline`` admits line breaks there, at the price
+    of one task per file, so keep such files small.
+    """
     declared = schema or TABLES[name]
     if fmt == "parquet":
         return spark.read.schema(declared).parquet(path)
@@ -36,7 +40,7 @@ def load_table(
             for f in declared.fields
         ]
     )
-    raw = spark.read.csv(path, schema=as_text, header=True, mode="FAILFAST", multiLine=False)
+    raw = spark.read.csv(path, schema=as_text, header=True, mode="FAILFAST", escape='"', multiLine=multiline)
     return raw.select([_csv_column(f) for f in declared.fields])
 
 
