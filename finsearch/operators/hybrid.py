@@ -14,6 +14,7 @@ from finsearch.operators.ranking import small_side, top_k, with_payload
 from finsearch.operators.text_index import TextIndex
 from finsearch.operators.text_search import SCORE_DIGITS, asked_terms, term_hits, text_pool
 from finsearch.operators.vector_search import vector_search
+from finsearch.session import written
 
 PAYLOAD = ("ticker", "accession_number", "chunk_index", "chunk_text")
 
@@ -139,7 +140,8 @@ def hybrid_search(
         top = hybrid_candidates(index, corpus, queries, pool or 20, k, fusion, cutoff, scorer, vector_hits=vector_hits)
         return with_payload(top, payload, columns, k * n_queries)
     pool = pool or 100
-    top = hybrid_candidates(index, corpus, queries, pool, pool, "rrf", cutoff, scorer, vector_hits=vector_hits)
+    # used twice below: written once, instead of searching twice
+    top = written(hybrid_candidates(index, corpus, queries, pool, pool, "rrf", cutoff, scorer, vector_hits=vector_hits), "candidates")
     if reranker is None:
         scored = coverage_scores(index, queries, top, pool * n_queries)
     else:

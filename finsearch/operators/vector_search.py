@@ -255,8 +255,10 @@ def knn_within(
     Both sides hold ``id``, ``embedding``, the key and, with ``as_of``, an order column that
     limits neighbours to earlier rows. Keys with more than ``block_rows`` rows on a side are cut
     into blocks, counted beforehand, and every pair of blocks is one bounded task-side matrix
-    product that returns k rows per scored row. No pair of rows is ever written out, and the
-    history is shuffled once, already reduced to the keys that are scored.
+    product that returns k rows per scored row. No pair of rows is ever written out.
+
+    The block counts are written once, so their exact number decides whether they are broadcast; then
+    the history is shuffled once, straight to its blocks and reduced to the keys that are scored.
     """
     extra = [as_of] if as_of else []
     cols = ["id", partition, "embedding", *extra]
@@ -265,7 +267,8 @@ def knn_within(
         side = df.where(F.col("embedding").isNotNull() & F.col(partition).isNotNull()).select(*cols)
         sizes = side.groupBy(partition).agg(F.ceil(F.count("*") / F.lit(block_rows)).cast("int").alias(f"n_{name}"))
         sides[name] = (side, sizes)
-    sizes = sides["s"][1].join(sides["h"][1], partition)
+    sizes = written(sides["s"][1].join(sides["h"][1], partition), "block-counts")
+    sizes = small_side(sizes, sizes.count())
 
     def blocks(name: str, other: str) -> DataFrame:
         own = F.pmod(F.xxhash64("id"), F.col(f"n_{name}")).cast("int").alias(f"block_{name}")

@@ -145,10 +145,14 @@ def route_questions(scores: DataFrame, threshold: float, grey_band: float = GREY
 
 
 def routed_answers(scores: DataFrame, questions: DataFrame, threshold: float, grey_band: float = GREY_BAND, force: bool = False) -> DataFrame:
-    """Scores with the answers of the transactions that were asked; skipped ones have none."""
+    """Scores with the answers of the transactions that were asked; skipped ones have none.
+
+    The route is part of the join condition, so the scores are computed once.
+    """
     routed = route_questions(scores, threshold, grey_band, force)
-    asked = routed.where(F.col("route") == "asked").select("id")
-    return routed.join(questions.join(asked, "id", "left_semi"), "id", "left")
+    answers = questions.withColumnRenamed("id", "answered_id")
+    asked = (F.col("id") == F.col("answered_id")) & (F.col("route") == "asked")
+    return routed.join(answers, asked, "left").drop("answered_id")
 
 
 def combined_verdict(answered: DataFrame, answers: Sequence[str] = ANSWERS) -> DataFrame:

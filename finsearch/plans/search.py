@@ -17,6 +17,7 @@ from finsearch.operators.text_index import TextIndex
 from finsearch.operators.text_search import fulltext_search, match_evidence
 from finsearch.operators.vector_search import BandIndex, CellIndex, ivf_search, lsh_search, vector_search
 from finsearch.plans import lakehouse
+from finsearch.session import written
 
 
 @dataclass(frozen=True)
@@ -97,6 +98,7 @@ def analyze_hits(
     why = evidence.groupBy("query_id", "id", "rn").agg(
         F.concat_ws(", ", F.transform(terms, lambda t: t["term"])).alias("explanation")
     )
+    why = written(why, "evidence")
     bound = k * queries.count()
     found = payload.select("id", F.col("chunk_text").alias("text")).join(
         small_side(why.select("id").distinct(), bound), "id", "left_semi"

@@ -64,9 +64,16 @@ class Roles:
             F.col("item_id").alias("query_id"), "text", F.col("embedding").alias("vector")
         )
 
+    def n_vectors(self) -> int:
+        """Number of vectors, from the file footers; the events share them in turn."""
+        path = f"{self.folder}/embeddings.parquet"
+        if path not in _COUNTS:
+            _COUNTS[path] = self.table("embeddings").count()
+        return _COUNTS[path]
+
     def transactions(self) -> DataFrame:
         vectors = self.table("embeddings")
-        n_vectors = vectors.agg(F.count("*").alias("n")).scalar()
+        n_vectors = self.n_vectors()
         mcc = F.lit(None).cast("int")
         for name, code in MCC.items():
             mcc = F.when(F.col("event_type") == name, F.lit(code)).otherwise(mcc)
@@ -206,6 +213,7 @@ def _chunk_columns(docs: DataFrame, *more: str) -> DataFrame:
 
 _INDEXES: dict[tuple[str, str], TextIndex] = {}
 _SCHEMAS: dict[str, StructType] = {}
+_COUNTS: dict[str, int] = {}
 
 # --- the same tables as SQL common table expressions ---------------------------------------------
 

@@ -146,7 +146,7 @@ def match_evidence(r: Roles) -> DataFrame:
 )
 def pair_distance(r: Roles) -> DataFrame:
     vectors = r.table("embeddings").select("vec_id", "embedding")
-    n = vectors.agg(F.count("*").alias("n")).scalar()
+    n = r.n_vectors()
     other = vectors.select(F.col("vec_id").alias("other_id"), F.col("embedding").alias("other"))
     return (
         vectors.withColumn("other_id", (F.col("vec_id") + 1) % n)
