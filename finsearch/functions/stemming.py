@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -53,7 +52,6 @@ def _replace(word: str, pairs: list[tuple[str, str]]) -> str:
     return word
 
 
-@lru_cache(maxsize=500_000)
 def stem(word: str) -> str:
     """The stem of one lowercase word."""
     if len(word) < 3 or not word.isascii() or not word.isalpha():
@@ -92,10 +90,11 @@ def stem(word: str) -> str:
 
 
 def stem_words(term: Column) -> Column:
-    """Stems of a word column, by Arrow batch; each worker remembers the words it has met."""
+    """Stems of a word column, each distinct word of an Arrow batch stemmed once."""
 
     @F.pandas_udf("string")
     def stems(batch: pd.Series) -> pd.Series:
-        return batch.map(stem)
+        known = {word: stem(word) for word in batch.dropna().unique()}
+        return batch.map(known)
 
     return stems(term)
