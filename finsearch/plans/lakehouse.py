@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from finsearch.functions.finance import BAND_EDGES, CONCEPT_COLUMNS, bands, percent_gain
 from finsearch.functions.text import preview
-from finsearch.operators.ranking import top_k, with_payload
+from finsearch.operators.ranking import small_side, top_k, with_payload
 from finsearch.operators.vector_search import vector_search
 from finsearch.schemas import FILING_ITEMS, RETURN_HORIZONS
+from finsearch.session import written
 
 EXACT_SUM = "decimal(38,2)"
 
@@ -57,10 +58,14 @@ def semantic_financials(
     payload: DataFrame | None = None,
 ) -> DataFrame:
     """Nearest k chunks per query with every matching value of one tag; no match keeps the chunk."""
+    bound = k * queries.count()
     near = vector_search(corpus, queries, k, None).drop("rn")
-    chunks = with_payload(near, corpus if payload is None else payload, ["ticker"], k * queries.count())
+    chunks = written(with_payload(near, corpus if payload is None else payload, ["ticker"], bound), "near-chunks")
+    # only the companies of these few chunks are looked up
+    asked = small_side(chunks.select("ticker").distinct(), bound)
+    companies = tickers.select("cik", "ticker").join(asked, "ticker", "left_semi")
     values = concepts.where((F.col("tag") == tag) & (F.col("fp") == fp)).select("cik", "val", "fy")
-    revenue = values.join(tickers.select("cik", "ticker"), "cik").select(
+    revenue = values.join(companies, "cik").select(
         "ticker", F.col("val").alias("revenue"), F.col("fy").cast("double").alias("fy")
     )
     return (

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from finsearch.schemas import TRADES
-from finsearch.sources.snapshots import complete_parts
+from finsearch.sources.snapshots import newest_parts
 
 
 def build_clustered(
@@ -17,12 +17,13 @@ def build_clustered(
 ) -> DataFrame:
     """Write ``df`` partitioned and clustered, and return a reader on the result.
 
-    Rows are ranged over partition and cluster columns together, so a partition value
-    that holds most rows is spread over several tasks and files; sorting inside each
-    file gives tight row-group statistics on the cluster columns.
+    Rows are ranged over partition columns, cluster columns and a hash of the whole row, so
+    neither a partition value nor a cluster key that holds most rows ends up in one task;
+    sorting inside each file gives tight row-group statistics on the cluster columns.
     """
     order = [*partition_cols, *cluster_cols]
-    writer = df.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("errorifexists")
+    ranged = df.repartitionByRange(*order, F.xxhash64(*[F.col(c) for c in df.columns]))
+    writer = ranged.sortWithinPartitions(*order).write.mode("errorifexists")
     if partition_cols:
         writer = writer.partitionBy(*partition_cols)
     writer.parquet(path)
@@ -51,6 +52,19 @@ def checked_trades(df: DataFrame, now: datetime) -> DataFrame:
     )
 
 
+def numbered_trades(df: DataFrame, path: str, key: str, part: int, now: datetime) -> DataFrame:
+    """Checked trades whose ids continue after those of the newest earlier part that has rows."""
+    spark = df.sparkSession
+    base = 0
+    for earlier in newest_parts(spark, path, key, below=part):
+        top = spark.read.schema(TRADES).parquet(f"{path}/{key}={earlier}").agg(F.max("trade_id")).first()[0]
+        if top is not None:
+            base = top + 1
+            break
+    ids = F.lit(base).cast("long") + F.monotonically_increasing_id()
+    return checked_trades(df, now).withColumn("trade_id", ids).select(TRADES.names)
+
+
 def append_trades(df: DataFrame, path: str, now: datetime) -> DataFrame:
     """Append trades under generated ids: unique and growing over appends, gaps allowed.
 
@@ -58,18 +72,9 @@ def append_trades(df: DataFrame, path: str, now: datetime) -> DataFrame:
     append that failed half way is overwritten by its repetition.
     """
     spark = df.sparkSession
-    done = complete_parts(spark, path, "append")
-    base = 0
-    if done:
-        top = spark.read.parquet(f"{path}/append={done[-1]}").agg(F.max("trade_id")).first()[0]
-        base = 0 if top is None else top + 1
-    (
-        checked_trades(df, now)
-        .withColumn("trade_id", F.lit(base).cast("long") + F.monotonically_increasing_id())
-        .select(TRADES.names)
-        .write.mode("overwrite")
-        .parquet(f"{path}/append={done[-1] + 1 if done else 0}")
-    )
+    last = next(newest_parts(spark, path, "append"), -1)
+    rows = numbered_trades(df, path, "append", last + 1, now)
+    rows.write.mode("overwrite").parquet(f"{path}/append={last + 1}")
     return spark.read.schema(TRADES).parquet(path).select(TRADES.names)
 
 

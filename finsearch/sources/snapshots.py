@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -10,31 +12,35 @@ def _filesystem(spark: SparkSession, path: str):
     return target, target.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-def complete_parts(spark: SparkSession, base_path: str, key: str) -> list[int]:
-    """Numbers n of the folders ``key=n`` in rising order; a folder counts once its success marker exists."""
+def newest_parts(spark: SparkSession, base_path: str, key: str, below: int | None = None) -> Iterator[int]:
+    """Numbers n of the folders ``key=n``, newest first; a folder counts once its success marker exists.
+
+    Markers are looked up one by one, so asking for the newest part costs one listing and one lookup.
+    """
     base, fs = _filesystem(spark, base_path)
     if not fs.exists(base):
-        return []
-    parts = []
-    for status in fs.listStatus(base):
-        name = status.getPath().getName()
-        marker, _ = _filesystem(spark, f"{base_path}/{name}/_SUCCESS")
-        if name.startswith(f"{key}=") and fs.exists(marker):
-            parts.append(int(name.removeprefix(f"{key}=")))
-    return sorted(parts)
+        return
+    names = [status.getPath().getName() for status in fs.listStatus(base)]
+    numbers = sorted((int(n.removeprefix(f"{key}=")) for n in names if n.startswith(f"{key}=")), reverse=True)
+    for number in numbers:
+        if below is not None and number >= below:
+            continue
+        marker, _ = _filesystem(spark, f"{base_path}/{key}={number}/_SUCCESS")
+        if fs.exists(marker):
+            yield number
 
 
 def snapshot_versions(spark: SparkSession, base_path: str) -> list[int]:
     """Complete versions in rising order."""
-    return complete_parts(spark, base_path, "v")
+    return sorted(newest_parts(spark, base_path, "v"))
 
 
 def read_snapshot(spark: SparkSession, base_path: str) -> DataFrame:
     """The newest complete version."""
-    versions = snapshot_versions(spark, base_path)
-    if not versions:
+    version = next(newest_parts(spark, base_path, "v"), None)
+    if version is None:
         raise FileNotFoundError(f"no complete snapshot below {base_path}")
-    return spark.read.parquet(f"{base_path}/v={versions[-1]}")
+    return spark.read.parquet(f"{base_path}/v={version}")
 
 
 def refresh_snapshot(df: DataFrame, base_path: str, keep: int = 2, view: str | None = None) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from finsearch.operators.load import load_counts, load_percentages
-from finsearch.sources.sinks import checked_trades
+from finsearch.sources.sinks import numbered_trades
 from finsearch.sources.snapshots import read_snapshot, refresh_snapshot, snapshot_versions
 
 
@@ -89,11 +89,7 @@ def trade_stream(stream: DataFrame, out: str, checkpoint: str, now: datetime) ->
     """
 
     def batch(df: DataFrame, batch_id: int) -> None:
-        base = 0
-        if batch_id > 0:
-            top = df.sparkSession.read.parquet(out).where(F.col("batch_id") < batch_id).agg(F.max("trade_id")).first()[0]
-            base = 0 if top is None else top + 1
-        rows = checked_trades(df, now).withColumn("trade_id", F.lit(base).cast("long") + F.monotonically_increasing_id())
+        rows = numbered_trades(df, out, "batch_id", batch_id, now)
         rows.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
 
     return (

@@ -210,3 +210,14 @@ def test_work_dir_follows_the_session(spark):
     assert path != work_dir(spark, "x")
     if old:
         assert path.startswith(old)
+
+
+def test_crowded_cluster_key_is_spread(spark):
+    df = spark.range(3000).select(F.lit(7).alias("cik"), F.col("id").alias("val"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # the sample is tiny
+    try:
+        table = sinks.build_clustered(df, work_dir(spark, "crowded"), ["cik"])
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    sizes = [r.n for r in table.groupBy(F.input_file_name().alias("f")).agg(F.count("*").alias("n")).collect()]
+    assert sum(sizes) == 3000 and len(sizes) > 1 and max(sizes) < 1500
