@@ -16,7 +16,7 @@ BUCKETS = 64
 
 @dataclass(frozen=True)
 class TextIndex:
-    """``postings(bucket, term, id, tf, first_pos, doc_len[, positions])``, ``vocabulary(term, df)``
+    """``postings(bucket, term, id, tf, first_pos, doc_len[, positions])``, ``vocabulary(term, df, occurrences)``
     and one row of ``stats(n_docs, avg_len)``, with the settings queries must share."""
 
     postings: DataFrame
@@ -41,13 +41,11 @@ def build_text_index(
 ) -> TextIndex:
     """Describe the index of one text column; ``save_text_index`` materializes it.
 
-    Texts are hashed by id before they are cut into words: moving a text is cheaper than moving
-    its words, and all grouping by (term, id) then happens where the text lies. The outer explode
-    keeps Spark from testing the words a second time for the filter it infers otherwise.
+    Words are counted per (term, id) where the text lies, so the shuffle carries postings, not words.
+    The outer explode keeps Spark from cutting the texts a second time for the filter it infers otherwise.
     """
     stop = tuple(stopwords)
-    texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).repartition("id")
-    docs = texts.select("id", words(F.col("text")).alias("words")).withColumn(
+    docs = df.select(F.col(id_col).alias("id"), words(F.col(text_col)).alias("words")).withColumn(
         "doc_len", F.size(F.filter("words", lambda w: is_indexed(w, stop)))
     )
     tokens = docs.select("id", "doc_len", F.posexplode_outer("words").alias("pos", "term")).where(
@@ -65,7 +63,7 @@ def build_text_index(
 
 
 def _vocabulary(postings: DataFrame) -> DataFrame:
-    return postings.groupBy("term").agg(F.count("*").alias("df"))
+    return postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("occurrences"))
 
 
 def save_text_index(index: TextIndex, path: str) -> TextIndex:
@@ -81,9 +79,12 @@ def save_text_index(index: TextIndex, path: str) -> TextIndex:
         .write.partitionBy("bucket")
         .parquet(f"{path}/postings")
     )
-    index.stats.write.parquet(f"{path}/stats")
-    stored = spark.read.parquet(f"{path}/postings")
-    _vocabulary(stored).write.parquet(f"{path}/vocabulary")
+    _vocabulary(spark.read.parquet(f"{path}/postings")).write.parquet(f"{path}/vocabulary")
+    # the mean length follows from the vocabulary; counting the texts does not read them
+    n_docs = index.stats.select("n_docs").scalar()
+    total = spark.read.parquet(f"{path}/vocabulary").agg(F.sum("occurrences").alias("total"))
+    stats = total.select(n_docs.alias("n_docs"), (F.coalesce("total", F.lit(0)) / n_docs).alias("avg_len"))
+    stats.write.parquet(f"{path}/stats")
     return load_text_index(spark, path, index.stopwords, index.stem, index.buckets)
 
 

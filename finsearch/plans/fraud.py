@@ -36,6 +36,16 @@ def latest_transactions(transactions: DataFrame) -> DataFrame:
     return transactions.groupBy("client_id").agg(newest).select("client_id", "t.*")
 
 
+def pick_transactions(transactions: DataFrame, requests: DataFrame) -> DataFrame:
+    """The transaction each of ``requests(client_id, transaction_id)`` asks for: the one with the
+    given id or, without an id, the client's newest."""
+    by_id = requests.where(F.col("transaction_id").isNotNull()).select(F.col("transaction_id").alias("id"))
+    clients = requests.where(F.col("transaction_id").isNull()).select("client_id")
+    named = transactions.join(by_id, "id", "left_semi").select(transactions.columns)
+    newest = latest_transactions(transactions.join(clients, "client_id", "left_semi")).select(transactions.columns)
+    return named.unionByName(newest)
+
+
 def neighbours(scored: DataFrame, history: DataFrame, k: int = 10, as_of: bool = False) -> DataFrame:
     """The k nearest other transactions of the same client; ``as_of`` allows earlier ones only."""
     return knn_within(scored, history, "client_id", k, "date" if as_of else None)

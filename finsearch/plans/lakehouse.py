@@ -12,7 +12,7 @@ from finsearch.functions.text import preview
 from finsearch.operators.ranking import small_side, top_k, with_payload
 from finsearch.operators.vector_search import vector_search
 from finsearch.schemas import FILING_ITEMS, RETURN_HORIZONS
-from finsearch.session import written
+from finsearch.session import pinned, written
 
 EXACT_SUM = "decimal(38,2)"
 
@@ -58,6 +58,7 @@ def semantic_financials(
     payload: DataFrame | None = None,
 ) -> DataFrame:
     """Nearest k chunks per query with every matching value of one tag; no match keeps the chunk."""
+    queries = pinned(queries)
     bound = k * queries.count()
     near = vector_search(corpus, queries, k, None).drop("rn")
     chunks = written(with_payload(near, corpus if payload is None else payload, ["ticker"], bound), "near-chunks")
@@ -93,6 +94,7 @@ def advanced_search(
     The pool is cut *before* the filter, so fewer than k rows may remain; ``prefilter`` narrows
     the corpus to companies inside the bands first.
     """
+    queries = pinned(queries)
     condition = bands(band_words, *edges)
     if prefilter and condition is not None:
         corpus = corpus.join(financials.where(condition).select("ticker"), "ticker", "left_semi")

@@ -177,7 +177,7 @@ def fraud_feed(r: Roles) -> DataFrame:
 
 @query("semantic_filter")
 def semantic_filter(r: Roles) -> DataFrame:
-    """Learn the structured-amount question from the labelled transactions, ask it of all."""
+    """Learn the answers to the card-testing question on the labelled transactions, ask it of all."""
     answers = questions(r).join(r.fraud_labels().select(F.col("transaction_id").alias("id")), "id", "left_semi")
     sample = answers.select("id", (F.col("card_testing") == "Yes").alias("answer"))
-    return fraud.semantic_filter(r.transactions(), sample, threshold=0.0)
+    return fraud.semantic_filter(r.transactions(), sample, threshold=0.1)

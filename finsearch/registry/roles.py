@@ -9,7 +9,7 @@ from pyspark.sql.types import StructType
 from finsearch.functions.text import STOPWORDS, TOKEN_GAP
 from finsearch.operators.text_index import TextIndex, build_text_index, save_text_index
 from finsearch.schemas import RETURN_HORIZONS
-from finsearch.session import work_dir
+from finsearch.session import spread, work_dir
 
 # Merchant codes of the five event types, query texts, concept columns.
 MCC = {"click": 4814, "error": 5045, "purchase": 5411, "signup": 5812, "view": 5942}
@@ -183,7 +183,7 @@ class Roles:
         """The saved index of the chunks, built once per session and folder."""
         key = (self.spark.sparkContext.applicationId, self.folder)
         if key not in _INDEXES:
-            index = build_text_index(self.texts(), "id", "chunk_text", buckets=8)
+            index = build_text_index(spread(self.texts()), "id", "chunk_text", buckets=8)
             _INDEXES[key] = save_text_index(index, work_dir(self.spark, "text-index"))
         return _INDEXES[key]
 

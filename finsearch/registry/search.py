@@ -62,7 +62,7 @@ def fused_sql(fusion: str, pool: int, k: int, body: str, more: dict | None = Non
 )
 def text_index_stats(r: Roles) -> DataFrame:
     """Built anew, unlike the saved index the searches share."""
-    index = build_text_index(r.texts(), "id", "chunk_text")
+    index = build_text_index(spread(r.texts()), "id", "chunk_text")
     n_docs, avg_len = (index.stats.select(c).scalar() for c in ("n_docs", "avg_len"))
     return (
         index.postings.groupBy("term")
@@ -217,7 +217,7 @@ def lsh_search(r: Roles) -> DataFrame:
 
 @query("embed_docs")
 def embed_docs(r: Roles) -> DataFrame:
-    return embed(spread(r.table("documents").select("doc_id", "text"), "doc_id")).select("doc_id", "embedding", "embedding_model")
+    return embed(spread(r.table("documents").select("doc_id", "text"))).select("doc_id", "embedding", "embedding_model")
 
 
 # --- hybrid --------------------------------------------------------------------------------------

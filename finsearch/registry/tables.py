@@ -40,45 +40,103 @@ def _as_declared(df: DataFrame, name: str) -> DataFrame:
     )
 
 
-@query(
-    "load_counts",
-    """SELECT 'fraud_labels' AS table_name, count(*) AS n_rows, CAST(sum(toxic) AS DOUBLE) AS checksum FROM labels
-    UNION ALL SELECT 'users', count(*), CAST(sum(CAST(c_acctbal AS DECIMAL(19,2)) * 10) AS DOUBLE) FROM customer
-    UNION ALL SELECT 'transactions_25_26', count(*), CAST(sum(CAST(value AS DECIMAL(19,2))) AS DOUBLE) FROM events
-    UNION ALL SELECT 'company_concepts', count(*), CAST(sum(CAST(o_totalprice AS DECIMAL(19,2))) AS DOUBLE) FROM orders
-    UNION ALL SELECT 'company_tickers', count(*), CAST(sum(c_custkey) AS DOUBLE) FROM customer""",
-)
-def load_counts(r: Roles) -> DataFrame:
-    """Operational tables travel as CSV text, warehouse tables as Parquet; all come back with declared types."""
+# checksums of the loaded tables, and the same over the given ones
+CSV_SUMS = {
+    "fraud_labels": ("int(is_fraud)", "sum(toxic)", "labels"),
+    "cards": ("int(card_on_dark_web)", "sum(CASE WHEN c_acctbal < 0 THEN 1 ELSE 0 END)", "customer WHERE c_mktsegment <> 'HOUSEHOLD'"),
+    "mcc_codes": ("mcc", "sum(mcc)", "mcc_codes"),
+    "users": ("yearly_income", "sum(CAST(c_acctbal AS DECIMAL(19,2)) * 10)", "customer"),
+    "transactions_25_26": ("amount", "sum(CAST(value AS DECIMAL(19,2)))", "events"),
+    "sec_document_chunks": ("length(chunk_text)", "sum(length(text))", "documents"),
+    "sec_to_iceberg_mapping": ("length(security_name)", "sum(length(n_name) + 5)", "nation WHERE 'src' || n_nationkey IN (SELECT source FROM documents)"),
+}
+PARQUET_SUMS = {
+    "stock_metadata": ("length(Security_Name)", "sum(length(n_name) + 5)", "nation"),
+    "company_concepts": ("cast(val AS decimal(19,2))", "sum(CAST(o_totalprice AS DECIMAL(19,2)))", "orders"),
+    "company_tickers": ("cik", "sum(c_custkey)", "customer"),
+    "sec_13f_holdings": ("cast(value_usd AS decimal(19,2))", "sum(CAST(value_usd AS DECIMAL(19,2)))", "holdings"),
+    "sec_10k_iceberg": ("length(item_1)", "sum(length(text))", "documents"),
+}
+
+
+def _register_all(r: Roles) -> None:
+    """Operational tables travel as CSV text, warehouse tables as Parquet; all come back as views with declared types."""
     base = work_dir(r.spark, "load")
     money = F.concat(F.lit("$"), F.format_number(F.col("yearly_income"), 2))
-    csv = {
+    chunks = r.chunks()
+    frames = {
         "fraud_labels": r.fraud_labels(),
-        "users": _as_declared(r.users(), "users").withColumn("yearly_income", F.regexp_replace(money, r"\$-", r"-\$")),
-        "transactions_25_26": _as_declared(r.transactions(), "transactions_25_26").withColumn("embedding", F.to_json("embedding")),
+        "cards": r.cards(),
+        "mcc_codes": r.mcc_codes(),
+        "users": r.users(),
+        "transactions_25_26": r.transactions(),
+        "sec_document_chunks": chunks,
+        "sec_to_iceberg_mapping": r.mapping(),
+        "stock_metadata": r.stocks(),
+        "company_concepts": r.concepts(),
+        "company_tickers": r.tickers(),
+        "sec_13f_holdings": r.holdings().withColumn("cusip", F.col("cusip").cast("string")),
+        "sec_10k_iceberg": r.filings(),
     }
-    parquet = {"company_concepts": r.concepts(), "company_tickers": r.tickers()}
-    for name, df in csv.items():
+    for name, df in frames.items():
+        df = _as_declared(df, name)
+        if name in PARQUET_SUMS:
+            df.write.parquet(f"{base}/{name}")
+            continue
+        if name == "users":
+            df = df.withColumn("yearly_income", F.regexp_replace(money, r"\$-", r"-\$"))
+        for field in df.schema.fields:
+            if isinstance(field.dataType, T.ArrayType):
+                df = df.withColumn(field.name, F.to_json(field.name))
         df.write.csv(f"{base}/{name}", header=True, escape='"')
-    for name, df in parquet.items():
-        _as_declared(df, name).write.parquet(f"{base}/{name}")
-    sources.register_sources(
-        r.spark, {**{n: (f"{base}/{n}", "csv") for n in csv}, **{n: (f"{base}/{n}", "parquet") for n in parquet}}
-    )
-    sums = {
-        "fraud_labels": "int(is_fraud)",
-        "users": "yearly_income",
-        "transactions_25_26": "amount",
-        "company_concepts": "cast(val AS decimal(19,2))",
-        "company_tickers": "cik",
-    }
+    kinds = {**dict.fromkeys(CSV_SUMS, "csv"), **dict.fromkeys(PARQUET_SUMS, "parquet")}
+    sources.register_sources(r.spark, {n: (f"{base}/{n}", kind) for n, kind in kinds.items()}, multiline=["sec_document_chunks"])
+
+
+@query(
+    "load_counts",
+    with_roles(
+        "mcc_codes",
+        "holdings",
+        body=" UNION ALL ".join(
+            f"SELECT '{n}' AS table_name, count(*) AS n_rows, CAST({total} AS DOUBLE) AS checksum FROM {table}"
+            for n, (_, total, table) in {**CSV_SUMS, **PARQUET_SUMS}.items()
+        ),
+    ),
+)
+def load_counts(r: Roles) -> DataFrame:
+    _register_all(r)
     return r.spark.sql(
         " UNION ALL ".join(
-            f"SELECT '{n}' AS table_name, count(*) AS n_rows, cast(sum({e}) AS double) AS checksum FROM {n}" for n, e in sums.items()
+            f"SELECT '{n}' AS table_name, count(*) AS n_rows, cast(sum({expr}) AS double) AS checksum FROM {n}"
+            for n, (expr, _, _) in {**CSV_SUMS, **PARQUET_SUMS}.items()
         )
     )
 
 
+@query(
+    "federated_join",
+    with_roles(
+        "chunks",
+        "concepts",
+        "tickers",
+        body=f"""SELECT ticker, n_chunks, n_companies, total FROM (SELECT ticker, count(*) AS n_chunks FROM chunks GROUP BY ticker)
+        JOIN (SELECT ticker, count(DISTINCT cik) AS n_companies, CAST(sum(CAST(val AS DECIMAL(19,2))) AS DOUBLE) AS total
+        FROM concepts JOIN tickers USING (cik) WHERE fy = {FISCAL_YEAR} AND fp = '{FISCAL_PERIOD}' GROUP BY ticker) USING (ticker)""",
+    ),
+)
+def federated_join(r: Roles) -> DataFrame:
+    """One SQL statement over operational and warehouse views."""
+    _register_all(r)
+    return r.spark.sql(
+        f"""SELECT ticker, n_chunks, n_companies, total
+        FROM (SELECT ticker, count(*) AS n_chunks FROM sec_document_chunks GROUP BY ticker)
+        JOIN (SELECT ticker, count(DISTINCT cik) AS n_companies, cast(sum(cast(val AS decimal(19,2))) AS double) AS total
+              FROM company_concepts JOIN company_tickers USING (cik)
+              WHERE fy = {FISCAL_YEAR} AND fp = '{FISCAL_PERIOD}' GROUP BY ticker) USING (ticker)"""
+    )
+
+
 @query(
     "load_evolving",
     """SELECT event_id, user_id, event_type, value, CASE WHEN event_type NOT IN ('view', 'click') THEN props END AS props FROM events""",
@@ -223,7 +281,7 @@ def _html_sql() -> str:
 
 @query("html_text", _html_sql())
 def html_text(r: Roles) -> DataFrame:
-    return prepare.clean_pages(spread(r.table("pages"), "page_id"))
+    return prepare.clean_pages(spread(r.table("pages")))
 
 
 @query(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Collection, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,10 +49,10 @@ def load_evolving(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     return spark.read.option("mergeSchema", True).parquet(*paths)
 
 
-def register_sources(spark: SparkSession, catalog: Mapping[str, tuple[str, str]]) -> None:
+def register_sources(spark: SparkSession, catalog: Mapping[str, tuple[str, str]], multiline: Collection[str] = ()) -> None:
     """Name -> (path, format): one temporary view per source, so that SQL joins across them."""
     for name, (path, fmt) in catalog.items():
-        load_table(spark, name, path, fmt).createOrReplaceTempView(name)
+        load_table(spark, name, path, fmt, multiline=name in multiline).createOrReplaceTempView(name)
 
 
 def period_of_report(col: Column | str, layout: str = "yyyyMMdd") -> Column:

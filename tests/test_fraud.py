@@ -139,3 +139,10 @@ def test_bulk_filter_learns_a_rule(spark):
     sample = table.where("id < 100").select("id", (F.col("id") % 2 == 1).alias("answer"))
     found = {r.id for r in fraud.semantic_filter(table, sample).where("id >= 100").collect()}  # held out
     assert found == {i for i in range(100, 200) if i % 2}
+
+
+def test_requested_transactions(spark, world):
+    history, _, _ = world
+    asked = spark.createDataFrame([(None, 1), (1, None), (9, None)], "client_id long, transaction_id long")
+    picked = fraud.pick_transactions(history, asked)
+    assert sorted(r.id for r in picked.collect()) == [1, 3] and picked.columns == history.columns

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from finsearch import schemas
 from finsearch.functions.text import html_to_text, preview, route_query
 from finsearch.operators import prepare
-from finsearch.session import spread, work_dir
+from finsearch.session import pinned, spread, work_dir
 from finsearch.sources import audit, sinks, snapshots
 from finsearch.sources import tables as sources
 
@@ -200,8 +200,8 @@ def test_text_expressions(spark):
 
 def test_spread_leaves_wide_tables_alone(spark):
     wide = spark.range(0, 100, 1, 50)
-    assert spread(wide, "id") is wide
-    assert spread(spark.range(0, 100, 1, 1), "id").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert spread(wide) is wide
+    assert spread(spark.range(0, 100, 1, 1)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
 
 
 def test_work_dir_follows_the_session(spark):
@@ -221,3 +221,11 @@ def test_crowded_cluster_key_is_spread(spark):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     sizes = [r.n for r in table.groupBy(F.input_file_name().alias("f")).agg(F.count("*").alias("n")).collect()]
     assert sum(sizes) == 3000 and len(sizes) > 1 and max(sizes) < 1500
+
+
+def test_pinned_requests(spark):
+    asked = spark.createDataFrame([("q", "text", [1.0, 2.0])], "query_id string, text string, vector array<float>")
+    held = pinned(asked)
+    assert held.schema == asked.schema and held.collect() == asked.collect()
+    many = spark.range(5)
+    assert pinned(many, 4) is many
