@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from finsearch.functions.vectors import DISTANCE_DIGITS, rounded
+from finsearch.operators.ranking import small_side
 from finsearch.operators.vector_search import knn_within
 from finsearch.session import written
 
@@ -51,14 +52,19 @@ def neighbours(scored: DataFrame, history: DataFrame, k: int = 10, as_of: bool =
     return knn_within(scored, history, "client_id", k, "date" if as_of else None)
 
 
-def similar_history(near: DataFrame, history: DataFrame, cards: DataFrame, mcc_codes: DataFrame) -> DataFrame:
-    """Neighbours with card and merchant details; those without card or code drop out."""
+def similar_history(
+    near: DataFrame, history: DataFrame, cards: DataFrame, mcc_codes: DataFrame, max_near: int | None = None
+) -> DataFrame:
+    """Neighbours with card and merchant details; those without card or code drop out.
+
+    ``max_near`` bounds the neighbours, so that few of them are looked up without moving the history.
+    """
     tx = history.select("id", "date", "amount", "transaction_description", "merchant_city", "card_id", "mcc")
     card = cards.select(F.col("id").alias("card_id"), "card_brand", "card_on_dark_web")
     codes = mcc_codes.select(F.col("mcc").cast("int").alias("mcc"), F.col("description").alias("mcc_description"))
+    few = near.select("scored_id", "id", "distance", "rn")
     return (
-        near.select("scored_id", "id", "distance", "rn")
-        .join(tx, "id")
+        tx.join(few if max_near is None else small_side(few, max_near), "id")
         .withColumn("card_id", F.col("card_id").cast("long"))
         .join(card, "card_id")
         .join(codes, "mcc")
@@ -81,9 +87,9 @@ def score_transactions(
     """
     units = 10.0**DISTANCE_DIGITS
     known = history.select("id", F.col("card_id").cast("long").alias("card_id"), F.col("mcc").cast("int").alias("mcc"))
+    near = small_side(neighbours(scored, history, k, as_of), k * scored.count())
     counted = (
-        neighbours(scored, history, k, as_of)
-        .join(known, "id")
+        known.join(near, "id")
         .join(cards.select(F.col("id").alias("card_id")), "card_id")
         .join(mcc_codes.select(F.col("mcc").cast("int").alias("mcc")), "mcc")
         .groupBy("scored_id")

@@ -73,7 +73,8 @@ def latest_tx(r: Roles) -> DataFrame:
 def fraud_history(r: Roles) -> DataFrame:
     history = r.transactions()
     chosen = fraud.latest_transactions(history.select("client_id", "id", "date", "embedding"))
-    found = fraud.similar_history(fraud.neighbours(chosen, history), history, r.cards(), r.mcc_codes())
+    near = fraud.neighbours(chosen, history)
+    found = fraud.similar_history(near, history, r.cards(), r.mcc_codes(), 10 * chosen.count())
     return found.drop("card_id", "mcc")
 
 
