@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,6 +26,11 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8, app: str
     )
 
 
+@cache
+def _one_machine_folder() -> str:
+    return tempfile.mkdtemp(prefix="finsearch-")
+
+
 def work_dir(spark: SparkSession, label: str) -> str:
     """A fresh folder below the shared folder named in ``spark.checkpoint.dir``.
 
@@ -35,8 +41,7 @@ def work_dir(spark: SparkSession, label: str) -> str:
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="finsearch-")
-        spark.conf.set(CHECKPOINT_KEY, base)
+        base = _one_machine_folder()
     return f"{base.rstrip('/')}/finsearch/{label}-{uuid.uuid4().hex[:12]}"
 
 

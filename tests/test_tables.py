@@ -2,6 +2,7 @@
 
 from datetime import datetime
 from decimal import Decimal
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -205,6 +206,14 @@ def test_spread_leaves_wide_tables_alone(spark):
 
 
 def test_work_dir_follows_the_session(spark):
+    unset = SimpleNamespace(get=lambda key, default: default)
+    cluster = SimpleNamespace(conf=unset, sparkContext=SimpleNamespace(master="yarn"))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        work_dir(cluster, "x")
+    alone = SimpleNamespace(conf=unset, sparkContext=SimpleNamespace(master="local[2]"))
+    assert work_dir(alone, "x") != work_dir(alone, "x")
+    shared = SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: "/shared/"), sparkContext=cluster.sparkContext)
+    assert work_dir(shared, "x").startswith("/shared/finsearch/x-")
     old = spark.conf.get("spark.checkpoint.dir", None)
     path = work_dir(spark, "x")
     assert path != work_dir(spark, "x")
