@@ -178,6 +178,33 @@ def ivf_search(
     return _best_of(parts, spark, queries, k)
 
 
+def ivf_join(
+    spark: SparkSession, index: CellIndex, queries: DataFrame, nprobe: int, k: int = 50, cutoff: float | None = 0.5
+) -> DataFrame:
+    """``ivf_search`` for query tables of any size: queries are sent to their cells in the tasks, and each
+    cell is a key of ``knn_within``, so crowded cells are split and nothing passes through the driver."""
+    key = queries.schema["query_id"].dataType
+    vectors = queries.schema["vector"].dataType.simpleString()
+    schema = pa.schema([("id", _arrow(key)), ("embedding", pa.list_(pa.float32())), ("cell", pa.int32())])
+
+    def probe(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            far = distances(matrix(batch.column("vector")), index.centres)
+            order = np.argsort(far, axis=1, kind="stable")[:, :nprobe]
+            rows = np.repeat(np.arange(batch.num_rows), order.shape[1])
+            columns = [batch.column("query_id").take(pa.array(rows)), batch.column("vector").take(pa.array(rows)), order.reshape(-1)]
+            arrays = [(c if isinstance(c, pa.Array) else pa.array(c)).cast(f.type) for c, f in zip(columns, schema)]
+            yield pa.RecordBatch.from_arrays(arrays, schema=schema)
+
+    asked = queries.where(F.col("vector").isNotNull()).select("query_id", "vector")
+    sent = asked.mapInArrow(probe, f"id {key.simpleString()}, embedding {vectors}, cell int")
+    stored = spark.read.parquet(index.path).select("id", "embedding", F.col("cell").cast("int").alias("cell"))
+    near = knn_within(sent, stored, "cell", k, same_table=False).withColumnRenamed("scored_id", "query_id")
+    return near if cutoff is None else near.where(F.col("distance") < cutoff)
+
+
 @dataclass(frozen=True)
 class BandIndex:
     """``bands(id, band, signature)`` of a corpus and the hyperplanes behind them."""
@@ -249,9 +276,12 @@ def knn_within(
     k: int = 10,
     as_of: str | None = None,
     block_rows: int = BLOCK_ROWS,
+    same_table: bool = True,
 ) -> DataFrame:
     """For each row of ``scored``, the k nearest *other* rows of ``history`` with the same key.
 
+    With ``same_table=False`` the ids of the two sides are unrelated and equal ids may be neighbours.
+
     Both sides hold ``id``, ``embedding``, the key and, with ``as_of``, an order column that
     limits neighbours to earlier rows. Keys with more than ``block_rows`` rows on a side are cut
     into blocks, counted beforehand, and every pair of blocks is one bounded task-side matrix
@@ -276,14 +306,16 @@ def knn_within(
         # fresh aliases, since both sides may come from the same table
         return sides[name][0].join(sizes, partition).select(*[F.col(c).alias(c) for c in cols], own, copies)
 
-    schema = pa.schema([("scored_id", pa.int64()), ("id", pa.int64()), ("distance", pa.float64())])
+    key = scored.schema["id"].dataType
+    schema = pa.schema([("scored_id", _arrow(key)), ("id", pa.int64()), ("distance", pa.float64())])
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
         found = []
         if left.num_rows and right.num_rows:
             ours, theirs = left["id"].to_numpy(), right["id"].to_numpy()
             dist = distances(matrix(left["embedding"]), matrix(right["embedding"]))
-            dist[ours[:, None] == theirs[None, :]] = np.inf
+            if same_table:
+                dist[ours[:, None] == theirs[None, :]] = np.inf
             if as_of:
                 dist[right[as_of].to_numpy()[None, :] >= left[as_of].to_numpy()[:, None]] = np.inf
             for tx, line in zip(ours, dist):
@@ -294,6 +326,6 @@ def knn_within(
 
     keys = [partition, "block_s", "block_h"]
     pairs = blocks("s", "h").groupBy(*keys).cogroup(blocks("h", "s").groupBy(*keys)).applyInArrow(
-        compare, "scored_id long, id long, distance double"
+        compare, f"scored_id {key.simpleString()}, id long, distance double"
     )
     return top_k(pairs, ["scored_id"], [F.asc("distance"), F.asc("id")], k)

@@ -134,6 +134,12 @@ def holdings_rollup(holdings: DataFrame) -> DataFrame:
     )
 
 
+def ticker_details(view: DataFrame, holdings: DataFrame, symbol: str, date: str) -> tuple[DataFrame, DataFrame]:
+    """Filing of one symbol and date, and its positions, largest value first."""
+    positions = holdings_rollup(holdings.where(F.col("ticker") == symbol))
+    return ticker_filing(view, symbol, date), positions.orderBy(F.desc_nulls_first("value_usd"), "manager_name")
+
+
 def manager_totals(holdings: DataFrame, prefix: str, k: int = 20) -> DataFrame:
     """Largest managers by value among those whose name starts with a prefix."""
     return (

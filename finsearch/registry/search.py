@@ -203,6 +203,13 @@ def ivf_search_full(r: Roles) -> DataFrame:
     return vector_search.ivf_search(r.spark, index, r.query_batch(), nlist, 50, CUTOFF)
 
 
+@query("ivf_join_full", NEAREST)
+def ivf_join_full(r: Roles) -> DataFrame:
+    nlist = 16
+    index = vector_search.build_ivf(r.vectors(), nlist, work_dir(r.spark, "cells"))
+    return vector_search.ivf_join(r.spark, index, r.query_batch(), nlist, 50, CUTOFF)
+
+
 @query("ivf_search")
 def ivf_search(r: Roles) -> DataFrame:
     index = vector_search.build_ivf(r.vectors(), 16, work_dir(r.spark, "cells"))

@@ -94,6 +94,15 @@ def test_manager_prefix_is_case_sensitive(spark):
     assert "TakeOrderedAndProject" in top._jdf.queryExecution().executedPlan().toString()
 
 
+def test_ticker_details(spark):
+    view = spark.sql("SELECT 'A' AS Symbol, timestamp_ntz'2020-01-01' AS date, 1 AS cik UNION ALL SELECT 'A', timestamp_ntz'2021-01-01', 2")
+    rows = [("m1", "A", 1, 5.0, "SOLE", "COM"), ("m1", "A", 2, 5.5, "SOLE", "COM"), ("m2", "A", 9, 99.0, "SOLE", "COM"), ("m1", "B", 1, 1.0, "SOLE", "COM")]
+    held = spark.createDataFrame(rows, "manager_name string, ticker string, shares long, value_usd double, investment_discretion string, title_of_class string")
+    filing, positions = lakehouse.ticker_details(view, held, "A", "2021-01-01")
+    assert [r.cik for r in filing.collect()] == [2]
+    assert [(r.manager_name, r.shares, r.value_usd) for r in positions.collect()] == [("m2", 9, 99.0), ("m1", 3, 10.5)]
+
+
 def test_gains_and_previews(spark):
     cols = ", ".join(f"cast({v} as double) as f_{h}_day_return" for h, v in zip((1, 3, 5, 10, 20, 40, 60, 80, 100, 150, 252), ["1.05", "0.9", "1.0"] + ["null"] * 8))
     view = spark.sql(f"SELECT 'k' AS cik, 'Some text' AS item_1, '' AS item_2, cast(null as string) AS item_3, {cols}")

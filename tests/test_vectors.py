@@ -65,6 +65,18 @@ def test_cells_equal_exact_when_all_are_probed(spark, tables):
     assert shares == sorted(shares) and shares[-1] == 63
 
 
+@pytest.mark.parametrize("nprobe", [1, 6])
+def test_cell_join_equals_cell_search(spark, tables, nprobe):
+    _, corpus_df, _, asked_df = tables
+    index = vs.build_ivf(corpus_df, 6, work_dir(spark, "t-cells"))
+    named = asked_df.select(F.concat(F.lit("q"), "query_id").alias("query_id"), "vector")
+    for cutoff in (None, 0.6):
+        want = found(vs.ivf_search(spark, index, asked_df, nprobe, 9, cutoff))
+        assert found(vs.ivf_join(spark, index, asked_df, nprobe, 9, cutoff)) == want
+    joined = found(vs.ivf_join(spark, index, named, nprobe, 9, 0.6))
+    assert joined == {f"q{q}": rows for q, rows in want.items()}
+
+
 def test_probed_cells_prune_folders(spark, tables):
     _, corpus_df, _, asked_df = tables
     index = vs.build_ivf(corpus_df, 6, work_dir(spark, "t-cells"))
