@@ -14,21 +14,34 @@ from finsearch.functions.finance import CONCEPT_COLUMNS
 from finsearch.functions.text import html_to_text
 
 
+SPAN = 64  # windows per span of a long text
+
+
 def clean_pages(pages: DataFrame, html: str = "html") -> DataFrame:
     """Raw pages with their plain text in place of the markup."""
     return pages.withColumn("text", html_to_text(F.col(html))).drop(html)
 
 
 def chunk_text(docs: DataFrame, text: str = "text", size: int = 1500, overlap: int = 300) -> DataFrame:
-    """Overlapping character windows with a 0-based ``chunk_index``; short texts make one chunk."""
+    """Overlapping character windows with a 0-based ``chunk_index``; short texts make one chunk.
+
+    Finding a position in UTF-8 text means walking to it, so long texts are first cut into spans of
+    ``SPAN`` windows, and the windows out of their span.
+    """
     step = size - overlap
+    rest = [c for c in docs.columns if c != text]
     last = F.greatest(F.ceil((F.length(text) - F.lit(size)) / F.lit(step)), F.lit(0)).cast("int")
-    return (
+    spans = (
         docs.where(F.col(text).isNotNull())
-        .withColumn("chunk_index", F.explode(F.sequence(F.lit(0), last)))
-        .withColumn("chunk_text", F.substring(F.col(text), F.col("chunk_index") * step + 1, F.lit(size)))
-        .drop(text)
+        .withColumn("_last", last)
+        .withColumn("_first", F.explode(F.sequence(F.lit(0), F.col("_last"), F.lit(SPAN))))
+    )
+    span = F.substring(F.col(text), F.col("_first") * step + 1, F.lit((SPAN - 1) * step + size))
+    windows = spans.select(*rest, "_last", "_first", span.alias("_span")).withColumn(
+        "chunk_index", F.explode(F.sequence(F.col("_first"), F.least(F.col("_first") + (SPAN - 1), F.col("_last"))))
     )
+    start = (F.col("chunk_index") - F.col("_first")) * step + 1
+    return windows.select(*rest, "chunk_index", F.substring(F.col("_span"), start, F.lit(size)).alias("chunk_text"))
 
 
 def dedup_min_id(df: DataFrame, keys: Sequence[str], id_col: str = "id") -> DataFrame:

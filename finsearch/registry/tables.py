@@ -372,6 +372,7 @@ def facts_flatten(r: Roles) -> DataFrame:
     )
     units = (
         r.table("lineitem")
+        .repartition("l_orderkey")  # one shuffle for both groupings and the join
         .groupBy("l_orderkey", "l_returnflag")
         .agg(F.collect_list(value).alias("values"))
         .groupBy("l_orderkey")

@@ -143,9 +143,9 @@ def test_html(spark):
     assert row.t == "A&B 5 < 6 &lt; ’’ · ©"
 
 
-@pytest.mark.parametrize("length, n", [(0, 1), (1499, 1), (1500, 1), (1501, 2), (2700, 2), (2701, 3)])
+@pytest.mark.parametrize("length, n", [(0, 1), (1499, 1), (1500, 1), (1501, 2), (2700, 2), (2701, 3), (1500 + 1200 * 200 - 7, 201)])
 def test_chunks(spark, length, n):
-    text = "".join(chr(97 + i % 26) for i in range(length))
+    text = "".join(chr(97 + i % 26) if i % 7 else "é" for i in range(length))
     docs = spark.createDataFrame([(1, text)], "id long, text string")
     chunks = [r.chunk_text for r in prepare.chunk_text(docs).orderBy("chunk_index").collect()]
     assert len(chunks) == n
