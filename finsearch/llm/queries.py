@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from finsearch.llm import bpe, packing
+from finsearch.llm import bpe, packing, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -37,6 +37,15 @@ def best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+SHINGLE, MAX_BITS = 4, 4
+
+
+@query("op4_simhash_near_dedup")
+def simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = simhash.components(table(spark, folder, "documents"), SHINGLE, MAX_BITS)
+    return found.select("doc_id", simhash.as_hex(F.col("fingerprint")).alias("fingerprint"), "component_id")
+
+
 @query("op9_bpe_round_trip")
 def bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.round_trip(table(spark, folder, "documents"), TOKENIZER)
