@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from finsearch.llm import bpe, packing, simhash
+from finsearch.llm import bpe, packing, simhash, warc
+from finsearch.session import work_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -37,6 +38,41 @@ def best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query(
+    "op3_warc_reassembly",
+    """
+    WITH p AS (
+        SELECT page_id, encode(coalesce(html, '')) AS payload, sha1(encode(coalesce(html, ''))) AS hex FROM pages
+    ), stored AS (SELECT hex, max(page_id) AS kept FROM p GROUP BY hex),
+    bits AS (
+        SELECT hex, string_agg(bin, '' ORDER BY i) AS bits
+        FROM (SELECT hex, i, lpad(bin(cast(('0x' || substr(hex, 1 + 5 * i, 5)) AS INTEGER)), 20, '0') AS bin
+              FROM stored, range(8) r(i)) GROUP BY hex
+    ), digests AS (
+        SELECT hex, array_to_string(list_transform(range(32), lambda i:
+            substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + list_sum(list_transform(range(5), lambda j:
+                cast(substr(bits, cast(1 + 5 * i + j AS INTEGER), 1) AS INTEGER) * cast(pow(2, 4 - j) AS INTEGER)))::INTEGER, 1)), '') AS digest
+        FROM bits
+    )
+    SELECT page_id, cast(octet_length(payload) AS BIGINT) AS payload_bytes, digest AS payload_digest,
+           CASE WHEN page_id = kept THEN 'response' ELSE 'revisit' END AS record_type,
+           CASE WHEN page_id <> kept THEN kept END AS refers_to
+    FROM p JOIN stored USING (hex) JOIN digests USING (hex)
+    """,
+)
+def warc_reassembly(spark: SparkSession, folder: str) -> DataFrame:
+    path = work_dir(spark, "archives")
+    warc.write_archives(table(spark, folder, "pages"), path)
+    records = warc.decoded(warc.reassembled(warc.read_archives(spark, path)), with_payload=False)
+    return warc.page_records(records).select(
+        F.col("page_id").cast("long").alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        "record_type",
+        F.col("refers_to").cast("long").alias("refers_to"),
+    )
+
+
 SHINGLE, MAX_BITS = 4, 4
 
 
