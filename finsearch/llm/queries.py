@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from finsearch.llm import bpe, packing, simhash, warc
+from finsearch.llm import bpe, langid, packing, simhash, warc
 from finsearch.session import work_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,6 +82,17 @@ def simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", simhash.as_hex(F.col("fingerprint")).alias("fingerprint"), "component_id")
 
 
+def language_filter(docs: DataFrame) -> langid.LanguageFilter:
+    return langid.learn(docs.where(~langid.held_out()))
+
+
+@query("op8_language_id")
+def language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    asked = docs.select("doc_id", "text", langid.held_out().alias("held_out"))
+    return langid.predict(asked, language_filter(docs)).drop("text")
+
+
 @query("op9_bpe_round_trip")
 def bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.round_trip(table(spark, folder, "documents"), TOKENIZER)
