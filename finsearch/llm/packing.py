@@ -155,6 +155,21 @@ def place(pieces: DataFrame, capacity: int = CAPACITY, keys: tuple[str, ...] = (
     return placed.mapInArrow(run, schema)
 
 
+def with_places(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """Pieces from a written table, numbered in ``row``, with all their columns, ``sequence_id`` and ``offset``.
+
+    Whatever the pieces carry is shuffled once, to meet the places: leave out what is not needed.
+    """
+    where = place(pieces.select("doc_id", "piece", "row", "length"), capacity, ("doc_id", "piece", "row"))
+    return pieces.join(where.select("row", "sequence_id", "offset"), "row").drop("row")
+
+
+def written_pieces(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The pieces of ``tokenized_pieces`` as a written table, numbered in ``row``; their id is ``doc_id``."""
+    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return written(tokenized_pieces(source, tokenizer, end_id, capacity).withColumn("row", F.monotonically_increasing_id()), "pieces")
+
+
 def pack(
     docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -164,10 +179,7 @@ def pack(
     texts are packed as their end id; a null id stays null; repeated rows are packed each. An empty
     table gives no rows.
     """
-    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    row = F.monotonically_increasing_id()
-    pieces = written(tokenized_pieces(source, tokenizer, end_id, capacity).withColumn("row", row), "pieces")
-    where = place(pieces.select("doc_id", "piece", "row", "length"), capacity, ("doc_id", "piece", "row"))
-    return pieces.join(where.select("row", "sequence_id", "offset"), "row").select(
+    pieces = written_pieces(docs, tokenizer, end_id, capacity, id_col, text_col)
+    return with_places(pieces, capacity).select(
         F.col("doc_id").alias(id_col), "piece", "start", "length", "ids", "sequence_id", "offset"
     )

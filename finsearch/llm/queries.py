@@ -32,9 +32,9 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 @query("op1_best_fit_packing")
 def best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
-    packed = packing.pack(table(spark, folder, "documents"), TOKENIZER)
-    return packed.select(
-        "doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset"
+    pieces = packing.written_pieces(table(spark, folder, "documents"), TOKENIZER)
+    return packing.with_places(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")).select(
+        "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"
     )
 
 
