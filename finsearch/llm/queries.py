@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from finsearch.llm import bpe, langid, packing, simhash, warc
+from finsearch.llm import bpe, chat, langid, packing, quality, simhash, warc
 from finsearch.session import work_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,6 +82,88 @@ def simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", simhash.as_hex(F.col("fingerprint")).alias("fingerprint"), "component_id")
 
 
+@query(
+    "op6_quality_rules",
+    r"""
+    WITH d AS (
+        SELECT doc_id, source, coalesce(text, '') AS text,
+               list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words,
+               list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines
+        FROM documents
+    ), windows AS (
+        SELECT doc_id, i, array_to_string(words[i:i + 7], chr(10)) AS w
+        FROM (SELECT doc_id, words, unnest(range(1, len(words) - 6)) AS i FROM d WHERE len(words) >= 8)
+    ), twice AS (
+        SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS next
+        FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w) AS n FROM windows) WHERE n > 1
+    ), repeated AS (SELECT doc_id, cast(sum(least(8, coalesce(next - i, 8))) AS BIGINT) AS n FROM twice GROUP BY doc_id),
+    base AS (
+        SELECT d.doc_id, cast(len(words) AS BIGINT) AS n_words,
+               cast(length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
+               cast(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+               cast(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+               coalesce(n, 0) AS n_repeat_words
+        FROM d LEFT JOIN repeated USING (doc_id)
+    ), line AS (
+        SELECT doc_id, source, text, i,
+               translate(trim(regexp_replace(lower(lines[i]), '[\x20\x09-\x0D]+', ' ', 'g')), '123456789', '000000000') AS line,
+               len(list_filter(regexp_split_to_array(lines[i], '[\x20\x09-\x0D]+'), lambda w: w <> '')) AS words
+        FROM (SELECT doc_id, source, text, lines, unnest(range(1, len(lines) + 1)) AS i FROM d)
+    ), common AS (
+        SELECT source, line FROM (SELECT source, line, count(DISTINCT text) AS n FROM line GROUP BY source, line)
+        JOIN (SELECT source, count(DISTINCT text) AS texts FROM d GROUP BY source) USING (source)
+        WHERE n >= 10 AND n >= 0.02 * texts
+    ), depleted AS (
+        SELECT doc_id, sum(words) FILTER (common.line IS NULL) AS remain, sum(words) AS total
+        FROM line LEFT JOIN common USING (source, line) GROUP BY doc_id
+    )
+    SELECT base.*, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+           NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words)
+           AND NOT coalesce(coalesce(remain, 0) < 0.3 * total, false) AS kept
+    FROM base LEFT JOIN depleted USING (doc_id)
+    """,
+)
+def quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.judged(table(spark, folder, "documents"))
+
+
+@query(
+    "op7_chat_formatting",
+    r"""
+    WITH turns AS (
+        SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+        UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')
+    ), marked AS (
+        SELECT *, length(regexp_replace(text, '(\\*)(<<SYS>>|<</SYS>>|\[INST\]|\[/INST\]|<s>|</s>|<<ROLE |<</ROLE>>)', '\\\1\2', 'g')) AS escaped,
+               CASE role WHEN 'system' THEN 7 WHEN 'user' THEN 6 WHEN 'assistant' THEN 3 ELSE 9 + length(url_encode(role)) END AS opening,
+               CASE role WHEN 'system' THEN 8 WHEN 'user' THEN 7 WHEN 'assistant' THEN 4 ELSE 9 END AS closing,
+               role IS DISTINCT FROM lead(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS last
+        FROM turns
+    )
+    SELECT conv_id, count(*) AS n_turns,
+           sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+           coalesce(cast(sum(length(text)) FILTER (role = 'assistant') AS BIGINT), 0) AS loss_chars,
+           sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+           cast(sum(opening + 1 + escaped + CASE WHEN last THEN 1 + closing ELSE 0 END) + count(*) - 1 AS BIGINT) AS formatted_chars
+    FROM marked GROUP BY conv_id
+    """,
+)
+def chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    back = chat.masked_text(chat.read_back(chat.formatted(rows)))
+    turns = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return back.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(turns, 256).alias("turns_sha256"),
+        F.length("loss_text").cast("long").alias("loss_chars"),
+        F.sha2("loss_text", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
 def language_filter(docs: DataFrame) -> langid.LanguageFilter:
     return langid.learn(docs.where(~langid.held_out()))
 
