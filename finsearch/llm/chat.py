@@ -11,12 +11,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from finsearch.llm.common import blocks_of, once, span_of
+
 # The template's control strings. Other roles are named in the mark.
 OPEN = {"system": "<<SYS>>", "user": "[INST]", "assistant": "<s>"}
 CLOSE = {"system": "<</SYS>>", "user": "[/INST]", "assistant": "</s>"}
 OTHER_OPEN, OTHER_CLOSE = "<<ROLE ", "<</ROLE>>"
 CONTROL = r"<<SYS>>|<</SYS>>|\[INST\]|\[/INST\]|<s>|</s>|<<ROLE |<</ROLE>>"
-BLOCK = 4096
 LEARNED = "assistant"  # the role whose texts the loss counts
 
 
@@ -43,11 +44,6 @@ def _closing(role: Column) -> Column:
     return other
 
 
-def _once(value: Column, use) -> Column:
-    """``use(value)`` with the value worked out a single time."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def _segments(turns: Column) -> Column:
     """The pieces of the formatted string, each with whether the loss counts it."""
 
@@ -66,7 +62,7 @@ def _segments(turns: Column) -> Column:
 
         return F.flatten(F.transform(held, of))
 
-    return _once(turns, pieces)
+    return once(turns, pieces)
 
 
 def formatted(
@@ -122,16 +118,8 @@ def masked_text(rows: DataFrame, column: str = "formatted", runs: str = "loss_ru
             F.when(run["loss"], F.concat(s["spans"], F.array(F.struct(s["at"].alias("at"), run["n_chars"].alias("n"))))).otherwise(s["spans"]).alias("spans"),
         ),
     )
-    # the string in blocks, so that a span costs its own length and not that of the conversation
-    blocks = F.regexp_extract_all(column, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
-
-    def cut(held: Column) -> Column:
-        def span(s: Column) -> Column:
-            first = F.floor(s["at"] / BLOCK).cast("int")
-            last = F.floor((s["at"] + s["n"] - 1) / BLOCK).cast("int")
-            text = F.array_join(F.slice(held, first + 1, last - first + 1), "")
-            return unescaped(text.substr((s["at"] % BLOCK + 1).cast("int"), s["n"].cast("int")))
-
-        return F.transform(F.filter(walked["spans"], lambda s: s["n"] > 0), span)
+    def cut(blocks: Column) -> Column:
+        spans = F.filter(walked["spans"], lambda s: s["n"] > 0)
+        return F.transform(spans, lambda s: unescaped(span_of(blocks, s["at"], s["n"])))
 
-    return rows.withColumn("loss_text", F.array_join(_once(blocks, cut), ""))
+    return rows.withColumn("loss_text", F.array_join(once(blocks_of(F.col(column)), cut), ""))

@@ -55,3 +55,24 @@ def ranked(df: DataFrame, order: list[Column], label: str) -> tuple[DataFrame, i
     offsets = df.sparkSession.createDataFrame(starts or [(0, 0)], "part int, first long")
     rows = placed.join(F.broadcast(offsets), "part").withColumn("rank", F.col("first") + F.col("place"))
     return rows.drop("part", "place", "first"), total
+
+
+BLOCK = 4096
+
+
+def once(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out a single time, where it is used more than once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def blocks_of(text: Column) -> Column:
+    """The text in blocks of equal numbers of code points: a span then costs its own length and not that of the text."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+
+
+def span_of(blocks: Column, start: Column, size: Column) -> Column:
+    """``size`` code points from ``start`` (from 0) of a text in blocks; what lies beyond the end is missing."""
+    first = F.floor(start / BLOCK).cast("int")
+    last = F.floor((start + size - 1) / BLOCK).cast("int")
+    text = F.array_join(F.slice(blocks, first + 1, F.greatest(last - first + 1, F.lit(0))), "")
+    return text.substr((start % BLOCK + 1).cast("int"), size.cast("int"))

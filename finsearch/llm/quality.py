@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from finsearch.llm.common import text_of
+from finsearch.llm.common import once, text_of
 
 # Fixed values of the word rules.
 SPACE = "[\\x20\\x09-\\x0D]+"
@@ -58,12 +58,7 @@ def _repeated_words(windows: Column) -> Column:
         return F.aggregate(steps, F.lit(0).cast("long"), lambda total, step: total + step)
 
     # an array of one value holds what is used more than once
-    return _once(_once(ordered, starts), covered)
-
-
-def _once(value: Column, use) -> Column:
-    """``use(value)`` with the value worked out a single time."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
+    return once(once(ordered, starts), covered)
 
 
 def word_rules(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -79,14 +74,14 @@ def word_rules(docs: DataFrame, text_col: str = "text") -> DataFrame:
         hashes.alias("_words"),
         F.length(_without(text, SPACES)).cast("long").alias("word_chars"),
         (F.length(text) - F.length(_without(text, SYMBOLS))).cast("long").alias("n_symbols"),
-        _once(lines, lambda found: (F.size(found) - F.size(F.array_distinct(found))).cast("long")).alias("n_dup_lines"),
+        once(lines, lambda found: (F.size(found) - F.size(F.array_distinct(found))).cast("long")).alias("n_dup_lines"),
     )
     count = F.size("_words")
     window = lambda i: F.xxhash64(*[F.get("_words", i + j) for j in range(WINDOW)])
     windows = F.when(count >= WINDOW, F.transform(F.sequence(F.lit(0), count - WINDOW), window))
     second = first.withColumn("n_words", count.cast("long")).withColumn("_windows", windows).drop("_words")
     ordered = F.sort_array("_windows")
-    twice = _once(ordered, lambda rows: F.exists(F.sequence(F.lit(1), F.size(rows) - 1), lambda i: F.get(rows, i) == F.get(rows, i - 1)))
+    twice = once(ordered, lambda rows: F.exists(F.sequence(F.lit(1), F.size(rows) - 1), lambda i: F.get(rows, i) == F.get(rows, i - 1)))
     repeats = F.when((F.size("_windows") > 1) & twice, _repeated_words(F.col("_windows"))).otherwise(F.lit(0).cast("long"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
     return second.withColumn("n_repeat_words", repeats).drop("_windows").withColumn("base_failed", failed)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from finsearch.llm import bpe, chat, langid, packing, quality, simhash, warc
+from finsearch.llm import bpe, chat, langid, packing, pii, quality, simhash, warc
 from finsearch.session import work_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -178,3 +178,15 @@ def language_id(spark: SparkSession, folder: str) -> DataFrame:
 @query("op9_bpe_round_trip")
 def bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.round_trip(table(spark, folder, "documents"), TOKENIZER)
+
+
+@query("op10_information_theoretic_pii")
+def information_theoretic_pii(spark: SparkSession, folder: str) -> DataFrame:
+    found = pii.found_in(table(spark, folder, "documents"))
+    number = lambda kind: F.size(F.filter("entities", lambda e: e["kind_no"] == pii.KINDS.index(kind))).cast("long")
+    return found.select(
+        "doc_id",
+        *[number(kind).alias(f"n_{kind}") for kind in pii.KINDS[:4]],
+        F.sha2(pii.span_list(pii.base_spans()), 256).alias("base_sha256"),
+        pii.span_list(pii.all_spans()).alias("spans"),
+    )
