@@ -83,14 +83,14 @@ def entities(text: Column) -> Column:
 
 def terms_beside(text: Column, found: Column) -> Column:
     """``array<struct<entity, term, start, end>>``: words within ``CONTEXT`` of an entity, cut-off ones left out."""
-    joint = F.lit("a1")  # glued to a word it makes it no term; alone it is none
+    left, right = F.lit("a1"), F.lit("1a")  # glued to a word they make it no term; alone they are none
 
     def beside(blocks: Column) -> Column:
         def of(entity: Column) -> Column:
             at = F.greatest(entity["start"] - CONTEXT, F.lit(0).cast("long"))
-            before = F.concat(F.when(at > 0, joint).otherwise(F.lit("")), span_of(blocks, at, entity["start"] - at), joint)
+            before = F.concat(F.when(at > 0, left).otherwise(F.lit("")), span_of(blocks, at, entity["start"] - at), right)
             whole = entity["end"] + CONTEXT >= F.length(text)
-            after = F.concat(joint, span_of(blocks, entity["end"], F.lit(CONTEXT)), F.when(whole, F.lit("")).otherwise(joint))
+            after = F.concat(left, span_of(blocks, entity["end"], F.lit(CONTEXT)), F.when(whole, F.lit("")).otherwise(right))
             return F.concat(
                 terms(before, F.when(at > 0, at - 2).otherwise(at), entity["entity"]), terms(after, entity["end"] - 2, entity["entity"])
             )
