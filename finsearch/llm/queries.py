@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from finsearch.llm import bpe, chat, langid, packing, pii, quality, simhash, warc
+from finsearch.llm import bpe, chat, langid, packing, pii, quality, simhash, syncmers, warc
 from finsearch.session import work_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,6 +38,11 @@ def best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query("op2_syncmer_fingerprints")
+def syncmer_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return syncmers.edited_and_next(table(spark, folder, "documents"))
+
+
 @query(
     "op3_warc_reassembly",
     """
