@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from finsearch.llm import bpe, chat, langid, packing, pii, quality, simhash, syncmers, warc
+from finsearch.llm import bpe, chat, extraction, langid, packing, pii, quality, simhash, syncmers, warc
 from finsearch.session import work_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,6 +87,11 @@ def simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", simhash.as_hex(F.col("fingerprint")).alias("fingerprint"), "component_id")
 
 
+@query("op5_html_extraction")
+def html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    return extraction.extracted(table(spark, folder, "pages"))
+
+
 @query(
     "op6_quality_rules",
     r"""
