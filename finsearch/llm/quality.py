@@ -11,11 +11,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from finsearch.llm.common import once, text_of
+from finsearch.session import written
 
 # Fixed values of the word rules.
 SPACE = "[\\x20\\x09-\\x0D]+"
+WORD = "[^\\x20\\x09-\\x0D]"
 SPACES = " \t\n\u000b\f\r"
-SYMBOLS = "#*$%&|<>"
+NO_SYMBOLS = "[^#*$%&|<>]+"
 WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEATED = 30  # percent of the words
@@ -23,25 +25,21 @@ MAX_REPEATED = 30  # percent of the words
 # A line is boilerplate of a host if this share of its different texts has it, and this many texts at least.
 LINE_SHARE = 0.02
 LINE_TEXTS = 10
-MIN_LEFT = 0.3  # share of the words that must be left
-
-
-def _without(text: Column, characters: str) -> Column:
-    return F.translate(text, characters, "")
+MIN_LEFT = 0.3  # share of the characters that must be left
 
 
 def words_of(text: Column) -> Column:
-    return F.filter(F.split(text, SPACE), lambda w: w != "")
+    return F.array_remove(F.split(text, SPACE), "")
 
 
 def worded_lines(text: Column) -> Column:
     """Lines with at least one word."""
-    return F.filter(F.split(text, "\n"), lambda line: _without(line, SPACES) != "")
+    return F.filter(F.split(text, "\n"), lambda line: line.rlike(WORD))
 
 
 def normal_line(line: Column) -> Column:
-    """Lower case, one space between words, digits alike."""
-    return F.translate(F.trim(F.regexp_replace(F.lower(line), SPACE, " ")), "123456789", "000000000")
+    """Lower case, no white space around, numbers alike."""
+    return F.regexp_replace(F.lower(F.btrim(line, F.lit(SPACES))), "[0-9]+", "0")
 
 
 def _repeated_words(windows: Column) -> Column:
@@ -67,22 +65,19 @@ def word_rules(docs: DataFrame, text_col: str = "text") -> DataFrame:
     A null text counts as without words and fails for having too few.
     """
     text = text_of(text_col)
-    hashes = F.transform(words_of(text), lambda w: F.xxhash64(w))
-    lines = worded_lines(text)
+    hashed = lambda words: F.struct(F.transform(words, lambda w: F.xxhash64(w)).alias("h"), F.length(F.array_join(words, "")).cast("long").alias("n"))
     first = docs.select(
         *[F.col(f"`{c}`") for c in docs.columns if c not in RULES],
-        hashes.alias("_words"),
-        F.length(_without(text, SPACES)).cast("long").alias("word_chars"),
-        (F.length(text) - F.length(_without(text, SYMBOLS))).cast("long").alias("n_symbols"),
-        once(lines, lambda found: (F.size(found) - F.size(F.array_distinct(found))).cast("long")).alias("n_dup_lines"),
+        once(words_of(text), hashed).alias("_words"),
+        F.length(F.regexp_replace(text, NO_SYMBOLS, "")).cast("long").alias("n_symbols"),
+        once(worded_lines(text), lambda found: (F.size(found) - F.size(F.array_distinct(found))).cast("long")).alias("n_dup_lines"),
     )
-    count = F.size("_words")
-    window = lambda i: F.xxhash64(*[F.get("_words", i + j) for j in range(WINDOW)])
-    windows = F.when(count >= WINDOW, F.transform(F.sequence(F.lit(0), count - WINDOW), window))
-    second = first.withColumn("n_words", count.cast("long")).withColumn("_windows", windows).drop("_words")
-    ordered = F.sort_array("_windows")
-    twice = once(ordered, lambda rows: F.exists(F.sequence(F.lit(1), F.size(rows) - 1), lambda i: F.get(rows, i) == F.get(rows, i - 1)))
-    repeats = F.when((F.size("_windows") > 1) & twice, _repeated_words(F.col("_windows"))).otherwise(F.lit(0).cast("long"))
+    count = F.size("_words.h")
+    window = lambda i: F.xxhash64(F.slice("_words.h", i, F.lit(WINDOW)))
+    windows = F.when(count > WINDOW, F.transform(F.sequence(F.lit(1), count - WINDOW + 1), window))
+    second = first.withColumn("n_words", count.cast("long")).withColumn("word_chars", F.col("_words.n")).withColumn("_windows", windows).drop("_words")
+    twice = F.size(F.array_distinct("_windows")) < F.size("_windows")
+    repeats = F.when(F.col("_windows").isNotNull() & twice, _repeated_words(F.col("_windows"))).otherwise(F.lit(0).cast("long"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
     return second.withColumn("n_repeat_words", repeats).drop("_windows").withColumn("base_failed", failed)
 
@@ -103,7 +98,7 @@ def boilerplate(lines: DataFrame, share: float = LINE_SHARE, texts: int = LINE_T
     return frequent.where(F.col("count") >= share * F.col("n_texts")).select("host", "line")
 
 
-def line_rules(
+def judged(
     docs: DataFrame,
     id_col: str = "doc_id",
     host_col: str = "source",
@@ -112,58 +107,37 @@ def line_rules(
     texts: int = LINE_TEXTS,
     min_left: float = MIN_LEFT,
 ) -> DataFrame:
-    """``(id, text_hash, removed array<long>, depleted)`` for documents that lose lines; ``removed`` has line hashes.
+    """``(id, text_hash, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, removed, kept)`` per row.
 
-    A null host is a host of its own, a null text has no lines. ``depleted``: less than
-    ``min_left`` of the words is left. Repeated rows are one document.
+    ``removed`` has the hashes of the lines above the limit. A document is kept if its words do not fail
+    and at least ``min_left`` of its lines' characters is left. Null and empty texts fail for having too
+    few words. A null host is a host of its own. Rows are matched with their lines by id and
+    text, so repeated rows get equal results and null ids get theirs. Texts are read once.
     """
     text = text_of(text_col)
-    line_of = F.transform(
-        worded_lines(text),
-        lambda line, at: F.struct(at.alias("at"), F.xxhash64(normal_line(line)).alias("line"), F.size(words_of(line)).alias("words")),
-    )
-    lined = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"), F.xxhash64(text).alias("text_hash"), line_of.alias("detail"))
-    common = boilerplate(lined.select("host", "text_hash", F.col("detail.line").alias("lines")), share, texts)
-    total = F.aggregate("detail", F.lit(0).cast("long"), lambda n, d: n + d["words"])
-    each = lined.select("id", "text_hash", "host", total.alias("total"), F.explode("detail").alias("d"))
-    each = each.select("id", "text_hash", "host", "total", "d", F.col("d.line").alias("line"))
-    lost = each.join(common, ["host", "line"], "left_semi").groupBy("id", "text_hash").agg(
-        F.collect_set("d").alias("lost"), F.max("total").alias("total")
+    line_of = lambda line: F.struct(F.xxhash64(normal_line(line)).alias("line"), F.length(line).alias("n"))
+    own = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"), text.alias("text"))
+    lined = own.select("*", F.xxhash64("text").alias("text_hash"), F.transform(worded_lines(F.col("text")), line_of).alias("detail"))
+    base = written(word_rules(lined).drop("text"), "rules")
+    common = boilerplate(base.select("host", "text_hash", F.col("detail.line").alias("lines")), share, texts)
+    each = base.select("id", "text_hash", "host", F.explode(F.array_distinct("detail.line")).alias("line"))
+    lost = each.join(common, ["host", "line"], "left_semi").groupBy("id", "text_hash").agg(F.collect_set("line").alias("removed"))
+    lost = lost.select(F.col("id").alias("_id"), F.col("text_hash").alias("_hash"), "removed")
+    same = base["id"].eqNullSafe(lost["_id"]) & (base["text_hash"] == lost["_hash"])
+    length = lambda lines: F.aggregate(lines, F.lit(0).cast("long"), lambda n, d: n + d["n"])
+    left = F.filter("detail", lambda d: ~F.array_contains("removed", d["line"]))
+    depleted = F.col("removed").isNotNull() & (length(left) < min_left * length(F.col("detail")))
+    return base.join(lost, same, "left").select(
+        F.col("id").alias(id_col), "text_hash", *RULES, "removed", (~F.col("base_failed") & ~depleted).alias("kept")
     )
-    left = F.col("total") - F.aggregate("lost", F.lit(0).cast("long"), lambda n, d: n + d["words"])
-    return lost.select(
-        F.col("id").alias(id_col), "text_hash", F.array_distinct("lost.line").alias("removed"), (left < min_left * F.col("total")).alias("depleted")
-    )
-
-
-def _joined(left: DataFrame, rules: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
-    """``left(id, text_hash, ...)`` with columns of the line rules, null where no line is lost."""
-    right = rules.select(F.col(id_col).alias("_id"), F.col("text_hash").alias("_hash"), *columns)
-    same = left[id_col].eqNullSafe(right["_id"]) & (left["_text_hash"] == right["_hash"])
-    return left.join(right, same, "left").drop("_id", "_hash", "_text_hash")
-
-
-def judged(docs: DataFrame, id_col: str = "doc_id", host_col: str = "source", text_col: str = "text") -> DataFrame:
-    """``(id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept)`` for every row.
-
-    Null and empty texts fail for having too few words. Rows are matched with their lines by id
-    and text, so repeated rows get equal results and null ids get theirs.
-    """
-    own = docs.select(F.col(id_col), F.col(text_col), F.xxhash64(text_of(text_col)).alias("_text_hash"))
-    base = word_rules(own, text_col).drop(text_col)
-    rules = line_rules(docs.select(id_col, host_col, text_col), id_col, host_col, text_col)
-    kept = ~F.col("base_failed") & ~F.coalesce("depleted", F.lit(False))
-    return _joined(base, rules, id_col, ["depleted"]).select(id_col, *RULES, kept.alias("kept"))
 
 
 def cleaned(docs: DataFrame, id_col: str = "doc_id", host_col: str = "source", text_col: str = "text") -> DataFrame:
     """The documents that pass, with all their columns and without their boilerplate lines."""
-    rules = line_rules(docs.select(id_col, host_col, text_col), id_col, host_col, text_col)
+    kept = judged(docs.select(id_col, host_col, text_col), id_col, host_col, text_col).where("kept")
+    kept = kept.groupBy(F.col(id_col).alias("_id"), F.col("text_hash").alias("_hash")).agg(F.first("removed").alias("_removed"))
     own = docs.withColumn("_text_hash", F.xxhash64(text_of(text_col)))
-    held = _joined(own, rules, id_col, [F.col("removed").alias("_removed"), F.col("depleted").alias("_depleted")])
-    failed = word_rules(held.select(*held.columns, F.col(text_col).alias("_text")), "_text").where(
-        ~F.col("base_failed") & ~F.coalesce("_depleted", F.lit(False))
-    )
-    lines = F.filter(F.split(text_col, "\n"), lambda line: ~F.array_contains("_removed", F.xxhash64(normal_line(line))) | (_without(line, SPACES) == ""))
-    text = F.when(F.col("_removed").isNull(), F.col(text_col)).otherwise(F.array_join(lines, "\n"))
-    return failed.withColumn(text_col, text).select(*[F.col(f"`{c}`") for c in docs.columns])
+    held = own.join(kept, own[id_col].eqNullSafe(kept["_id"]) & (own["_text_hash"] == kept["_hash"]))
+    stays = lambda line: ~line.rlike(WORD) | ~F.array_contains("_removed", F.xxhash64(normal_line(line)))
+    text = F.when(F.col("_removed").isNull(), F.col(text_col)).otherwise(F.array_join(F.filter(F.split(text_col, "\n"), stays), "\n"))
+    return held.withColumn(text_col, text).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -115,16 +115,14 @@ def html_extraction(spark: SparkSession, folder: str) -> DataFrame:
                coalesce(n, 0) AS n_repeat_words
         FROM d LEFT JOIN repeated USING (doc_id)
     ), line AS (
-        SELECT doc_id, source, text, i,
-               translate(trim(regexp_replace(lower(lines[i]), '[\x20\x09-\x0D]+', ' ', 'g')), '123456789', '000000000') AS line,
-               len(list_filter(regexp_split_to_array(lines[i], '[\x20\x09-\x0D]+'), lambda w: w <> '')) AS words
-        FROM (SELECT doc_id, source, text, lines, unnest(range(1, len(lines) + 1)) AS i FROM d)
+        SELECT doc_id, source, text, l, regexp_replace(lower(trim(l, concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13)))), '[0-9]+', '0', 'g') AS line
+        FROM (SELECT doc_id, source, text, unnest(lines) AS l FROM d)
     ), common AS (
         SELECT source, line FROM (SELECT source, line, count(DISTINCT text) AS n FROM line GROUP BY source, line)
         JOIN (SELECT source, count(DISTINCT text) AS texts FROM d GROUP BY source) USING (source)
         WHERE n >= 10 AND n >= 0.02 * texts
     ), depleted AS (
-        SELECT doc_id, sum(words) FILTER (common.line IS NULL) AS remain, sum(words) AS total
+        SELECT doc_id, sum(length(l)) FILTER (common.line IS NULL) AS remain, sum(length(l)) AS total
         FROM line LEFT JOIN common USING (source, line) GROUP BY doc_id
     )
     SELECT base.*, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
@@ -134,7 +132,7 @@ def html_extraction(spark: SparkSession, folder: str) -> DataFrame:
     """,
 )
 def quality_rules(spark: SparkSession, folder: str) -> DataFrame:
-    return quality.judged(table(spark, folder, "documents"))
+    return quality.judged(table(spark, folder, "documents")).drop("text_hash", "removed")
 
 
 @query(
