@@ -1,24 +1,69 @@
-"""Corpus preparation in stages; each stage is written as Parquet and read again as the next one's input."""
+"""Corpus preparation in stages; each stage is written as Parquet and read again as the next one's input.
+
+Quality rules take boilerplate lines and poor documents out, language identification those without
+a known language, SimHash all but one of each group of near copies. Personal data and the terms
+that reveal it are replaced, and what is left is packed into sequences of 1024 ids.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from finsearch.llm import packing, queries
+from finsearch.llm import langid, packing, pii, quality, queries, simhash
 from finsearch.session import written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
+MIN_SCORE = 0.3  # of the n-grams of a text, the share that its language must know
+
+
+def _sized(docs: DataFrame) -> DataFrame:
+    """The number of characters follows the text."""
+    return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else docs
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Documents that pass the rules, without the lines that their host repeats."""
+    return _sized(quality.cleaned(docs))
+
+
+def language_id(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Documents whose language is known. Without any labelled document nothing can be told, and all stay."""
+    model = queries.language_filter(docs)
+    if not model.languages:
+        return docs
+    named = langid.predict(docs.withColumnsRenamed({"lang_pred": "_lang_pred", "score": "_score"}), model)
+    known = named.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= MIN_SCORE)).drop("lang_pred", "score")
+    return known.withColumnsRenamed({"_lang_pred": "lang_pred", "_score": "score"})
+
+
+def simhash_near_dedup(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """One document of every group that links of few differing bits connect."""
+    return simhash.representatives(docs, queries.SHINGLE, queries.MAX_BITS)
+
+
+def information_theoretic_pii(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """All documents, with personal data and the terms that reveal it replaced."""
+    return _sized(pii.sanitised(docs))
+
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Pack everything that is left into sequences of 1024 ids."""
+    """All documents as pieces with their ids and places in sequences."""
     return packing.pack(docs, queries.TOKENIZER)
 
 
-STAGES: list[tuple[str, Stage]] = [("best_fit_packing", best_fit_packing)]
+STAGES: list[tuple[str, Stage]] = [
+    ("quality_rules", quality_rules),
+    ("language_id", language_id),
+    ("simhash_near_dedup", simhash_near_dedup),
+    ("information_theoretic_pii", information_theoretic_pii),
+    ("best_fit_packing", best_fit_packing),
+]
 
+# SQL has no tokenizer and no such hash: tests/llm/test_pipeline.py compares with a brute-force run
 ORACLE_SQL: str | None = None
 
 

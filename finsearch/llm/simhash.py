@@ -304,12 +304,14 @@ def as_hex(fingerprint: Column) -> Column:
 def representatives(docs: DataFrame, shingle: int, distance: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of every component, with all its columns: the one with the smallest id.
 
-    Rows that share that id count as one group too: one of them stays.
+    Null ids come last; of equal ids the text with the smaller hash stays, of repeated rows one.
     """
-    row = "_row"
-    numbered = written(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
-    prints = written(fingerprints(numbered, shingle, [row, id_col], text_col), "fingerprints")
-    distinct = component_of(prints.select("fingerprint", F.col(row).alias("least_row")), distance, "least_row")
-    of = prints.join(distinct.withColumnRenamed("component_id", "component"), "fingerprint")
-    first = of.groupBy("component").agg(F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col(row).alias("row"))).alias("of"))
-    return numbered.join(first.select(F.col("of.row").alias(row)), row, "left_semi").drop(row)
+    key, text_hash = "_key", F.xxhash64(text_of(text_col))
+    named = F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("none")), text_hash.cast("string"))
+    keyed = docs.select(F.col(id_col), F.col(text_col), named.alias(key))
+    prints = written(fingerprints(keyed, shingle, [id_col, key], text_col), "fingerprints")
+    rank = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col(key).alias("key"))
+    least = prints.groupBy("fingerprint").agg(F.min(rank).alias("least"))
+    of = component_of(least, distance, "least").select(F.col("component_id.key").alias(key)).distinct()
+    # the semi-join leaves the rows of a key together
+    return docs.withColumn(key, named).join(of, key, "left_semi").dropDuplicates([key]).drop(key)
