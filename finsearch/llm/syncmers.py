@@ -20,7 +20,7 @@ BIN_BITS = 7  # 128 bins; a fingerprint has at most 8 hex digits for each
 
 
 def anchors(units: Column) -> Column:
-    """Hashes of the closed syncmers, 32 bits each. Texts of fewer than K units are one anchor, empty ones none."""
+    """``array<int>``: hashes of the closed syncmers. Texts of fewer than K units are one anchor, empty ones none."""
     inner = K - S + 1
 
     def from_hashes(h: Column) -> Column:
@@ -39,19 +39,22 @@ def anchors(units: Column) -> Column:
         return F.transform(places, lambda i: F.xxhash64(*[F.get(r, i + j) for j in range(0, inner, S)], F.get(r, i + inner - 1)))
 
     hashes = F.transform(units, lambda u: F.xxhash64(u))
-    return F.transform(once(hashes, from_hashes), lambda a: F.shiftrightunsigned(a, 32))
+    return F.transform(once(hashes, from_hashes), lambda a: F.shiftright(a, 32).cast("int"))
+
+
+def _bin(anchor: Column) -> Column:
+    return F.shiftright(anchor, 32 - BIN_BITS)
 
 
 def fingerprint(text: Column) -> Column:
-    """``array<long>``: the smallest anchor of every bin that has one, in order of the bins. Empty texts have none."""
+    """``array<int>``: the smallest anchor of every bin that has one, in order of the bins. Empty texts have none."""
     ordered = F.sort_array(anchors(F.regexp_extract_all(text, F.lit(UNIT), F.lit(0))))
-    bin_of = lambda a: F.shiftright(a, 32 - BIN_BITS)
-    return once(ordered, lambda rows: F.filter(rows, lambda a, i: (i == 0) | (bin_of(a) != bin_of(F.get(rows, i - 1)))))
+    return once(ordered, lambda rows: F.filter(rows, lambda a, i: (i == 0) | (_bin(a) != _bin(F.get(rows, i - 1)))))
 
 
 def as_text(prints: Column) -> Column:
     """A fingerprint as hex digits, eight for every bin."""
-    return F.array_join(F.transform(prints, lambda a: F.lower(F.lpad(F.hex(a), 8, "0"))), "")
+    return F.array_join(F.transform(prints, lambda a: F.lower(F.right(F.concat(F.lit("0000000"), F.hex(a)), F.lit(8)))), "")
 
 
 def likeness(one: Column, other: Column) -> Column:
@@ -60,7 +63,7 @@ def likeness(one: Column, other: Column) -> Column:
     With J as the share of agreeing bins among those either text fills, it is 2 J / (1 + J): one half
     if half of either text is in the other.
     """
-    bins = F.size(F.array_distinct(F.transform(F.concat(one, other), lambda a: F.shiftright(a, 32 - BIN_BITS))))
+    bins = F.size(F.array_distinct(F.transform(F.concat(one, other), _bin)))
     share = F.size(F.array_intersect(one, other)) / bins
     return F.when(bins == 0, F.lit(1.0)).otherwise(2 * share / (1 + share))
 
@@ -71,7 +74,7 @@ def fingerprinted(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def edited_and_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every text with its edited text and its next one: ``(id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next)``.
+    """Every text with its edited text and its next one: ``(id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, next_id)``.
 
     The next text is that of the next smaller id, after the smallest that of the largest; null ids
     come last, equal ids are ordered by a hash of the text. The edited text has its last half of code
@@ -79,34 +82,29 @@ def edited_and_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     empty. Repeated rows have one place in the order, and each gets its result.
     """
     rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).withColumn("hash", F.xxhash64("text"))
-    keys = rows.select("id", "hash", F.length("text").cast("long").alias("n")).groupBy("id", "hash").agg(F.first("n").alias("n"), F.count("*").alias("copies"))
+    key = F.concat_ws(":", F.coalesce(F.col("id").cast("string"), F.lit("none")), F.col("hash").cast("string"))
+    rows = rows.withColumn("key", key)
+    keys = rows.groupBy("key").agg(F.first("id").alias("id"), F.first("hash").alias("hash"), F.first(F.length("text")).cast("long").alias("n"))
     order, total = ranked(keys, [F.col("id").desc_nulls_last(), F.col("hash")], "order")
-    # the text in front of a rank needs half its own length from the text there
-    asks = order.select(F.pmod(F.col("rank") + 1, F.lit(max(total, 1))).alias("rank"), F.col("rank").alias("to"), F.floor(F.col("n") / 2).alias("asked"))
-    places = order.join(asks, "rank").select(F.col("id").alias("_id"), F.col("hash").alias("_hash"), "rank", "to", "asked", "copies")
-    once_each = rows.join(places, rows["id"].eqNullSafe(places["_id"]) & (rows["hash"] == places["_hash"]))
-    held = once_each.select("id", "rank", "to", "asked", "copies", "text", F.length("text").cast("long").alias("n"), fingerprint(F.col("text")).alias("print"))
-    none = F.lit(None)
-    own = F.struct(
-        F.col("rank").alias("at"), F.col("id"), F.col("n"), F.col("copies"), F.expr("left(text, cast(n - floor(n / 2) as int))").alias("head"),
-        F.col("print"), none.cast("string").alias("tail"), none.cast("array<bigint>").alias("next_print"),
-    )
-    given = F.struct(
-        F.col("to").alias("at"), none.cast(rows.schema["id"].dataType).alias("id"), none.cast("long").alias("n"), none.cast("long").alias("copies"), none.cast("string").alias("head"),
-        none.cast("array<bigint>").alias("print"), F.expr("left(text, cast(asked as int))").alias("tail"), F.col("print").alias("next_print"),
+    # the text before this one in the order is given the start of it, half its own length
+    given_to = order.select(
+        F.pmod(F.col("rank") + 1, F.lit(max(total, 1))).alias("rank"), F.col("key").alias("to"), F.floor(F.col("n") / 2).cast("int").alias("asked")
     )
-    parts = held.select(F.explode(F.array(own, given)).alias("part")).select("part.*")
-    names = ["id", "n", "copies", "head", "print", "tail", "next_print"]
-    met = parts.groupBy("at").agg(*[F.first(c, ignorenulls=True).alias(c) for c in names])
-    edited = met.withColumn("edited", F.concat("head", "tail")).withColumn("edited_print", fingerprint(F.col("edited")))
-    result = edited.select(
+    places = order.join(given_to, "rank").select("key", "to", "asked")
+    held = rows.join(places, "key").withColumn("print", fingerprint(F.col("text")))
+    # a row per text gives; the texts that are given to lie by their key already and are not shuffled again
+    given = held.groupBy("key").agg(F.first("to").alias("to"), F.first(F.expr("left(text, asked)")).alias("tail"), F.first("print").alias("next_print"), F.first("id").alias("next_id"))
+    met = held.select("key", "id", "text", "print").join(given.select(F.col("to").alias("key"), "tail", "next_print", "next_id"), "key")
+    size = F.length("text")
+    edited = met.withColumn("edited", F.concat(F.expr("left(text, cast(length(text) - floor(length(text) / 2) as int))"), "tail"))
+    edited = edited.withColumn("edited_print", fingerprint(F.col("edited")))
+    return edited.select(
         F.col("id").alias(id_col),
-        F.col("n").alias("n_chars"),
+        size.cast("long").alias("n_chars"),
         F.sha2(F.col("edited"), 256).alias("edited_sha256"),
         as_text(F.col("print")).alias("fingerprint"),
         as_text(F.col("edited_print")).alias("edited_fingerprint"),
         likeness(F.col("print"), F.col("edited_print")).alias("near_edited"),
         likeness(F.col("print"), F.col("next_print")).alias("near_next"),
-        F.sequence(F.lit(1), F.col("copies").cast("int")).alias("_copies"),
+        F.col("next_id").alias(f"next_{id_col}"),
     )
-    return result.withColumn("_copies", F.explode("_copies")).drop("_copies")
