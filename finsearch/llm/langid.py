@@ -38,17 +38,13 @@ def _letters() -> np.ndarray:
 
 def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Letters of all texts with one space around every word, and the text each belongs to."""
-    points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    owner = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
-    table = worker_memo("letters", _letters)
-    codes = table[points]
-    # a border of two texts is a word border too
-    first = np.ones(len(owner), dtype=bool)
-    first[1:] = owner[1:] != owner[:-1]
-    codes = np.insert(codes, np.nonzero(first)[0], 32)
-    owner = np.insert(owner, np.nonzero(first)[0], owner[first])
+    points = np.frombuffer("".join(f" {t} " for t in texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    owner = np.repeat(np.arange(len(texts)), [len(t) + 2 for t in texts])
+    codes = worker_memo("letters", _letters)[points]
+    last = np.ones(len(owner), dtype=bool)
+    last[:-1] = owner[1:] != owner[:-1]
     after = np.append(codes[1:], 32)
-    keep = (codes != 32) | (after != 32)
+    keep = (codes != 32) | (after != 32) | last
     return codes[keep].astype(np.uint64), owner[keep]
 
 
