@@ -17,7 +17,7 @@ from finsearch.session import written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-MIN_SCORE = 0.3  # of the n-grams of a text, the share that its language must know
+MIN_SCORE = 0.2  # of the n-grams of a text, the share that its language must know
 
 
 def _sized(docs: DataFrame) -> DataFrame:

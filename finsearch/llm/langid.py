@@ -8,6 +8,8 @@ its slice is gets taken off, and the highest corrected share wins.
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,8 +23,10 @@ from finsearch.llm.common import text_of, worker_memo
 SIZES = (2, 3, 4)  # n-gram lengths in letters, word borders included
 HASHES = 3
 SLOTS_PER_GRAM = 10  # per language; filters of this size err in about 2 % of the lookups and less
-MIN_SHARE = 0.005  # an n-gram belongs to a language if this share of its documents has it
+MIN_SHARE = 0.0001  # an n-gram belongs to a language if it occurs at least this often per character
 UNKNOWN = "und"
+WORD = re.compile(r"[^\W\d_]+")
+PIECE = 1 << 22  # code points that are worked on at a time
 
 
 def _letters() -> np.ndarray:
@@ -83,17 +87,36 @@ def _slots(hashes: np.ndarray, n_slots: int) -> Iterator[np.ndarray]:
         yield (hashes + np.uint64(i) * step) % np.uint64(n_slots)
 
 
-def pieces_of(texts: list[str], most: int = 1 << 20) -> Iterator[tuple[int, list[str]]]:
-    """Runs of texts of bounded total length; a longer text is alone. With the index of the first."""
-    at, size, held = 0, 0, []
-    for i, text in enumerate(texts):
+def pieces_of(texts: list[str], most: int = PIECE) -> Iterator[list[str]]:
+    """Runs of texts of bounded total length; a longer text is alone."""
+    size, held = 0, []
+    for text in texts:
         if held and size + len(text) > most:
-            yield at, held
-            at, size, held = i, 0, []
+            yield held
+            size, held = 0, []
         held.append(text)
         size += len(text)
     if held:
-        yield at, held
+        yield held
+
+
+def _words(text: str) -> list[str]:
+    return WORD.findall(text.lower())
+
+
+def gram_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct n-grams of some texts and how often they occur; every distinct word is cut up once."""
+    counts: Counter[str] = Counter()
+    for text in texts:
+        counts.update(_words(text))
+    found = [(np.empty(0, np.uint64), np.empty(0, np.int64))]
+    for part in pieces_of(list(counts), PIECE // 4):
+        hashes, owner = grams(part)
+        weight = np.array([counts[w] for w in part], dtype=np.int64)
+        values, at = np.unique(hashes, return_inverse=True)
+        found.append((values, np.bincount(at, weight[owner], len(values)).astype(np.int64)))
+    values, at = np.unique(np.concatenate([v for v, _ in found]), return_inverse=True)
+    return values, np.bincount(at, np.concatenate([n for _, n in found]), len(values)).astype(np.int64)
 
 
 @dataclass(frozen=True)
@@ -106,26 +129,38 @@ class LanguageFilter:
 
     def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
         names, scores = [], []
-        for _, part in pieces_of(texts):
+        for part in pieces_of(texts):
             for name, score in zip(*self._predict(part)):
                 names.append(name)
                 scores.append(score)
         return names, scores
 
-    def _predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
-        hashes, owner = grams(texts)
-        n, languages = len(texts), len(self.languages)
-        total = np.bincount(owner, minlength=n).astype(float)
+    def _hits(self, words: list[str]) -> np.ndarray:
+        """A row per word: its n-grams in each language, and all of them."""
+        hashes, owner = grams(words)
         places = list(_slots(hashes, len(self.masks)))
-        share = np.zeros((n, languages))
+        out = np.zeros((len(words), len(self.languages) + 1))
         for word in range(self.masks.shape[1]):
             column = self.masks[:, word]
             found = column[places[0]]
             for place in places[1:]:
                 found = found & column[place]
-            for bit in range(min(64, languages - 64 * word)):
+            for bit in range(min(64, len(self.languages) - 64 * word)):
                 hit = (found >> np.uint64(bit) & np.uint64(1)).astype(bool)
-                share[:, 64 * word + bit] = np.bincount(owner[hit], minlength=n)
+                out[:, 64 * word + bit] = np.bincount(owner[hit], minlength=len(words))
+        out[:, -1] = np.bincount(owner, minlength=len(words))
+        return out
+
+    def _predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
+        n, languages = len(texts), len(self.languages)
+        number: dict[str, int] = {}
+        spelt = [[number.setdefault(w, len(number)) for w in _words(t)] for t in texts]
+        hits = [self._hits(part) for part in pieces_of(list(number), PIECE // 4)]
+        hits = np.concatenate(hits) if hits else np.zeros((0, languages + 1))
+        at = np.array([i for own in spelt for i in own], dtype=np.int64)
+        owner = np.repeat(np.arange(n), [len(own) for own in spelt])
+        sums = np.stack([np.bincount(owner, hits[at, c], n) for c in range(languages + 1)], axis=1)
+        share, total = sums[:, :-1], sums[:, -1]
         share = share / np.maximum(total, 1)[:, None]
         share = np.clip((share - self.chance) / np.maximum(1 - self.chance, 1e-9), 0, 1)
         # texts without a letter have no n-gram; without any hit nothing decides
@@ -140,47 +175,38 @@ class LanguageFilter:
 
 
 def learn(docs: DataFrame, min_share: float = MIN_SHARE, text_col: str = "text", lang_col: str = "lang") -> LanguageFilter:
-    """A filter from all rows with a text and a language.
+    """A filter from all rows with a text and a language. Without any such row there is no language.
 
-    Documents per (language, n-gram) are counted batch by batch and then by a shuffle over the
-    n-grams, so a common n-gram is one row per batch. Without any such row there is no language. An n-gram belongs to a language if at least
-    ``min_share`` of the language's documents, and more than one if there are more, have it: the model
-    grows with the languages' vocabulary of common n-grams, not with the corpus.
+    Occurrences per (language, n-gram) are counted batch by batch and then by a shuffle over the
+    n-grams, so a common n-gram is one row per batch. An n-gram belongs to a language if it occurs
+    more than once, and at least ``min_share`` times per character of the language: of each size there
+    are at most 1 / ``min_share`` such n-grams and language, so the model does not grow with the corpus.
     """
     source = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs = np.array(batch.column(0).to_pylist(), dtype=object)
-            texts = batch.column(1).to_pylist()
-            for lang in dict.fromkeys(langs.tolist()):
-                own = [t for t, x in zip(texts, langs) if x == lang]
-                seen = [np.empty(0, np.uint64)]
-                for _, part in pieces_of(own):
-                    hashes, owner = grams(part)
-                    order = np.lexsort((hashes, owner))
-                    hashes, owner = hashes[order], owner[order]
-                    fresh = np.ones(len(hashes), dtype=bool)
-                    fresh[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
-                    seen.append(hashes[fresh])
-                values, counts = np.unique(np.concatenate(seen), return_counts=True)
+            by_lang: dict[str, list[str]] = {}
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                by_lang.setdefault(lang, []).append(text)
+            for lang, texts in by_lang.items():
+                values, counts = gram_counts(texts)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(values), pa.string()), pa.array(values.view(np.int64)), pa.array(counts.astype(np.int64))],
+                    [pa.array([lang] * len(values), pa.string()), pa.array(values.view(np.int64)), pa.array(counts)],
                     names=["lang", "gram", "n"],
                 )
 
-    sizes = {r["lang"]: r["count"] for r in source.groupBy("lang").count().collect()}
-    languages = tuple(sorted(sizes, key=lambda x: (-sizes[x], x)))
+    sizes = {r["lang"]: (r["docs"], r["length"]) for r in source.groupBy("lang").agg(F.count("*").alias("docs"), F.sum(F.length("text")).alias("length")).collect()}
+    languages = tuple(sorted(sizes, key=lambda x: (-sizes[x][0], x)))
     words = max(1, -(-len(languages) // 64))
     if not languages:
         return LanguageFilter((), np.zeros((1, words), np.uint64), np.zeros(0))
     spark = docs.sparkSession
-    floors = [(lang, i, max(min(2, sizes[lang]), int(np.ceil(min_share * sizes[lang])))) for i, lang in enumerate(languages)]
+    floors = [(lang, i, max(2, int(np.ceil(min_share * sizes[lang][1])))) for i, lang in enumerate(languages)]
     floor = spark.createDataFrame(floors, "lang string, bit int, floor long")
     counts = source.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     kept = counts.join(F.broadcast(floor), "lang").where("n >= floor")
     masks_of = [F.bit_or(F.when(F.shiftright("bit", 6) == w, F.expr("shiftleft(1L, bit & 63)")).otherwise(F.lit(0).cast("long"))).alias(f"w{w}") for w in range(words)]
-    # at most 1 / min_share times the mean number of n-grams of a document, per language
     table = kept.groupBy("gram").agg(*masks_of).toArrow()
     hashes = table.column("gram").to_numpy().view(np.uint64)
     n_slots = max(64, SLOTS_PER_GRAM * len(hashes))
