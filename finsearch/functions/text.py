@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,38 +17,8 @@ STOPWORDS = (
     "other some such no nor not only own same so than too very s t can will just don should now"
 ).split()
 
-# Named character entities.
-ENTITIES = {
-    "nbsp": " ",
-    "lt": "<",
-    "gt": ">",
-    "quot": '"',
-    "apos": "'",
-    "middot": "·",
-    "copy": "©",
-    "reg": "®",
-    "trade": "™",
-    "sect": "§",
-    "para": "¶",
-    "deg": "°",
-    "plusmn": "±",
-    "frac12": "½",
-    "times": "×",
-    "bull": "•",
-    "hellip": "…",
-    "ndash": "–",
-    "mdash": "—",
-    "lsquo": "‘",
-    "rsquo": "’",
-    "ldquo": "“",
-    "rdquo": "”",
-    "laquo": "«",
-    "raquo": "»",
-    "euro": "€",
-    "pound": "£",
-    "yen": "¥",
-    "cent": "¢",
-}
+# Named character entities of HTML 4, from the standard library; the no-break space is a space.
+ENTITIES = {name: chr(code) for name, code in sorted(name2codepoint.items())} | {"apos": "'", "nbsp": " "}
 
 TOKEN_GAP = r"[^\p{L}\p{N}]+"
 
@@ -68,26 +40,30 @@ def html_to_text(html: Column) -> Column:
     text = F.regexp_replace(text, r"(?is)<style\b[^>]*>.*?</style\s*>", " ")
     text = F.regexp_replace(text, r"(?s)<!--.*?-->", " ")
     text = F.regexp_replace(text, r"(?s)<[^>]*>", " ")
-    for name, value in ENTITIES.items():
-        text = F.replace(text, F.lit(f"&{name};"), F.lit(value))
-    text = _numeric_entities(text)
-    text = F.replace(text, F.lit("&amp;"), F.lit("&"))
+    text = _references(text)
     return F.trim(F.regexp_replace(text, r"[\s\x{00A0}]+", " "))
 
 
-def _numeric_entities(text: Column) -> Column:
-    """Decode ``&#8217;`` and ``&#x2019;``: cut before each reference, decode the head of each piece."""
+def _references(text: Column) -> Column:
+    """Decode ``&eacute;``, ``&#8217;`` and ``&#x2019;``: cut before each ampersand, decode the head of each piece once.
+
+    Unknown names stay as they are. Numbers beyond Unicode, surrogates and zero become U+FFFD.
+    """
+    names = F.create_map(*[F.lit(x) for pair in ENTITIES.items() for x in pair])
 
     def decode(piece: Column) -> Column:
-        digits = F.regexp_extract(piece, r"^&#(\d{1,7});", 1)
-        hexa = F.regexp_extract(piece, r"^&#[xX]([0-9A-Fa-f]{1,6});", 1)
-        code = F.when(digits != "", F.hex(digits.cast("long"))).when(hexa != "", hexa)
-        char = F.decode(F.unhex(F.lpad(code, 8, "0")), "UTF-32")
-        rest = F.regexp_replace(piece, r"^&#[xX]?[0-9A-Fa-f]{1,7};", "")
-        return F.when(code.isNotNull(), F.concat(char, rest)).otherwise(piece)
-
-    pieces = F.split(text, r"(?=&#[0-9xX])")
-    return F.when(F.contains(text, F.lit("&#")), F.array_join(F.transform(pieces, decode), "")).otherwise(text)
+        head = F.regexp_extract(piece, r"^&(#0*[0-9]+|#[xX]0*[0-9A-Fa-f]+|[A-Za-z0-9]+);", 1)
+        digits = F.regexp_extract(head, r"^#0*([0-9]{1,7})$", 1)
+        hexa = F.regexp_extract(head, r"^#[xX]0*([0-9A-Fa-f]{1,6})$", 1)
+        code = F.when(digits != "", digits.cast("long")).when(hexa != "", F.conv(hexa, 16, 10).cast("long"))
+        known = (code > 0) & (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+        number = F.when(known, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise(F.lit("\ufffd"))
+        char = F.when(head.startswith("#"), number).otherwise(F.try_element_at(names, head))
+        rest = piece.substr(F.length(head) + 3, F.length(piece))
+        return F.when((head != "") & char.isNotNull(), F.concat(char, rest)).otherwise(piece)
+
+    pieces = F.split(text, "(?=&)")
+    return F.when(F.contains(text, F.lit("&")), F.array_join(F.transform(pieces, decode), "")).otherwise(text)
 
 
 def preview(text: Column, length: int = 60) -> Column:

@@ -14,7 +14,7 @@ from finsearch.operators.ranking import small_side, top_k, with_payload
 from finsearch.operators.text_index import TextIndex
 from finsearch.operators.text_search import SCORE_DIGITS, asked_terms, term_hits, text_pool
 from finsearch.operators.vector_search import vector_search
-from finsearch.session import pinned, written
+from finsearch.session import written
 
 PAYLOAD = ("ticker", "accession_number", "chunk_index", "chunk_text")
 
@@ -135,7 +135,7 @@ def hybrid_search(
     vectors; texts and other columns come from ``payload`` where they are stored apart.
     """
     payload = corpus if payload is None else payload
-    queries = pinned(queries)
+    queries = written(queries, "queries")
     n_queries = queries.count()
     if fusion != "rerank":
         top = hybrid_candidates(index, corpus, queries, pool or 20, k, fusion, cutoff, scorer, vector_hits=vector_hits)

@@ -45,9 +45,14 @@ def chunk_text(docs: DataFrame, text: str = "text", size: int = 1500, overlap: i
 
 
 def dedup_min_id(df: DataFrame, keys: Sequence[str], id_col: str = "id") -> DataFrame:
-    """The row with the smallest id of every key; copies are dropped before the shuffle already."""
-    rest = [c for c in df.columns if c not in keys]
-    return df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.col(id_col)).alias("row")).select(*keys, "row.*")
+    """The row with the smallest id of every key, one of them if several have it.
+
+    Only keys and ids are aggregated; the other columns are fetched for the chosen rows.
+    """
+    least = df.select(*keys, id_col).groupBy(*keys).agg(F.min(id_col).alias("_least")).select(*[F.col(k).alias(f"_{k}") for k in keys], "_least")
+    same = [df[k].eqNullSafe(least[f"_{k}"]) for k in keys]
+    chosen = df.join(least, [*same, df[id_col].eqNullSafe(least["_least"])], "left_semi")
+    return chosen.dropDuplicates([*keys, id_col]).select(*keys, *[c for c in df.columns if c not in keys])
 
 
 def build_holdings(cover: DataFrame, info: DataFrame, on: str) -> DataFrame:

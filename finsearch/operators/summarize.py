@@ -32,6 +32,7 @@ def summarize(
 
     A sentence scores the mean tf-idf of its words, tf within its text and idf over all texts, or
     ``idf(term, idf)`` of a larger corpus when only some of its texts are summarized.
+    Sentences without an indexed word score zero, so every text with a sentence has a summary.
     Texts are hashed by id first, so counting words per sentence and per text moves nothing more.
     """
     parts = sentences(docs.select("id", text).repartition("id"), text)
@@ -56,7 +57,7 @@ def summarize(
         .groupBy("id", "sentence_no")
         .agg(rounded(F.sum(F.col("tf") * F.col("idf") * F.col("n")) / F.sum("n"), 9).alias("score"))
     )
-    best = top_k(scored, ["id"], [F.desc("score"), F.asc("sentence_no")], n_sentences)
-    chosen = parts.join(best.select("id", "sentence_no"), ["id", "sentence_no"])
+    rated = parts.join(scored, ["id", "sentence_no"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    chosen = top_k(rated, ["id"], [F.desc("score"), F.asc("sentence_no")], n_sentences)
     ordered = F.array_sort(F.collect_list(F.struct("sentence_no", "sentence")))
     return chosen.groupBy("id").agg(F.concat_ws(" ", F.transform(ordered, lambda s: s["sentence"])).alias("summary"))

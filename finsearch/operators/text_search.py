@@ -13,7 +13,7 @@ from finsearch.functions.text import is_indexed, words
 from finsearch.functions.vectors import rounded
 from finsearch.operators.ranking import small_side, top_k, with_payload
 from finsearch.operators.text_index import TextIndex
-from finsearch.session import pinned
+from finsearch.session import written
 
 SCORE_DIGITS = 9
 LITERAL_TERMS = 200
@@ -112,14 +112,14 @@ def fulltext_search(
     columns: Sequence[str] = ("ticker", "accession_number", "chunk_index", "chunk_text"),
 ) -> DataFrame:
     """Best k documents per query with their payload columns."""
-    queries = pinned(queries)
+    queries = written(queries, "queries")
     hits = text_pool(index, queries, k, scorer)
     return with_payload(hits, corpus, columns, k * queries.count())
 
 
 def match_evidence(index: TextIndex, queries: DataFrame, pool: int = 10, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """Why a document was found: its query terms, their weights and their share of the score."""
-    queries = pinned(queries)
+    queries = written(queries, "queries")
     found = text_pool(index, queries, pool).select("query_id", "id", "score", "rn")
     avg_len = index.stats.select("avg_len").scalar()
     norm = F.lit(k1) * (F.lit(1.0 - b) + F.lit(b) * F.col("doc_len") / avg_len)

@@ -316,8 +316,8 @@ def knn_within(
             dist = distances(matrix(left["embedding"]), matrix(right["embedding"]))
             if same_table:
                 dist[ours[:, None] == theirs[None, :]] = np.inf
-            if as_of:
-                dist[right[as_of].to_numpy()[None, :] >= left[as_of].to_numpy()[:, None]] = np.inf
+            if as_of:  # a row without a date is before none and after none
+                dist[~(right[as_of].to_numpy()[None, :] < left[as_of].to_numpy()[:, None])] = np.inf
             for tx, line in zip(ours, dist):
                 near, ids = nearest(line, theirs, k)
                 found.append((np.full(len(ids), tx), ids, near))

@@ -24,6 +24,8 @@ GREY_BAND = 0.007
 QUESTIONS = {
     "small_amount": 5.0,
     "income_share": 0.05,
+    "poor_score": 400,
+    "poor_limit": 500.0,
     "mean_factor": 3.0,
     "report_limit": 10_000.0,
     "below_limit": 0.05,
@@ -31,10 +33,13 @@ QUESTIONS = {
 
 
 def latest_transactions(transactions: DataFrame) -> DataFrame:
-    """The newest transaction of every client, the larger id on equal times."""
-    payload = [c for c in transactions.columns if c != "client_id"]
-    newest = F.max_by(F.struct(*payload), F.struct("date", "id")).alias("t")
-    return transactions.groupBy("client_id").agg(newest).select("client_id", "t.*")
+    """The newest transaction of every client, the larger id on equal times; rows without a date count as oldest.
+
+    Only client, date and id are aggregated; the other columns are fetched for the chosen ids.
+    """
+    newest = F.max(F.struct("date", "id")).alias("newest")
+    chosen = transactions.select("client_id", "date", "id").groupBy("client_id").agg(newest).select(F.col("newest.id").alias("id"))
+    return transactions.join(chosen, "id", "left_semi").select("client_id", *[c for c in transactions.columns if c != "client_id"])
 
 
 def pick_transactions(transactions: DataFrame, requests: DataFrame) -> DataFrame:
@@ -60,7 +65,7 @@ def similar_history(
     ``max_near`` bounds the neighbours, so that few of them are looked up without moving the history.
     """
     tx = history.select("id", "date", "amount", "transaction_description", "merchant_city", "card_id", "mcc")
-    card = cards.select(F.col("id").alias("card_id"), "card_brand", "card_on_dark_web")
+    card = cards.select(F.col("id").alias("card_id"), "card_brand", "card_type", "card_on_dark_web")
     codes = mcc_codes.select(F.col("mcc").cast("int").alias("mcc"), F.col("description").alias("mcc_description"))
     few = near.select("scored_id", "id", "distance", "rn")
     return (
@@ -128,9 +133,9 @@ def fraud_questions(transactions: DataFrame, users: DataFrame, settings: dict |
     cfg = {**QUESTIONS, **(settings or {})}
     amount = F.col("amount").cast("double")
     own = transactions.groupBy("client_id").agg(
-        (F.sum(F.col("amount").cast("decimal(19,2)")).cast("double") / F.count("amount")).alias("own_mean")
+        (F.sum(F.col("amount").cast("decimal(28,10)")).cast("decimal(38,2)").cast("double") / F.count("amount")).alias("own_mean")
     )
-    income = users.select(F.col("id").alias("client_id"), F.col("yearly_income").cast("double").alias("yearly_income"))
+    income = users.select(F.col("id").alias("client_id"), F.col("yearly_income").cast("double").alias("yearly_income"), "credit_score")
     limit, width = cfg["report_limit"], cfg["below_limit"]
     return (
         transactions.select("id", "client_id", "amount")
@@ -141,6 +146,7 @@ def fraud_questions(transactions: DataFrame, users: DataFrame, settings: dict |
             yes_no(amount < cfg["small_amount"]).alias("card_testing"),
             yes_no(
                 ((F.col("yearly_income") > 0) & (amount > F.col("yearly_income") * cfg["income_share"]))
+                | ((F.col("credit_score") < cfg["poor_score"]) & (amount > cfg["poor_limit"]))
                 | (amount > F.col("own_mean") * cfg["mean_factor"])
             ).alias("lifestyle_mismatch"),
             yes_no(
@@ -252,7 +258,8 @@ def fraud_feed(
     columns = ["id", "client_id", "amount", "transaction_description", "merchant_city"]
     labelled = transactions.join(labels, F.col("id") == F.col("transaction_id"))
     fraud = labelled.where(F.col("is_fraud") & (F.col("amount") > 0)).select(*columns, F.lit(True).alias("is_fraud"))
-    same_day = F.to_date("date") == F.lit(as_of).cast("date")
+    day = F.lit(as_of).cast("date").cast("timestamp_ntz")
+    same_day = (F.col("date") >= day) & (F.col("date") < day + F.expr("INTERVAL 1 DAY"))
     clear = labelled.where(~F.col("is_fraud") & same_day).select(*columns, F.lit(False).alias("is_fraud"))
 
     picked = fraud.orderBy("id").limit(n_fraud).unionByName(clear.orderBy("id").limit(n_clear))

@@ -12,14 +12,14 @@ from finsearch.functions.text import preview
 from finsearch.operators.ranking import small_side, top_k, with_payload
 from finsearch.operators.vector_search import vector_search
 from finsearch.schemas import FILING_ITEMS, RETURN_HORIZONS
-from finsearch.session import pinned, written
+from finsearch.session import written
 
 EXACT_SUM = "decimal(38,2)"
 
 
 def exact_sum(col: str) -> Column:
-    """Sum of a money column without floating-point drift, whatever the order of the rows."""
-    return F.sum(F.col(col).cast("decimal(19,2)")).cast(EXACT_SUM).cast("double")
+    """Sum of a money column without floating-point drift, whatever the order of the rows: rounded to cents last."""
+    return F.sum(F.col(col).cast("decimal(28,10)")).cast(EXACT_SUM).cast("double")
 
 
 def stock_10k_view(stocks: DataFrame, filings: DataFrame) -> DataFrame:
@@ -58,7 +58,7 @@ def semantic_financials(
     payload: DataFrame | None = None,
 ) -> DataFrame:
     """Nearest k chunks per query with every matching value of one tag; no match keeps the chunk."""
-    queries = pinned(queries)
+    queries = written(queries, "queries")
     bound = k * queries.count()
     near = vector_search(corpus, queries, k, None).drop("rn")
     chunks = written(with_payload(near, corpus if payload is None else payload, ["ticker"], bound), "near-chunks")
@@ -94,13 +94,15 @@ def advanced_search(
     The pool is cut *before* the filter, so fewer than k rows may remain; ``prefilter`` narrows
     the corpus to companies inside the bands first.
     """
-    queries = pinned(queries)
+    queries = written(queries, "queries")
     condition = bands(band_words, *edges)
     if prefilter and condition is not None:
         corpus = corpus.join(financials.where(condition).select("ticker"), "ticker", "left_semi")
     near = vector_search(corpus, queries, pool, cutoff).drop("rn")
-    chunks = with_payload(near, corpus if payload is None else payload, columns, pool * queries.count())
-    joined = chunks.join(financials, "ticker", "left")
+    chunks = written(with_payload(near, corpus if payload is None else payload, columns, pool * queries.count()), "pool")
+    # only the companies of the pool are pivoted
+    asked = small_side(chunks.select("ticker").distinct(), pool * queries.count())
+    joined = chunks.join(financials.join(asked, "ticker", "left_semi"), "ticker", "left")
     if condition is not None:
         joined = joined.where(condition)
     return top_k(joined, ["query_id"], [F.asc("distance"), F.asc("id")], k)

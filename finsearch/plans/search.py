@@ -17,7 +17,7 @@ from finsearch.operators.text_index import TextIndex
 from finsearch.operators.text_search import fulltext_search, match_evidence
 from finsearch.operators.vector_search import BandIndex, CellIndex, ivf_search, lsh_search, vector_search
 from finsearch.plans import lakehouse
-from finsearch.session import pinned, written
+from finsearch.session import written
 
 
 @dataclass(frozen=True)
@@ -61,7 +61,7 @@ def search(
     ``reranker`` is ``"rrf"`` (reciprocal ranks), ``"rerank"`` (ranks, then term coverage) or a function.
     """
     none = F.lit(None).cast("string")
-    queries = pinned(queries)
+    queries = written(queries, "queries")
     if mode == "fulltext":
         found = fulltext_search(tables.index, tables.payload, queries, k, scorer).withColumn("retrieval_method", none)
     elif mode == "vector":
@@ -94,7 +94,7 @@ def analyze_hits(
     index: TextIndex, payload: DataFrame, queries: DataFrame, k: int = 10, n_sentences: int = 3
 ) -> DataFrame:
     """Summary of each of the k best texts per query, and the terms that explain the match, weightiest first."""
-    queries = pinned(queries)
+    queries = written(queries, "queries")
     evidence = match_evidence(index, queries, k)
     terms = F.array_sort(F.collect_list(F.struct((-rounded(F.col("share"), 6)).alias("order"), "term")))
     why = evidence.groupBy("query_id", "id", "rn").agg(

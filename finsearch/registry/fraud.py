@@ -17,9 +17,9 @@ FEED_DAY, FEED_BASE = "2024-01-02", datetime(2024, 2, 1)
 def pairs_sql(scored: str, earlier: bool = False) -> str:
     """The ten nearest transactions of the same client for every row of ``scored``."""
     bound = " AND h.date < s.date" if earlier else ""
-    return f"""SELECT s.id AS scored_id, h.id, round(list_cosine_distance(s.embedding, h.embedding), 9) + 0.0 AS distance,
-        row_number() OVER (PARTITION BY s.id ORDER BY round(list_cosine_distance(s.embedding, h.embedding), 9) + 0.0, h.id) AS rn
-        FROM {scored} s JOIN transactions h ON h.client_id = s.client_id AND h.id <> s.id{bound} QUALIFY rn <= 10"""
+    return f"""SELECT s.id AS scored_id, h.id, distance, row_number() OVER (PARTITION BY s.id ORDER BY distance, h.id) AS rn
+        FROM {scored} s JOIN transactions h ON h.client_id = s.client_id AND h.id <> s.id{bound}
+        JOIN apart d ON d.vec_id = s.vec_id AND d.other_id = h.vec_id QUALIFY rn <= 10"""
 
 
 def scores_sql(scored: str, earlier: bool = False) -> dict[str, str]:
@@ -35,14 +35,15 @@ def scores_sql(scored: str, earlier: bool = False) -> dict[str, str]:
 
 LATEST = "SELECT * FROM transactions QUALIFY row_number() OVER (PARTITION BY client_id ORDER BY date DESC, id DESC) = 1"
 QUESTIONS = {
-    "own": "SELECT client_id, CAST(sum(CAST(amount AS DECIMAL(19,2))) AS DOUBLE) / count(amount) AS own_mean FROM transactions GROUP BY client_id",
+    "own": "SELECT client_id, CAST(round(sum(CAST(amount AS DECIMAL(28,10))), 2) AS DOUBLE) / count(amount) AS own_mean FROM transactions GROUP BY client_id",
     "questions": """SELECT t.id, CASE WHEN amount < 5.0::DOUBLE THEN 'Yes' ELSE 'No' END AS card_testing,
-        CASE WHEN (yearly_income > 0 AND amount > yearly_income * 0.05::DOUBLE) OR amount > own_mean * 3.0::DOUBLE THEN 'Yes' ELSE 'No' END AS lifestyle_mismatch,
+        CASE WHEN (yearly_income > 0 AND amount > yearly_income * 0.05::DOUBLE) OR (credit_score < 400 AND amount > 500.0::DOUBLE)
+        OR amount > own_mean * 3.0::DOUBLE THEN 'Yes' ELSE 'No' END AS lifestyle_mismatch,
         CASE WHEN (amount > 0 AND amount = floor(amount)) OR (amount >= 9500.0::DOUBLE AND amount < 10000.0::DOUBLE) THEN 'Yes' ELSE 'No' END AS structured_amounts
         FROM transactions t JOIN own USING (client_id) LEFT JOIN users u ON u.id = t.client_id""",
 }
 ROUTED = f"""SELECT *, CASE WHEN abs(avg_distance - {THRESHOLD}::DOUBLE) <= 0.007::DOUBLE THEN 'asked' ELSE 'skipped' END AS route FROM scores"""
-SCORE_ROLES = ("labelled", "known")
+SCORE_ROLES = ("labelled", "known", "apart")
 
 
 def labelled_scores(r: Roles) -> DataFrame:
@@ -65,9 +66,10 @@ def latest_tx(r: Roles) -> DataFrame:
     "fraud_history",
     with_roles(
         "known",
+        "apart",
         more={"latest": LATEST, "near": pairs_sql("latest")},
         body="""SELECT scored_id, id, distance, rn, date, amount, transaction_description, merchant_city,
-        card_brand, card_on_dark_web, mcc_description FROM near JOIN known USING (id)""",
+        card_brand, card_type, card_on_dark_web, mcc_description FROM near JOIN known USING (id)""",
     ),
 )
 def fraud_history(r: Roles) -> DataFrame:
@@ -85,7 +87,7 @@ def fraud_scores(r: Roles) -> DataFrame:
 
 @query(
     "fraud_scores_as_of",
-    with_roles("known", more=scores_sql("transactions", True), body="SELECT * FROM scores"),
+    with_roles("known", "apart", more=scores_sql("transactions", True), body="SELECT * FROM scores"),
 )
 def fraud_scores_as_of(r: Roles) -> DataFrame:
     history = r.transactions()

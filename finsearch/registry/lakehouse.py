@@ -22,7 +22,7 @@ PIVOT = (
     + ", ".join(f"max(CASE WHEN tag = '{t}' THEN val END) AS {c}" for t, c in CONCEPTS.items())
     + f" FROM concepts JOIN tickers USING (cik) WHERE fy = {FISCAL_YEAR} AND fp = '{FISCAL_PERIOD}' GROUP BY {{key}}"
 )
-VALUE = "CAST(sum(CAST(value_usd AS DECIMAL(19,2))) AS DOUBLE)"
+VALUE = "CAST(round(sum(CAST(value_usd AS DECIMAL(28,10))), 2) AS DOUBLE)"
 
 
 def financials(r: Roles) -> DataFrame:

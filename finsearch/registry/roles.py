@@ -9,11 +9,10 @@ from pyspark.sql.types import StructType
 from finsearch.functions.text import STOPWORDS, TOKEN_GAP
 from finsearch.operators.text_index import TextIndex, build_text_index, save_text_index
 from finsearch.schemas import RETURN_HORIZONS
-from finsearch.session import spread, work_dir
+from finsearch.session import work_dir
 
-# Merchant codes of the five event types, query texts, concept columns.
-MCC = {"click": 4814, "error": 5045, "purchase": 5411, "signup": 5812, "view": 5942}
-UNKNOWN_MCC = "error"
+# Query texts, concept columns.
+N_CODES = 30  # merchant codes in use; the table of codes knows 25 of them
 QUERIES = (("q1", "er nd", 7), ("q2", "tion ing", 11), ("q3", "ou", 23))
 CONCEPTS = {
     "1-URGENT": "assets",
@@ -72,19 +71,19 @@ class Roles:
         return _COUNTS[path]
 
     def transactions(self) -> DataFrame:
+        return self.transactions_of(self.table("events"))
+
+    def transactions_of(self, events: DataFrame) -> DataFrame:
+        """Events, stored or arriving, as transactions."""
         vectors = self.table("embeddings")
-        n_vectors = self.n_vectors()
-        mcc = F.lit(None).cast("int")
-        for name, code in MCC.items():
-            mcc = F.when(F.col("event_type") == name, F.lit(code)).otherwise(mcc)
-        events = self.table("events").withColumn("vec_id", F.col("event_id") % n_vectors)
-        return events.join(vectors, "vec_id").select(
+        numbered = events.withColumn("vec_id", F.col("event_id") % self.n_vectors())
+        return numbered.join(vectors, "vec_id").select(
             F.col("event_id").alias("id"),
             F.col("ts").alias("date"),
             F.col("user_id").alias("client_id"),
             F.col("user_id").alias("card_id"),
             F.col("value").alias("amount"),
-            mcc.alias("mcc"),
+            (F.col("event_id") % N_CODES).cast("int").alias("mcc"),
             F.col("event_type").alias("merchant_city"),
             F.concat("event_type", F.lit(" of "), F.col("value").cast("string")).alias("transaction_description"),
             "embedding",
@@ -98,23 +97,22 @@ class Roles:
         return self.table("labels").select(F.col("doc_id").alias("transaction_id"), (F.col("toxic") == 1).alias("is_fraud"))
 
     def cards(self) -> DataFrame:
-        return (
-            self.table("customer")
-            .where(F.col("c_mktsegment") != "HOUSEHOLD")
-            .select(
-                F.col("c_custkey").alias("id"),
-                F.col("c_mktsegment").alias("card_brand"),
-                (F.col("c_acctbal") < 0).alias("card_on_dark_web"),
-            )
+        """Cards for the clients that have a supplier's key; most others have none."""
+        return self.table("supplier").select(
+            F.col("s_suppkey").alias("id"),
+            F.concat(F.lit("Brand "), F.col("s_nationkey").cast("string")).alias("card_brand"),
+            F.when(F.col("s_acctbal") >= 5000, F.lit("Credit")).otherwise(F.lit("Debit")).alias("card_type"),
+            (F.col("s_acctbal") < 0).alias("card_on_dark_web"),
         )
 
     def mcc_codes(self) -> DataFrame:
-        rows = ", ".join(f"({code}S, '{name}')" for name, code in MCC.items() if name != UNKNOWN_MCC)
-        return self.spark.sql(f"SELECT * FROM VALUES {rows} AS t(mcc, description)")
+        return self.table("nation").select(F.col("n_nationkey").cast("short").alias("mcc"), F.col("n_name").alias("description"))
 
     def users(self) -> DataFrame:
         return self.table("customer").select(
-            F.col("c_custkey").alias("id"), F.round(F.col("c_acctbal") * 10, 2).cast("decimal(19,2)").alias("yearly_income")
+            F.col("c_custkey").alias("id"),
+            F.round(F.col("c_acctbal") * 10, 2).cast("decimal(19,2)").alias("yearly_income"),
+            (F.lit(300) + F.floor(F.abs("c_acctbal")) % 550).cast("int").alias("credit_score"),
         )
 
     def tickers(self) -> DataFrame:
@@ -151,12 +149,13 @@ class Roles:
             (F.lit(1.0) + (F.col("doc_id") % (20 + h) - 10) / F.lit(100.0)).alias(f"f_{h}_day_return") for h in RETURN_HORIZONS
         ]
         start = F.lit("2010-01-01").cast("timestamp_ntz")
-        return self.table("documents").select(
+        second = self.table("benchmark").select(F.col("item_id").alias("doc_id"), F.col("text").alias("item_1A"))
+        return self.table("documents").join(second, "doc_id", "left").select(
             F.col("doc_id").cast("string").alias("cik"),
             F.col("source").alias("company"),
             (start + F.make_dt_interval(days=F.col("doc_id").cast("int"))).alias("date"),
             F.col("text").alias("item_1"),
-            F.when(F.col("n_chars") >= 1500, F.col("text")).alias("item_1A"),
+            "item_1A",
             *returns,
         )
 
@@ -183,7 +182,7 @@ class Roles:
         """The saved index of the chunks, built once per session and folder."""
         key = (self.spark.sparkContext.applicationId, self.folder)
         if key not in _INDEXES:
-            index = build_text_index(spread(self.texts()), "id", "chunk_text", buckets=8)
+            index = build_text_index(self.texts(), "id", "chunk_text", buckets=8)
             _INDEXES[key] = save_text_index(index, work_dir(self.spark, "text-index"))
         return _INDEXES[key]
 
@@ -217,7 +216,6 @@ _COUNTS: dict[str, int] = {}
 
 # --- the same tables as SQL common table expressions ---------------------------------------------
 
-_MCC_CASE = " ".join(f"WHEN '{name}' THEN {code}" for name, code in MCC.items())
 _RETURNS = ", ".join(f"1.0::DOUBLE + (doc_id % {20 + h} - 10) / 100.0::DOUBLE AS f_{h}_day_return" for h in RETURN_HORIZONS)
 _STOP = " ".join(STOPWORDS)
 
@@ -232,24 +230,23 @@ SQL = {
     "query_batch": """SELECT item_id AS query_id, text, embedding::DOUBLE[] AS vector
         FROM benchmark JOIN embeddings ON vec_id = item_id""",
     "transactions": f"""SELECT event_id AS id, ts AS date, user_id AS client_id, user_id AS card_id, value AS amount,
-        CASE event_type {_MCC_CASE} END AS mcc, event_type AS merchant_city,
-        event_type || ' of ' || CAST(value AS VARCHAR) AS transaction_description, embedding::DOUBLE[] AS embedding
+        CAST(event_id % {N_CODES} AS INTEGER) AS mcc, event_type AS merchant_city,
+        event_type || ' of ' || CAST(value AS VARCHAR) AS transaction_description, embedding::DOUBLE[] AS embedding, vec_id
         FROM events JOIN embeddings ON vec_id = event_id % (SELECT count(*) FROM embeddings)""",
     "fraud_labels": "SELECT doc_id AS transaction_id, toxic = 1 AS is_fraud FROM labels",
-    "cards": """SELECT c_custkey AS id, c_mktsegment AS card_brand, c_acctbal < 0 AS card_on_dark_web
-        FROM customer WHERE c_mktsegment <> 'HOUSEHOLD'""",
-    "mcc_codes": "SELECT * FROM (VALUES "
-    + ", ".join(f"({code}, '{name}')" for name, code in MCC.items() if name != UNKNOWN_MCC)
-    + ") AS t(mcc, description)",
-    "users": "SELECT c_custkey AS id, round(c_acctbal * 10, 2) AS yearly_income FROM customer",
+    "cards": """SELECT s_suppkey AS id, 'Brand ' || CAST(s_nationkey AS VARCHAR) AS card_brand,
+        CASE WHEN s_acctbal >= 5000 THEN 'Credit' ELSE 'Debit' END AS card_type, s_acctbal < 0 AS card_on_dark_web FROM supplier""",
+    "mcc_codes": "SELECT n_nationkey AS mcc, n_name AS description FROM nation",
+    "users": """SELECT c_custkey AS id, round(c_acctbal * 10, 2) AS yearly_income,
+        CAST(300 + CAST(floor(abs(c_acctbal)) AS BIGINT) % 550 AS INTEGER) AS credit_score FROM customer""",
     "tickers": "SELECT c_custkey AS cik, 'src' || CAST(c_nationkey AS VARCHAR) AS ticker FROM customer",
     "concepts": """SELECT o_custkey AS cik, o_orderpriority AS tag, o_totalprice AS val, year(o_orderdate) AS fy,
         o_orderstatus AS fp, o_orderdate AS filed FROM orders""",
     "stocks": """SELECT 'Brand#' || CAST(n_nationkey + 1 AS VARCHAR) AS Symbol, n_name || ' Corp' AS Security_Name,
         'src' || CAST(n_nationkey AS VARCHAR) AS iceberg_company_name FROM nation""",
     "filings": f"""SELECT CAST(doc_id AS VARCHAR) AS cik, source AS company,
-        TIMESTAMP '2010-01-01' + to_days(CAST(doc_id AS INTEGER)) AS date, text AS item_1,
-        CASE WHEN n_chars >= 1500 THEN text END AS item_1A, {_RETURNS} FROM documents""",
+        TIMESTAMP '2010-01-01' + to_days(CAST(doc_id AS INTEGER)) AS date, d.text AS item_1,
+        b.text AS item_1A, {_RETURNS} FROM documents d LEFT JOIN benchmark b ON item_id = doc_id""",
     "mapping": """SELECT Symbol AS ticker FROM stocks WHERE iceberg_company_name IN (SELECT source FROM documents)""",
     "view10k": "SELECT * FROM stocks JOIN filings ON iceberg_company_name = company",
     "holdings": """SELECT s_name AS manager_name, p_brand AS ticker, l_partkey AS cusip,
@@ -284,8 +281,10 @@ SQL = {
     "vector_far": """SELECT query_id, vec_id AS id, round(list_cosine_distance(embedding::DOUBLE[], vector), 9) + 0.0 AS distance
         FROM embeddings CROSS JOIN query_batch""",
     # fraud
+    "apart": """SELECT a.vec_id, b.vec_id AS other_id, round(list_cosine_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) + 0.0 AS distance
+        FROM embeddings a, embeddings b""",
     "labelled": "SELECT * FROM transactions WHERE id IN (SELECT transaction_id FROM fraud_labels)",
-    "known": """SELECT t.id, t.date, t.amount, t.transaction_description, t.merchant_city, card_brand, card_on_dark_web,
+    "known": """SELECT t.id, t.date, t.amount, t.transaction_description, t.merchant_city, card_brand, card_type, card_on_dark_web,
         m.description AS mcc_description FROM transactions t JOIN cards c ON t.card_id = c.id JOIN mcc_codes m ON t.mcc = m.mcc""",
 }
 
@@ -321,7 +320,7 @@ def with_roles(*names: str, body: str, more: dict[str, str] | None = None, repla
 
     for name in names:
         visit(name)
-    heavy = {"tokens", "postings", "lengths", "vocabulary", "hits", "far", "vector_far", "matched", "transactions"}
+    heavy = {"apart", "tokens", "postings", "lengths", "vocabulary", "hits", "far", "vector_far", "matched", "transactions"}
     parts = [f"{n} AS {'MATERIALIZED ' if n in heavy else ''}({texts[n]})" for n in ordered]
     parts += [f"{n} AS ({t})" for n, t in (more or {}).items()]
     return ("WITH " + ",\n".join(parts) + "\n" if parts else "") + body

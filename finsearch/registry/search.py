@@ -15,7 +15,7 @@ from finsearch.plans.search import SearchTables, search
 from finsearch.plans.search import analyze_hits as explain_hits
 from finsearch.registry import query
 from finsearch.registry.roles import CUTOFF, QUERIES, Roles, with_roles
-from finsearch.session import spread, work_dir
+from finsearch.session import work_dir
 
 N_QUERIES = len(QUERIES)
 
@@ -62,7 +62,7 @@ def fused_sql(fusion: str, pool: int, k: int, body: str, more: dict | None = Non
 )
 def text_index_stats(r: Roles) -> DataFrame:
     """Built anew, unlike the saved index the searches share."""
-    index = build_text_index(spread(r.texts()), "id", "chunk_text")
+    index = build_text_index(r.texts(), "id", "chunk_text")
     n_docs, avg_len = (index.stats.select(c).scalar() for c in ("n_docs", "avg_len"))
     return (
         index.postings.groupBy("term")
@@ -224,7 +224,7 @@ def lsh_search(r: Roles) -> DataFrame:
 
 @query("embed_docs")
 def embed_docs(r: Roles) -> DataFrame:
-    return embed(spread(r.table("documents").select("doc_id", "text"))).select("doc_id", "embedding", "embedding_model")
+    return embed(r.table("documents").select("doc_id", "text")).select("doc_id", "embedding", "embedding_model")
 
 
 # --- hybrid --------------------------------------------------------------------------------------
@@ -335,7 +335,8 @@ SENTENCES = r"string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g
             "idf": "SELECT term, ln((SELECT count(*) FROM documents)::DOUBLE / count(*)) AS idf FROM tf GROUP BY term",
             "scored": """SELECT id, no, round(avg(tf * idf), 9) + 0.0 AS score FROM words JOIN tf USING (id, term) JOIN idf USING (term)
                 GROUP BY id, no""",
-            "best": "SELECT id, no, row_number() OVER (PARTITION BY id ORDER BY score DESC, no) AS rn FROM scored QUALIFY rn <= 3",
+            "best": """SELECT id, no, row_number() OVER (PARTITION BY id ORDER BY coalesce(score, 0.0) DESC, no) AS rn
+                FROM sentences LEFT JOIN scored USING (id, no) QUALIFY rn <= 3""",
         },
         body="""SELECT id, string_agg(sentence, ' ' ORDER BY no) AS summary FROM best JOIN sentences USING (id, no) GROUP BY id""",
     ),
@@ -382,7 +383,8 @@ def hybrid_rrf_cells(r: Roles) -> DataFrame:
             "scored": """SELECT w.id, no, round(avg(tf * ln(n_docs::DOUBLE / df)), 9) + 0.0 AS score FROM words w
                 JOIN (SELECT id, term, count(*) AS tf FROM words GROUP BY id, term) t ON w.id = t.id AND w.term = t.term
                 JOIN vocabulary v ON v.term = w.term CROSS JOIN stats GROUP BY w.id, no""",
-            "best": "SELECT id, no, row_number() OVER (PARTITION BY id ORDER BY score DESC, no) AS rn FROM scored QUALIFY rn <= 3",
+            "best": """SELECT id, no, row_number() OVER (PARTITION BY id ORDER BY coalesce(score, 0.0) DESC, no) AS rn
+                FROM sentences LEFT JOIN scored USING (id, no) QUALIFY rn <= 3""",
             "summaries": "SELECT id, string_agg(sentence, ' ' ORDER BY no) AS summary FROM best JOIN sentences USING (id, no) GROUP BY id",
         },
         body="SELECT * FROM why JOIN summaries USING (id)",

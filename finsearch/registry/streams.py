@@ -13,7 +13,8 @@ from finsearch.registry.fraud import scores_sql
 from finsearch.registry.roles import THRESHOLD, Roles, request_kind, with_roles
 from finsearch.registry.tables import LOAD, SHARE
 from finsearch.session import work_dir
-from finsearch.sources.snapshots import read_snapshot
+from finsearch.sources.sinks import read_trades
+from finsearch.sources.snapshots import complete_parts, read_snapshot
 from finsearch.streaming import streams
 
 
@@ -23,7 +24,7 @@ def _events(r: Roles) -> DataFrame:
 
 @query(
     "stream_scores",
-    with_roles("known", more=scores_sql("transactions", True), body="SELECT id, avg_distance, n_neighbours, is_anomalous FROM scores"),
+    with_roles("known", "apart", more=scores_sql("transactions", True), body="SELECT id, avg_distance, n_neighbours, is_anomalous FROM scores"),
 )
 def stream_scores(r: Roles) -> DataFrame:
     """Arriving transactions scored against the stored history, earlier rows only."""
@@ -31,11 +32,10 @@ def stream_scores(r: Roles) -> DataFrame:
     history = r.transactions()
 
     def score(batch: DataFrame) -> DataFrame:
-        arrived = history.join(batch.select(F.col("event_id").alias("id")), "id", "left_semi")
-        return fraud.score_transactions(arrived, history, r.cards(), r.mcc_codes(), THRESHOLD, as_of=True)
+        return fraud.score_transactions(r.transactions_of(batch), history, r.cards(), r.mcc_codes(), THRESHOLD, as_of=True)
 
     streams.score_stream(_events(r), score, f"{base}/out", f"{base}/checkpoint").awaitTermination()
-    return r.spark.read.parquet(f"{base}/out").drop("batch_id")
+    return r.spark.read.parquet(*complete_parts(r.spark, f"{base}/out", "batch_id"))
 
 
 @query("stream_latest50", "SELECT event_id, ts, user_id, event_type, value, props FROM events ORDER BY ts DESC, event_id DESC LIMIT 50")
@@ -72,7 +72,7 @@ def stream_trades(r: Roles) -> DataFrame:
     )
     streams.trade_stream(arriving, f"{base}/out", f"{base}/checkpoint", datetime(2024, 2, 1)).awaitTermination()
     return (
-        r.spark.read.parquet(f"{base}/out")
+        read_trades(r.spark, f"{base}/out", "batch_id")
         .groupBy("ticker")
         .agg(
             F.count("*").alias("n_trades"),

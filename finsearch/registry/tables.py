@@ -15,9 +15,9 @@ from finsearch.operators.load import load_counts as count_load
 from finsearch.operators.load import load_percentages
 from finsearch.plans.lakehouse import exact_sum
 from finsearch.registry import query
-from finsearch.registry.roles import FISCAL_PERIOD, FISCAL_YEAR, Roles, with_roles
+from finsearch.registry.roles import CONCEPTS, FISCAL_PERIOD, FISCAL_YEAR, Roles, with_roles
 from finsearch.schemas import TABLES
-from finsearch.session import spread, work_dir
+from finsearch.session import work_dir
 from finsearch.sources import audit, sinks, snapshots
 from finsearch.sources import tables as sources
 
@@ -43,7 +43,7 @@ def _as_declared(df: DataFrame, name: str) -> DataFrame:
 # checksums of the loaded tables, and the same over the given ones
 CSV_SUMS = {
     "fraud_labels": ("int(is_fraud)", "sum(toxic)", "labels"),
-    "cards": ("int(card_on_dark_web)", "sum(CASE WHEN c_acctbal < 0 THEN 1 ELSE 0 END)", "customer WHERE c_mktsegment <> 'HOUSEHOLD'"),
+    "cards": ("int(card_on_dark_web)", "sum(CASE WHEN s_acctbal < 0 THEN 1 ELSE 0 END)", "supplier"),
     "mcc_codes": ("mcc", "sum(mcc)", "mcc_codes"),
     "users": ("yearly_income", "sum(CAST(c_acctbal AS DECIMAL(19,2)) * 10)", "customer"),
     "transactions_25_26": ("amount", "sum(CAST(value AS DECIMAL(19,2)))", "events"),
@@ -121,7 +121,7 @@ def load_counts(r: Roles) -> DataFrame:
         "concepts",
         "tickers",
         body=f"""SELECT ticker, n_chunks, n_companies, total FROM (SELECT ticker, count(*) AS n_chunks FROM chunks GROUP BY ticker)
-        JOIN (SELECT ticker, count(DISTINCT cik) AS n_companies, CAST(sum(CAST(val AS DECIMAL(19,2))) AS DOUBLE) AS total
+        JOIN (SELECT ticker, count(DISTINCT cik) AS n_companies, CAST(round(sum(CAST(val AS DECIMAL(28,10))), 2) AS DOUBLE) AS total
         FROM concepts JOIN tickers USING (cik) WHERE fy = {FISCAL_YEAR} AND fp = '{FISCAL_PERIOD}' GROUP BY ticker) USING (ticker)""",
     ),
 )
@@ -131,7 +131,7 @@ def federated_join(r: Roles) -> DataFrame:
     return r.spark.sql(
         f"""SELECT ticker, n_chunks, n_companies, total
         FROM (SELECT ticker, count(*) AS n_chunks FROM sec_document_chunks GROUP BY ticker)
-        JOIN (SELECT ticker, count(DISTINCT cik) AS n_companies, cast(sum(cast(val AS decimal(19,2))) AS double) AS total
+        JOIN (SELECT ticker, count(DISTINCT cik) AS n_companies, cast(cast(sum(cast(val AS decimal(28,10))) AS decimal(38,2)) AS double) AS total
               FROM company_concepts JOIN company_tickers USING (cik)
               WHERE fy = {FISCAL_YEAR} AND fp = '{FISCAL_PERIOD}' GROUP BY ticker) USING (ticker)"""
     )
@@ -150,7 +150,7 @@ def load_evolving(r: Roles) -> DataFrame:
     return sources.load_evolving(r.spark, [f"{base}/first", f"{base}/second"])
 
 
-CONCEPT_SUMS = "count(*) AS n_rows, CAST(sum(CAST(val AS DECIMAL(19,2))) AS DOUBLE) AS total, count(DISTINCT cik) AS n_companies"
+CONCEPT_SUMS = "count(*) AS n_rows, CAST(round(sum(CAST(val AS DECIMAL(28,10))), 2) AS DOUBLE) AS total, count(DISTINCT cik) AS n_companies"
 
 
 @query("clustered_scan", with_roles("concepts", body=f"SELECT fy, fp, {CONCEPT_SUMS} FROM concepts GROUP BY fy, fp"))
@@ -269,19 +269,24 @@ def key_audit(r: Roles) -> DataFrame:
 
 
 def _html_sql() -> str:
-    text = "html"
+    stripped = "html"
     for pattern in (r"(?is)<script\b[^>]*>.*?</script\s*>", r"(?is)<style\b[^>]*>.*?</style\s*>", r"(?s)<!--.*?-->", r"(?s)<[^>]*>"):
-        text = f"regexp_replace({text}, '{pattern}', ' ', 'g')"
+        stripped = f"regexp_replace({stripped}, '{pattern}', ' ', 'g')"
+    # numbers first, each distinct reference once; then names; the ampersand last, so that nothing is decoded twice
+    number = "CASE WHEN ref LIKE '&#x%' THEN CAST('0x' || substr(ref, 4, length(ref) - 4) AS BIGINT) ELSE CAST(substr(ref, 3, length(ref) - 3) AS BIGINT) END"
+    numbers = f"""(SELECT list(struct_pack(ref := ref, c := CASE WHEN n BETWEEN 1 AND 1114111 AND n NOT BETWEEN 55296 AND 57343 THEN chr(CAST(n AS INTEGER)) ELSE chr(65533) END))
+        FROM (SELECT ref, {number} AS n FROM (SELECT DISTINCT unnest(regexp_extract_all(t, '&#(?:x[0-9A-Fa-f]{{1,12}}|[0-9]{{1,12}});')) AS ref)))"""
+    text = f"list_reduce(list_prepend(struct_pack(ref := '', c := t), coalesce({numbers}, [])), lambda a, b: struct_pack(ref := '', c := replace(a.c, b.ref, b.c))).c"
     for name, value in ENTITIES.items():
         literal = value.replace("'", "''")
-        text = f"replace({text}, '&{name};', '{literal}')"
+        text = text if name == "amp" else f"replace({text}, '&{name};', '{literal}')"
     text = f"replace({text}, '&amp;', '&')"
-    return rf"SELECT page_id, url, trim(regexp_replace({text}, '[\s\x{{00A0}}]+', ' ', 'g')) AS text FROM pages"
+    return rf"SELECT page_id, url, trim(regexp_replace({text}, '[\s\x{{00A0}}]+', ' ', 'g')) AS text FROM (SELECT page_id, url, {stripped} AS t FROM pages)"
 
 
 @query("html_text", _html_sql())
 def html_text(r: Roles) -> DataFrame:
-    return prepare.clean_pages(spread(r.table("pages")))
+    return prepare.clean_pages(r.table("pages"))
 
 
 @query(
@@ -337,12 +342,12 @@ def holdings_build(r: Roles) -> DataFrame:
     return prepare.build_holdings(cover, info, "filing")
 
 
-CUSIPS = "SELECT p_partkey AS cusip, p_brand AS ticker FROM part WHERE p_size <= 25"
+CUSIPS = "SELECT c_custkey AS cusip, c_name AS ticker FROM customer"
 POSITIONS = "SELECT l_partkey AS cusip, CAST(l_quantity AS BIGINT) AS shares, l_extendedprice AS value_usd FROM lineitem"
 
 
 def _backfilled(r: Roles) -> DataFrame:
-    cusips = r.table("part").where("p_size <= 25").select(F.col("p_partkey").alias("cusip"), F.col("p_brand").alias("ticker"))
+    cusips = r.table("customer").select(F.col("c_custkey").alias("cusip"), F.col("c_name").alias("ticker"))
     return prepare.backfill_ticker(r.holdings().select("cusip", "shares", "value_usd"), cusips)
 
 
@@ -391,13 +396,13 @@ def facts_flatten(r: Roles) -> DataFrame:
     with_roles(
         "concepts",
         "tickers",
-        body="""SELECT * FROM concepts WHERE tag IN ('1-URGENT', '2-HIGH', '3-MEDIUM')
+        body=f"""SELECT * FROM concepts WHERE tag IN ({', '.join(f"'{t}'" for t in CONCEPTS)})
         AND cik IN (SELECT cik FROM tickers WHERE ticker IN (SELECT source FROM documents))""",
     ),
 )
 def core_concepts(r: Roles) -> DataFrame:
     listed = r.table("documents").select(F.col("source").alias("Symbol"))
-    return prepare.core_concepts(r.concepts(), r.tickers(), listed, ("1-URGENT", "2-HIGH", "3-MEDIUM"))
+    return prepare.core_concepts(r.concepts(), r.tickers(), listed, tuple(CONCEPTS))
 
 
 # --- load ----------------------------------------------------------------------------------------

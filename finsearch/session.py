@@ -45,25 +45,6 @@ def work_dir(spark: SparkSession, label: str) -> str:
     return f"{base.rstrip('/')}/finsearch/{label}-{uuid.uuid4().hex[:12]}"
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Spread a plain scan that arrives in fewer partitions than there are cores.
-
-    For per-row work that is heavy on the processor, on single small files. Large tables have
-    more splits than cores and stay as they are.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
-def pinned(df: DataFrame, max_rows: int = 1024) -> DataFrame:
-    """A small request table held in the plan, so that asking it again costs no job.
-
-    Tables with more rows are returned as they are.
-    """
-    head = df.limit(max_rows + 1).toArrow()
-    return df.sparkSession.createDataFrame(head, schema=df.schema) if head.num_rows <= max_rows else df
-
-
 def written(df: DataFrame, label: str) -> DataFrame:
     """Write an intermediate table to the shared folder and read it back.
 

@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from finsearch.schemas import TRADES
-from finsearch.sources.snapshots import newest_parts
+from finsearch.session import written
+from finsearch.sources.snapshots import claim_part, complete_parts
 
 
 def build_clustered(
@@ -52,30 +53,45 @@ def checked_trades(df: DataFrame, now: datetime) -> DataFrame:
     )
 
 
-def numbered_trades(df: DataFrame, path: str, key: str, part: int, now: datetime) -> DataFrame:
-    """Checked trades whose ids continue after those of the newest earlier part that has rows."""
-    spark = df.sparkSession
-    base = 0
-    for earlier in newest_parts(spark, path, key, below=part):
-        top = spark.read.schema(TRADES).parquet(f"{path}/{key}={earlier}").agg(F.max("trade_id")).first()[0]
-        if top is not None:
-            base = top + 1
-            break
-    ids = F.lit(base).cast("long") + F.monotonically_increasing_id()
-    return checked_trades(df, now).withColumn("trade_id", ids).select(TRADES.names)
+MAX_TRADES_PER_PART = 1 << 32
+
+
+def numbered_trades(df: DataFrame, part: int, now: datetime) -> DataFrame:
+    """Checked trades with ids ``part * 2**32 + position``; a part holds up to 2**32 trades.
+
+    Positions are dense: the rows are written once, then counted per partition, so they are the same when
+    a task runs again, and 2**31 parts have room.
+    """
+    rows = written(checked_trades(df, now).withColumn("_at", F.monotonically_increasing_id()), "trades")
+    rows = rows.withColumn("_task", F.shiftright("_at", 33).cast("int"))
+    counts = rows.groupBy("_task").count().collect()  # a number per task
+    starts, total = [], 0
+    for task, n in sorted((r["_task"], r["count"]) for r in counts):
+        starts.append((task, total))
+        total += n
+    if total > MAX_TRADES_PER_PART:
+        raise ValueError(f"{total} trades in one append")
+    offsets = F.broadcast(df.sparkSession.createDataFrame(starts or [(0, 0)], "_task int, _start long"))
+    place = F.col("_start") + F.col("_at").bitwiseAND((1 << 33) - 1)
+    return rows.join(offsets, "_task").withColumn("trade_id", F.lit(part).cast("long") * MAX_TRADES_PER_PART + place).select(TRADES.names)
+
+
+def read_trades(spark: SparkSession, path: str, key: str = "append") -> DataFrame:
+    """All trades of complete parts."""
+    parts = complete_parts(spark, path, key)
+    return spark.read.schema(TRADES).parquet(*parts) if parts else spark.createDataFrame([], TRADES)
 
 
 def append_trades(df: DataFrame, path: str, now: datetime) -> DataFrame:
     """Append trades under generated ids: unique and growing over appends, gaps allowed.
 
-    Every append fills its own folder, so the next free id is read from the last folder alone, and an
-    append that failed half way is overwritten by its repetition.
+    Every append claims a number and fills a folder of its own, from which its ids follow, so appends may
+    run at once. One that failed half way is not read, and its repetition claims another number.
     """
     spark = df.sparkSession
-    last = next(newest_parts(spark, path, "append"), -1)
-    rows = numbered_trades(df, path, "append", last + 1, now)
-    rows.write.mode("overwrite").parquet(f"{path}/append={last + 1}")
-    return spark.read.schema(TRADES).parquet(path).select(TRADES.names)
+    part = claim_part(spark, path, "append")
+    numbered_trades(df, part, now).write.mode("overwrite").parquet(f"{path}/append={part}")
+    return read_trades(spark, path)
 
 
 def delete_keys(df: DataFrame, keys: DataFrame, on: str | Sequence[str]) -> DataFrame:

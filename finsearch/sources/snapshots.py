@@ -30,6 +30,27 @@ def newest_parts(spark: SparkSession, base_path: str, key: str, below: int | Non
             yield number
 
 
+def complete_parts(spark: SparkSession, base_path: str, key: str) -> list[str]:
+    """Paths of all complete folders ``key=n``, newest first."""
+    return [f"{base_path}/{key}={n}" for n in newest_parts(spark, base_path, key)]
+
+
+def claim_part(spark: SparkSession, base_path: str, key: str, first: int = 0) -> int:
+    """The next free number of a folder ``key=n``, claimed by creating a marker that must not exist yet.
+
+    Two writers that start together get different numbers; the number of a writer that fails is left
+    out. A folder that is neither complete nor claimed belongs to nobody and may be overwritten.
+    """
+    claims, fs = _filesystem(spark, f"{base_path}/_claims")
+    fs.mkdirs(claims)
+    taken = [status.getPath().getName().removeprefix(f"{key}=") for status in fs.listStatus(claims)]
+    newest = next(newest_parts(spark, base_path, key), first - 1)
+    number = 1 + max([newest, *(int(n) for n in taken if n.isdigit())])
+    while not fs.createNewFile(_filesystem(spark, f"{base_path}/_claims/{key}={number}")[0]):
+        number += 1
+    return number
+
+
 def snapshot_versions(spark: SparkSession, base_path: str) -> list[int]:
     """Complete versions in rising order."""
     return sorted(newest_parts(spark, base_path, "v"))
@@ -46,17 +67,16 @@ def read_snapshot(spark: SparkSession, base_path: str) -> DataFrame:
 def refresh_snapshot(df: DataFrame, base_path: str, keep: int = 2, view: str | None = None) -> DataFrame:
     """Copy ``df`` to a new version, then move readers to it and drop the oldest versions.
 
-    A failed copy leaves a folder without success marker: readers ignore it and the next
-    refresh overwrites it.
+    A failed copy leaves a folder without success marker, which readers ignore. Each copy has a
+    number of its own, so refreshes that run at once do not write to one folder; the later number wins.
     """
     spark = df.sparkSession
-    done = snapshot_versions(spark, base_path)
-    version = done[-1] + 1 if done else 1
+    version = claim_part(spark, base_path, "v", first=1)
     df.write.mode("overwrite").parquet(f"{base_path}/v={version}")
     current = read_snapshot(spark, base_path)
     if view:
         current.createOrReplaceTempView(view)
-    for old in [*done, version][:-max(keep, 1)]:
+    for old in [v for v in snapshot_versions(spark, base_path) if v <= version][: -max(keep, 1)]:
         target, fs = _filesystem(spark, f"{base_path}/v={old}")
         fs.delete(target, True)
     return current

@@ -85,11 +85,11 @@ def load_share_stream(
 def trade_stream(stream: DataFrame, out: str, checkpoint: str, now: datetime) -> StreamingQuery:
     """Append trades with the casts, checks and generated ids of the batch append.
 
-    Ids continue after those of the earlier batches only, so a repeated batch gets the same range again.
+    Ids follow from the number of the batch, so a repeated batch gets the same range again.
     """
 
     def batch(df: DataFrame, batch_id: int) -> None:
-        rows = numbered_trades(df, out, "batch_id", batch_id, now)
+        rows = numbered_trades(df, batch_id, now)
         rows.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
 
     return (

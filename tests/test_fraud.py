@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from finsearch.plans import fraud
+from finsearch.session import work_dir
 
 TX = "id long, date timestamp_ntz, client_id long, card_id long, amount double, mcc int, merchant_city string, transaction_description string, embedding array<float>"
 
@@ -23,7 +24,7 @@ def world(spark):
         tx(4, 2, [1.0, 0.0], 1),  # no other transaction
     ]
     history = spark.createDataFrame(rows, TX)
-    cards = spark.createDataFrame([(1, "VISA", False), (2, "AMEX", True)], "id long, card_brand string, card_on_dark_web boolean")
+    cards = spark.createDataFrame([(1, "VISA", "Credit", False), (2, "AMEX", "Debit", True)], "id long, card_brand string, card_type string, card_on_dark_web boolean")
     codes = spark.createDataFrame([(1, "Shop")], "mcc short, description string")
     return history, cards, codes
 
@@ -51,7 +52,7 @@ def test_history_details(world):
     assert {(r.client_id, r.id) for r in latest.collect()} == {(1, 3), (2, 4)}
     near = fraud.neighbours(latest, history)
     rows = fraud.similar_history(near, history, cards, codes).collect()
-    assert {(r.scored_id, r.id, r.mcc_description, r.card_brand) for r in rows} == {(3, 1, "Shop", "VISA"), (3, 2, "Shop", "VISA")}
+    assert {(r.scored_id, r.id, r.mcc_description, r.card_brand, r.card_type) for r in rows} == {(3, 1, "Shop", "VISA", "Credit"), (3, 2, "Shop", "VISA", "Credit")}
     plan = near._jdf.queryExecution().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan and "WindowGroupLimit" in plan
 
@@ -61,14 +62,32 @@ def test_equal_dates_take_the_larger_id(spark):
     assert fraud.latest_transactions(rows).first().id == 2
 
 
+def test_undated_rows_are_no_neighbours_of_the_past(spark):
+    rows = [tx(1, 1, [1.0, 0.0], 1), tx(2, 1, [1.0, 0.1], 2), (3, None, 1, 1, 1.0, 1, "c", "t", [1.0, 0.2]), tx(4, 1, [1.0, 0.3], 3)]
+    history = spark.createDataFrame(rows, TX)
+    near = fraud.neighbours(history, history, as_of=True)
+    assert {(r.scored_id, r.id) for r in near.collect()} == {(2, 1), (4, 1), (4, 2)}
+    assert fraud.latest_transactions(history).first().id == 4
+
+
+def test_feed_reads_one_day_only(spark):
+    path = work_dir(spark, "feed")
+    spark.createDataFrame([tx(1, 1, None)], TX).write.parquet(path)
+    labels = spark.createDataFrame([(1, False)], "transaction_id long, is_fraud boolean")
+    plan = fraud.fraud_feed(spark.read.parquet(path), labels, "2024-01-02", datetime(2024, 2, 1))._jdf.queryExecution().toString()
+    assert "GreaterThanOrEqual(date,2024-01-02T00:00)" in plan and "LessThan(date,2024-01-03T00:00)" in plan
+
+
 def test_questions(spark):
     rows = [tx(1, 1, None, amount=1.5), tx(2, 1, None, amount=100.0), tx(3, 2, None, amount=9600.5), tx(4, 3, None, amount=50.5), tx(5, 1, None, amount=2.5)]
-    users = spark.createDataFrame([(2, 1000.0), (3, 2000.0)], "id long, yearly_income double")
+    rows += [tx(6, 4, None, amount=600.5), tx(7, 5, None, amount=600.5)]
+    users = spark.createDataFrame([(2, 1000.0, 700), (3, 2000.0, 399), (4, 50_000.0, 399), (5, 50_000.0, 400)], "id long, yearly_income double, credit_score int")
     got = {r.id: (r.card_testing, r.lifestyle_mismatch, r.structured_amounts) for r in fraud.fraud_questions(spark.createDataFrame(rows, TX), users).collect()}
     assert got[1] == ("Yes", "No", "No")
     assert got[2] == ("No", "No", "Yes")  # 100 is below three times the mean of 34.67
     assert got[3] == ("No", "Yes", "Yes")
     assert got[4] == ("No", "No", "No")
+    assert got[6] == ("No", "Yes", "No") and got[7] == ("No", "No", "No")  # a poor credit score and a large amount
 
 
 def test_verdict_decoding(spark):

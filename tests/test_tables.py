@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from finsearch import schemas
 from finsearch.functions.text import html_to_text, preview, route_query
 from finsearch.operators import prepare
-from finsearch.session import pinned, spread, work_dir
+from finsearch.operators.summarize import summarize
+from finsearch.session import work_dir
 from finsearch.sources import audit, sinks, snapshots
 from finsearch.sources import tables as sources
 
@@ -199,12 +200,6 @@ def test_text_expressions(spark):
     assert rows[0].p == "x" * 60 + "..." and rows[1].p == "short..." and rows[3].p is None
 
 
-def test_spread_leaves_wide_tables_alone(spark):
-    wide = spark.range(0, 100, 1, 50)
-    assert spread(wide) is wide
-    assert spread(spark.range(0, 100, 1, 1)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-
-
 def test_work_dir_follows_the_session(spark):
     unset = SimpleNamespace(get=lambda key, default: default)
     cluster = SimpleNamespace(conf=unset, sparkContext=SimpleNamespace(master="yarn"))
@@ -232,9 +227,67 @@ def test_crowded_cluster_key_is_spread(spark):
     assert sum(sizes) == 3000 and len(sizes) > 1 and max(sizes) < 1500
 
 
-def test_pinned_requests(spark):
-    asked = spark.createDataFrame([("q", "text", [1.0, 2.0])], "query_id string, text string, vector array<float>")
-    held = pinned(asked)
-    assert held.schema == asked.schema and held.collect() == asked.collect()
-    many = spark.range(5)
-    assert pinned(many, 4) is many
+@pytest.mark.parametrize(
+    "html, text",
+    [
+        ("&eacute;&auml;&Uuml;&amp;eacute;&unknown; &apos;", "éäÜ&eacute;&unknown; '"),
+        ("&#9999999;|&#x110000;|&#xD800;|&#0;|&#999999999999999999999999;|&#xFFFFFFFFFF;", "�|�|�|�|�|�"),
+        ("&#0000000000233;&#x000000000e9;&#x1F600;&#X41;", "éé😀A"),
+        ("&amp;lt; &amp;#65; & &; &#; &#x; a&b", "&lt; &#65; & &; &#; &#x; a&b"),
+    ],
+)
+def test_character_references(spark, html, text):
+    assert spark.createDataFrame([(html,)], "h string").select(html_to_text(F.col("h")).alias("t")).first().t == text
+
+
+def trade_rows(spark, n, ticker="AAPL"):
+    return spark.range(n).select(F.lit(ticker).alias("ticker"), F.lit(1).alias("shares"), F.lit(2.5).alias("price")).repartition(3)
+
+
+def test_appends_that_start_together_keep_all_rows(spark):
+    path = work_dir(spark, "together")
+    first, second = snapshots.claim_part(spark, path, "append"), snapshots.claim_part(spark, path, "append")
+    assert first != second
+    for part, n in ((second, 4), (first, 3)):
+        sinks.numbered_trades(trade_rows(spark, n), part, NOW).write.parquet(f"{path}/append={part}")
+    stored = sinks.append_trades(trade_rows(spark, 5), path, NOW)
+    assert stored.count() == 12 == stored.select("trade_id").distinct().count()
+
+
+def test_trade_ids_are_dense_in_an_append(spark):
+    path = work_dir(spark, "dense")
+    for n in (7, 0, 5):
+        stored = sinks.append_trades(trade_rows(spark, n), path, NOW)
+    ids = sorted(r.trade_id for r in stored.collect())
+    assert ids == [*range(7), *range(2 << 32, (2 << 32) + 5)]
+
+
+def test_unfinished_parts_are_not_read(spark):
+    path = work_dir(spark, "unfinished")
+    sinks.append_trades(trade_rows(spark, 2), path, NOW)
+    trade_rows(spark, 9).write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(f"{path}/append=7")
+    assert sinks.read_trades(spark, path).count() == 2
+    assert sinks.append_trades(trade_rows(spark, 3), path, NOW).count() == 5
+    assert sinks.read_trades(spark, f"{path}/none").count() == 0
+
+
+def test_refreshes_that_start_together_do_not_share_a_folder(spark):
+    base = work_dir(spark, "refreshes")
+    first, second = snapshots.claim_part(spark, base, "v"), snapshots.claim_part(spark, base, "v")
+    spark.range(2).write.parquet(f"{base}/v={second}")
+    spark.range(3).write.parquet(f"{base}/v={first}")
+    assert snapshots.read_snapshot(spark, base).count() == 2
+    assert snapshots.refresh_snapshot(spark.range(4), base).count() == 4
+
+
+def test_smallest_id_of_equal_rows(spark):
+    rows = [("a", 2, "x"), ("a", 1, "y"), ("a", 1, "y"), (None, 5, "z"), (None, 4, "w")]
+    df = spark.createDataFrame(rows, "k string, id long, v string")
+    kept = prepare.dedup_min_id(df, ["k"])
+    assert sorted((r.k or "", r.id, r.v) for r in kept.collect()) == [("", 4, "w"), ("a", 1, "y")]
+
+
+def test_every_text_has_a_summary(spark):
+    docs = spark.createDataFrame([(1, "That it. The of."), (2, "Banks lend money. It is. Money is lent by banks today."), (3, ""), (4, None)], "id long, text string")
+    got = {r.id: r.summary for r in summarize(docs, n_sentences=2).collect()}
+    assert got == {1: "That it. The of.", 2: "Banks lend money. Money is lent by banks today."}
