@@ -59,13 +59,10 @@ def distances(queries: np.ndarray, corpus: np.ndarray) -> np.ndarray:
     return far
 
 
-def nearest(dist: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k smallest distances of one query, equal distances in order of id."""
-    if len(dist) > k:
-        edge = np.partition(dist, k - 1)[k - 1]
-        keep = dist <= edge
-        dist, ids = dist[keep], ids[keep]
-    finite = np.isfinite(dist)
-    dist, ids = dist[finite], ids[finite]
-    order = np.lexsort((ids, dist))[:k]
-    return dist[order], ids[order]
+def nearest_places(dist: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k smallest finite distances of one query, equal distances in order of id."""
+    places = np.nonzero(np.isfinite(dist))[0]
+    if len(places) > k:
+        edge = np.partition(dist[places], k - 1)[k - 1]
+        places = places[dist[places] <= edge]
+    return places[np.lexsort((ids[places], dist[places]))[:k]]

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -13,111 +11,47 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from finsearch.functions.vectors import cosine_distance, distances, matrix, nearest, rounded, unit_rows
+from finsearch.functions.vectors import cosine_distance, distances, matrix, nearest_places, rounded, unit_rows
 from finsearch.operators.ranking import small_side, top_k
 from finsearch.session import written
 
 PACK_ROWS = 1024
 BLOCK_ROWS = 4096
-MAX_BROADCAST_VECTORS = 16_384
 
 
-@dataclass(frozen=True)
-class QueryPack:
-    """Some query vectors, small enough to travel with a task."""
-
-    ids: list
-    vectors: np.ndarray
-
-
-def query_packs(queries: DataFrame, pack_rows: int = PACK_ROWS) -> Iterator[QueryPack]:
-    """``queries(query_id, vector)`` in packs of bounded size, in as many as it takes."""
-    rows = queries.where(F.col("vector").isNotNull()).select("query_id", "vector")
-    head = rows.limit(pack_rows + 1).collect()
-    source = head if len(head) <= pack_rows else rows.toLocalIterator()
-    pack = []
-    for row in source:
-        pack.append(row)
-        if len(pack) == pack_rows:
-            yield _pack(pack)
-            pack = []
-    if pack:
-        yield _pack(pack)
-
-
-def _pack(rows: list) -> QueryPack:
-    return QueryPack([r[0] for r in rows], unit_rows(np.array([r[1] for r in rows], dtype=np.float64)))
-
-
-class _Best:
-    """The k nearest rows met so far, for each query of a pack."""
-
-    def __init__(self, n_queries: int, k: int, cutoff: float | None):
-        self.k = k
-        self.cutoff = cutoff
-        self.rows: list[tuple[np.ndarray, np.ndarray] | None] = [None] * n_queries
-
-    def add(self, query: int, dist: np.ndarray, ids: np.ndarray) -> None:
-        if self.cutoff is not None:
-            keep = dist < self.cutoff
-            dist, ids = dist[keep], ids[keep]
-        old = self.rows[query]
-        if old is not None:
-            dist, ids = np.concatenate([old[0], dist]), np.concatenate([old[1], ids])
-        self.rows[query] = nearest(dist, ids, self.k)
-
-    def batch(self, query_ids: list, schema: pa.Schema) -> pa.RecordBatch:
-        found = [(q, r) for q, r in zip(query_ids, self.rows) if r is not None and len(r[0])]
-        columns = [
-            np.repeat([q for q, _ in found], [len(r[0]) for _, r in found]) if found else [],
-            np.concatenate([r[1] for _, r in found]) if found else [],
-            np.concatenate([r[0] for _, r in found]) if found else [],
-        ]
-        return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema)], schema=schema)
+def _type(df: DataFrame, column: str) -> str:
+    return df.schema[column].dataType.simpleString()
 
 
 def _arrow(kind: T.DataType) -> pa.DataType:
-    return pa.string() if isinstance(kind, T.StringType) else pa.int64()
-
-
-def _scan(vectors: DataFrame, queries: DataFrame, pack: QueryPack, k: int, cutoff: float | None, cells=None) -> DataFrame:
-    """One pass over ``vectors(id, embedding[, cell])`` for one pack; every task returns k rows per query at most."""
-    key = queries.schema["query_id"].dataType
-    schema = pa.schema([("query_id", _arrow(key)), ("id", pa.int64()), ("distance", pa.float64())])
-    # cells maps a cell to the positions of the queries that look into it
+    return to_arrow_type(kind)
 
-    def scan(batches):
-        best = _Best(len(pack.ids), k, cutoff)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            ids = batch.column("id").to_numpy(zero_copy_only=False)
-            vecs = matrix(batch.column("embedding"))
-            if cells is None:
-                groups = [(range(len(pack.ids)), slice(None))]
-            else:
-                cell = batch.column("cell").to_numpy(zero_copy_only=False)
-                groups = [(cells[c], cell == c) for c in np.unique(cell) if c in cells]
-            for positions, rows in groups:
-                positions = list(positions)
-                dist = distances(pack.vectors[positions], vecs[rows])
-                for line, query in zip(dist, positions):
-                    best.add(query, line, ids[rows])
-        yield best.batch(pack.ids, schema)
 
-    return vectors.mapInArrow(scan, f"query_id {key.simpleString()}, id long, distance double")
+def _numbers(ids: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and, for each, a number in the same order, so that ties are broken alike for numbers and texts."""
+    values = ids.to_numpy() if isinstance(ids, pa.ChunkedArray) else ids.to_numpy(zero_copy_only=False)
+    if values.dtype != object:
+        return values, values
+    order = np.argsort(values, kind="stable")
+    numbers = np.empty(len(values), dtype=np.int64)
+    numbers[order] = np.cumsum(np.concatenate([[0], values[order][1:] != values[order][:-1]])) if len(values) else []
+    return values, numbers
 
 
-def _empty(spark: SparkSession, queries: DataFrame) -> DataFrame:
-    key = queries.schema["query_id"].dataType.simpleString()
-    return spark.createDataFrame([], f"query_id {key}, id long, distance double")
+def _blocks(vectors: DataFrame, rows: int) -> DataFrame:
+    """``vectors(id, embedding)`` as ``(ids, embeddings)``, some rows each, where they lie."""
 
+    def pack(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                part = batch.slice(at, rows)
+                ends = pa.array([0, part.num_rows], pa.int32())
+                lists = [pa.ListArray.from_arrays(ends, pa.concat_arrays([part.column(c)])) for c in ("id", "embedding")]
+                yield pa.RecordBatch.from_arrays(lists, names=["ids", "embeddings"])
 
-def _best_of(parts: list[DataFrame], spark: SparkSession, queries: DataFrame, k: int) -> DataFrame:
-    if not parts:
-        parts = [_empty(spark, queries)]
-    return top_k(reduce(DataFrame.unionByName, parts), ["query_id"], [F.asc("distance"), F.asc("id")], k)
+    return vectors.mapInArrow(pack, f"ids array<{_type(vectors, 'id')}>, embeddings array<{_type(vectors, 'embedding')}>")
 
 
 def vector_search(
@@ -125,12 +59,39 @@ def vector_search(
 ) -> DataFrame:
     """Exact k nearest rows per query as ``(query_id, id, distance, rn)``.
 
-    ``corpus(id, embedding)`` is read once per pack of queries and never shuffled: a task
-    keeps k rows per query, and only those reach the final cut.
+    ``corpus(id, embedding)`` is read once, in blocks, and ``queries(query_id, vector)`` are gathered in
+    packs of about ``pack_rows``. Blocks meet packs by an equi join, whose side Spark broadcasts by its
+    size; every pair of them is one bounded matrix product that gives k rows per query. Neither
+    queries nor vectors are collected; only the number of queries is.
     """
     vectors = corpus.where(F.col("embedding").isNotNull()).select("id", "embedding")
-    parts = [_scan(vectors, queries, pack, k, cutoff) for pack in query_packs(queries, pack_rows)]
-    return _best_of(parts, corpus.sparkSession, queries, k)
+    asked = queries.where(F.col("vector").isNotNull()).select("query_id", "vector")
+    n_packs = max(1, -(-asked.count() // pack_rows))
+    pack = F.pmod(F.xxhash64("query_id"), F.lit(n_packs)).cast("int").alias("pack")
+    packs = asked.select(pack, F.struct("query_id", "vector").alias("query")).groupBy("pack").agg(F.collect_list("query").alias("asked"))
+    packs = packs.select("pack", F.col("asked.query_id").alias("query_ids"), F.col("asked.vector").alias("vectors"))
+    copies = F.explode(F.sequence(F.lit(0), F.lit(n_packs - 1))).alias("pack")
+    met = _blocks(vectors, pack_rows).select("*", copies).join(packs, "pack").select("ids", "embeddings", "query_ids", "vectors")
+
+    def compare(batches):
+        for batch in batches:
+            for at in range(batch.num_rows):
+                ids, embeddings, query_ids, asked_vectors = (batch.column(c)[at].values for c in range(4))
+                numbers = _numbers(ids)[1]
+                rows, places, near = [], [], []
+                for query, line in enumerate(distances(matrix(asked_vectors), matrix(embeddings))):
+                    allowed = np.nonzero(line < cutoff)[0] if cutoff is not None else np.arange(len(line))
+                    best = nearest_places(line[allowed], numbers[allowed], k)
+                    places.append(allowed[best])
+                    rows.append(np.full(len(best), query))
+                    near.append(line[allowed[best]])
+                yield pa.RecordBatch.from_arrays(
+                    [query_ids.take(pa.array(np.concatenate(rows))), ids.take(pa.array(np.concatenate(places))), pa.array(np.concatenate(near))],
+                    names=["query_id", "id", "distance"],
+                )
+
+    schema = f"query_id {_type(queries, 'query_id')}, id {_type(corpus, 'id')}, distance double"
+    return top_k(met.mapInArrow(compare, schema), ["query_id"], [F.asc("distance"), F.asc("id")], k)
 
 
 @dataclass(frozen=True)
@@ -141,16 +102,14 @@ class CellIndex:
     centres: np.ndarray
 
 
-def build_ivf(corpus: DataFrame, nlist: int, path: str, seed: int = 7, train_fraction: float = 1.0) -> CellIndex:
-    """Cluster ``corpus(id, embedding)`` into cells and store it by cell.
+def build_ivf(corpus: DataFrame, nlist: int, path: str, seed: int = 7) -> CellIndex:
+    """Cluster ``corpus(id, embedding)`` into cells, learned from all rows, and store it by cell.
 
-    ``train_fraction`` only thins what the centres are learned from; every row is stored.
     Rows are ranged over cell and id, so a crowded cell fills several files.
     """
     vectors = corpus.where(F.col("embedding").isNotNull()).select("id", "embedding")
     points = vectors.select("id", "embedding", array_to_vector("embedding").alias("features"))
-    sample = points if train_fraction >= 1.0 else points.sample(train_fraction, seed)
-    model = KMeans(k=nlist, distanceMeasure="cosine", seed=seed, predictionCol="cell").fit(sample.select("features"))
+    model = KMeans(k=nlist, distanceMeasure="cosine", seed=seed, predictionCol="cell").fit(points.select("features"))
     (
         model.transform(points)
         .select("id", "embedding", "cell")
@@ -164,28 +123,13 @@ def build_ivf(corpus: DataFrame, nlist: int, path: str, seed: int = 7, train_fra
 def ivf_search(
     spark: SparkSession, index: CellIndex, queries: DataFrame, nprobe: int, k: int = 50, cutoff: float | None = 0.5
 ) -> DataFrame:
-    """Nearest rows within the ``nprobe`` cells closest to each query; exact with all cells."""
-    parts = []
-    stored = spark.read.parquet(index.path)
-    for pack in query_packs(queries):
-        order = np.argsort(distances(pack.vectors, index.centres), axis=1, kind="stable")[:, :nprobe]
-        cells: dict[int, list[int]] = {}
-        for query, row in enumerate(order):
-            for cell in row:
-                cells.setdefault(int(cell), []).append(query)
-        vectors = stored.where(F.col("cell").isin(sorted(cells))).select("id", "embedding", "cell")
-        parts.append(_scan(vectors, queries, pack, k, cutoff, cells))
-    return _best_of(parts, spark, queries, k)
-
-
-def ivf_join(
-    spark: SparkSession, index: CellIndex, queries: DataFrame, nprobe: int, k: int = 50, cutoff: float | None = 0.5
-) -> DataFrame:
-    """``ivf_search`` for query tables of any size: queries are sent to their cells in the tasks, and each
-    cell is a key of ``knn_within``, so crowded cells are split and nothing passes through the driver."""
-    key = queries.schema["query_id"].dataType
-    vectors = queries.schema["vector"].dataType.simpleString()
-    schema = pa.schema([("id", _arrow(key)), ("embedding", pa.list_(pa.float32())), ("cell", pa.int32())])
+    """Nearest rows within the ``nprobe`` cells closest to each query; exact with all cells.
+
+    Queries are sent to their cells in the tasks, and each cell is a key of ``knn_within``, so crowded
+    cells are split and query tables may have any size. Only the numbers of the probed cells come to
+    the driver, as the filter on the stored folders.
+    """
+    schema = pa.schema([("id", _arrow(queries.schema["query_id"].dataType)), ("embedding", _arrow(queries.schema["vector"].dataType)), ("cell", pa.int32())])
 
     def probe(batches):
         for batch in batches:
@@ -193,75 +137,86 @@ def ivf_join(
                 continue
             far = distances(matrix(batch.column("vector")), index.centres)
             order = np.argsort(far, axis=1, kind="stable")[:, :nprobe]
-            rows = np.repeat(np.arange(batch.num_rows), order.shape[1])
-            columns = [batch.column("query_id").take(pa.array(rows)), batch.column("vector").take(pa.array(rows)), order.reshape(-1)]
-            arrays = [(c if isinstance(c, pa.Array) else pa.array(c)).cast(f.type) for c, f in zip(columns, schema)]
-            yield pa.RecordBatch.from_arrays(arrays, schema=schema)
+            rows = pa.array(np.repeat(np.arange(batch.num_rows), order.shape[1]))
+            columns = [batch.column("query_id").take(rows), batch.column("vector").take(rows), pa.array(order.reshape(-1))]
+            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema)], schema=schema)
 
     asked = queries.where(F.col("vector").isNotNull()).select("query_id", "vector")
-    sent = asked.mapInArrow(probe, f"id {key.simpleString()}, embedding {vectors}, cell int")
-    stored = spark.read.parquet(index.path).select("id", "embedding", F.col("cell").cast("int").alias("cell"))
-    near = knn_within(sent, stored, "cell", k, same_table=False).withColumnRenamed("scored_id", "query_id")
+    sent = asked.mapInArrow(probe, f"id {_type(queries, 'query_id')}, embedding {_type(queries, 'vector')}, cell int")
+    sent = written(sent, "probes")
+    cells = [row["cell"] for row in sent.select("cell").distinct().collect()]  # nlist of them at most
+    stored = spark.read.parquet(index.path).where(F.col("cell").isNotNull() & F.col("cell").isin(cells))
+    near = knn_within(sent, stored.select("id", "embedding", F.col("cell").cast("int").alias("cell")), "cell", k, same_table=False)
+    near = near.withColumnRenamed("scored_id", "query_id")
     return near if cutoff is None else near.where(F.col("distance") < cutoff)
 
 
 @dataclass(frozen=True)
 class BandIndex:
-    """``bands(id, band, signature)`` of a corpus and the hyperplanes behind them."""
+    """Vectors stored by ``(band, signature)``, and what the signatures are made of."""
 
-    bands: DataFrame
-    planes: np.ndarray
+    path: str
+    dim: int
+    bands: int
     bits: int
+    seed: int
+
+    def planes(self) -> np.ndarray:
+        """The hyperplanes, a row each; they follow from the seed."""
+        return np.random.default_rng(self.seed).standard_normal((self.bands * self.bits, self.dim))
+
 
+BAND_ROWS = 64  # rows that share a signature, on average
 
-def _signatures(vectors: DataFrame, planes: np.ndarray, bits: int, id_type: T.DataType) -> DataFrame:
-    n_bands = planes.shape[0] // bits
-    weights = 1 << np.arange(bits, dtype=np.int64)
-    schema = pa.schema([("id", _arrow(id_type)), ("band", pa.int32()), ("signature", pa.int64())])
+
+def _signatures(vectors: DataFrame, index: BandIndex) -> DataFrame:
+    """``vectors(id, embedding)`` with ``signatures``, one number per band."""
+    weights = 1 << np.arange(index.bits, dtype=np.int64)
+    bands, bits, planes = index.bands, index.bits, index.planes()
 
     def sign(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
             vecs = np.nan_to_num(matrix(batch.column("embedding")))
-            side = (vecs @ planes.T >= 0).reshape(len(vecs), n_bands, bits)
-            ids = np.repeat(batch.column("id").to_numpy(zero_copy_only=False), n_bands)
-            band = np.tile(np.arange(n_bands, dtype=np.int32), len(vecs))
-            columns = [ids, band, (side @ weights).reshape(-1)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema)], schema=schema)
+            side = (vecs @ planes.T >= 0).reshape(len(vecs), bands, bits)
+            ends = pa.array(np.arange(0, len(vecs) * bands + 1, bands), pa.int32())
+            numbers = pa.ListArray.from_arrays(ends, pa.array((side @ weights).reshape(-1)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, numbers], names=["id", "embedding", "signatures"])
+
+    return vectors.mapInArrow(sign, f"id {_type(vectors, 'id')}, embedding {_type(vectors, 'embedding')}, signatures array<long>")
 
-    return vectors.mapInArrow(sign, f"id {id_type.simpleString()}, band int, signature long")
 
+def build_lsh(corpus: DataFrame, path: str, dim: int, bands: int = 16, bits: int | None = None, seed: int = 7) -> BandIndex:
+    """Random-hyperplane signatures (Charikar 2002) of ``corpus(id, embedding)``, stored band by band with the vectors.
 
-def build_lsh(corpus: DataFrame, dim: int, bands: int = 16, bits: int = 8, seed: int = 7) -> BandIndex:
-    """Random-hyperplane signatures (Charikar 2002) of ``corpus(id, embedding)``, cut into bands."""
-    planes = np.random.default_rng(seed).standard_normal((bands * bits, dim))
+    The number of bits follows from the number of rows unless it is given, so that a signature keeps about
+    as many rows as ``BAND_ROWS`` at any size. Rows are ranged over band, signature and id.
+    """
     vectors = corpus.where(F.col("embedding").isNotNull()).select("id", "embedding")
-    return BandIndex(_signatures(vectors, planes, bits, T.LongType()), planes, bits)
+    if bits is None:
+        bits = max(1, round(np.log2(max(vectors.count(), 1) / BAND_ROWS)))
+    index = BandIndex(path, dim, bands, bits, seed)
+    rows = _signatures(vectors, index).select("id", "embedding", "signatures", F.posexplode("signatures").alias("band", "signature"))
+    rows.repartitionByRange("band", "signature", "id").sortWithinPartitions("band", "signature", "id").write.partitionBy("band").parquet(path)
+    return index
 
 
-def lsh_search(index: BandIndex, corpus: DataFrame, queries: DataFrame, k: int = 50, cutoff: float | None = 0.5) -> DataFrame:
-    """Rows that share a band with the query, re-scored exactly.
+def lsh_search(spark: SparkSession, index: BandIndex, queries: DataFrame, k: int = 50, cutoff: float | None = 0.5) -> DataFrame:
+    """Rows that share a signature with the query in some band, scored exactly where they are stored.
 
-    The join runs on (band, signature) with the query side counted and broadcast, so a crowded
-    signature is matched in place. The candidate ids are written once and counted, so the re-score
-    can leave the corpus vectors where they are while the candidates are few.
+    A row that meets a query in several bands counts in the first of them, which both lists of
+    signatures tell, so candidates are neither written nor compared again, and a task sends k rows per query.
     """
-    n_bands = index.planes.shape[0] // index.bits
-    asked = queries.where(F.col("vector").isNotNull())
-    n_queries = asked.count()
-    sides = _signatures(
-        asked.select(F.col("query_id").alias("id"), F.col("vector").alias("embedding")),
-        index.planes,
-        index.bits,
-        queries.schema["query_id"].dataType,
-    ).withColumnRenamed("id", "query_id")
-    candidates = index.bands.join(small_side(sides, n_queries * n_bands), ["band", "signature"]).select("query_id", "id").distinct()
-    candidates = written(candidates, "lsh-candidates")
-    vectors = corpus.where(F.col("embedding").isNotNull()).select("id", "embedding")
+    asked = queries.where(F.col("vector").isNotNull()).select(F.col("query_id").alias("id"), F.col("vector").alias("embedding"))
+    sides = _signatures(asked, index).select(
+        F.col("id").alias("query_id"), F.col("embedding").alias("vector"), F.col("signatures").alias("asked"), F.posexplode("signatures").alias("band", "signature")
+    )
+    stored = spark.read.parquet(index.path).select("id", "embedding", "signatures", F.col("band").cast("int").alias("band"), "signature")
+    earlier = F.exists(F.sequence(F.lit(0), F.col("band")), lambda b: (b < F.col("band")) & (F.get("asked", b) == F.get("signatures", b)))
     scored = (
-        vectors.join(small_side(candidates, candidates.count()), "id")
-        .join(small_side(asked.select("query_id", "vector"), n_queries, MAX_BROADCAST_VECTORS), "query_id")
+        stored.join(sides, ["band", "signature"])
+        .where(~earlier)
         .select("query_id", "id", rounded(cosine_distance(F.col("embedding"), F.col("vector")), 9).alias("distance"))
     )
     if cutoff is not None:
@@ -306,26 +261,25 @@ def knn_within(
         # fresh aliases, since both sides may come from the same table
         return sides[name][0].join(sizes, partition).select(*[F.col(c).alias(c) for c in cols], own, copies)
 
-    key = scored.schema["id"].dataType
-    schema = pa.schema([("scored_id", _arrow(key)), ("id", pa.int64()), ("distance", pa.float64())])
+    schema = pa.schema([("scored_id", _arrow(scored.schema["id"].dataType)), ("id", _arrow(history.schema["id"].dataType)), ("distance", pa.float64())])
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
-        found = []
-        if left.num_rows and right.num_rows:
-            ours, theirs = left["id"].to_numpy(), right["id"].to_numpy()
-            dist = distances(matrix(left["embedding"]), matrix(right["embedding"]))
-            if same_table:
-                dist[ours[:, None] == theirs[None, :]] = np.inf
-            if as_of:  # a row without a date is before none and after none
-                dist[~(right[as_of].to_numpy()[None, :] < left[as_of].to_numpy()[:, None])] = np.inf
-            for tx, line in zip(ours, dist):
-                near, ids = nearest(line, theirs, k)
-                found.append((np.full(len(ids), tx), ids, near))
-        columns = [np.concatenate(c) for c in zip(*found)] if found else [[], [], []]
-        return pa.Table.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema)], schema=schema)
+        if not left.num_rows or not right.num_rows:
+            return schema.empty_table()
+        ours, (theirs, numbers) = _numbers(left["id"])[0], _numbers(right["id"])
+        dist = distances(matrix(left["embedding"]), matrix(right["embedding"]))
+        if same_table:
+            dist[ours[:, None] == theirs[None, :]] = np.inf
+        if as_of:  # a row without a date is before none and after none
+            dist[~(right[as_of].to_numpy()[None, :] < left[as_of].to_numpy()[:, None])] = np.inf
+        best = [nearest_places(line, numbers, k) for line in dist]
+        rows = np.repeat(np.arange(len(ours)), [len(b) for b in best])
+        places = np.concatenate(best)
+        columns = [left["id"].take(pa.array(rows)), right["id"].take(pa.array(places)), pa.array(dist[rows, places])]
+        return pa.Table.from_arrays([c.cast(f.type) for c, f in zip(columns, schema)], schema=schema)
 
     keys = [partition, "block_s", "block_h"]
     pairs = blocks("s", "h").groupBy(*keys).cogroup(blocks("h", "s").groupBy(*keys)).applyInArrow(
-        compare, f"scored_id {key.simpleString()}, id long, distance double"
+        compare, f"scored_id {_type(scored, 'id')}, id {_type(history, 'id')}, distance double"
     )
     return top_k(pairs, ["scored_id"], [F.asc("distance"), F.asc("id")], k)

@@ -40,7 +40,7 @@ def nearest(
     if vector_index == "cells" and tables.cells is not None:
         return ivf_search(tables.corpus.sparkSession, tables.cells, queries, nprobe, pool, cutoff)
     if vector_index == "bands" and tables.bands is not None:
-        return lsh_search(tables.bands, tables.corpus, queries, pool, cutoff)
+        return lsh_search(tables.corpus.sparkSession, tables.bands, queries, pool, cutoff)
     raise ValueError(f"no vector index {vector_index!r}")
 
 

@@ -88,6 +88,31 @@ def ticker_filing(r: Roles) -> DataFrame:
     return lakehouse.ticker_filing(lakehouse.stock_10k_view(r.stocks(), r.filings()), SYMBOL, FILED_ON)
 
 
+@query(
+    "ticker_details",
+    with_roles(
+        "holdings",
+        "view10k",
+        body=f"""SELECT * FROM (SELECT 'filing' AS kind, cik AS key, company AS name, CAST(NULL AS BIGINT) AS shares, CAST(NULL AS DOUBLE) AS value_usd
+        FROM view10k WHERE Symbol = '{SYMBOL}' AND date = TIMESTAMP '{FILED_ON}'
+        UNION ALL SELECT 'position', concat_ws('/', ticker, investment_discretion, title_of_class), manager_name, CAST(sum(shares) AS BIGINT), {VALUE}
+        FROM holdings WHERE ticker = '{SYMBOL}' GROUP BY manager_name, ticker, investment_discretion, title_of_class)""",
+    ),
+)
+def ticker_details(r: Roles) -> DataFrame:
+    view = lakehouse.stock_10k_view(r.stocks(), r.filings())
+    filing, positions = lakehouse.ticker_details(view, r.holdings(), SYMBOL, FILED_ON)
+    held = positions.select(
+        F.lit("position").alias("kind"),
+        F.concat_ws("/", "ticker", "investment_discretion", "title_of_class").alias("key"),
+        F.col("manager_name").alias("name"),
+        "shares",
+        "value_usd",
+    )
+    filed = filing.select(F.lit("filing").alias("kind"), F.col("cik").alias("key"), F.col("company").alias("name"))
+    return filed.unionByName(held, allowMissingColumns=True)
+
+
 @query(
     "holdings_rollup",
     with_roles(

@@ -205,21 +205,44 @@ def ivf_search_full(r: Roles) -> DataFrame:
 
 @query("ivf_join_full", NEAREST)
 def ivf_join_full(r: Roles) -> DataFrame:
+    """Queries with textual keys find the same rows."""
     nlist = 16
     index = vector_search.build_ivf(r.vectors(), nlist, work_dir(r.spark, "cells"))
-    return vector_search.ivf_join(r.spark, index, r.query_batch(), nlist, 50, CUTOFF)
+    named = r.query_batch().withColumn("query_id", F.concat(F.lit("q"), "query_id"))
+    found = vector_search.ivf_search(r.spark, index, named, nlist, 50, CUTOFF)
+    return found.withColumn("query_id", F.substring("query_id", 2, 20).cast("long"))
 
 
 @query("ivf_search")
 def ivf_search(r: Roles) -> DataFrame:
+    """Part of the cells; the given vectors have no clusters, so many of them are needed."""
     index = vector_search.build_ivf(r.vectors(), 16, work_dir(r.spark, "cells"))
-    return vector_search.ivf_search(r.spark, index, r.query_batch(), 4, 50, CUTOFF)
+    return vector_search.ivf_search(r.spark, index, r.query_batch(), 12, 50, CUTOFF)
 
 
-@query("lsh_search")
+LSH = vector_search.BandIndex("", 64, 16, 3, 7)
+PLANES = ", ".join("(" + f"{i}, [" + ", ".join(f"{x:.17g}::DOUBLE" for x in plane) + "])" for i, plane in enumerate(LSH.planes()))
+
+
+@query(
+    "lsh_search",
+    with_roles(
+        "vector_far",
+        more={
+            "planes": f"SELECT * FROM (VALUES {PLANES}) AS t(no, plane)",
+            "everyone": "SELECT 'c' AS kind, vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings UNION ALL SELECT 'q', query_id, vector FROM query_batch",
+            "sides": f"""SELECT kind, id, no // {LSH.bits} AS band, sum(CASE WHEN list_dot_product(v, plane) >= 0 THEN 1 << (no % {LSH.bits}) ELSE 0 END) AS signature
+                FROM everyone CROSS JOIN planes GROUP BY ALL""",
+            "met": """SELECT DISTINCT q.id AS query_id, c.id FROM sides q JOIN sides c ON q.kind = 'q' AND c.kind = 'c'
+                AND q.band = c.band AND q.signature = c.signature""",
+        },
+        body=f"""SELECT query_id, id, distance, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rn
+        FROM vector_far JOIN met USING (query_id, id) WHERE distance < {CUTOFF} QUALIFY rn <= 50""",
+    ),
+)
 def lsh_search(r: Roles) -> DataFrame:
-    index = vector_search.build_lsh(r.vectors(), 64)
-    return vector_search.lsh_search(index, r.vectors(), r.query_batch(), 50, CUTOFF)
+    index = vector_search.build_lsh(r.vectors(), work_dir(r.spark, "bands"), LSH.dim, LSH.bands, LSH.bits, LSH.seed)
+    return vector_search.lsh_search(r.spark, index, r.query_batch(), 50, CUTOFF)
 
 
 @query("embed_docs")

@@ -66,15 +66,63 @@ def test_cells_equal_exact_when_all_are_probed(spark, tables):
 
 
 @pytest.mark.parametrize("nprobe", [1, 6])
-def test_cell_join_equals_cell_search(spark, tables, nprobe):
+def test_cells_take_textual_keys(spark, tables, nprobe):
     _, corpus_df, _, asked_df = tables
     index = vs.build_ivf(corpus_df, 6, work_dir(spark, "t-cells"))
     named = asked_df.select(F.concat(F.lit("q"), "query_id").alias("query_id"), "vector")
-    for cutoff in (None, 0.6):
-        want = found(vs.ivf_search(spark, index, asked_df, nprobe, 9, cutoff))
-        assert found(vs.ivf_join(spark, index, asked_df, nprobe, 9, cutoff)) == want
-    joined = found(vs.ivf_join(spark, index, named, nprobe, 9, 0.6))
-    assert joined == {f"q{q}": rows for q, rows in want.items()}
+    want = found(vs.ivf_search(spark, index, asked_df, nprobe, 9, 0.6))
+    assert found(vs.ivf_search(spark, index, named, nprobe, 9, 0.6)) == {f"q{q}": rows for q, rows in want.items()}
+
+
+@pytest.mark.parametrize("ids, vectors", [("string", "array<float>"), ("int", "array<double>"), ("long", "array<double>")])
+def test_key_and_vector_types(spark, ids, vectors):
+    values, _ = make(spark, 60, seed=5)
+    corpus = spark.createDataFrame([(str(i), v.tolist()) for i, v in enumerate(values)], "id string, embedding array<double>")
+    corpus = corpus.withColumn("id", F.col("id").cast(ids)).withColumn("embedding", F.col("embedding").cast(vectors)).repartition(3)
+    asked = corpus.where("cast(id as int) < 5").select(F.col("id").alias("query_id"), F.col("embedding").alias("vector"))
+    dist = far(values[:5], values)
+    key = (lambda i: str(i)) if ids == "string" else (lambda i: i)
+    expected = {key(q): brute(dist[q], [key(i) for i in range(60)], 4) for q in range(5)}
+    exact = vs.vector_search(corpus, asked, 4, None)
+    assert dict(exact.dtypes)["id"] == dict(corpus.dtypes)["id"] and found(exact) == expected
+    cells = vs.build_ivf(corpus, 3, work_dir(spark, "t-types"))
+    assert found(vs.ivf_search(spark, cells, asked, 3, 4, None)) == expected
+    bands = vs.build_lsh(corpus, work_dir(spark, "t-types"), 8, bands=8, bits=1)
+    assert {q: [i for i, _ in rows] for q, rows in found(vs.lsh_search(spark, bands, asked, 4, None)).items()} == {q: [i for i, _ in rows] for q, rows in expected.items()}
+    near = vs.knn_within(corpus.withColumn("g", F.lit(1)), corpus.withColumn("g", F.lit(1)), "g", 2)
+    assert {(r.scored_id, r.id) for r in near.where("rn = 1").collect()} == {
+        (key(i), min((d, key(j)) for j, d in enumerate(far(values, values)[i]) if j != i)[1]) for i in range(60)
+    }
+
+
+def test_many_queries_take_one_scan(spark, tables):
+    corpus, _, _, _ = tables
+    path = work_dir(spark, "t-scan")
+    tables[1].write.parquet(path)
+    many, many_df = make(spark, 5000, seed=6, schema="query_id long, vector array<float>")
+    result = vs.vector_search(spark.read.parquet(path), many_df, 3, None)
+    plan = result._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 1 and "CartesianProduct" not in plan and "NestedLoop" not in plan
+    rows = found(result)
+    dist = far(many, corpus)
+    assert len(rows) == 5000 and all(rows[q] == brute(dist[q], range(200), 3) for q in range(0, 5000, 97))
+
+
+def recall(got, exact, k=10):
+    want = [(q, i) for q, rows in exact.items() for i, _ in rows[:k]]
+    return sum(i in {j for j, _ in got.get(q, [])} for q, i in want) / len(want)
+
+
+def test_recall_of_the_approximate_searches(spark):
+    folder = "/root/testdata/sf0.01"
+    corpus = spark.read.parquet(f"{folder}/embeddings.parquet").select(F.col("vec_id").alias("id"), "embedding")
+    asked = corpus.where("id < 40").select(F.col("id").alias("query_id"), F.col("embedding").alias("vector"))
+    exact = found(vs.vector_search(corpus, asked, 10, 0.9))
+    cells = vs.build_ivf(corpus, 16, work_dir(spark, "t-recall"))
+    assert recall(found(vs.ivf_search(spark, cells, asked, 12, 10, 0.9)), exact) >= 0.9
+    bands = vs.build_lsh(corpus, work_dir(spark, "t-recall"), 64)
+    assert bands.bits == 3
+    assert recall(found(vs.lsh_search(spark, bands, asked, 10, 0.9)), exact) >= 0.9
 
 
 def test_probed_cells_prune_folders(spark, tables):
@@ -87,8 +135,11 @@ def test_probed_cells_prune_folders(spark, tables):
 
 def test_bands_return_exact_distances(spark, tables):
     corpus, corpus_df, asked, asked_df = tables
-    index = vs.build_lsh(corpus_df, 8, bands=12, bits=3)
-    got = found(vs.lsh_search(index, corpus_df, asked_df, 9, None))
+    index = vs.build_lsh(corpus_df, work_dir(spark, "t-bands"), 8, bands=12, bits=3)
+    result = vs.lsh_search(spark, index, asked_df, 9, None)
+    assert "WindowGroupLimit" in result._jdf.queryExecution().toString()
+    got = found(result)
+    assert all(len({i for i, _ in rows}) == len(rows) for rows in got.values())  # a row met in several bands counts once
     dist = far(asked, corpus)
     assert got
     for q, rows in got.items():
