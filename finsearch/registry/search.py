@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from finsearch.functions.vectors import cosine_distance, rounded
 from finsearch.operators import hybrid, text_search, vector_search
 from finsearch.operators.hybrid import ranked
-from finsearch.operators.prepare import embed
+from finsearch.operators.embedding import Embedder, embed, fit_embedder, load_embedder
 from finsearch.operators.summarize import summarize
 from finsearch.operators.text_index import build_text_index
 from finsearch.plans.search import SearchTables, search
@@ -245,9 +245,67 @@ def lsh_search(r: Roles) -> DataFrame:
     return vector_search.lsh_search(r.spark, index, r.query_batch(), 50, CUTOFF)
 
 
-@query("embed_docs")
+# words hashed to slots, weighted and scaled as the stored model says
+EMBEDDED = {
+    "texts": "SELECT 'd' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'q', item_id, text FROM benchmark",
+    "slotted": r"""SELECT kind, id, ('0x' || substr(md5(w), 1, 8))::BIGINT % 256 AS slot, count(*) AS tf
+        FROM (SELECT kind, id, unnest(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+')) AS w FROM texts) WHERE w <> '' GROUP BY ALL""",
+    "slot_idf": """SELECT slot, ln(((SELECT count(*) FROM documents) + 1)::DOUBLE / (count(*) FILTER (kind = 'd') + 1)::DOUBLE) AS idf
+        FROM (SELECT unnest(range(256)) AS slot) LEFT JOIN slotted USING (slot) GROUP BY slot""",
+    "weights": "SELECT kind, id, slot, tf * idf AS w FROM slotted JOIN slot_idf USING (slot)",
+    "unit": "SELECT kind, id, slot, CASE WHEN n > 0 THEN w / n ELSE 0 END AS w FROM weights JOIN (SELECT kind, id, sqrt(sum(w * w)) AS n FROM weights GROUP BY kind, id) USING (kind, id)",
+}
+
+
+def stored_embedder(r: Roles) -> Embedder:
+    """The model of all documents, saved and opened again."""
+    path = work_dir(r.spark, "embedder")
+    fit_embedder(r.table("documents")).save(r.spark, path)
+    return load_embedder(r.spark, path)
+
+
+@query("embed_docs", with_roles(more=EMBEDDED, body="SELECT id AS doc_id, slot, round(w, 6) + 0.0 AS weight, 'tfidf-hash-256' AS embedding_model FROM unit WHERE kind = 'd' AND w > 0"))
 def embed_docs(r: Roles) -> DataFrame:
-    return embed(r.table("documents").select("doc_id", "text")).select("doc_id", "embedding", "embedding_model")
+    """The vectors of all documents, without their zeros."""
+    found = embed(r.table("documents").select("doc_id", "text"), embedder=stored_embedder(r))
+    cells = found.select("doc_id", "embedding_model", F.posexplode("embedding").alias("slot", "weight")).where("weight > 0")
+    return cells.select("doc_id", F.col("slot").cast("long").alias("slot"), (F.round("weight", 6) + 0.0).alias("weight"), "embedding_model")
+
+
+def _letters(texts: list[str]) -> list[list[float]]:
+    """A model of the user: how many of the first letters of the alphabet a text has."""
+    return [[float(t.count(c)) for c in "abcde"] for t in texts]
+
+
+@query(
+    "embed_with_model",
+    "SELECT doc_id, " + ", ".join(f"CAST(length(text) - length(replace(text, '{c}', '')) AS DOUBLE) AS {c}" for c in "abcde") + ", 'letters' AS embedding_model FROM documents",
+)
+def embed_with_model(r: Roles) -> DataFrame:
+    found = embed(r.table("documents").select("doc_id", "text"), model="letters", encode=_letters)
+    return found.select("doc_id", *[F.get("embedding", F.lit(i)).cast("double").alias(c) for i, c in enumerate("abcde")], "embedding_model")
+
+
+@query(
+    "text_vector_search",
+    with_roles(
+        more={
+            **EMBEDDED,
+            "near": """SELECT q.id AS query_id, d.id, 1 - sum(q.w * d.w) AS far FROM unit q JOIN unit d ON q.kind = 'q' AND d.kind = 'd' AND q.slot = d.slot
+                GROUP BY q.id, d.id""",
+            "rated": "SELECT query_id, id, round(far, 9) + 0.0 AS distance FROM near",
+            "best": f"SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rn FROM rated WHERE distance < {CUTOFF} QUALIFY rn <= 10",
+        },
+        body="SELECT query_id, id, rn, round(distance, 6) + 0.0 AS distance FROM best",
+    ),
+)
+def text_vector_search(r: Roles) -> DataFrame:
+    """Every benchmark text as a query over all documents, in the vector space of the documents."""
+    model = stored_embedder(r)
+    corpus = model.transform(r.table("documents").select(F.col("doc_id").alias("id"), "text")).drop("text")
+    asked = model.transform(r.table("benchmark").select(F.col("item_id").alias("query_id"), "text"), name="vector").drop("text")
+    found = vector_search.vector_search(corpus, asked, 10, CUTOFF)
+    return found.withColumn("distance", rounded(F.col("distance"), 6))
 
 
 # --- hybrid --------------------------------------------------------------------------------------

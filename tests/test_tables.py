@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from finsearch import schemas
 from finsearch.functions.text import html_to_text, preview, route_query
 from finsearch.operators import prepare
+from finsearch.operators.embedding import embed, fit_embedder, load_embedder
 from finsearch.operators.summarize import summarize
 from finsearch.session import work_dir
 from finsearch.sources import audit, sinks, snapshots
@@ -186,10 +187,10 @@ def test_core_concepts(spark):
 
 def test_embeddings(spark):
     docs = spark.createDataFrame([(1, "bank credit"), (2, "bank risk"), (3, "")], "id long, text string")
-    rows = {r.id: r for r in prepare.embed(docs, dim=32).collect()}
+    rows = {r.id: r for r in embed(docs, dim=32).collect()}
     assert len(rows[1].embedding) == 32 and sum(x * x for x in rows[1].embedding) == pytest.approx(1, abs=1e-6)
     assert rows[1].embedding_model == "tfidf-hash-32" and sum(rows[3].embedding) == 0
-    custom = prepare.embed(docs, model="len", encode=lambda texts: [[len(t), 1] for t in texts]).orderBy("id").collect()
+    custom = embed(docs, model="len", encode=lambda texts: [[len(t), 1] for t in texts]).orderBy("id").collect()
     assert [r.embedding for r in custom] == [[11.0, 1.0], [9.0, 1.0], [0.0, 1.0]]
 
 
@@ -291,3 +292,18 @@ def test_every_text_has_a_summary(spark):
     docs = spark.createDataFrame([(1, "That it. The of."), (2, "Banks lend money. It is. Money is lent by banks today."), (3, ""), (4, None)], "id long, text string")
     got = {r.id: r.summary for r in summarize(docs, n_sentences=2).collect()}
     assert got == {1: "That it. The of.", 2: "Banks lend money. Money is lent by banks today."}
+
+
+def test_a_text_has_one_vector_alone_and_in_the_corpus(spark):
+    docs = spark.createDataFrame([(1, "alpha beta"), (2, "beta gamma gamma"), (3, ""), (4, None), (5, "unseen words")], "id long, text string")
+    model = fit_embedder(docs.where("id < 5"), dim=64)
+    path = work_dir(spark, "model")
+    model.save(spark, path)
+    again = load_embedder(spark, path)
+    assert again == model
+    together = {r.id: r.embedding for r in again.transform(docs).collect()}
+    for r in docs.collect():
+        alone = again.transform(docs.where(F.col("id") == r.id)).first().embedding
+        assert alone == together[r.id] and len(alone) == 64
+        norm = sum(x * x for x in alone)
+        assert abs(norm - 1) < 1e-9 if r.text else norm == 0
