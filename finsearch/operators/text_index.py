@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
@@ -51,12 +52,15 @@ def build_text_index(
     tokens = docs.select("id", "doc_len", F.posexplode_outer("words").alias("pos", "term")).where(
         is_indexed(F.col("term"), stop)
     )
-    if stem:
-        tokens = tokens.withColumn("term", stem_words(F.col("term")))
     measures = [F.count("*").alias("tf"), F.min("pos").alias("first_pos"), F.min("doc_len").alias("doc_len")]
     if positions:
         measures.append(F.sort_array(F.collect_list("pos")).alias("positions"))
     postings = tokens.groupBy("term", "id").agg(*measures)
+    if stem:  # postings are stemmed, not words, and those that fall together are added
+        again = [F.sum("tf").alias("tf"), F.min("first_pos").alias("first_pos"), F.min("doc_len").alias("doc_len")]
+        if positions:
+            again.append(F.sort_array(F.flatten(F.collect_list("positions"))).alias("positions"))
+        postings = postings.withColumn("term", stem_words(F.col("term"))).groupBy("term", "id").agg(*again)
     stats = docs.agg(F.count("*").alias("n_docs"), F.avg("doc_len").alias("avg_len"))
     index = TextIndex(postings, _vocabulary(postings), stats, stop, stem, buckets)
     return replace(index, postings=postings.withColumn("bucket", index.bucket(F.col("term"))))
@@ -66,28 +70,50 @@ def _vocabulary(postings: DataFrame) -> DataFrame:
     return postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("occurrences"))
 
 
-def save_text_index(index: TextIndex, path: str) -> TextIndex:
-    """Write the index; one folder per term bucket, sorted by term inside each file.
+def save_text_index(index: TextIndex, path: str, shards: int | None = None) -> TextIndex:
+    """Write the index: one folder per term bucket, in each of them one file per shard of documents, sorted by term.
 
-    Rows are ranged over bucket, term and document, so the postings of one frequent term
-    fill several files of about equal size.
+    All postings of a document lie in one shard, so a search matches, scores and cuts inside the shards
+    and moves its best rows only; a frequent term fills all shards evenly. Without ``shards`` there are as
+    many as shuffle partitions.
     """
     spark = index.postings.sparkSession
+    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     (
-        index.postings.repartitionByRange("bucket", "term", "id")
-        .sortWithinPartitions("bucket", "term", "id")
+        index.postings.repartition(shards, "id")
         .write.partitionBy("bucket")
-        .parquet(f"{path}/postings")
+        .bucketBy(shards, "id")
+        .sortBy("term", "id")
+        .format("parquet")
+        .option("path", f"{path}/postings")
+        .saveAsTable(_fresh_name())
     )
     _vocabulary(spark.read.parquet(f"{path}/postings")).write.parquet(f"{path}/vocabulary")
     # the mean length follows from the vocabulary; counting the texts does not read them
     n_docs = index.stats.select("n_docs").scalar()
     total = spark.read.parquet(f"{path}/vocabulary").agg(F.sum("occurrences").alias("total"))
-    stats = total.select(n_docs.alias("n_docs"), (F.coalesce("total", F.lit(0)) / n_docs).alias("avg_len"))
+    stats = total.select(n_docs.alias("n_docs"), (F.coalesce("total", F.lit(0)) / n_docs).alias("avg_len"), F.lit(shards).alias("shards"))
     stats.write.parquet(f"{path}/stats")
     return load_text_index(spark, path, index.stopwords, index.stem, index.buckets)
 
 
+def _fresh_name() -> str:
+    return f"finsearch_postings_{uuid.uuid4().hex[:12]}"
+
+
+def _sharded(spark: SparkSession, path: str, shards: int) -> DataFrame:
+    """Stored postings as a table that knows its shards: an external one, whose name is new in every session."""
+    name = _fresh_name()
+    columns = spark.read.parquet(path).schema
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in columns.fields)
+    spark.sql(
+        f"CREATE TABLE {name} ({fields}) USING parquet PARTITIONED BY (bucket) "
+        f"CLUSTERED BY (id) SORTED BY (term, id) INTO {shards} BUCKETS LOCATION '{path}'"
+    )
+    spark.sql(f"MSCK REPAIR TABLE {name}")
+    return spark.table(name)
+
+
 def load_text_index(
     spark: SparkSession,
     path: str,
@@ -96,10 +122,11 @@ def load_text_index(
     buckets: int = BUCKETS,
 ) -> TextIndex:
     """Open a saved index; the settings must be those it was built with."""
+    stats = spark.read.parquet(f"{path}/stats")
     return TextIndex(
-        postings=spark.read.parquet(f"{path}/postings"),
+        postings=_sharded(spark, f"{path}/postings", stats.first()["shards"]),
         vocabulary=spark.read.parquet(f"{path}/vocabulary"),
-        stats=spark.read.parquet(f"{path}/stats"),
+        stats=stats,
         stopwords=tuple(stopwords),
         stem=stem,
         buckets=buckets,

@@ -10,7 +10,7 @@ from finsearch.operators import hybrid, text_search, vector_search
 from finsearch.operators.hybrid import ranked
 from finsearch.operators.embedding import Embedder, embed, fit_embedder, load_embedder
 from finsearch.operators.summarize import summarize
-from finsearch.operators.text_index import build_text_index
+from finsearch.operators.text_index import build_text_index, save_text_index
 from finsearch.plans.search import SearchTables, search
 from finsearch.plans.search import analyze_hits as explain_hits
 from finsearch.registry import query
@@ -61,8 +61,7 @@ def fused_sql(fusion: str, pool: int, k: int, body: str, more: dict | None = Non
     ),
 )
 def text_index_stats(r: Roles) -> DataFrame:
-    """Built anew, unlike the saved index the searches share."""
-    index = build_text_index(r.texts(), "id", "chunk_text")
+    index = r.text_index()
     n_docs, avg_len = (index.stats.select(c).scalar() for c in ("n_docs", "avg_len"))
     return (
         index.postings.groupBy("term")
@@ -72,6 +71,29 @@ def text_index_stats(r: Roles) -> DataFrame:
     )
 
 
+@query("text_index_build", with_roles("postings", body="SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS occurrences FROM postings GROUP BY term"))
+def text_index_build(r: Roles) -> DataFrame:
+    """Built and written anew, unlike the index that the searches share."""
+    index = build_text_index(r.texts(), "id", "chunk_text", buckets=8)
+    return save_text_index(index, work_dir(r.spark, "text-index")).vocabulary
+
+
+@query(
+    "text_index_positions",
+    with_roles("tokens", body="SELECT term, id, string_agg(CAST(pos AS VARCHAR), ' ' ORDER BY pos) AS places FROM tokens GROUP BY term, id"),
+)
+def text_index_positions(r: Roles) -> DataFrame:
+    index = build_text_index(r.texts(), "id", "chunk_text", positions=True)
+    return index.postings.select("term", "id", F.array_join(F.transform("positions", lambda p: p.cast("string")), " ").alias("places"))
+
+
+@query("fts_stemmed")
+def fts_stemmed(r: Roles) -> DataFrame:
+    """Keyword search over stems; SQL has no stemmer, a test compares it with plain code."""
+    index = build_text_index(r.texts(), "id", "chunk_text", stem=True, buckets=8)
+    return text_search.matches(save_text_index(index, work_dir(r.spark, "stemmed-index")), r.queries())
+
+
 # --- keyword -------------------------------------------------------------------------------------
 
 

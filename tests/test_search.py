@@ -1,11 +1,13 @@
 """Text index, keyword scores, fusion and reranking on hand-made texts."""
 
 import math
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from finsearch.functions.stemming import stem
+from finsearch.functions.text import STOPWORDS
 from finsearch.operators import hybrid, text_search
 from finsearch.operators.summarize import summarize
 from finsearch.operators.text_index import build_text_index, load_text_index, save_text_index
@@ -79,6 +81,31 @@ def test_saved_index_answers_alike(spark, index):
     assert "BroadcastHashJoin" in plan and "CartesianProduct" not in plan
 
 
+def test_postings_stay_in_their_shards(spark, index):
+    stored = save_text_index(index, work_dir(spark, "t-index"), 4)
+    found = text_search.text_pool(stored, asked(spark, "bank credit", "risk"), 2)
+    assert {(r.query_id, r.id) for r in found.collect()} == {("q0", 1), ("q0", 2), ("q1", 1), ("q1", 2)}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    final = plan[: plan.index("Initial Plan")] if "Initial Plan" in plan else plan
+    above, below = final.split("WindowGroupLimit", 1)
+    postings = final[final.index("WindowGroupLimit") :]
+    assert "Bucketed: true" in postings and "SelectedBucketsCount: 4 out of 4" in postings
+    assert postings.count("Exchange hashpartitioning(query_id") <= 1  # the cut rows; postings are not exchanged
+    assert "hashpartitioning(id" not in final
+
+
+def test_stemmed_search_equals_plain_code(spark):
+    folder = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    docs = spark.createDataFrame(list(texts.items()), "id long, text string")
+    index = save_text_index(build_text_index(docs, stem=True, buckets=4), work_dir(spark, "t-stem"))
+    queries = ["thing ation", "heating"]
+    got = {(r.query_id, r.id) for r in text_search.matches(index, asked(spark, *queries)).collect()}
+    terms = {i: {stem(w) for w in re.split(r"[^\w]+|_", t.lower()) if w and w not in STOPWORDS} for i, t in texts.items()}
+    wanted = {f"q{n}": {stem(w) for w in q.split()} for n, q in enumerate(queries)}
+    assert got == {(q, i) for q, need in wanted.items() for i, own in terms.items() if need <= own}
+
+
 def test_many_terms_go_without_literals(spark, index, monkeypatch):
     queries = asked(spark, "bank credit", "risk")
     want = sorted(map(tuple, text_search.matches(index, queries).collect()))
