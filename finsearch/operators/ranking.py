@@ -6,8 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-MAX_BROADCAST_ROWS = 1_000_000
+MAX_BROADCAST_BYTES = 64 << 20
 
 
 def top_k(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int, rank: str = "rn") -> DataFrame:
@@ -21,9 +22,16 @@ def top_k(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int, ran
     return numbered.withColumn(rank, F.col(rank).cast("long"))
 
 
-def small_side(df: DataFrame, max_rows: int, limit: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast a side whose number of rows has a known bound; beyond the limit Spark shuffles."""
-    return F.broadcast(df) if max_rows <= limit else df
+def _row_bytes(kind: T.DataType) -> int:
+    """What a value takes in memory: its size if that is fixed, a guess for texts and arrays otherwise."""
+    if isinstance(kind, T.StructType):
+        return 16 + sum(_row_bytes(f.dataType) for f in kind.fields)
+    return {T.StringType: 256, T.ArrayType: 16_384, T.BinaryType: 16_384, T.MapType: 16_384}.get(type(kind), 16)
+
+
+def small_side(df: DataFrame, max_rows: int, limit: int = MAX_BROADCAST_BYTES) -> DataFrame:
+    """Broadcast a side whose number of rows is known and whose rows take ``limit`` bytes at most; Spark decides on others."""
+    return F.broadcast(df) if max_rows * _row_bytes(df.schema) <= limit else df
 
 
 def with_payload(hits: DataFrame, corpus: DataFrame, columns: Sequence[str], max_hits: int) -> DataFrame:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from finsearch.functions.text import STOPWORDS, TOKEN_GAP
 from finsearch.operators.text_index import TextIndex, build_text_index, save_text_index
@@ -35,10 +34,7 @@ class Roles:
         self.folder = folder.rstrip("/")
 
     def table(self, name: str) -> DataFrame:
-        path = f"{self.folder}/{name}.parquet"
-        if path not in _SCHEMAS:
-            _SCHEMAS[path] = self.spark.read.parquet(path).schema
-        return self.spark.read.schema(_SCHEMAS[path]).parquet(path)
+        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
     def chunks(self) -> DataFrame:
         docs, vectors = self.table("documents"), self.table("embeddings")
@@ -65,10 +61,7 @@ class Roles:
 
     def n_vectors(self) -> int:
         """Number of vectors, from the file footers; the events share them in turn."""
-        path = f"{self.folder}/embeddings.parquet"
-        if path not in _COUNTS:
-            _COUNTS[path] = self.table("embeddings").count()
-        return _COUNTS[path]
+        return self.table("embeddings").count()
 
     def transactions(self) -> DataFrame:
         return self.transactions_of(self.table("events"))
@@ -179,8 +172,8 @@ class Roles:
         return self.table("events").select("event_id", "ts", request_kind().alias("kind"))
 
     def text_index(self) -> TextIndex:
-        """The saved index of the chunks, built once per session and folder."""
-        key = (self.spark.sparkContext.applicationId, self.folder)
+        """The saved index of the chunks, built once per session and set of files."""
+        key = (self.spark.sparkContext.applicationId, *self.table("documents").inputFiles())
         if key not in _INDEXES:
             index = build_text_index(self.texts(), "id", "chunk_text", buckets=8)
             _INDEXES[key] = save_text_index(index, work_dir(self.spark, "text-index"))
@@ -210,9 +203,7 @@ def _chunk_columns(docs: DataFrame, *more: str) -> DataFrame:
     )
 
 
-_INDEXES: dict[tuple[str, str], TextIndex] = {}
-_SCHEMAS: dict[str, StructType] = {}
-_COUNTS: dict[str, int] = {}
+_INDEXES: dict[tuple[str, ...], TextIndex] = {}
 
 # --- the same tables as SQL common table expressions ---------------------------------------------
 

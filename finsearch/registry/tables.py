@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
 from datetime import datetime
 from functools import reduce
 
@@ -59,27 +60,35 @@ PARQUET_SUMS = {
 }
 
 
-def _register_all(r: Roles) -> None:
-    """Operational tables travel as CSV text, warehouse tables as Parquet; all come back as views with declared types."""
+CSV_ROWS_PER_FILE = 5_000  # texts with line breaks make a file one task
+
+
+def _register(r: Roles, names: Iterable[str]) -> None:
+    """Write the named tables and register them as views with declared types.
+
+    Operational tables travel as CSV text, warehouse tables as Parquet. Texts hold line breaks, so the files
+    of the chunks do not split; they are kept small instead.
+    """
     base = work_dir(r.spark, "load")
     money = F.concat(F.lit("$"), F.format_number(F.col("yearly_income"), 2))
-    chunks = r.chunks()
-    frames = {
-        "fraud_labels": r.fraud_labels(),
-        "cards": r.cards(),
-        "mcc_codes": r.mcc_codes(),
-        "users": r.users(),
-        "transactions_25_26": r.transactions(),
-        "sec_document_chunks": chunks,
-        "sec_to_iceberg_mapping": r.mapping(),
-        "stock_metadata": r.stocks(),
-        "company_concepts": r.concepts(),
-        "company_tickers": r.tickers(),
-        "sec_13f_holdings": r.holdings().withColumn("cusip", F.col("cusip").cast("string")),
-        "sec_10k_iceberg": r.filings(),
+    frames: dict[str, Callable[[], DataFrame]] = {
+        "fraud_labels": r.fraud_labels,
+        "cards": r.cards,
+        "mcc_codes": r.mcc_codes,
+        "users": r.users,
+        "transactions_25_26": r.transactions,
+        "sec_document_chunks": r.chunks,
+        "sec_to_iceberg_mapping": r.mapping,
+        "stock_metadata": r.stocks,
+        "company_concepts": r.concepts,
+        "company_tickers": r.tickers,
+        "sec_13f_holdings": lambda: r.holdings().withColumn("cusip", F.col("cusip").cast("string")),
+        "sec_10k_iceberg": r.filings,
     }
-    for name, df in frames.items():
-        df = _as_declared(df, name)
+    catalog = {}
+    for name in names:
+        df = _as_declared(frames[name](), name)
+        catalog[name] = (f"{base}/{name}", "parquet" if name in PARQUET_SUMS else "csv")
         if name in PARQUET_SUMS:
             df.write.parquet(f"{base}/{name}")
             continue
@@ -88,9 +97,8 @@ def _register_all(r: Roles) -> None:
         for field in df.schema.fields:
             if isinstance(field.dataType, T.ArrayType):
                 df = df.withColumn(field.name, F.to_json(field.name))
-        df.write.csv(f"{base}/{name}", header=True, escape='"')
-    kinds = {**dict.fromkeys(CSV_SUMS, "csv"), **dict.fromkeys(PARQUET_SUMS, "parquet")}
-    sources.register_sources(r.spark, {n: (f"{base}/{n}", kind) for n, kind in kinds.items()}, multiline=["sec_document_chunks"])
+        df.write.option("maxRecordsPerFile", CSV_ROWS_PER_FILE).csv(f"{base}/{name}", header=True, escape='"')
+    sources.register_sources(r.spark, catalog, multiline=["sec_document_chunks"])
 
 
 @query(
@@ -105,7 +113,7 @@ def _register_all(r: Roles) -> None:
     ),
 )
 def load_counts(r: Roles) -> DataFrame:
-    _register_all(r)
+    _register(r, [*CSV_SUMS, *PARQUET_SUMS])
     return r.spark.sql(
         " UNION ALL ".join(
             f"SELECT '{n}' AS table_name, count(*) AS n_rows, cast(sum({expr}) AS double) AS checksum FROM {n}"
@@ -126,8 +134,8 @@ def load_counts(r: Roles) -> DataFrame:
     ),
 )
 def federated_join(r: Roles) -> DataFrame:
-    """One SQL statement over operational and warehouse views."""
-    _register_all(r)
+    """One SQL statement over operational and warehouse views, which are all that is loaded."""
+    _register(r, ["sec_document_chunks", "company_concepts", "company_tickers"])
     return r.spark.sql(
         f"""SELECT ticker, n_chunks, n_companies, total
         FROM (SELECT ticker, count(*) AS n_chunks FROM sec_document_chunks GROUP BY ticker)

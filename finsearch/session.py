@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
@@ -42,7 +44,31 @@ def work_dir(spark: SparkSession, label: str) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder that all executors share")
         base = _one_machine_folder()
-    return f"{base.rstrip('/')}/finsearch/{label}-{uuid.uuid4().hex[:12]}"
+    path = f"{base.rstrip('/')}/finsearch/{label}-{uuid.uuid4().hex[:12]}"
+    for held in _SCRATCH:
+        held.append(path)
+    return path
+
+
+_SCRATCH: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Remove the work folders that the block asked for, once it is done.
+
+    For blocks that write their result elsewhere, such as a batch of a stream: what they held in
+    between would pile up.
+    """
+    held: list[str] = []
+    _SCRATCH.append(held)
+    try:
+        yield
+    finally:
+        _SCRATCH.remove(held)
+        for path in held:
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def written(df: DataFrame, label: str) -> DataFrame:

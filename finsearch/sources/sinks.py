@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from finsearch.schemas import TRADES
-from finsearch.session import written
+from finsearch.session import scratch, written
 from finsearch.sources.snapshots import claim_part, complete_parts
 
 
@@ -90,7 +90,8 @@ def append_trades(df: DataFrame, path: str, now: datetime) -> DataFrame:
     """
     spark = df.sparkSession
     part = claim_part(spark, path, "append")
-    numbered_trades(df, part, now).write.mode("overwrite").parquet(f"{path}/append={part}")
+    with scratch(spark):
+        numbered_trades(df, part, now).write.mode("overwrite").parquet(f"{path}/append={part}")
     return read_trades(spark, path)
 
 

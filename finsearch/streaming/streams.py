@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from finsearch.operators.load import load_counts, load_percentages
+from finsearch.session import scratch
 from finsearch.sources.sinks import numbered_trades
 from finsearch.sources.snapshots import read_snapshot, refresh_snapshot, snapshot_versions
 
@@ -28,11 +29,13 @@ def score_stream(
 ) -> StreamingQuery:
     """Score every batch with ``score`` and store the result.
 
-    Each batch owns one folder and overwrites it, so a repeated batch leaves no duplicates.
+    Each batch owns one folder and overwrites it, so a repeated batch leaves no duplicates. What the
+    scoring writes in between is removed with the batch.
     """
 
     def batch(df: DataFrame, batch_id: int) -> None:
-        score(df).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+        with scratch(df.sparkSession):
+            score(df).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
 
     return (
         stream.writeStream.foreachBatch(batch)
@@ -89,8 +92,8 @@ def trade_stream(stream: DataFrame, out: str, checkpoint: str, now: datetime) ->
     """
 
     def batch(df: DataFrame, batch_id: int) -> None:
-        rows = numbered_trades(df, batch_id, now)
-        rows.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+        with scratch(df.sparkSession):
+            numbered_trades(df, batch_id, now).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
 
     return (
         stream.writeStream.foreachBatch(batch)

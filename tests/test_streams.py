@@ -1,11 +1,14 @@
 """Streams over several files: repeated runs, late rows, bounded results."""
 
+import os
 from datetime import datetime, timedelta
+from urllib.parse import urlparse
 
 import pytest
 from pyspark.sql import functions as F
 
-from finsearch.session import work_dir
+from finsearch.plans import fraud
+from finsearch.session import work_dir, written
 from finsearch.sources.snapshots import read_snapshot
 from finsearch.streaming import streams
 
@@ -56,6 +59,34 @@ def test_scores_are_written_once(spark, folder):
     assert run() == run() == list(range(70))
 
 
+def test_batches_leave_no_intermediates(spark, folder):
+    base, held = work_dir(spark, "scores"), []
+
+    def score(df):
+        kept = written(df.select("id"), "in-between")
+        held.extend(kept.inputFiles())
+        return kept
+
+    streams.score_stream(read(spark, folder), score, f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    assert spark.read.parquet(f"{base}/out").count() == 60
+    assert held and not any(os.path.exists(urlparse(f).path) for f in held)
+
+
+def test_arrivals_that_history_does_not_have_are_scored(spark):
+    history = [(1, START, 7, 1, 1.0, 1, "c", "t", [1.0, 0.0]), (2, START + timedelta(days=1), 7, 1, 1.0, 1, "c", "t", [0.0, 1.0])]
+    schema = "id long, date timestamp_ntz, client_id long, card_id long, amount double, mcc int, merchant_city string, transaction_description string, embedding array<float>"
+    stored = spark.createDataFrame(history, schema)
+    cards, codes = spark.createDataFrame([(1,)], "id long"), spark.createDataFrame([(1, "x")], "mcc short, description string")
+    path = work_dir(spark, "new-arrivals")
+    new = [(3, START + timedelta(days=2), 7, 1, 1.0, 1, "c", "t", [1.0, 0.0]), (4, START, 8, 1, 1.0, 1, "c", "t", [1.0, 0.0])]
+    spark.createDataFrame(new, schema).write.parquet(path)
+    base = work_dir(spark, "scores")
+    score = lambda df: fraud.score_transactions(df, stored, cards, codes, 0.1, as_of=True)
+    streams.score_stream(read(spark, path, schema), score, f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    rows = {r.id: (r.avg_distance, r.n_neighbours) for r in spark.read.parquet(f"{base}/out").collect()}
+    assert rows == {3: (0.5, 2), 4: (0.0, 0)}
+
+
 def test_trades(spark, folder):
     base = work_dir(spark, "trades")
 
