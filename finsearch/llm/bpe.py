@@ -98,7 +98,7 @@ class Encoder:
         known = self.pairs.get(key)
         if known is None:
             known = self.pairs[key] = self._compatible(left, right, 1 << 60)
-            if len(self.pairs) > 4_000_000:
+            if len(self.pairs) > 1_000_000:
                 self.pairs.clear()
         return known
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from finsearch.llm.boosting import Trees, fit
 from finsearch.llm.common import text_of
-from finsearch.llm.dom import N_FEATURES, Tree, decoded, features, parse
+from finsearch.llm.dom import Tree, decoded, features, parse
 
 TRAINING_PAGES = 2000  # the bound of the labelled sample
 OWN = ""  # stands in front of every text of the article while the labels are read

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from finsearch.llm import bpe, chat, extraction, langid, packing, pii, quality, simhash, syncmers, warc
+from finsearch.llm import bpe, chat, extraction, langid, packing, pii, pii_sql, quality, simhash, syncmers, warc
 from finsearch.session import work_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -188,7 +188,7 @@ def bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.round_trip(table(spark, folder, "documents"), TOKENIZER)
 
 
-@query("op10_information_theoretic_pii")
+@query("op10_information_theoretic_pii", pii_sql.statement())
 def information_theoretic_pii(spark: SparkSession, folder: str) -> DataFrame:
     found = pii.found_in(table(spark, folder, "documents"))
     number = lambda kind: F.size(F.filter("entities", lambda e: e["kind_no"] == pii.KINDS.index(kind))).cast("long")
