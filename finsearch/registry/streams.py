@@ -13,7 +13,7 @@ from finsearch.registry.fraud import scores_sql
 from finsearch.registry.roles import THRESHOLD, Roles, request_kind, with_roles
 from finsearch.registry.tables import LOAD, SHARE
 from finsearch.session import work_dir
-from finsearch.sources.sinks import read_trades
+from finsearch.sources.sinks import build_clustered, read_trades
 from finsearch.sources.snapshots import complete_parts, read_snapshot
 from finsearch.streaming import streams
 
@@ -27,9 +27,12 @@ def _events(r: Roles) -> DataFrame:
     with_roles("known", "apart", more=scores_sql("transactions", True), body="SELECT id, avg_distance, n_neighbours, is_anomalous FROM scores"),
 )
 def stream_scores(r: Roles) -> DataFrame:
-    """Arriving transactions scored against the stored history, earlier rows only."""
+    """Arriving transactions scored against the stored history, earlier rows only.
+
+    The history is stored by client once, not put together again for every batch.
+    """
     base = work_dir(r.spark, "stream-scores")
-    history = r.transactions()
+    history = build_clustered(r.transactions(), f"{base}/history", ["client_id"])
 
     def score(batch: DataFrame) -> DataFrame:
         return fraud.score_transactions(r.transactions_of(batch), history, r.cards(), r.mcc_codes(), THRESHOLD, as_of=True)
