@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from finsearch.llm import bpe, chat, extraction, langid, packing, pii, pii_sql, quality, simhash, syncmers, warc
-from finsearch.session import work_dir
+from finsearch.session import work_dir, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -68,7 +68,8 @@ def syncmer_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
 def warc_reassembly(spark: SparkSession, folder: str) -> DataFrame:
     path = work_dir(spark, "archives")
     warc.write_archives(table(spark, folder, "pages"), path)
-    records = warc.decoded(warc.reassembled(warc.read_archives(spark, path)), with_payload=False)
+    # looked up by the revisits too: written once, instead of reading the archives again
+    records = written(warc.decoded(warc.reassembled(warc.read_archives(spark, path)), with_payload=False), "records")
     return warc.page_records(records).select(
         F.col("page_id").cast("long").alias("page_id"),
         "payload_bytes",

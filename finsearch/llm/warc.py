@@ -131,7 +131,7 @@ def write_archives(
 
     # bytes pass through a string column as they are
     rows = marked.mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value"))
-    rows.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    rows.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
 
 
 RECORD = "record_id string, record_type string, uri string, page_id string, digest string, refers_to string, origin string, number int, total long, block binary"
