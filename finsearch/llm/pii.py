@@ -1,7 +1,7 @@
 """Personal data by patterns, and terms that reveal it, with Spark expressions only.
 
 Patterns find e-mail addresses, IP addresses, card and phone numbers: the protected entities.
-A term beside an entity reveals it as far as the corpus says so: its pointwise mutual information
+A term in a document of an entity reveals it as far as the corpus says so: its pointwise mutual information
 with the entity, log2(p(t, e) / (p(t) p(e))), against the information of the entity itself,
 -log2 p(e). Terms that give away more than a share of that information are generalised, those
 that give away nearly all of it are removed.
@@ -25,9 +25,13 @@ IP_PART = r"^0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])$"
 CARD = r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?+[0-9]){13,18}+(?![\x20-]?[0-9])"
 PHONE = r"\+(?=[0-9])(?:[\x20().-]*+[0-9]){10,15}+(?![\x20().-]*+[0-9])"
 SPACE = r"\x20\x09-\x0D"
-TERM = rf"(?<![^{SPACE}])[^\p{{L}}{SPACE}]*+(\p{{L}}{{2,}}+)[^\p{{L}}{SPACE}]*+(?![^{SPACE}])"  # a word of letters, with marks around it
+# a token of letters, digits and marks, joined by inner hyphens and apostrophes, with any signs around it; one letter at least
+_SIGN = rf"[^\p{{L}}\p{{M}}\p{{N}}{SPACE}]"
+_PART = r"[\p{L}\p{M}\p{N}]"
+_JOIN = r"['\u2019\u2010\u2011-]"
+TERM = rf"(?<![^{SPACE}]){_SIGN}*+(?={_PART}(?:{_PART}|{_JOIN}{_PART}))(?=(?:[\p{{M}}\p{{N}}]|{_JOIN})*+\p{{L}})({_PART}++(?:{_JOIN}{_PART}++)*+){_SIGN}*+(?![^{SPACE}])"
 
-CONTEXT = 64  # code points on either side of an entity
+CONTEXT = 64  # code points on either side of an entity; of the SQL form only, terms are sought in the whole document
 SUPPORT = 3  # different texts that must show a term beside an entity
 GENERALISE, REMOVE = 0.8, 0.95  # shares of an entity's information that a term may not reach
 
@@ -81,47 +85,49 @@ def entities(text: Column) -> Column:
     return F.sort_array(found)
 
 
-def terms_beside(text: Column, found: Column) -> Column:
-    """``array<struct<entity, term, start, end>>``: words within ``CONTEXT`` of an entity, cut-off ones left out."""
-    left, right = F.lit("a1"), F.lit("1a")  # glued to a word they make it no term; alone they are none
+def terms_of(text: Column) -> Column:
+    """``array<string>``: the different terms of a text, in lower case."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(1)), lambda t: F.lower(t)))
 
-    def beside(blocks: Column) -> Column:
-        def of(entity: Column) -> Column:
-            at = F.greatest(entity["start"] - CONTEXT, F.lit(0).cast("long"))
-            before = F.concat(F.when(at > 0, left).otherwise(F.lit("")), span_of(blocks, at, entity["start"] - at), right)
-            whole = entity["end"] + CONTEXT >= F.length(text)
-            after = F.concat(left, span_of(blocks, entity["end"], F.lit(CONTEXT)), F.when(whole, F.lit("")).otherwise(right))
-            return F.concat(
-                terms(before, F.when(at > 0, at - 2).otherwise(at), entity["entity"]), terms(after, entity["end"] - 2, entity["entity"])
-            )
 
-        return F.flatten(F.transform(found, of))
-
-    def terms(window: Column, at: Column, entity: Column) -> Column:
-        def word(m: Column) -> Column:
-            letters = F.regexp_extract(m["value"], r"\p{L}+", 0)
-            start = at + m["start"] + F.length(F.regexp_extract(m["value"], r"^[^\p{L}]*", 0))
-            return F.struct(entity.alias("entity"), F.lower(letters).alias("term"), start.alias("start"), (start + F.length(letters)).alias("end"))
-
-        return F.transform(matches(window, TERM), word)
+def term_spans(text: Column, marks: Column) -> Column:
+    """``array<struct<start, end, removed>>``: every occurrence of the terms that ``marks``, a map of term to ``removed``, has."""
+    pairs = F.arrays_zip(
+        F.split(text, TERM, -1).alias("gap"), F.regexp_extract_all(text, F.lit(TERM), F.lit(0)).alias("hit"), F.regexp_extract_all(text, F.lit(TERM), F.lit(1)).alias("term")
+    )
 
-    return once(blocks_of(text), beside)
+    def step(state: Column, pair: Column) -> Column:
+        at = state["at"] + F.length(pair["gap"])
+        start = at + F.length(F.regexp_extract(pair["hit"], rf"^{_SIGN}*+", 0))
+        removed = F.element_at(marks, F.lower(pair["term"]))
+        found = F.array(F.struct(start.alias("start"), (start + F.length(pair["term"])).alias("end"), removed.alias("removed")))
+        # only occurrences make a new array: a text costs its length and not its square
+        return F.struct(F.coalesce(at + F.length(pair["hit"]), at).alias("at"), F.when(removed.isNull(), state["found"]).otherwise(F.concat(state["found"], found)).alias("found"))
+
+    empty = F.array().cast("array<struct<start:bigint,end:bigint,removed:boolean>>")
+    return F.aggregate(pairs, F.struct(F.lit(0).cast("long").alias("at"), empty.alias("found")), step)["found"]
 
 
-def disclosing(pairs: DataFrame, docs: DataFrame, text_col: str, generalise: float = GENERALISE, support: int = SUPPORT) -> DataFrame:
+def disclosing(held: DataFrame, docs: DataFrame, text_col: str, generalise: float = GENERALISE, support: int = SUPPORT) -> DataFrame:
     """``(entity, term, share)``: terms that reveal at least a share of an entity's information.
 
-    ``pairs(id, text_hash, entity, term)`` are terms beside entities. All counts are of
-    documents: with the pair, the term, the entity, and all. A pair needs ``support`` different
-    texts, so that copies alone reveal nothing. A term that every document has is a row per task.
+    ``held(id, text_hash, entities, words)`` are the documents with entities: the different entities and terms
+    of each. All counts are of documents: with the pair, the term, the entity, and all. A pair needs ``support``
+    different texts, so that copies alone reveal nothing; entities of fewer are left out before they meet any
+    term. Equal texts meet their terms once, with the number of documents that have them.
     """
-    seen = pairs.select("id", "text_hash", "entity", "term").distinct()
-    both = seen.groupBy("entity", "term").agg(F.count("*").alias("n_both"), F.count_distinct("text_hash").alias("texts"))
-    both = written(both.where(F.col("texts") >= support), "term-pairs")
-    holders = pairs.select("id", "text_hash", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
-    words = F.array_distinct(F.regexp_extract_all(F.lower(text_of(text_col)), F.lit(TERM), F.lit(1)))
-    counts = docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
-    counts = counts.join(both.select("term").distinct(), "term", "left_semi")
+    texts = held.groupBy("text_hash").agg(F.count_distinct(F.struct("id")).alias("n"), F.first("entities").alias("entities"), F.first("words").alias("words"))
+    holds = texts.select("text_hash", "n", F.explode("entities").alias("entity"))
+    holders = holds.groupBy("entity").agg(F.sum("n").alias("n_entity"), F.count("*").alias("texts")).where(F.col("texts") >= support).drop("texts")
+    holders = written(holders, "entity-counts")
+    asked = holds.join(holders.select("entity"), "entity", "left_semi").groupBy("text_hash").agg(F.collect_list("entity").alias("entities"))
+    # a row per text and entity before the terms: the terms of one entity are spread over the tasks of all its texts
+    met = texts.select("text_hash", "n", "words").join(asked, "text_hash").select("n", "words", F.explode("entities").alias("entity"))
+    both = met.select("entity", "n", F.explode("words").alias("term")).groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.count("*").alias("texts"))
+    both = written(both.where(F.col("texts") >= support).drop("texts"), "term-pairs")
+    # counted per task before the join, which a semi join would not be: a term that every document has is a row per task
+    counts = docs.select(F.explode(terms_of(text_of(text_col))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
+    counts = counts.join(both.select("term").distinct(), "term")
     total = docs.agg(F.count("*").alias("n_all"))
     known = both.join(holders, "entity").join(counts, "term", "left").crossJoin(F.broadcast(total))
     shown = F.greatest("n_both", F.coalesce("n_term", F.lit(0)))
@@ -134,22 +140,27 @@ def disclosing(pairs: DataFrame, docs: DataFrame, text_col: str, generalise: flo
 def found_in(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, text_hash, entities, terms)`` of every row: all personal data, and the terms that reveal it.
 
-    ``terms`` is ``array<struct<start, end, removed>>``. Null and empty texts have neither. Rows are matched
+    ``terms`` is ``array<struct<start, end, removed>>``: every occurrence, near or far, of a term that reveals an
+    entity of the document. Null and empty texts have neither. Rows are matched
     with their terms by id and text: repeated rows get equal results, null ids get theirs.
     """
     text = text_of(text_col)
     first = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("text_hash"), text.alias("text"), entities(text).alias("entities"))
-    beside = F.when(F.size("entities") > 0, terms_beside(F.col("text"), F.col("entities")))
-    base = written(first.select("id", "text_hash", "entities", beside.alias("beside")), "entities")
-    pairs = base.select("id", "text_hash", F.explode("beside").alias("t")).select("id", "text_hash", "t.entity", "t.term", "t.start", "t.end")
-    revealing = disclosing(pairs, docs.select(text_col), text_col)
-    hits = pairs.join(revealing, ["entity", "term"]).groupBy("id", "text_hash", "start", "end").agg((F.max("share") >= REMOVE).alias("removed"))
-    terms = hits.groupBy(F.col("id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.sort_array(F.collect_list(F.struct("start", "end", "removed"))).alias("terms"))
+    # the text stays only where there is something to find in it
+    base = written(first.withColumn("text", F.when(F.size("entities") > 0, F.col("text"))), "entities")
+    own = F.array_distinct(F.transform("entities", lambda e: e["entity"]))
+    held = base.where("text is not null").select("id", "text_hash", own.alias("entities"), terms_of(F.col("text")).alias("words"))
+    revealing = disclosing(held, docs.select(text_col), text_col)
+    told = revealing.groupBy("entity").agg(F.collect_list(F.struct("term", "share")).alias("told"))
+    holds = base.where("text is not null").select("id", "text_hash", F.explode(own).alias("entity")).distinct()
+    terms = holds.join(told, "entity").select("id", "text_hash", F.explode("told").alias("t")).groupBy("id", "text_hash", "t.term").agg((F.max("t.share") >= REMOVE).alias("removed"))
+    terms = terms.groupBy(F.col("id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.map_from_entries(F.collect_list(F.struct("term", "removed"))).alias("marks"))
     same = base["id"].eqNullSafe(terms["_id"]) & (base["text_hash"] == terms["_hash"])
     none = F.array().cast("array<struct<start:bigint,end:bigint,removed:boolean>>")
     clear = lambda t: ~F.exists("entities", lambda e: (e["start"] < t["end"]) & (t["start"] < e["end"]))
+    found = F.when(F.col("marks").isNotNull(), term_spans(F.col("text"), F.col("marks")))
     return base.join(terms, same, "left").select(
-        F.col("id").alias(id_col), "text_hash", "entities", F.filter(F.coalesce("terms", none), clear).alias("terms")
+        F.col("id").alias(id_col), "text_hash", "entities", F.filter(F.coalesce(found, none), clear).alias("terms")
     )
 
 

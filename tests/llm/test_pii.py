@@ -174,3 +174,26 @@ def test_query_equals_brute_force(spark, folder):
         assert [r["n_email"], r["n_ip"], r["n_card"], r["n_phone"]] == [sum(s[1] == k for s in base) for k in range(4)]
         apart = [(a, 4, b) for a, b in terms[r["doc_id"]] if not any(s < b and a < e for s, _, e, _ in base)]
         assert r["spans"] == listed([s[:3] for s in base] + apart)
+
+
+def test_terms_of_the_whole_document(spark):
+    rng = random.Random(8)
+    vocabulary = [f"w{chr(97 + i)}{chr(97 + j)}" for i in range(20) for j in range(20)]
+    names = ["O'Brien", "Anne-Marie", "kim1987", "Ze\u0301lie", "Zorblax"]
+    docs = {}
+    for i in range(300):
+        text = [rng.choice(vocabulary) for _ in range(60)]
+        if i % 30 == 0:  # before the entity and behind it, far beyond 64 code points; once beside it, in every second text only
+            text = [*names, *text, " " * 10 + "zed@mail.example.com", *(["(Quorn!)"] if i % 60 else []), *text, *[n.upper() for n in names], "Quorn"]
+        docs[i] = " ".join(text)
+    docs[900] = "Zorblax in a text without the address stays"
+    rows = {r["doc_id"]: r for r in pii.found_in(frame(spark, list(docs.items()))).collect()}
+    for i in range(0, 300, 30):
+        got = [docs[i][t["start"] : t["end"]] for t in rows[i]["terms"]]
+        want = [*names, *(["Quorn"] if i % 60 else []), *[n.upper() for n in names], "Quorn"]
+        assert [t for t in got if not t.startswith("w")] == want
+    assert rows[900]["terms"] == []
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitised(frame(spark, list(docs.items()))).collect()}
+    for i in range(0, 300, 30):
+        assert not any(n.lower() in clean[i].lower() for n in [*names, "Quorn", "zed@"]), clean[i]
+    assert clean[900] == docs[900]
