@@ -1,55 +1,98 @@
 """Document fingerprints from closed syncmers, with Spark expressions only.
 
-A text is cut into short units inside its words. Of all runs of K units those are anchors whose
-smallest inner run of S units stands at the left or right edge. Whether a run is an anchor
-depends on its own units alone, so an unchanged passage keeps its anchors wherever it moves. The
-anchors are dealt by their hash to a fixed number of bins; a fingerprint is the smallest anchor of
-each bin. Bins that agree estimate the share of anchors two texts have in common.
+The units of a text are its code points without white space. Of all runs of K units, one from every
+unit on, those are anchors whose smallest inner run of S units stands at the left or right edge. Whether
+a run is an anchor depends on its own units alone, so an unchanged passage keeps its anchors wherever it
+moves, by however few characters. ``anchored`` gives all of them with their positions. For a fingerprint
+they are dealt by their hash to a fixed number of bins, and it has the smallest anchor of each bin. Bins
+that agree estimate the share of anchors two texts have in common.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from finsearch.llm.common import once, ranked, text_of
 
-K, S = 5, 2
-UNIT = r"\S{1,3}"
+K, S = 15, 6
+INNER = K - S + 1  # runs of S units in a run of K
+UNIT = r"\S"
 BIN_BITS = 7  # 128 bins; a fingerprint has at most 8 hex digits for each
 
 
-def anchors(units: Column) -> Column:
-    """``array<int>``: hashes of the closed syncmers. Texts of fewer than K units are one anchor, empty ones none."""
-    inner = K - S + 1
+def units_of(text: Column) -> Column:
+    """The text without its white space."""
+    return F.regexp_replace(text, r"\s+", "")
+
 
-    def from_hashes(h: Column) -> Column:
-        count = F.size(h)
-        short = F.when(count > 0, F.array(F.xxhash64(F.array_join(F.transform(h, lambda x: x.cast("string")), " ")))).otherwise(F.array().cast("array<bigint>"))
-        starts = F.sequence(F.lit(0), count - S)
-        runs = F.transform(starts, lambda i: F.xxhash64(*[F.get(h, i + j) for j in range(S)]))
-        return F.when(count < K, short).otherwise(once(runs, from_runs))
+def _closed(units: Column) -> Column:
+    """``array<struct<place, anchor>>`` of the closed syncmers; none in fewer than K units."""
 
     def from_runs(r: Column) -> Column:
-        def closed(i: Column) -> Column:
-            edge = F.least(F.get(r, i), F.get(r, i + inner - 1))
-            return edge <= F.least(*[F.get(r, i + j) for j in range(1, inner - 1)])
+        def closed(y: Column, i: Column) -> Column:
+            # compared one by one, so that most places are done after three or four; what lacks its last run is none
+            return reduce(and_, [*[y <= F.get(r, i + j) for j in range(1, INNER - 1)], i <= F.size(r) - INNER])
+
+        hashed = lambda i: F.xxhash64(*[F.get(r, i + j) for j in range(0, INNER, S)], F.get(r, i + INNER - 1))
+        one = lambda i: F.struct(i.alias("place"), F.shiftright(hashed(i), 32).cast("int").alias("anchor"))
+        edges = F.zip_with(r, F.slice(r, F.lit(INNER), F.size(r)), lambda x, y: F.least(x, y))
+        return F.filter(F.transform(edges, lambda y, i: F.when(closed(y, i), one(i))), lambda p: p.isNotNull())
+
+    # a code point is taken at a time, and the S units from it on are looked at
+    runs = F.regexp_extract_all(units, F.lit(f"(?s)(?=(.{{{S}}}))."), F.lit(1))
+    return once(F.transform(runs, lambda x: F.xxhash64(x)), from_runs)
+
+
+def placed(units: Column) -> Column:
+    """``array<struct<place, anchor>>`` of a text without white space: all closed syncmers and the unit that each starts at.
+
+    Texts of fewer than K units are one anchor, empty ones none.
+    """
+    short = F.array(F.struct(F.lit(0).alias("place"), F.shiftright(F.xxhash64(units), 32).cast("int").alias("anchor")))
+    size = F.length(units)
+    return F.when(size >= K, _closed(units)).when(size > 0, short).otherwise(F.array().cast("array<struct<place:int,anchor:int>>"))
+
 
-        places = F.filter(F.sequence(F.lit(0), F.size(r) - inner), closed)
-        return F.transform(places, lambda i: F.xxhash64(*[F.get(r, i + j) for j in range(0, inner, S)], F.get(r, i + inner - 1)))
+def anchors(units: Column) -> Column:
+    """``array<int>``: hashes of the closed syncmers of an array of units, in their order."""
+    return once(F.array_join(units, ""), placed)["anchor"]
+
+
+def anchored(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``docs`` with ``anchors``, an ``array<struct<start, end, anchor>>``: all anchors with their code points in the text, end exclusive."""
+    text = text_of(text_col)
+    letters = F.split(text, "")
 
-    hashes = F.transform(units, lambda u: F.xxhash64(u))
-    return F.transform(once(hashes, from_hashes), lambda a: F.shiftright(a, 32).cast("int"))
+    def of(at: Column) -> Column:
+        end = lambda p: F.get(at, F.least(p["place"] + K, F.size(at)) - 1) + 1
+        return F.transform(placed(units_of(text)), lambda p: F.struct(F.get(at, p["place"]).alias("start"), end(p).alias("end"), p["anchor"].alias("anchor")))
+
+    # the code point of every unit
+    at = once(letters, lambda x: F.filter(F.sequence(F.lit(0), F.size(x) - 1), lambda i: F.get(x, i).rlike(UNIT)))
+    return docs.withColumn("anchors", once(at, of))
 
 
 def _bin(anchor: Column) -> Column:
     return F.shiftright(anchor, 32 - BIN_BITS)
 
 
+def smallest(found: Column) -> Column:
+    """``array<int>``: of anchors, the smallest of every bin that has one, in order of the bins."""
+    return once(F.sort_array(found), lambda rows: F.filter(rows, lambda a, i: (i == 0) | (_bin(a) != _bin(F.get(rows, i - 1)))))
+
+
 def fingerprint(text: Column) -> Column:
     """``array<int>``: the smallest anchor of every bin that has one, in order of the bins. Empty texts have none."""
-    ordered = F.sort_array(anchors(F.regexp_extract_all(text, F.lit(UNIT), F.lit(0))))
-    return once(ordered, lambda rows: F.filter(rows, lambda a, i: (i == 0) | (_bin(a) != _bin(F.get(rows, i - 1)))))
+    return smallest(once(units_of(text), placed)["anchor"])
+
+
+def _within(found: Column, units: Column) -> Column:
+    """The fingerprint of the first ``units`` units, as far as whole syncmers lie in them."""
+    return smallest(F.filter(found, lambda p: p["place"] + K <= units)["anchor"])
 
 
 def as_text(prints: Column) -> Column:
@@ -91,13 +134,28 @@ def edited_and_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.pmod(F.col("rank") + 1, F.lit(max(total, 1))).alias("rank"), F.col("key").alias("to"), F.floor(F.col("n") / 2).cast("int").alias("asked")
     )
     places = order.join(given_to, "rank").select("key", "to", "asked")
-    held = rows.join(places, "key").withColumn("print", fingerprint(F.col("text")))
+    held = rows.join(places, "key").withColumn("units", units_of(F.col("text"))).withColumn("found", placed(F.col("units")))
+    # both halves of an edited text keep their anchors: only the syncmers across the cut are new
+    kept = F.length(units_of(F.expr("left(text, cast(length(text) - floor(length(text) / 2) as int))")))
+    taken = F.length(units_of(F.expr("left(text, asked)")))
+    held = held.select("key", "to", "id", "text", "asked", "units", "found", kept.alias("kept"), taken.alias("taken")).select(
+        "key", "to", "id", "text", "asked", "kept", "taken", smallest(F.col("found")["anchor"]).alias("print"),
+        _within(F.col("found"), F.col("kept")).alias("kept_print"), _within(F.col("found"), F.col("taken")).alias("taken_print"),
+        F.expr(f"right(left(units, kept), {K - 1})").alias("before"), F.expr(f"left(left(units, taken), {K - 1})").alias("after"),
+    )
     # a row per text gives; the texts that are given to lie by their key already and are not shuffled again
-    given = held.groupBy("key").agg(F.first("to").alias("to"), F.first(F.expr("left(text, asked)")).alias("tail"), F.first("print").alias("next_print"), F.first("id").alias("next_id"))
-    met = held.select("key", "id", "text", "print").join(given.select(F.col("to").alias("key"), "tail", "next_print", "next_id"), "key")
+    given = held.groupBy("key").agg(
+        F.first("to").alias("to"), F.first(F.expr("left(text, asked)")).alias("tail"), F.first("print").alias("next_print"), F.first("id").alias("next_id"),
+        F.first("taken").alias("taken"), F.first("taken_print").alias("taken_print"), F.first("after").alias("after"),
+    )
+    given = given.select(F.col("to").alias("key"), "tail", "next_print", "next_id", "taken", "taken_print", "after")
+    met = held.select("key", "id", "text", "print", "kept", "kept_print", "before").join(given, "key")
     size = F.length("text")
     edited = met.withColumn("edited", F.concat(F.expr("left(text, cast(length(text) - floor(length(text) / 2) as int))"), "tail"))
-    edited = edited.withColumn("edited_print", fingerprint(F.col("edited")))
+    # fewer than K units are one anchor, and all of them stand around the cut
+    across = placed(F.concat("before", "after"))["anchor"]
+    across = F.when((F.length("before") + F.length("after") < K) & (F.col("kept") + F.col("taken") >= K), F.array().cast("array<int>")).otherwise(across)
+    edited = edited.withColumn("edited_print", smallest(F.concat("kept_print", "taken_print", across)))
     return edited.select(
         F.col("id").alias(id_col),
         size.cast("long").alias("n_chars"),

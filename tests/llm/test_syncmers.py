@@ -103,3 +103,48 @@ def test_query_likeness(result):
     usual = sorted(r["near_edited"] for i, r in rows.items() if len(docs[i]) > 200)
     assert 0.45 < usual[len(usual) // 2] < 0.56  # half of the text is still there
     assert sum(0.3 < x < 0.75 for x in usual) > 0.97 * len(usual)
+
+
+def test_one_character_more_in_an_unspaced_text(spark):
+    rng = random.Random(4)
+    han = "".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(4000)) + "\U0001f600" * 3 + "".join(chr(rng.randrange(0x20000, 0x20FFF)) for _ in range(500))
+    texts = [han, han[:10] + "x" + han[10:], han[1:], han[:2000] + han[2002:], "".join(rng.choice("acgt") for _ in range(5000))]
+    texts.append("".join(rng.choice("acgt") for _ in range(7)) + texts[4])
+    frame = spark.createDataFrame([(i, t, texts[0 if i < 4 else 4]) for i, t in enumerate(texts)], "id long, text string, first string")
+    alike = syncmers.likeness(syncmers.fingerprint(F.col("text")), syncmers.fingerprint(F.col("first")))
+    assert all(r["x"] > 0.95 for r in frame.select(alike.alias("x")).collect())
+
+
+def test_all_anchors_with_their_positions(spark):
+    passage, other = "".join(w + "\n " for w in sentences(1, 200).split()), sentences(2, 50) + " \U0001f600 \t"
+    texts = [passage, other + passage, "", None, " a b c ", "\u00e9" * 40]
+    frame = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    rows = {r["id"]: r for r in syncmers.anchored(frame).withColumn("print", syncmers.fingerprint(F.coalesce("text", F.lit("")))).collect()}
+    assert rows[2]["anchors"] == rows[3]["anchors"] == []
+    assert [(a["start"], a["end"]) for a in rows[4]["anchors"]] == [(1, 6)]
+    moved = {(a["start"] - len(other), a["anchor"]) for a in rows[1]["anchors"]}
+    assert rows[0]["anchors"] and {(a["start"], a["anchor"]) for a in rows[0]["anchors"]} <= moved
+    same = {}
+    for i in (0, 1, 5):
+        for a in rows[i]["anchors"]:
+            spelled = "".join(texts[i][a["start"] : a["end"]].split())
+            assert len(spelled) == syncmers.K and same.setdefault(spelled, a["anchor"]) == a["anchor"]
+        least = {}
+        for a in rows[i]["anchors"]:
+            least[a["anchor"] >> 25] = min(a["anchor"], least.get(a["anchor"] >> 25, a["anchor"]))
+        assert rows[i]["print"] == sorted(least.values())
+    hashed = spark.createDataFrame([("".join(passage.split()),)], "units string")
+    runs = hashed.select(F.transform(F.sequence(F.lit(1), F.length("units") - syncmers.S + 1), lambda i: F.xxhash64(F.col("units").substr(i, F.lit(syncmers.S)))).alias("r"), syncmers.placed(F.col("units")).alias("p")).first()
+    inner = syncmers.K - syncmers.S + 1
+    r = runs["r"]
+    assert [p["place"] for p in runs["p"]] == [i for i in range(len(r) - inner + 1) if min(r[i], r[i + inner - 1]) <= min(r[i + 1 : i + inner - 1])]
+
+
+def test_prints_of_edited_texts_equal_their_own(spark):
+    rng = random.Random(12)
+    rows = [(i, "".join(rng.choice("aé😀 \n") for _ in range(rng.choice((0, 1, 2, 9, 15, 16, 29, 40, 300))))) for i in range(200)]
+    rows += [(300, " " * 500 + "abc"), (301, "abc" * 20 + " " * 500), (302, " " * 90)]
+    got = {r["doc_id"]: r["edited_fingerprint"] for r in syncmers.edited_and_next(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    edited = [(i, t) for (i, _), t in plain_edits(rows).items()]
+    frame = spark.createDataFrame(edited, "id long, text string")
+    assert got == {r["id"]: r["p"] for r in frame.select("id", syncmers.as_text(syncmers.fingerprint(F.col("text"))).alias("p")).collect()}
