@@ -187,15 +187,26 @@ def _signatures(vectors: DataFrame, index: BandIndex) -> DataFrame:
     return vectors.mapInArrow(sign, f"id {_type(vectors, 'id')}, embedding {_type(vectors, 'embedding')}, signatures array<long>")
 
 
-def build_lsh(corpus: DataFrame, path: str, dim: int, bands: int = 16, bits: int | None = None, seed: int = 7) -> BandIndex:
+RECALL, REACH = 0.9, 0.2  # the share of the neighbours at this cosine distance that meet in some band
+
+
+def bands_for(bits: int, recall: float = RECALL, distance: float = REACH) -> int:
+    """The bands by which ``recall`` of the neighbours at ``distance`` share a signature: a plane parts two vectors by their angle."""
+    together = (1 - np.arccos(1 - distance) / np.pi) ** bits
+    return int(np.ceil(np.log(1 - recall) / np.log1p(-together)))
+
+
+def build_lsh(corpus: DataFrame, path: str, dim: int, bands: int | None = None, bits: int | None = None, seed: int = 7) -> BandIndex:
     """Random-hyperplane signatures (Charikar 2002) of ``corpus(id, embedding)``, stored band by band with the vectors.
 
     The number of bits follows from the number of rows unless it is given, so that a signature keeps about
-    as many rows as ``BAND_ROWS`` at any size. Rows are ranged over band, signature and id.
+    as many rows as ``BAND_ROWS`` at any size. The number of bands follows from the bits unless it is given, 16 at
+    least, so that longer signatures lose no neighbours. Rows are ranged over band, signature and id.
     """
     vectors = corpus.where(F.col("embedding").isNotNull()).select("id", "embedding")
     if bits is None:
         bits = max(1, round(np.log2(max(vectors.count(), 1) / BAND_ROWS)))
+    bands = max(16, bands_for(bits)) if bands is None else bands
     index = BandIndex(path, dim, bands, bits, seed)
     rows = _signatures(vectors, index).select("id", "embedding", "signatures", F.posexplode("signatures").alias("band", "signature"))
     rows.repartitionByRange("band", "signature", "id").sortWithinPartitions("band", "signature", "id").write.partitionBy("band").parquet(path)

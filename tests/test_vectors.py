@@ -208,3 +208,21 @@ def test_only_scored_keys_are_compared(spark):
     rows = near.collect()
     assert {r.scored_id for r in rows} == {4}
     assert {r.id for r in rows} == {i for i in range(30) if i % 3 == 1 and i != 4}
+
+
+def test_bands_grow_with_the_bits(spark):
+    assert [max(16, vs.bands_for(b)) for b in (1, 3)] == [16, 16] and vs.bands_for(11) > 16
+    rng = np.random.default_rng(9)
+    base = rng.standard_normal((200, 16))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    other = rng.standard_normal((200, 16))
+    other -= (other * base).sum(1, keepdims=True) * base
+    other /= np.linalg.norm(other, axis=1, keepdims=True)
+    near = 0.8 * base + 0.6 * other  # at cosine distance 0.2
+    corpus = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(near)], "id long, embedding array<float>")
+    asked = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(base)], "query_id long, vector array<float>")
+    for bits in (8, 12):
+        index = vs.build_lsh(corpus, work_dir(spark, "t-grow"), 16, bits=bits)
+        assert index.bands == max(16, vs.bands_for(bits))
+        got = found(vs.lsh_search(spark, index, asked, 50, 0.5))
+        assert sum(i in {j for j, _ in got.get(i, [])} for i in range(200)) >= 0.85 * 200
