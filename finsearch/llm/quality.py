@@ -25,6 +25,7 @@ MAX_REPEATED = 30  # percent of the words
 # A line is boilerplate of a host if this share of its different texts has it, and this many texts at least.
 LINE_SHARE = 0.02
 LINE_TEXTS = 10
+LINE_MOST = 200  # different texts that are enough on any host, however large
 MIN_LEFT = 0.3  # share of the characters that must be left
 
 
@@ -95,7 +96,7 @@ def boilerplate(lines: DataFrame, share: float = LINE_SHARE, texts: int = LINE_T
     sizes = different.groupBy("host").agg(F.count("*").alias("n_texts"))
     counts = different.select("host", F.explode(F.array_distinct("lines")).alias("line")).groupBy("host", "line").count()
     frequent = counts.where(F.col("count") >= texts).join(sizes, "host")
-    return frequent.where(F.col("count") >= share * F.col("n_texts")).select("host", "line")
+    return frequent.where((F.col("count") >= share * F.col("n_texts")) | (F.col("count") >= F.greatest(F.lit(texts), F.lit(LINE_MOST)))).select("host", "line")
 
 
 def judged(

@@ -102,3 +102,14 @@ def test_cleaned(spark):
 def test_empty_table(spark):
     _, docs = table(spark)
     assert quality.judged(docs.limit(0)).count() == 0 and quality.cleaned(docs.limit(0)).count() == 0
+
+
+def test_lines_of_a_very_large_host(spark):
+    n, menu, passage = 12_000, quality.LINE_MOST, quality.LINE_MOST - 1  # both below 2 % of the texts
+    rows = [(i, "hot" if i < n else f"s{i % 60}", f"text {chr(97 + i % 26)} x{'y' * (i % 7)} " + " ".join(f"w{chr(97 + i * k % 26)}{chr(97 + i // k % 26)}" for k in range(1, 25)) + f" {'z' * (i % 97)}v{'u' * (i % 89)}"
+             + ("\nHome of the site" if i < menu else "") + ("\nseldom seen" if i < passage else "")) for i in range(3 * n)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    line = docs.select(F.col("source").alias("host"), F.xxhash64("text").alias("text_hash"), F.transform(F.split("text", "\n"), lambda x: F.xxhash64(x)).alias("lines"))
+    hashes = spark.range(1).select(F.xxhash64(F.lit("Home of the site")), F.xxhash64(F.lit("seldom seen"))).first()
+    found = {r["line"] for r in quality.boilerplate(line).where("host = 'hot'").collect()}
+    assert hashes[0] in found and hashes[1] not in found
