@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from finsearch.llm import bpe, chat, extraction, langid, packing, pii, pii_sql, quality, simhash, syncmers, warc
+from finsearch.llm import bpe, chat, extraction, langid, lexical, packing, pii, pii_sql, quality, simhash, syncmers, warc
 from finsearch.session import work_dir, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -199,3 +199,32 @@ def information_theoretic_pii(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(pii.span_list(pii.base_spans()), 256).alias("base_sha256"),
         pii.span_list(pii.all_spans()).alias("spans"),
     )
+
+
+@query(
+    "op13_ranked_lexical_search",
+    r"""
+    WITH d AS (
+        SELECT row_number() OVER () AS doc, doc_id, list_transform(
+            regexp_extract_all(coalesce(text, ''), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'),
+            lambda t: translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS terms FROM documents
+    ), q AS (
+        SELECT item, item_id, term, count(*) AS n FROM (
+            SELECT item, item_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')),
+                                            'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term
+            FROM (SELECT row_number() OVER () AS item, item_id, text FROM benchmark)) GROUP BY item, item_id, term
+    ), held AS (
+        SELECT doc, term, count(*) AS tf FROM (SELECT doc, unnest(terms) AS term FROM d) GROUP BY doc, term
+    ), s AS (SELECT count(*) AS docs, cast(sum(len(terms)) AS BIGINT) AS length FROM d WHERE len(terms) > 0),
+    w AS (SELECT term, cast(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM held, s GROUP BY term, docs),
+    m AS (SELECT doc, doc_id, 75 + (25 * len(terms) * docs) // length AS m FROM d, s WHERE len(terms) > 0),
+    scores AS (
+        SELECT item, item_id, doc_id, cast(sum(n * w * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score
+        FROM q JOIN w USING (term) JOIN held USING (term) JOIN m USING (doc) GROUP BY item, item_id, doc, doc_id
+    )
+    SELECT item_id, cast(rank AS INTEGER) AS rank, doc_id, score
+    FROM (SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id) AS rank FROM scores WHERE score > 0) WHERE rank <= 20
+    """,
+)
+def ranked_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical.search(table(spark, folder, "benchmark"), table(spark, folder, "documents"))
