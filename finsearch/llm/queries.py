@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from finsearch.llm import alignment, bpe, chat, extraction, langid, lexical, packing, pii, pii_sql, quality, simhash, syncmers, warc
+from finsearch.llm import alignment, bpe, chat, extraction, langid, language_model, lexical, packing, pii, pii_sql, quality, simhash, syncmers, warc
 from finsearch.session import work_dir, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -206,6 +206,11 @@ def tokenizer_alignment(spark: SparkSession, folder: str) -> DataFrame:
     return alignment.aligned(table(spark, folder, "documents"), TOKENIZER, public_tokenizers.path("piece_bpe_32k.model"))
 
 
+@query("op12_attention_scores")
+def attention_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return language_model.scored(table(spark, folder, "documents"), TOKENIZER)
+
+
 @query(
     "op13_ranked_lexical_search",
     r"""
