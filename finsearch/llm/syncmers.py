@@ -134,35 +134,41 @@ def edited_and_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.pmod(F.col("rank") + 1, F.lit(max(total, 1))).alias("rank"), F.col("key").alias("to"), F.floor(F.col("n") / 2).cast("int").alias("asked")
     )
     places = order.join(given_to, "rank").select("key", "to", "asked")
-    held = rows.join(places, "key").withColumn("units", units_of(F.col("text"))).withColumn("found", placed(F.col("units")))
-    # both halves of an edited text keep their anchors: only the syncmers across the cut are new
-    kept = F.length(units_of(F.expr("left(text, cast(length(text) - floor(length(text) / 2) as int))")))
-    taken = F.length(units_of(F.expr("left(text, asked)")))
-    held = held.select("key", "to", "id", "text", "asked", "units", "found", kept.alias("kept"), taken.alias("taken")).select(
-        "key", "to", "id", "text", "asked", "kept", "taken", smallest(F.col("found")["anchor"]).alias("print"),
-        _within(F.col("found"), F.col("kept")).alias("kept_print"), _within(F.col("found"), F.col("taken")).alias("taken_print"),
-        F.expr(f"right(left(units, kept), {K - 1})").alias("before"), F.expr(f"left(left(units, taken), {K - 1})").alias("after"),
-    )
+    held = rows.join(places, "key").select("key", "to", "id", "text", "asked")
     # a row per text gives; the texts that are given to lie by their key already and are not shuffled again
-    given = held.groupBy("key").agg(
-        F.first("to").alias("to"), F.first(F.expr("left(text, asked)")).alias("tail"), F.first("print").alias("next_print"), F.first("id").alias("next_id"),
-        F.first("taken").alias("taken"), F.first("taken_print").alias("taken_print"), F.first("after").alias("after"),
+    given = held.groupBy("key").agg(F.first("to").alias("to"), F.first(F.expr("left(text, asked)")).alias("tail"))
+    met = held.select("key", "to", "id", "text").join(given.select(F.col("to").alias("key"), "tail"), "key")
+    half = F.expr("left(text, cast(length(text) - floor(length(text) / 2) as int))")
+    # both halves of an edited text keep their anchors: of the first one they are known, and the second is cut with the
+    # last K - 1 units before it
+    met = met.withColumn("units", units_of(F.col("text"))).withColumn("kept", F.length(units_of(half))).withColumn("found", placed(F.col("units")))
+    met = met.withColumn("before", F.expr(f"right(left(units, kept), {K - 1})")).withColumn("after", units_of(F.col("tail")))
+    new = F.concat("before", "after")
+    met = met.withColumn("new", F.when((F.length(new) < K) & (F.col("kept") + F.length("after") >= K), F.lit("")).otherwise(new))
+    edited = met.select(
+        "key", "to", "id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.concat(half, "tail"), 256).alias("edited_sha256"),
+        smallest(F.col("found")["anchor"]).alias("print"), _within(F.col("found"), F.col("kept")).alias("kept_print"), placed(F.col("new"))["anchor"].alias("across"),
+    )
+    edited = edited.withColumn("edited_print", smallest(F.concat("kept_print", "across")))
+    # every text is worked out once, and sends a row for itself and one to the text that it comes after
+    own = F.struct(F.col("key").alias("at"), F.lit(1).alias("own"), "id", "n_chars", "edited_sha256", "print", "edited_print")
+    none = lambda c: F.lit(None).cast(edited.schema[c].dataType).alias(c)
+    other = F.struct(F.col("to").alias("at"), F.lit(0).alias("own"), "id", none("n_chars"), none("edited_sha256"), "print", none("edited_print"))
+    sent = edited.select(F.inline(F.array(own, other))).repartition("at")
+    mine, following = F.struct("id", "n_chars", "edited_sha256", "print", "edited_print"), F.struct("id", "print")
+    pairs = sent.groupBy("at").agg(
+        F.sum("own").cast("int").alias("rows"), F.first(F.when(F.col("own") == 1, mine), ignorenulls=True).alias("t"), F.first(F.when(F.col("own") == 0, following), ignorenulls=True).alias("next")
     )
-    given = given.select(F.col("to").alias("key"), "tail", "next_print", "next_id", "taken", "taken_print", "after")
-    met = held.select("key", "id", "text", "print", "kept", "kept_print", "before").join(given, "key")
-    size = F.length("text")
-    edited = met.withColumn("edited", F.concat(F.expr("left(text, cast(length(text) - floor(length(text) / 2) as int))"), "tail"))
-    # fewer than K units are one anchor, and all of them stand around the cut
-    across = placed(F.concat("before", "after"))["anchor"]
-    across = F.when((F.length("before") + F.length("after") < K) & (F.col("kept") + F.col("taken") >= K), F.array().cast("array<int>")).otherwise(across)
-    edited = edited.withColumn("edited_print", smallest(F.concat("kept_print", "taken_print", across)))
-    return edited.select(
-        F.col("id").alias(id_col),
-        size.cast("long").alias("n_chars"),
-        F.sha2(F.col("edited"), 256).alias("edited_sha256"),
-        as_text(F.col("print")).alias("fingerprint"),
-        as_text(F.col("edited_print")).alias("edited_fingerprint"),
-        likeness(F.col("print"), F.col("edited_print")).alias("near_edited"),
-        likeness(F.col("print"), F.col("next_print")).alias("near_next"),
-        F.col("next_id").alias(f"next_{id_col}"),
+    result = pairs.select(
+        F.col("t.id").alias(id_col),
+        F.col("t.n_chars").alias("n_chars"),
+        F.col("t.edited_sha256").alias("edited_sha256"),
+        as_text(F.col("t.print")).alias("fingerprint"),
+        as_text(F.col("t.edited_print")).alias("edited_fingerprint"),
+        likeness(F.col("t.print"), F.col("t.edited_print")).alias("near_edited"),
+        likeness(F.col("t.print"), F.col("next.print")).alias("near_next"),
+        F.col("next.id").alias(f"next_{id_col}"),
+        F.col("rows").alias("_rows"),
     )
+    # repeated rows were worked out alike
+    return result.withColumn("_row", F.explode(F.sequence(F.lit(1), F.col("_rows")))).drop("_rows", "_row")
