@@ -11,34 +11,21 @@ meet the runs in a sweep over each range.
 
 from __future__ import annotations
 
-import json
-import re
 from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from finsearch.llm.bpe import PIECES, byte_letters
 from finsearch.llm.common import in_order, text_of, worker_memo
+from finsearch.llm.subwords import ByteLevel
 from finsearch.session import written
 
 CAPACITY = 1024
 
 
-def _tokenizer(path: str) -> tiktoken.Encoding:
-    with open(path, encoding="utf-8") as f:
-        spec = json.load(f)
-    letters = byte_letters()
-    special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
-    ranks = {bytes(letters[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in special}
-    pattern = re.sub(r"\\u([0-9a-f]{4})", r"\\x{\1}", PIECES)  # this dialect writes four digits in braces
-    return tiktoken.Encoding("byte-level", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
-
-
 def tokenized_pieces(
     docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -49,11 +36,11 @@ def tokenized_pieces(
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = worker_memo(("tiktoken", tokenizer), lambda: _tokenizer(tokenizer))
+        own = worker_memo(("byte-level", tokenizer), lambda: ByteLevel(tokenizer, special=True))
         for batch in batches:
             keys, pieces, starts, lengths, data = [], [], [], [], []
             for i, text in enumerate(batch.column(1).to_pylist()):
-                ids = np.array([*own.encode(text, allowed_special="all"), end_id], dtype="<u4")
+                ids = np.array([*own.encode(text), end_id], dtype="<u4")
                 cuts = [0, *range(len(ids) % capacity or capacity, len(ids) + 1, capacity)]
                 for piece, (a, b) in enumerate(zip(cuts, cuts[1:])):
                     keys.append(i)

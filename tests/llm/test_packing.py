@@ -106,3 +106,16 @@ def test_query(spark):
         for r in of[i]:
             own = ids[r["start"] : r["start"] + r["length"]]
             assert r["ids_crc32"] == zlib.crc32(b"".join(x.to_bytes(4, "little") for x in own))
+
+
+def test_long_white_space_packs_to_the_ids_of_the_library(spark):
+    own = Tokenizer.from_file(PATH)
+    texts = ["a" + " " * 1_500_000 + "b", "\n" * 1_200_000, "x \t" * 30_000 + "<|endoftext|>"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {}
+    for r in packing.pack(docs, PATH).orderBy("doc_id", "piece").collect():
+        found.setdefault(r["doc_id"], b"")
+        found[r["doc_id"]] += bytes(r["ids"])
+    for i, text in enumerate(texts):
+        ids = own.encode(text, add_special_tokens=False).ids + [2]
+        assert found[i] == b"".join(x.to_bytes(4, "little") for x in ids)
