@@ -223,10 +223,12 @@ def extracted(pages: DataFrame, trees: Trees | None = None, html_col: str = "htm
     decoded. Other columns stay, but columns named ``text`` or ``n_chars`` are replaced.
     """
     rest = [c for c in pages.columns if c not in (html_col, "text", "n_chars")]
-    shipped = pages.sparkSession.sparkContext.broadcast(trees or fitted())
+    own = trees or fitted()
+    # plain arrays: a broadcast object would need its class on the workers
+    shipped = pages.sparkSession.sparkContext.broadcast((own.feature, own.threshold, own.value, own.start))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shipped.value
+        own = Trees(*shipped.value)
         for rows in batches:
             for at in range(0, rows.num_rows, batch):
                 part = rows.slice(at, batch)

@@ -226,10 +226,11 @@ def predict(docs: DataFrame, model: LanguageFilter, text_col: str = "text") -> D
     the language with more documents in training, then to the name that sorts first. Columns of these names that were there before are replaced.
     """
     rest = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    shipped = docs.sparkSession.sparkContext.broadcast(model)
+    # plain arrays: a broadcast object would need its class on the workers
+    shipped = docs.sparkSession.sparkContext.broadcast((model.languages, model.masks, model.chance))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shipped.value
+        own = LanguageFilter(*shipped.value)
         for batch in batches:
             names, scores = own.predict([t or "" for t in batch.column(len(rest)).to_pylist()])
             yield pa.RecordBatch.from_arrays(
