@@ -76,3 +76,27 @@ def span_of(blocks: Column, start: Column, size: Column) -> Column:
     last = F.floor((start + size - 1) / BLOCK).cast("int")
     text = F.array_join(F.slice(blocks, first + 1, F.greatest(last - first + 1, F.lit(0))), "")
     return text.substr((start % BLOCK + 1).cast("int"), size.cast("int"))
+
+
+SCAN = 128
+
+
+def scan(items: Column, state: Column, step, empty: Column) -> Column:
+    """``step(state, item)`` over an array, left to right; the arrays that it emits, one after the other.
+
+    ``step`` gives a struct of ``state`` and ``out``, an array; ``empty`` is one without elements. What
+    is emitted is gathered in blocks, so that a long array costs little more than its length.
+    """
+
+    def block(held: Column, part: Column) -> Column:
+        def one(own: Column, item: Column) -> Column:
+            return once(step(own["state"], item), lambda r: F.struct(r["state"].alias("state"), F.concat(own["out"], r["out"]).alias("out")))
+
+        run = F.aggregate(part, F.struct(held["state"].alias("state"), empty.alias("out")), one)
+        return once(run, lambda r: F.struct(r["state"].alias("state"), F.concat(held["out"], F.array(r["out"])).alias("out")))
+
+    def parts(held: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.floor((F.size(held) - 1) / SCAN).cast("int"))
+        return F.when(F.size(held) > 0, F.transform(starts, lambda i: F.slice(held, i * SCAN + 1, F.lit(SCAN)))).otherwise(F.array(held))
+
+    return F.flatten(F.aggregate(once(items, parts), F.struct(state.alias("state"), F.array(empty).alias("out")), block)["out"])

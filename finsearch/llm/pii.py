@@ -2,9 +2,10 @@
 
 Patterns find e-mail addresses, IP addresses, card and phone numbers: the protected entities.
 A term in a document of an entity reveals it as far as the corpus says so: its pointwise mutual information
-with the entity, log2(p(t, e) / (p(t) p(e))), against the information of the entity itself,
--log2 p(e). Terms that give away more than a share of that information are generalised, those
-that give away nearly all of it are removed.
+with the entity, log2(p(t | e) / p(t)), against the information of the entity itself, -log2 p(e).
+Most entities are seen in one text or two, so p(t | e) is shrunken to what the terms of its kind of entity
+are: one further text that has the term as often as the texts of that kind do. Terms that give away more
+than a share of the information are generalised, those that give away nearly all of it are removed.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from finsearch.llm.common import blocks_of, once, span_of, text_of
+from finsearch.llm.common import blocks_of, once, scan, span_of, text_of
 from finsearch.session import written
 
 KINDS = ["email", "ip", "card", "phone", "term"]
@@ -31,8 +32,8 @@ _PART = r"[\p{L}\p{M}\p{N}]"
 _JOIN = r"['\u2019\u2010\u2011-]"
 TERM = rf"(?<![^{SPACE}]){_SIGN}*+(?={_PART}(?:{_PART}|{_JOIN}{_PART}))(?=(?:[\p{{M}}\p{{N}}]|{_JOIN})*+\p{{L}})({_PART}++(?:{_JOIN}{_PART}++)*+){_SIGN}*+(?![^{SPACE}])"
 
-CONTEXT = 64  # code points on either side of an entity; of the SQL form only, terms are sought in the whole document
-SUPPORT = 3  # different texts that must show a term beside an entity
+PRIOR = 1  # texts that the kind of an entity counts for beside its own
+SALTS = 8  # parts of the documents of one entity when they meet its terms
 GENERALISE, REMOVE = 0.8, 0.95  # shares of an entity's information that a term may not reach
 
 SPAN = "struct<start:bigint,kind_no:int,end:bigint>"
@@ -43,13 +44,13 @@ def matches(text: Column, pattern: str, group: int = 0) -> Column:
     pairs = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"))
     empty = F.array().cast("array<struct<start:bigint,end:bigint,value:string>>")
 
-    def step(state: Column, pair: Column) -> Column:
-        start = state["at"] + F.length(pair["gap"])
+    def step(at: Column, pair: Column) -> Column:
+        start = at + F.length(pair["gap"])
         end = start + F.length(pair["hit"])
         found = F.array(F.struct(start.alias("start"), end.alias("end"), pair["hit"].alias("value")))
-        return F.struct(F.coalesce(end, start).alias("at"), F.when(pair["hit"].isNull(), state["found"]).otherwise(F.concat(state["found"], found)).alias("found"))
+        return F.struct(F.coalesce(end, start).alias("state"), F.when(pair["hit"].isNull(), empty).otherwise(found).alias("out"))
 
-    return F.aggregate(pairs, F.struct(F.lit(0).cast("long").alias("at"), empty.alias("found")), step)["found"]
+    return scan(pairs, F.lit(0).cast("long"), step, empty)
 
 
 def _luhn(digits: Column) -> Column:
@@ -96,43 +97,43 @@ def term_spans(text: Column, marks: Column) -> Column:
         F.split(text, TERM, -1).alias("gap"), F.regexp_extract_all(text, F.lit(TERM), F.lit(0)).alias("hit"), F.regexp_extract_all(text, F.lit(TERM), F.lit(1)).alias("term")
     )
 
-    def step(state: Column, pair: Column) -> Column:
-        at = state["at"] + F.length(pair["gap"])
+    empty = F.array().cast("array<struct<start:bigint,end:bigint,removed:boolean>>")
+
+    def step(place: Column, pair: Column) -> Column:
+        at = place + F.length(pair["gap"])
         start = at + F.length(F.regexp_extract(pair["hit"], rf"^{_SIGN}*+", 0))
         removed = F.element_at(marks, F.lower(pair["term"]))
         found = F.array(F.struct(start.alias("start"), (start + F.length(pair["term"])).alias("end"), removed.alias("removed")))
-        # only occurrences make a new array: a text costs its length and not its square
-        return F.struct(F.coalesce(at + F.length(pair["hit"]), at).alias("at"), F.when(removed.isNull(), state["found"]).otherwise(F.concat(state["found"], found)).alias("found"))
+        return F.struct(F.coalesce(at + F.length(pair["hit"]), at).alias("state"), F.when(removed.isNull(), empty).otherwise(found).alias("out"))
 
-    empty = F.array().cast("array<struct<start:bigint,end:bigint,removed:boolean>>")
-    return F.aggregate(pairs, F.struct(F.lit(0).cast("long").alias("at"), empty.alias("found")), step)["found"]
+    return scan(pairs, F.lit(0).cast("long"), step, empty)
 
 
-def disclosing(held: DataFrame, docs: DataFrame, text_col: str, generalise: float = GENERALISE, support: int = SUPPORT) -> DataFrame:
+def disclosing(held: DataFrame, docs: DataFrame, text_col: str, generalise: float = GENERALISE, prior: float = PRIOR) -> DataFrame:
     """``(entity, term, share)``: terms that reveal at least a share of an entity's information.
 
     ``held(id, text_hash, entities, words)`` are the documents with entities: the different entities and terms
-    of each. All counts are of documents: with the pair, the term, the entity, and all. A pair needs ``support``
-    different texts, so that copies alone reveal nothing; entities of fewer are left out before they meet any
-    term. Equal texts meet their terms once, with the number of documents that have them.
+    of each. Evidence for a pair are different texts, so that copies alone reveal nothing; how rare terms and
+    entities are is counted in documents. An entity that every document has tells nothing. Equal
+    texts meet their terms once.
     """
-    texts = held.groupBy("text_hash").agg(F.count_distinct(F.struct("id")).alias("n"), F.first("entities").alias("entities"), F.first("words").alias("words"))
-    holds = texts.select("text_hash", "n", F.explode("entities").alias("entity"))
-    holders = holds.groupBy("entity").agg(F.sum("n").alias("n_entity"), F.count("*").alias("texts")).where(F.col("texts") >= support).drop("texts")
-    holders = written(holders, "entity-counts")
-    asked = holds.join(holders.select("entity"), "entity", "left_semi").groupBy("text_hash").agg(F.collect_list("entity").alias("entities"))
+    texts = held.groupBy("text_hash").agg(F.count("*").alias("n"), F.first("entities").alias("entities"), F.first("words").alias("words"))
+    holders = texts.select("n", F.explode("entities").alias("entity")).groupBy("entity").agg(F.sum("n").alias("n_entity"), F.count("*").alias("texts"))
     # a row per text and entity before the terms: the terms of one entity are spread over the tasks of all its texts
-    met = texts.select("text_hash", "n", "words").join(asked, "text_hash").select("n", "words", F.explode("entities").alias("entity"))
-    both = met.select("entity", "n", F.explode("words").alias("term")).groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.count("*").alias("texts"))
-    both = written(both.where(F.col("texts") >= support).drop("texts"), "term-pairs")
+    met = texts.select("words", F.explode("entities").alias("entity"))
+    both = written(met.select("entity", F.explode("words").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("both")), "term-pairs")
+    kind = lambda entity: F.substring_index(entity, ":", 1)
+    by_kind = texts.select("words", F.explode(F.array_distinct(F.transform("entities", kind))).alias("kind"))
+    kinds = by_kind.groupBy("kind").agg(F.count("*").alias("kind_texts"))
+    usual = by_kind.select("kind", F.explode("words").alias("term")).groupBy("kind", "term").agg(F.count("*").alias("kind_both"))
+    usual = usual.join(F.broadcast(kinds), "kind").select("kind", "term", (F.col("kind_both") / F.col("kind_texts")).alias("usual"))
     # counted per task before the join, which a semi join would not be: a term that every document has is a row per task
     counts = docs.select(F.explode(terms_of(text_of(text_col))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
-    counts = counts.join(both.select("term").distinct(), "term")
     total = docs.agg(F.count("*").alias("n_all"))
-    known = both.join(holders, "entity").join(counts, "term", "left").crossJoin(F.broadcast(total))
-    shown = F.greatest("n_both", F.coalesce("n_term", F.lit(0)))
+    known = counts.join(both.withColumn("kind", kind(F.col("entity"))), "term").join(usual, ["kind", "term"]).join(holders, "entity").crossJoin(F.broadcast(total))
     own = F.log2(F.col("n_all") / F.col("n_entity"))
-    pmi = F.log2(F.col("n_both") * F.col("n_all") / (shown * F.col("n_entity")))
+    likely = (F.col("both") + prior * F.col("usual")) / (F.col("texts") + prior)
+    pmi = F.log2(likely * F.col("n_all") / F.col("n_term"))
     share = F.when(own > 0, F.round(pmi / own, 9)).otherwise(F.lit(0.0))
     return known.select("entity", "term", share.alias("share")).where(F.col("share") >= generalise)
 
@@ -151,9 +152,13 @@ def found_in(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     own = F.array_distinct(F.transform("entities", lambda e: e["entity"]))
     held = base.where("text is not null").select("id", "text_hash", own.alias("entities"), terms_of(F.col("text")).alias("words"))
     revealing = disclosing(held, docs.select(text_col), text_col)
-    told = revealing.groupBy("entity").agg(F.collect_list(F.struct("term", "share")).alias("told"))
-    holds = base.where("text is not null").select("id", "text_hash", F.explode(own).alias("entity")).distinct()
-    terms = holds.join(told, "entity").select("id", "text_hash", F.explode("told").alias("t")).groupBy("id", "text_hash", "t.term").agg((F.max("t.share") >= REMOVE).alias("removed"))
+    # a document's own terms meet those that its entities make telling; the documents of a common entity are dealt to parts
+    own_terms = base.where("text is not null").select("id", "text_hash", own.alias("entities"), terms_of(F.col("text")).alias("words"))
+    own_terms = own_terms.dropDuplicates(["id", "text_hash"]).withColumn("part", F.pmod(F.xxhash64("id", "text_hash"), F.lit(SALTS)))
+    own_terms = own_terms.select("id", "text_hash", "part", "words", F.explode("entities").alias("entity")).select("id", "text_hash", "part", "entity", F.explode("words").alias("term"))
+    parts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("part")
+    told = own_terms.join(revealing.select("entity", "term", "share", parts), ["entity", "term", "part"])
+    terms = told.groupBy("id", "text_hash", "term").agg((F.max("share") >= REMOVE).alias("removed"))
     terms = terms.groupBy(F.col("id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.map_from_entries(F.collect_list(F.struct("term", "removed"))).alias("marks"))
     same = base["id"].eqNullSafe(terms["_id"]) & (base["text_hash"] == terms["_hash"])
     none = F.array().cast("array<struct<start:bigint,end:bigint,removed:boolean>>")
@@ -201,13 +206,16 @@ def sanitised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     joined = held.join(found, same, "left")
 
     def rewritten(blocks: Column) -> Column:
-        def step(state: Column, m: Column) -> Column:
-            piece = F.concat(span_of(blocks, state["at"], m["start"] - state["at"]), m["mark"])
-            return F.when(m["start"] < state["at"], state).otherwise(F.struct(m["end"].alias("at"), F.concat(state["out"], F.array(piece)).alias("out")))
+        none = F.array().cast("array<string>")
+
+        def step(at: Column, m: Column) -> Column:
+            piece = F.concat(span_of(blocks, at, m["start"] - at), m["mark"])
+            inside = m["start"] < at
+            return F.struct(F.when(inside, at).otherwise(m["end"]).alias("state"), F.when(inside, none).otherwise(F.array(piece)).alias("out"))
 
-        start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
-        walked = F.aggregate("_marks", start, step)
-        return once(walked, lambda w: F.concat(F.array_join(w["out"], ""), span_of(blocks, w["at"], F.length(text_col) - w["at"])))
+        # the end of the text as a last mark that replaces nothing
+        end = F.struct(F.length(text_col).cast("long").alias("start"), F.length(text_col).cast("long").alias("end"), F.lit("").alias("mark"))
+        return F.array_join(scan(F.concat("_marks", F.array(end)), F.lit(0).cast("long"), step, none), "")
 
     text = F.when(F.col("_marks").isNull(), F.col(text_col)).otherwise(once(blocks_of(F.col(text_col)), rewritten))
     return joined.withColumn(text_col, text).select(*[F.col(f"`{c}`") for c in docs.columns])

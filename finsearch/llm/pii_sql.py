@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from finsearch.llm.pii import CONTEXT, GENERALISE, SUPPORT
+from finsearch.llm.pii import GENERALISE, PRIOR
 
 SPACE = r"\x20\x09-\x0D"
 PATTERNS = {
@@ -40,41 +40,38 @@ def statement() -> str:
         f"FROM ({positions('d', 'text', PATTERNS[kind], 'doc_id')}) WHERE {VALID[kind]}"
         for no, kind in enumerate(PATTERNS)
     )
-    token = rf"[^{SPACE}]+"
-    is_term = r"regexp_full_match(value, '[^\p{L}]*\p{L}{2,}[^\p{L}]*')"
-    letters = r"regexp_extract(value, '\p{L}+')"
+    part, joint, sign = r"[\p{L}\p{M}\p{N}]", r"[''\x{2019}\x{2010}\x{2011}-]", rf"[^\p{{L}}\p{{M}}\p{{N}}{SPACE}]"
+    core = f"{part}+(?:{joint}{part}+)*"
+    is_term = f"regexp_full_match(piece, '{sign}*{core}{sign}*') AND length(regexp_extract(piece, '{core}')) > 1 AND regexp_matches(piece, '\\p{{L}}')"
+    pieces = f"unnest(regexp_extract_all(text, '[{SPACE}]+|[^{SPACE}]+'))"
     return f"""
     WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
     base AS MATERIALIZED ({kinds}),
-    windows AS (
-        SELECT doc_id, entity, CASE WHEN s > {CONTEXT} THEN s - {CONTEXT} - 2 ELSE 0 END AS off,
-               CASE WHEN s > {CONTEXT} THEN 'a1' ELSE '' END || substr(text, 1 + greatest(s - {CONTEXT}, 0), s - greatest(s - {CONTEXT}, 0)) || '1a' AS w
-        FROM base JOIN d USING (doc_id)
-        UNION ALL
-        SELECT doc_id, entity, e - 2, 'a1' || substr(text, e + 1, {CONTEXT}) || CASE WHEN e + {CONTEXT} >= length(text) THEN '' ELSE '1a' END
-        FROM base JOIN d USING (doc_id)
-    ), near AS MATERIALIZED (
-        SELECT doc_id, entity, lower({letters}) AS term, off + s + length(regexp_extract(value, '^[^\\p{{L}}]*')) AS s,
-               off + s + length(regexp_extract(value, '^[^\\p{{L}}]*')) + length({letters}) AS e
-        FROM ({positions('windows', 'w', token, 'doc_id, entity, off')}) WHERE {is_term}
-    ), has AS (
+    has AS MATERIALIZED (
         SELECT term, count(DISTINCT doc_id) AS n_term
-        FROM (SELECT doc_id, lower({letters}) AS term
-              FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{token}')) AS value FROM d) WHERE {is_term})
-        WHERE term IN (SELECT term FROM near) GROUP BY term
-    ), pairs AS (
-        SELECT entity, term, count(DISTINCT doc_id) AS n_both FROM near JOIN d USING (doc_id)
-        GROUP BY entity, term HAVING count(DISTINCT text) >= {SUPPORT}
-    ), holders AS (SELECT entity, count(DISTINCT doc_id) AS n_entity FROM base GROUP BY entity),
+        FROM (SELECT doc_id, lower(regexp_extract(piece, '{core}')) AS term FROM (SELECT doc_id, {pieces} AS piece FROM d) WHERE {is_term}) GROUP BY term
+    ), places AS MATERIALIZED (
+        SELECT doc_id, lower(regexp_extract(piece, '{core}')) AS term, off + length(regexp_extract(piece, '^{sign}*')) AS s, s + length(regexp_extract(piece, '{core}')) AS e
+        FROM (SELECT doc_id, piece, sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) - length(piece) AS off
+              FROM (SELECT doc_id, {pieces} AS piece, generate_subscripts(regexp_extract_all(text, '[{SPACE}]+|[^{SPACE}]+'), 1) AS i
+                    FROM d WHERE doc_id IN (SELECT doc_id FROM base)))
+        WHERE {is_term}
+    ), holds AS (SELECT DISTINCT doc_id, entity, split_part(entity, ':', 1) AS kind, text FROM base JOIN d USING (doc_id)),
+    own AS (SELECT DISTINCT doc_id, term FROM places),
+    pairs AS (SELECT entity, kind, term, count(DISTINCT text) AS n_both FROM holds JOIN own USING (doc_id) GROUP BY entity, kind, term),
+    usual AS (
+        SELECT kind, term, n / n_kind AS usual
+        FROM (SELECT kind, term, count(DISTINCT text)::DOUBLE AS n FROM holds JOIN own USING (doc_id) GROUP BY kind, term)
+        JOIN (SELECT kind, count(DISTINCT text) AS n_kind FROM holds GROUP BY kind) USING (kind)
+    ), holders AS (SELECT entity, count(DISTINCT doc_id) AS n_entity, count(DISTINCT text) AS texts FROM holds GROUP BY entity),
     total AS (SELECT count(*) AS n_all FROM d),
     revealing AS (
-        SELECT entity, term FROM pairs JOIN holders USING (entity) LEFT JOIN has USING (term) CROSS JOIN total
-        WHERE n_all > n_entity AND round(log2(n_both::DOUBLE * n_all / (greatest(n_both, coalesce(n_term, 0)) * n_entity))
-              / log2(n_all::DOUBLE / n_entity), 9) >= {GENERALISE}
+        SELECT entity, term FROM pairs JOIN usual USING (kind, term) JOIN holders USING (entity) JOIN has USING (term) CROSS JOIN total
+        WHERE n_all > n_entity AND round(log2((n_both + {PRIOR} * usual) / (texts + {PRIOR}) * n_all / n_term) / log2(n_all::DOUBLE / n_entity), 9) >= {GENERALISE}
     ), terms AS (
         SELECT DISTINCT doc_id, 4 AS no, 'term' AS kind, CAST(s AS BIGINT) AS s, CAST(e AS BIGINT) AS e
-        FROM near JOIN revealing USING (entity, term)
-        WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = near.doc_id AND b.s < near.e AND near.s < b.e)
+        FROM places JOIN holds USING (doc_id) JOIN revealing USING (entity, term)
+        WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = places.doc_id AND b.s < places.e AND places.s < b.e)
     ), listed AS (
         SELECT doc_id, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, no, e) AS spans
         FROM (SELECT doc_id, no, kind, s, e FROM base UNION ALL SELECT * FROM terms) GROUP BY doc_id
