@@ -136,8 +136,8 @@ def edited_and_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     places = order.join(given_to, "rank").select("key", "to", "asked")
     held = rows.join(places, "key").select("key", "to", "id", "text", "asked")
     # a row per text gives; the texts that are given to lie by their key already and are not shuffled again
-    given = held.groupBy("key").agg(F.first("to").alias("to"), F.first(F.expr("left(text, asked)")).alias("tail"))
-    met = held.select("key", "to", "id", "text").join(given.select(F.col("to").alias("key"), "tail"), "key")
+    given = held.groupBy("key").agg(F.first("to").alias("to"), F.first(F.expr("left(text, asked)")).alias("tail"), F.first("id").alias("next_id"))
+    met = held.select("key", "to", "id", "text").join(given.select(F.col("to").alias("key"), "tail", "next_id"), "key")
     half = F.expr("left(text, cast(length(text) - floor(length(text) / 2) as int))")
     # both halves of an edited text keep their anchors: of the first one they are known, and the second is cut with the
     # last K - 1 units before it
@@ -146,19 +146,16 @@ def edited_and_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     new = F.concat("before", "after")
     met = met.withColumn("new", F.when((F.length(new) < K) & (F.col("kept") + F.length("after") >= K), F.lit("")).otherwise(new))
     edited = met.select(
-        "key", "to", "id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.concat(half, "tail"), 256).alias("edited_sha256"),
+        "key", "to", "id", "next_id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.concat(half, "tail"), 256).alias("edited_sha256"),
         smallest(F.col("found")["anchor"]).alias("print"), _within(F.col("found"), F.col("kept")).alias("kept_print"), placed(F.col("new"))["anchor"].alias("across"),
     )
     edited = edited.withColumn("edited_print", smallest(F.concat("kept_print", "across")))
     # every text is worked out once, and sends a row for itself and one to the text that it comes after
-    own = F.struct(F.col("key").alias("at"), F.lit(1).alias("own"), "id", "n_chars", "edited_sha256", "print", "edited_print")
-    none = lambda c: F.lit(None).cast(edited.schema[c].dataType).alias(c)
-    other = F.struct(F.col("to").alias("at"), F.lit(0).alias("own"), "id", none("n_chars"), none("edited_sha256"), "print", none("edited_print"))
+    kept = ["id", "next_id", "n_chars", "edited_sha256", "print", "edited_print"]
+    own = F.struct(F.col("key").alias("at"), F.struct(*kept).alias("t"), F.lit(None).cast("array<int>").alias("next"))
+    other = F.struct(F.col("to").alias("at"), F.lit(None).cast(edited.select(F.struct(*kept)).schema[0].dataType).alias("t"), F.col("print").alias("next"))
     sent = edited.select(F.inline(F.array(own, other))).repartition("at")
-    mine, following = F.struct("id", "n_chars", "edited_sha256", "print", "edited_print"), F.struct("id", "print")
-    pairs = sent.groupBy("at").agg(
-        F.sum("own").cast("int").alias("rows"), F.first(F.when(F.col("own") == 1, mine), ignorenulls=True).alias("t"), F.first(F.when(F.col("own") == 0, following), ignorenulls=True).alias("next")
-    )
+    pairs = sent.groupBy("at").agg(F.count("t").cast("int").alias("rows"), F.first("t", ignorenulls=True).alias("t"), F.first("next", ignorenulls=True).alias("next"))
     result = pairs.select(
         F.col("t.id").alias(id_col),
         F.col("t.n_chars").alias("n_chars"),
@@ -166,8 +163,8 @@ def edited_and_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         as_text(F.col("t.print")).alias("fingerprint"),
         as_text(F.col("t.edited_print")).alias("edited_fingerprint"),
         likeness(F.col("t.print"), F.col("t.edited_print")).alias("near_edited"),
-        likeness(F.col("t.print"), F.col("next.print")).alias("near_next"),
-        F.col("next.id").alias(f"next_{id_col}"),
+        likeness(F.col("t.print"), F.col("next")).alias("near_next"),
+        F.col("t.next_id").alias(f"next_{id_col}"),
         F.col("rows").alias("_rows"),
     )
     # repeated rows were worked out alike
