@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import heapq
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from finsearch.functions.vectors import cosine_distance, distances, matrix, nearest_places, rounded, unit_rows
+from finsearch.functions.vectors import distances, matrix, nearest_places, unit_rows
 from finsearch.operators.ranking import small_side, top_k
 from finsearch.session import written
 
@@ -40,58 +42,125 @@ def _numbers(ids: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return values, numbers
 
 
-def _blocks(vectors: DataFrame, rows: int) -> DataFrame:
-    """``vectors(id, embedding)`` as ``(ids, embeddings)``, some rows each, where they lie."""
-
-    def pack(batches):
+class Nearest:
+    """The k nearest rows so far of each of some queries, equal distances in order of id."""
+
+    def __init__(self, vectors: pa.Array | pa.ChunkedArray, k: int, cutoff: float | None):
+        self.vectors, self.k = matrix(vectors), k
+        self.cutoff = np.inf if cutoff is None else cutoff
+        self.reach = np.full(len(vectors), np.inf)  # the k-th distance; what is farther cannot enter
+        self.found: list[tuple[np.ndarray, np.ndarray] | None] = [None] * len(vectors)
+
+    def meet(self, ids: pa.Array, embeddings: pa.Array, asked: np.ndarray | None = None) -> None:
+        """Rows for all queries, or for those that ``asked`` (queries by rows) has."""
+        if not len(ids) or not len(self.vectors):
+            return
+        names, numbers = _numbers(ids)
+        dist = distances(self.vectors, matrix(embeddings))
+        near = (dist < self.cutoff) & (dist <= self.reach[:, None])
+        if asked is not None:
+            near &= asked
+        for query in np.flatnonzero(near.any(axis=1)):
+            places = np.flatnonzero(near[query])
+            places = places[nearest_places(dist[query, places], numbers[places], self.k)]
+            own, far = names[places], dist[query, places]
+            if self.found[query] is not None:
+                own, far = np.concatenate([self.found[query][0], own]), np.concatenate([self.found[query][1], far])
+                best = nearest_places(far, _numbers(own)[1], self.k)
+                own, far = own[best], far[best]
+            self.found[query] = (own, far)
+            if len(far) == self.k:
+                self.reach[query] = far[-1]
+
+    def rows(self, query_ids: pa.Array, id_type: pa.DataType) -> pa.RecordBatch:
+        held = [(q, *f) for q, f in enumerate(self.found) if f is not None and len(f[0])]
+        places = np.concatenate([np.full(len(own), q) for q, own, _ in held]) if held else np.zeros(0, np.int64)
+        ids = np.concatenate([own for _, own, _ in held]) if held else []
+        far = np.concatenate([d for _, _, d in held]) if held else np.zeros(0)
+        return pa.RecordBatch.from_arrays([query_ids.take(pa.array(places)), pa.array(ids, id_type), pa.array(far)], names=["query_id", "id", "distance"])
+
+
+def _mask(lists: pa.Array, query_ids: pa.Array) -> np.ndarray:
+    """Which queries, by their place, each row is asked by; queries elsewhere do not count."""
+    asked = np.zeros((len(query_ids), len(lists)), bool)
+    places = pc.index_in(lists.flatten(), value_set=query_ids)
+    rows = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+    known = places.is_valid().to_numpy(zero_copy_only=False)
+    asked[places.drop_null().to_numpy(zero_copy_only=False), rows[known]] = True
+    return asked
+
+
+def _nearest(rows: DataFrame, queries: DataFrame, k: int, cutoff: float | None, pack_rows: int) -> DataFrame:
+    """The k nearest of ``rows(id, embedding[, asked])`` per query, ``(query_id, id, distance, rn)``.
+
+    ``asked`` lists the queries that a row is for; without it, rows are for all. Up to ``pack_rows``
+    queries go to the tasks, and the rows stay where they are. More of them meet the rows in a grid of packs
+    of queries and slabs of rows: a task per cell holds one pack and lets one slab stream by, so the work is
+    even, whatever the numbers on either side, and a slab is copied once per pack. Each task sends k rows per query.
+    """
+    spark = rows.sparkSession
+    asked = queries.where(F.col("vector").isNotNull()).select("query_id", "vector")
+    listed = "asked" in rows.columns
+    id_type, query_type = _arrow(rows.schema["id"].dataType), _arrow(queries.schema["query_id"].dataType)
+    schema = f"query_id {_type(queries, 'query_id')}, id {_type(rows, 'id')}, distance double"
+    n_queries = asked.count()
+    if n_queries <= pack_rows:
+        few = asked.toArrow().combine_chunks()  # pack_rows of them at most
+        query_ids, vectors = (pa.concat_arrays(few.column(c).chunks or [pa.array([], few.schema.field(c).type)]) for c in (0, 1))
+
+        def scan(batches):
+            near = Nearest(vectors, k, cutoff)
+            for batch in batches:
+                near.meet(batch.column(0), batch.column(1), _mask(batch.column(2), query_ids) if listed else None)
+            yield near.rows(query_ids, id_type)
+
+        columns = ["id", "embedding", *(["asked"] if listed else [])]
+        return top_k(rows.select(*columns).mapInArrow(scan, schema), ["query_id"], [F.asc("distance"), F.asc("id")], k)
+
+    packs = -(-n_queries // pack_rows)
+    slabs = max(2, -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // packs))
+    kind = _type(rows, "embedding") if _type(rows, "embedding") == _type(queries, "vector") else "array<double>"
+    pack_of = lambda query: F.pmod(F.xxhash64(query), F.lit(packs)).cast("int")
+    lists = F.col("asked") if listed else F.lit(None).cast(f"array<{_type(queries, 'query_id')}>")
+    # a query goes to all slabs of its pack, a row to the packs that it is for
+    left = asked.withColumn("slab", F.explode(F.sequence(F.lit(0), F.lit(slabs - 1)))).select(
+        (F.col("slab") * packs + pack_of(F.col("query_id"))).alias("cell"), F.lit(0).alias("side"), "query_id",
+        F.lit(None).cast(_type(rows, "id")).alias("id"), F.col("vector").cast(kind).alias("vector"), F.lit(None).cast(f"array<{_type(queries, 'query_id')}>").alias("asked"),
+    )
+    own_packs = F.array_distinct(F.transform("asked", pack_of)) if listed else F.sequence(F.lit(0), F.lit(packs - 1))
+    right = rows.withColumn("pack", F.explode(own_packs)).select(
+        (F.pmod(F.xxhash64("id"), F.lit(slabs)).cast("int") * packs + F.col("pack")).alias("cell"), F.lit(1).alias("side"),
+        F.lit(None).cast(_type(queries, "query_id")).alias("query_id"), "id", F.col("embedding").cast(kind).alias("vector"), lists.alias("asked"),
+    )
+    cells = left.unionByName(right).repartitionById(packs * slabs, F.col("cell")).sortWithinPartitions("side")
+
+    def meet(batches):
+        ids, vectors, near = [], [], None
         for batch in batches:
-            for at in range(0, batch.num_rows, rows):
-                part = batch.slice(at, rows)
-                ends = pa.array([0, part.num_rows], pa.int32())
-                lists = [pa.ListArray.from_arrays(ends, pa.concat_arrays([part.column(c)])) for c in ("id", "embedding")]
-                yield pa.RecordBatch.from_arrays(lists, names=["ids", "embeddings"])
-
-    return vectors.mapInArrow(pack, f"ids array<{_type(vectors, 'id')}>, embeddings array<{_type(vectors, 'embedding')}>")
+            first = int(np.searchsorted(batch.column(1).to_numpy(), 1))
+            if first:
+                ids.append(batch.column(2).slice(0, first))
+                vectors.append(batch.column(4).slice(0, first))
+            if first < batch.num_rows and ids:
+                near = near or Nearest(pa.concat_arrays(vectors), k, cutoff)
+                query_ids, part = pa.concat_arrays(ids), batch.slice(first)
+                for at in range(0, part.num_rows, BLOCK_ROWS):
+                    block = part.slice(at, BLOCK_ROWS)
+                    near.meet(block.column(3), block.column(4), _mask(block.column(5), query_ids) if listed else None)
+        if near is not None:
+            yield near.rows(pa.concat_arrays(ids).cast(query_type), id_type)
+
+    return top_k(cells.mapInArrow(meet, schema), ["query_id"], [F.asc("distance"), F.asc("id")], k)
 
 
 def vector_search(
     corpus: DataFrame, queries: DataFrame, k: int = 50, cutoff: float | None = 0.5, pack_rows: int = PACK_ROWS
 ) -> DataFrame:
-    """Exact k nearest rows per query as ``(query_id, id, distance, rn)``.
+    """Exact k nearest rows of ``corpus(id, embedding)`` per query as ``(query_id, id, distance, rn)``.
 
-    ``corpus(id, embedding)`` is read once, in blocks, and ``queries(query_id, vector)`` are gathered in
-    packs of about ``pack_rows``. Blocks meet packs by an equi join, whose side Spark broadcasts by its
-    size; every pair of them is one bounded matrix product that gives k rows per query. Neither
-    queries nor vectors are collected; only the number of queries is.
+    ``queries(query_id, vector)`` may be few or many: see ``_nearest``. Rows and queries without a vector have no neighbours.
     """
-    vectors = corpus.where(F.col("embedding").isNotNull()).select("id", "embedding")
-    asked = queries.where(F.col("vector").isNotNull()).select("query_id", "vector")
-    n_packs = max(1, -(-asked.count() // pack_rows))
-    pack = F.pmod(F.xxhash64("query_id"), F.lit(n_packs)).cast("int").alias("pack")
-    packs = asked.select(pack, F.struct("query_id", "vector").alias("query")).groupBy("pack").agg(F.collect_list("query").alias("asked"))
-    packs = packs.select("pack", F.col("asked.query_id").alias("query_ids"), F.col("asked.vector").alias("vectors"))
-    copies = F.explode(F.sequence(F.lit(0), F.lit(n_packs - 1))).alias("pack")
-    met = _blocks(vectors, pack_rows).select("*", copies).join(packs, "pack").select("ids", "embeddings", "query_ids", "vectors")
-
-    def compare(batches):
-        for batch in batches:
-            for at in range(batch.num_rows):
-                ids, embeddings, query_ids, asked_vectors = (batch.column(c)[at].values for c in range(4))
-                numbers = _numbers(ids)[1]
-                rows, places, near = [], [], []
-                for query, line in enumerate(distances(matrix(asked_vectors), matrix(embeddings))):
-                    allowed = np.nonzero(line < cutoff)[0] if cutoff is not None else np.arange(len(line))
-                    best = nearest_places(line[allowed], numbers[allowed], k)
-                    places.append(allowed[best])
-                    rows.append(np.full(len(best), query))
-                    near.append(line[allowed[best]])
-                yield pa.RecordBatch.from_arrays(
-                    [query_ids.take(pa.array(np.concatenate(rows))), ids.take(pa.array(np.concatenate(places))), pa.array(np.concatenate(near))],
-                    names=["query_id", "id", "distance"],
-                )
-
-    schema = f"query_id {_type(queries, 'query_id')}, id {_type(corpus, 'id')}, distance double"
-    return top_k(met.mapInArrow(compare, schema), ["query_id"], [F.asc("distance"), F.asc("id")], k)
+    return _nearest(corpus.where(F.col("embedding").isNotNull()).select("id", "embedding"), queries, k, cutoff, pack_rows)
 
 
 @dataclass(frozen=True)
@@ -153,13 +222,14 @@ def ivf_search(
 
 @dataclass(frozen=True)
 class BandIndex:
-    """Vectors stored by ``(band, signature)``, and what the signatures are made of."""
+    """Ids stored by ``(band, signature)`` and the vectors beside them, and what the signatures are made of."""
 
     path: str
     dim: int
     bands: int
     bits: int
     seed: int
+    probes: int
 
     def planes(self) -> np.ndarray:
         """The hyperplanes, a row each; they follow from the seed."""
@@ -167,72 +237,109 @@ class BandIndex:
 
 
 BAND_ROWS = 64  # rows that share a signature, on average
+BANDS = 4  # a vector takes as many ids beside itself, whatever the number of rows
+RECALL, REACH = 0.9, 0.5  # the share of the neighbours at this cosine distance that the probes find
 
 
-def _signatures(vectors: DataFrame, index: BandIndex) -> DataFrame:
-    """``vectors(id, embedding)`` with ``signatures``, one number per band."""
+def _subsets(costs: np.ndarray) -> np.ndarray:
+    """The sum of every subset of some costs, the subset's bits as its place."""
+    sums = np.zeros(1)
+    for cost in costs:
+        sums = np.concatenate([sums, sums + cost])
+    return sums
+
+
+def probes_for(bits: int, bands: int = BANDS, recall: float = RECALL, distance: float = REACH, samples: int = 500) -> int:
+    """The buckets of each band that find ``recall`` of the neighbours at ``distance`` in some band.
+
+    Query and neighbour fall on either side of a plane as two normal variables with the cosine as
+    correlation do. The neighbour's bucket differs by some bits; its turn is the number of cheaper sets of bits.
+    """
+    rng = np.random.default_rng(3)
+    cosine = 1 - distance
+    turns = np.empty((samples, bands))
+    for i in range(samples):
+        for band in range(bands):
+            own = rng.standard_normal(bits)
+            other = cosine * own + np.sqrt(1 - cosine**2) * rng.standard_normal(bits)
+            costs = own**2
+            limit = costs[(own >= 0) != (other >= 0)].sum()
+            half = np.sort(_subsets(costs[: bits // 2]))
+            turns[i, band] = np.searchsorted(half, limit - _subsets(costs[bits // 2 :]) - 1e-12).sum()
+    return int(np.quantile(turns.min(axis=1), recall, method="higher")) + 1
+
+
+def probe_order(costs: np.ndarray, number: int) -> list[int]:
+    """The ``number`` cheapest sets of bits, as masks, cheapest first: each set grows by, or shifts to, its next dearer bit."""
+    order = np.argsort(costs, kind="stable")
+    ranked = costs[order].tolist()
+    masks, heap = [0], [(ranked[0], 1 << int(order[0]), 0)] if len(ranked) else []
+    while heap and len(masks) < number:
+        cost, mask, last = heapq.heappop(heap)
+        masks.append(mask)
+        if last + 1 < len(ranked):
+            bit, before = 1 << int(order[last + 1]), 1 << int(order[last])
+            heapq.heappush(heap, (cost + ranked[last + 1], mask | bit, last + 1))
+            heapq.heappush(heap, (cost + ranked[last + 1] - ranked[last], mask ^ before | bit, last + 1))
+    return masks
+
+
+def _signatures(vectors: DataFrame, index: BandIndex, probes: int) -> DataFrame:
+    """``vectors(id, embedding)`` as ``(id, band, signature)``: a row per band and probe, the own bucket first."""
     weights = 1 << np.arange(index.bits, dtype=np.int64)
     bands, bits, planes = index.bands, index.bits, index.planes()
+    id_type = _arrow(vectors.schema["id"].dataType)
 
     def sign(batches):
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            vecs = np.nan_to_num(matrix(batch.column("embedding")))
-            side = (vecs @ planes.T >= 0).reshape(len(vecs), bands, bits)
-            ends = pa.array(np.arange(0, len(vecs) * bands + 1, bands), pa.int32())
-            numbers = pa.ListArray.from_arrays(ends, pa.array((side @ weights).reshape(-1)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, numbers], names=["id", "embedding", "signatures"])
-
-    return vectors.mapInArrow(sign, f"id {_type(vectors, 'id')}, embedding {_type(vectors, 'embedding')}, signatures array<long>")
-
-
-RECALL, REACH = 0.9, 0.2  # the share of the neighbours at this cosine distance that meet in some band
-
-
-def bands_for(bits: int, recall: float = RECALL, distance: float = REACH) -> int:
-    """The bands by which ``recall`` of the neighbours at ``distance`` share a signature: a plane parts two vectors by their angle."""
-    together = (1 - np.arccos(1 - distance) / np.pi) ** bits
-    return int(np.ceil(np.log(1 - recall) / np.log1p(-together)))
-
-
-def build_lsh(corpus: DataFrame, path: str, dim: int, bands: int | None = None, bits: int | None = None, seed: int = 7) -> BandIndex:
-    """Random-hyperplane signatures (Charikar 2002) of ``corpus(id, embedding)``, stored band by band with the vectors.
+            for at in range(0, batch.num_rows, BLOCK_ROWS):
+                part = batch.slice(at, BLOCK_ROWS)
+                sides = (np.nan_to_num(matrix(part.column("embedding"))) @ planes.T).reshape(part.num_rows, bands, bits)
+                own = (sides >= 0) @ weights
+                if probes == 1:
+                    found = own[:, :, None]
+                else:
+                    masks = [[probe_order(costs, probes) for costs in row] for row in sides**2]
+                    found = own[:, :, None] ^ np.array(masks, dtype=np.int64)
+                rows, names, _ = np.indices(found.shape)
+                ids = part.column("id").take(pa.array(rows.ravel()))
+                yield pa.RecordBatch.from_arrays([ids.cast(id_type), pa.array(names.ravel().astype(np.int32)), pa.array(found.ravel())], names=["id", "band", "signature"])
+
+    return vectors.select("id", "embedding").mapInArrow(sign, f"id {_type(vectors, 'id')}, band int, signature long")
+
+
+def build_lsh(
+    corpus: DataFrame, path: str, dim: int, bands: int = BANDS, bits: int | None = None, seed: int = 7, probes: int | None = None, reach: float = REACH
+) -> BandIndex:
+    """Random-hyperplane signatures (Charikar 2002) of ``corpus(id, embedding)``: ids by band and signature, and the vectors once.
 
     The number of bits follows from the number of rows unless it is given, so that a signature keeps about
-    as many rows as ``BAND_ROWS`` at any size. The number of bands follows from the bits unless it is given, 16 at
-    least, so that longer signatures lose no neighbours. Rows are ranged over band, signature and id.
+    as many rows as ``BAND_ROWS`` at any size. The number of probes follows from the bits unless it is
+    given, so that longer signatures lose no neighbours, while storage stays what it is: a vector and an id per band.
+    ``reach`` is the distance up to which neighbours count; beyond it more of them are lost.
     """
     vectors = corpus.where(F.col("embedding").isNotNull()).select("id", "embedding")
     if bits is None:
         bits = max(1, round(np.log2(max(vectors.count(), 1) / BAND_ROWS)))
-    bands = max(16, bands_for(bits)) if bands is None else bands
-    index = BandIndex(path, dim, bands, bits, seed)
-    rows = _signatures(vectors, index).select("id", "embedding", "signatures", F.posexplode("signatures").alias("band", "signature"))
-    rows.repartitionByRange("band", "signature", "id").sortWithinPartitions("band", "signature", "id").write.partitionBy("band").parquet(path)
+    index = BandIndex(path, dim, bands, bits, seed, min(1 << bits, probes_for(bits, bands, distance=reach) if probes is None else probes))
+    vectors.write.parquet(f"{path}/vectors")
+    ids = _signatures(vectors.sparkSession.read.parquet(f"{path}/vectors"), index, 1)
+    ids.repartitionByRange("band", "signature", "id").sortWithinPartitions("band", "signature", "id").write.partitionBy("band").parquet(f"{path}/buckets")
     return index
 
 
-def lsh_search(spark: SparkSession, index: BandIndex, queries: DataFrame, k: int = 50, cutoff: float | None = 0.5) -> DataFrame:
-    """Rows that share a signature with the query in some band, scored exactly where they are stored.
+def lsh_search(spark: SparkSession, index: BandIndex, queries: DataFrame, k: int = 50, cutoff: float | None = 0.5, pack_rows: int = PACK_ROWS) -> DataFrame:
+    """The k nearest rows among those whose bucket a query probes in some band, scored exactly.
 
-    A row that meets a query in several bands counts in the first of them, which both lists of
-    signatures tell, so candidates are neither written nor compared again, and a task sends k rows per query.
+    A query probes its own bucket of every band and the next ones by the squared distances to the planes
+    between (Lv et al. 2007). Buckets give ids; each candidate's vector is fetched once, for all queries that met it.
     """
     asked = queries.where(F.col("vector").isNotNull()).select(F.col("query_id").alias("id"), F.col("vector").alias("embedding"))
-    sides = _signatures(asked, index).select(
-        F.col("id").alias("query_id"), F.col("embedding").alias("vector"), F.col("signatures").alias("asked"), F.posexplode("signatures").alias("band", "signature")
-    )
-    stored = spark.read.parquet(index.path).select("id", "embedding", "signatures", F.col("band").cast("int").alias("band"), "signature")
-    earlier = F.exists(F.sequence(F.lit(0), F.col("band")), lambda b: (b < F.col("band")) & (F.get("asked", b) == F.get("signatures", b)))
-    scored = (
-        stored.join(sides, ["band", "signature"])
-        .where(~earlier)
-        .select("query_id", "id", rounded(cosine_distance(F.col("embedding"), F.col("vector")), 9).alias("distance"))
-    )
-    if cutoff is not None:
-        scored = scored.where(F.col("distance") < cutoff)
-    return top_k(scored.where(F.col("distance").isNotNull()), ["query_id"], [F.asc("distance"), F.asc("id")], k)
+    probes = _signatures(asked, index, index.probes).withColumnRenamed("id", "query_id")
+    buckets = spark.read.parquet(f"{index.path}/buckets").select("id", F.col("band").cast("int").alias("band"), "signature")
+    met = buckets.join(probes, ["band", "signature"]).groupBy("id").agg(F.collect_set("query_id").alias("asked"))
+    rows = spark.read.parquet(f"{index.path}/vectors").join(met, "id").select("id", "embedding", "asked")
+    return _nearest(rows, queries, k, cutoff, pack_rows)
 
 
 def knn_within(
@@ -251,13 +358,15 @@ def knn_within(
     Both sides hold ``id``, ``embedding``, the key and, with ``as_of``, an order column that
     limits neighbours to earlier rows. Keys with more than ``block_rows`` rows on a side are cut
     into blocks, counted beforehand, and every pair of blocks is one bounded task-side matrix
-    product that returns k rows per scored row. No pair of rows is ever written out.
+    product that returns k rows per scored row. No pair of rows is ever written out. With ``as_of``
+    blocks are ranges of time, see ``_nearest_earlier``.
 
     The block counts are written once, so their exact number decides whether they are broadcast; then
     the history is shuffled once, straight to its blocks and reduced to the keys that are scored.
     """
-    extra = [as_of] if as_of else []
-    cols = ["id", partition, "embedding", *extra]
+    if as_of:
+        return _nearest_earlier(scored, history, partition, k, as_of, block_rows, same_table)
+    cols = ["id", partition, "embedding"]
     sides = {}
     for name, df in (("s", scored), ("h", history)):
         side = df.where(F.col("embedding").isNotNull() & F.col(partition).isNotNull()).select(*cols)
@@ -281,8 +390,6 @@ def knn_within(
         dist = distances(matrix(left["embedding"]), matrix(right["embedding"]))
         if same_table:
             dist[ours[:, None] == theirs[None, :]] = np.inf
-        if as_of:  # a row without a date is before none and after none
-            dist[~(right[as_of].to_numpy()[None, :] < left[as_of].to_numpy()[:, None])] = np.inf
         best = [nearest_places(line, numbers, k) for line in dist]
         rows = np.repeat(np.arange(len(ours)), [len(b) for b in best])
         places = np.concatenate(best)
@@ -294,3 +401,74 @@ def knn_within(
         compare, f"scored_id {_type(scored, 'id')}, id {_type(history, 'id')}, distance double"
     )
     return top_k(pairs, ["scored_id"], [F.asc("distance"), F.asc("id")], k)
+
+
+def _time_blocks(rows: DataFrame, partition: str, as_of: str, block_rows: int) -> DataFrame:
+    """``(key, no, first, last, ids, times, embeddings)``: rows of one key that follow each other in time, ``block_rows`` of them at most.
+
+    Rows are ranged over key and time, so a busy key lies in several tasks, and packed where they lie. The
+    table is written: the numbers of its blocks stay as they are.
+    """
+    held = rows.where(F.col("embedding").isNotNull() & F.col(partition).isNotNull() & F.col(as_of).isNotNull())
+    held = held.select(F.col(partition).alias("key"), F.col(as_of).alias("time"), "id", "embedding")
+    ranged = held.repartitionByRange("key", "time", "id").sortWithinPartitions("key", "time", "id")
+
+    def pack(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = batch.column(0)
+            same = pc.equal(keys.slice(1), keys.slice(0, batch.num_rows - 1)).to_numpy(zero_copy_only=False)
+            starts = np.concatenate([[0], 1 + np.flatnonzero(~same)])
+            sizes = np.diff(starts, append=batch.num_rows)
+            number = -(-sizes // block_rows)
+            at = np.arange(int(number.sum())) - np.repeat(np.cumsum(number) - number, number)
+            cuts = np.repeat(starts, number) + at * block_rows
+            ends = pa.array(np.append(cuts, batch.num_rows).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(ends, batch.column(c)) for c in (2, 1, 3)]
+            firsts, lasts = (batch.column(1).take(pa.array(i)) for i in (cuts, np.append(cuts[1:], batch.num_rows) - 1))
+            yield pa.RecordBatch.from_arrays([keys.take(pa.array(cuts)), firsts, lasts, *lists], names=["key", "first", "last", "ids", "times", "embeddings"])
+
+    key, time = _type(held, "key"), _type(held, "time")
+    schema = f"key {key}, first {time}, last {time}, ids array<{_type(held, 'id')}>, times array<{time}>, embeddings array<{_type(held, 'embedding')}>"
+    return written(ranged.mapInArrow(pack, schema).withColumn("no", F.monotonically_increasing_id()), "time-blocks")
+
+
+def block_pairs(scored: DataFrame, history: DataFrame) -> DataFrame:
+    """``(scored_no, history_no)`` of the time blocks that can hold neighbours: those of a key whose history begins before the scored rows end."""
+    ours = scored.select("key", "last", F.col("no").alias("scored_no"))
+    theirs = history.select(F.col("key").alias("_key"), "first", F.col("no").alias("history_no"))
+    return ours.join(theirs, (F.col("key") == F.col("_key")) & (F.col("first") < F.col("last"))).select("scored_no", "history_no")
+
+
+def _nearest_earlier(scored: DataFrame, history: DataFrame, partition: str, k: int, as_of: str, block_rows: int, same_table: bool) -> DataFrame:
+    """The k nearest earlier rows of the same key.
+
+    Both sides are blocks of time, and blocks that lie wholly later are never sent: of a busy key's pairs about
+    half are left. A block is packed into one row before it is copied to its pairs, which are dealt by
+    block, not by key. Rows without a time are before none and after none.
+    """
+    theirs = _time_blocks(history, partition, as_of, block_rows)
+    ours = theirs if scored is history else _time_blocks(scored, partition, as_of, block_rows)
+    pairs = written(block_pairs(ours, theirs), "block-pairs")
+    met = pairs.join(theirs.select(F.col("no").alias("history_no"), "ids", "times", "embeddings"), "history_no")
+    left = ours.select(F.col("no").alias("scored_no"), F.col("ids").alias("scored_ids"), F.col("times").alias("scored_times"), F.col("embeddings").alias("scored_embeddings"))
+    met = met.join(left, "scored_no").select("scored_ids", "scored_times", "scored_embeddings", "ids", "times", "embeddings")
+    schema = pa.schema([("scored_id", _arrow(scored.schema["id"].dataType)), ("id", _arrow(history.schema["id"].dataType)), ("distance", pa.float64())])
+
+    def compare(batches):
+        for batch in batches:
+            for at in range(batch.num_rows):
+                own, own_times, own_vectors, names, times, vectors = (batch.column(c)[at].values for c in range(6))
+                (own_ids, _), (ids, numbers) = _numbers(own), _numbers(names)
+                dist = distances(matrix(own_vectors), matrix(vectors))
+                dist[~(times.to_numpy(zero_copy_only=False)[None, :] < own_times.to_numpy(zero_copy_only=False)[:, None])] = np.inf
+                if same_table:
+                    dist[own_ids[:, None] == ids[None, :]] = np.inf
+                best = [nearest_places(line, numbers, k) for line in dist]
+                rows, places = np.repeat(np.arange(len(own_ids)), [len(b) for b in best]), np.concatenate(best)
+                columns = [own.take(pa.array(rows)), names.take(pa.array(places)), pa.array(dist[rows, places])]
+                yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema)], schema=schema)
+
+    found = met.mapInArrow(compare, f"scored_id {_type(scored, 'id')}, id {_type(history, 'id')}, distance double")
+    return top_k(found, ["scored_id"], [F.asc("distance"), F.asc("id")], k)

@@ -90,14 +90,21 @@ def score_transactions(
     Neighbours count only if their card and merchant code are known. The flag is strict. Distances
     are summed as whole billionths, so the mean does not depend on the order of the rows.
     """
-    units = 10.0**DISTANCE_DIGITS
     known = history.select("id", F.col("card_id").cast("long").alias("card_id"), F.col("mcc").cast("int").alias("mcc"))
     near = small_side(neighbours(scored, history, k, as_of), k * scored.count())
     counted = (
         known.join(near, "id")
         .join(cards.select(F.col("id").alias("card_id")), "card_id")
         .join(mcc_codes.select(F.col("mcc").cast("int").alias("mcc")), "mcc")
-        .groupBy("scored_id")
+    )
+    return mean_distances(scored.select("id"), counted, threshold)
+
+
+def mean_distances(scored: DataFrame, near: DataFrame, threshold: float) -> DataFrame:
+    """``scored(id)`` with the mean distance of ``near(scored_id, distance)``, 0 without any, their number and the strict flag."""
+    units = 10.0**DISTANCE_DIGITS
+    counted = (
+        near.groupBy("scored_id")
         .agg(F.sum(F.round(F.col("distance") * units).cast("long")).alias("units"), F.count("*").alias("n"))
         .withColumn("mean", F.col("units") / (F.col("n") * units))
     )

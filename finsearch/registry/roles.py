@@ -222,8 +222,8 @@ SQL = {
         FROM benchmark JOIN embeddings ON vec_id = item_id""",
     "transactions": f"""SELECT event_id AS id, ts AS date, user_id AS client_id, user_id AS card_id, value AS amount,
         CAST(event_id % {N_CODES} AS INTEGER) AS mcc, event_type AS merchant_city,
-        event_type || ' of ' || CAST(value AS VARCHAR) AS transaction_description, embedding::DOUBLE[] AS embedding, vec_id
-        FROM events JOIN embeddings ON vec_id = event_id % (SELECT count(*) FROM embeddings)""",
+        event_type || ' of ' || CAST(value AS VARCHAR) AS transaction_description, vec_id
+        FROM events JOIN (SELECT vec_id FROM embeddings) AS held ON vec_id = event_id % (SELECT count(*) FROM embeddings)""",
     "fraud_labels": "SELECT doc_id AS transaction_id, toxic = 1 AS is_fraud FROM labels",
     "cards": """SELECT s_suppkey AS id, 'Brand ' || CAST(s_nationkey AS VARCHAR) AS card_brand,
         CASE WHEN s_acctbal >= 5000 THEN 'Credit' ELSE 'Debit' END AS card_type, s_acctbal < 0 AS card_on_dark_web FROM supplier""",

@@ -242,7 +242,13 @@ def ivf_search(r: Roles) -> DataFrame:
     return vector_search.ivf_search(r.spark, index, r.query_batch(), 12, 50, CUTOFF)
 
 
-LSH = vector_search.BandIndex("", 64, 16, 3, 7)
+@query("vector_search_grid", NEAREST)
+def vector_search_grid(r: Roles) -> DataFrame:
+    """The exact scan in small packs of queries: the grid that large query tables take."""
+    return vector_search.vector_search(r.vectors(), r.query_batch(), 50, CUTOFF, pack_rows=32)
+
+
+LSH = vector_search.BandIndex("", 64, 4, 7, 7, 48)  # bits of a larger table; probes for a reach of 0.8
 PLANES = ", ".join("(" + f"{i}, [" + ", ".join(f"{x:.17g}::DOUBLE" for x in plane) + "])" for i, plane in enumerate(LSH.planes()))
 
 
@@ -252,18 +258,21 @@ PLANES = ", ".join("(" + f"{i}, [" + ", ".join(f"{x:.17g}::DOUBLE" for x in plan
         "vector_far",
         more={
             "planes": f"SELECT * FROM (VALUES {PLANES}) AS t(no, plane)",
-            "everyone": "SELECT 'c' AS kind, vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings UNION ALL SELECT 'q', query_id, vector FROM query_batch",
-            "sides": f"""SELECT kind, id, no // {LSH.bits} AS band, sum(CASE WHEN list_dot_product(v, plane) >= 0 THEN 1 << (no % {LSH.bits}) ELSE 0 END) AS signature
-                FROM everyone CROSS JOIN planes GROUP BY ALL""",
-            "met": """SELECT DISTINCT q.id AS query_id, c.id FROM sides q JOIN sides c ON q.kind = 'q' AND c.kind = 'c'
-                AND q.band = c.band AND q.signature = c.signature""",
+            "sides": f"""SELECT vec_id AS id, no // {LSH.bits} AS band, sum(CASE WHEN list_dot_product(embedding::DOUBLE[], plane) >= 0 THEN 1 << (no % {LSH.bits}) ELSE 0 END)::BIGINT AS signature
+                FROM embeddings CROSS JOIN planes GROUP BY ALL""",
+            "margins": f"SELECT query_id, no // {LSH.bits} AS band, no % {LSH.bits} AS bit, list_dot_product(vector, plane) AS m FROM query_batch CROSS JOIN planes",
+            "own": "SELECT query_id, band, list(m * m ORDER BY bit) AS costs, sum(CASE WHEN m >= 0 THEN 1 << bit ELSE 0 END)::BIGINT AS signature FROM margins GROUP BY ALL",
+            "probes": f"""SELECT query_id, band, xor(signature, flip) AS signature FROM (SELECT *, unnest(range({1 << LSH.bits})) AS flip FROM own)
+                QUALIFY row_number() OVER (PARTITION BY query_id, band ORDER BY
+                list_sum(list_transform(range({LSH.bits}), lambda i: CASE WHEN (flip >> i) & 1 = 1 THEN costs[i + 1] ELSE 0 END)), flip) <= {LSH.probes}""",
+            "met": "SELECT DISTINCT query_id, id FROM probes JOIN sides USING (band, signature)",
         },
         body=f"""SELECT query_id, id, distance, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rn
         FROM vector_far JOIN met USING (query_id, id) WHERE distance < {CUTOFF} QUALIFY rn <= 50""",
     ),
 )
 def lsh_search(r: Roles) -> DataFrame:
-    index = vector_search.build_lsh(r.vectors(), work_dir(r.spark, "bands"), LSH.dim, LSH.bands, LSH.bits, LSH.seed)
+    index = vector_search.build_lsh(r.vectors(), work_dir(r.spark, "bands"), LSH.dim, LSH.bands, LSH.bits, LSH.seed, LSH.probes)
     return vector_search.lsh_search(r.spark, index, r.query_batch(), 50, CUTOFF)
 
 

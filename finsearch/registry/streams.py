@@ -41,6 +41,24 @@ def stream_scores(r: Roles) -> DataFrame:
     return r.spark.read.parquet(*complete_parts(r.spark, f"{base}/out", "batch_id"))
 
 
+@query(
+    "stream_scores_state",
+    with_roles("known", "apart", more=scores_sql("transactions", True), body="SELECT id, avg_distance, n_neighbours, is_anomalous FROM scores"),
+)
+def stream_scores_state(r: Roles) -> DataFrame:
+    """Transactions arrive in three files, in order of time, and are scored against the state that the earlier ones left."""
+    base = work_dir(r.spark, "stream-state")
+    events = r.table("events")
+    cuts = events.select(F.percentile_approx("ts", F.array(F.lit(0.4), F.lit(0.7)), 1000).alias("cuts")).first()["cuts"]
+    for low, high in zip([None, *cuts], [*cuts, None]):
+        part = events if low is None else events.where(F.col("ts") >= F.lit(low))
+        (part if high is None else part.where(F.col("ts") < F.lit(high))).coalesce(1).write.mode("append").parquet(f"{base}/in")
+    arriving = streams.file_stream(r.spark, f"{base}/in", events.schema, files_per_batch=1)
+    query = streams.score_state_stream(r.transactions_of(arriving), r.cards(), r.mcc_codes(), THRESHOLD, f"{base}/out", f"{base}/checkpoint")
+    query.awaitTermination()
+    return r.spark.read.parquet(*complete_parts(r.spark, f"{base}/out", "batch_id"))
+
+
 @query("stream_latest50", "SELECT event_id, ts, user_id, event_type, value, props FROM events ORDER BY ts DESC, event_id DESC LIMIT 50")
 def stream_latest50(r: Roles) -> DataFrame:
     base = work_dir(r.spark, "stream-latest")

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from datetime import datetime
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
+from finsearch.functions.vectors import distances, nearest_places, unit_rows
 from finsearch.operators.load import load_counts, load_percentages
+from finsearch.operators.ranking import top_k
+from finsearch.plans.fraud import mean_distances
 from finsearch.session import scratch
 from finsearch.sources.sinks import numbered_trades
 from finsearch.sources.snapshots import read_snapshot, refresh_snapshot, snapshot_versions
@@ -45,6 +50,92 @@ def score_stream(
     )
 
 
+class EarlierNeighbours(StatefulProcessor):
+    """State of one part of a client's history, and the k nearest earlier rows in it of every arriving row.
+
+    A batch adds one entry of numbers, dates, flags and vectors; what has arrived is neither sent
+    nor joined again. ``keep_ms`` lets entries expire so long after their arrival.
+    """
+
+    def __init__(self, k: int, keep_ms: int | None):
+        self.k, self.keep_ms = k, keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        entry = T.StructType([T.StructField(n, T.BinaryType()) for n in ("ids", "times", "known", "vectors")])
+        self.history = handle.getListState("history", entry, self.keep_ms) if self.keep_ms else handle.getListState("history", entry)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        new = pd.concat(list(rows))
+        ids, times = new["id"].to_numpy(np.int64), new["date"].to_numpy("datetime64[us]").astype(np.int64)
+        known, here = new["known"].to_numpy(bool), new["here"].to_numpy(bool)
+        vectors = np.stack(new["embedding"].to_numpy()).astype(np.float32)
+        held = [(ids[here], times[here], known[here], vectors[here])] if here.any() else []
+        for entry in self.history.get():
+            own = np.frombuffer(entry[0], np.int64)
+            held.append((own, np.frombuffer(entry[1], np.int64), np.frombuffer(entry[2], bool), np.frombuffer(entry[3], np.float32).reshape(len(own), -1)))
+        if here.any():
+            self.history.appendValue(tuple(np.ascontiguousarray(c).tobytes() for c in held[0]))
+        # a row of its own part without any neighbour, so that every arrival has a result
+        found = [pd.DataFrame({"scored_id": ids[here], "id": None, "distance": np.nan, "known": False})]
+        if held:
+            old_ids, old_times, old_known, old = (np.concatenate(c) for c in zip(*held))
+            dist = distances(unit_rows(vectors.astype(np.float64)), unit_rows(old.astype(np.float64)))
+            dist[~(old_times[None, :] < times[:, None])] = np.inf
+            dist[ids[:, None] == old_ids[None, :]] = np.inf
+            best = [nearest_places(line, old_ids, self.k) for line in dist]
+            at, places = np.repeat(np.arange(len(ids)), [len(b) for b in best]), np.concatenate(best)
+            found.append(pd.DataFrame({"scored_id": ids[at], "id": old_ids[places], "distance": dist[at, places], "known": old_known[places]}))
+        yield pd.concat([f.astype({"id": "Int64"}) for f in found])
+
+    def close(self) -> None:
+        pass
+
+
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+STATE_PARTS = 4  # of a client's history; every arriving row meets all of them
+
+
+def score_state_stream(
+    stream: DataFrame, cards: DataFrame, mcc_codes: DataFrame, threshold: float, out: str, checkpoint: str, k: int = 10, parts: int = STATE_PARTS, keep_ms: int | None = None
+) -> StreamingQuery:
+    """Score transactions as they arrive against the earlier ones, which are kept as state by client.
+
+    ``stream`` has the columns of transactions, with whole-numbered ids. Arrivals in order of time give the
+    scores of ``score_transactions(as_of=True)``; a late row is scored against what is earlier than it
+    and counts from then on, but rows that were scored before stay as they are. Rows without a client, date or vector
+    have no neighbours and are not kept. A client's history is dealt to ``parts`` states, so that a busy one is
+    neither one key nor one value. With ``keep_ms`` the history is forgotten so long after its arrival.
+    Each batch owns one folder and overwrites it.
+    """
+    spark = stream.sparkSession
+    card = cards.select(F.col("id").alias("card_id"), F.lit(True).alias("_card"))
+    code = mcc_codes.select(F.col("mcc").cast("int").alias("mcc"), F.lit(True).alias("_code"))
+    rows = stream.withColumns({"card_id": F.col("card_id").cast("long"), "mcc": F.col("mcc").cast("int")}).join(card, "card_id", "left").join(code, "mcc", "left")
+    usable = F.col("client_id").isNotNull() & F.col("date").isNotNull() & F.col("embedding").isNotNull()
+    own = F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")
+    rows = rows.where(usable).select(
+        "client_id", "id", F.col("date").cast("timestamp_ntz").alias("date"), "embedding", (F.coalesce("_card", F.lit(False)) & F.coalesce("_code", F.lit(False))).alias("known"),
+        F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), own.alias("_own"),
+    )
+    rows = rows.withColumn("here", F.col("part") == F.col("_own")).drop("_own")
+    schema = "scored_id long, id long, distance double, known boolean"
+    near = rows.groupBy("client_id", "part").transformWithStateInPandas(EarlierNeighbours(k, keep_ms), schema, "Append", "ProcessingTime" if keep_ms else "None")
+
+    def batch(df: DataFrame, batch_id: int) -> None:
+        with scratch(df.sparkSession):
+            best = top_k(df.where("id IS NOT NULL"), ["scored_id"], [F.asc("distance"), F.asc("id")], k).where("known")
+            scores = mean_distances(df.where("id IS NULL").select(F.col("scored_id").alias("id")), best, threshold)
+            scores.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+
+    before = spark.conf.get(STATE_STORE, None)
+    spark.conf.set(STATE_STORE, ROCKS)  # the one that holds lists; a started query keeps its own settings
+    try:
+        return near.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    finally:
+        spark.conf.set(STATE_STORE, before) if before else spark.conf.unset(STATE_STORE)
+
+
 def latest_stream(stream: DataFrame, order: str, tie: str, base: str, checkpoint: str, n: int = 50) -> StreamingQuery:
     """Keep the newest n rows seen so far; the stored table never holds more.
 

@@ -119,3 +119,44 @@ def test_load_share_closes_windows_and_drops_late_rows(spark, folder):
     later = run()
     assert later[: len(first)] == first
     assert [w for w, _, _ in later] == [0, 10, 20, 30, 40, 50, 60, 70]
+
+
+TRANSACTIONS = "id long, date timestamp_ntz, client_id long, card_id long, mcc int, embedding array<float>"
+
+
+def add_transactions(spark, folder, numbers, minutes=None):
+    """Client 1 has most of them; card 3 and code 4 are not known."""
+    rows = []
+    for i in numbers:
+        vector = [float((i * 7919 + j * 104729) % 101 - 50) for j in range(6)]
+        rows.append((i, START + timedelta(minutes=i if minutes is None else minutes), 1 if i % 4 else i % 3, i % 4, i % 5, vector))
+    spark.createDataFrame(rows, TRANSACTIONS).coalesce(1).write.mode("append").parquet(folder)
+
+
+def test_state_gives_the_scores_of_the_batch_and_survives_a_restart(spark):
+    base = work_dir(spark, "state")
+    cards, codes = spark.createDataFrame([(0,), (1,), (2,)], "id long"), spark.createDataFrame([(0,), (1,), (2,), (3,)], "mcc short")
+
+    def run():
+        arriving = read(spark, f"{base}/in", TRANSACTIONS)
+        streams.score_state_stream(arriving, cards, codes, 0.5, f"{base}/out", f"{base}/checkpoint", k=4, parts=3).awaitTermination()
+        return {r["id"]: tuple(r)[1:4] for r in spark.read.parquet(f"{base}/out").select("id", "avg_distance", "n_neighbours", "is_anomalous").collect()}
+
+    def expected(ids):
+        known = spark.read.parquet(f"{base}/in")
+        rows = fraud.score_transactions(known.where(F.col("id").isin(ids)), known, cards, codes, 0.5, k=4, as_of=True)
+        return {r["id"]: tuple(r)[1:4] for r in rows.collect()}
+
+    add_transactions(spark, f"{base}/in", range(0, 40))
+    add_transactions(spark, f"{base}/in", range(40, 70))
+    first = run()
+    assert first == expected(list(range(70))) and any(n for _, n, _ in first.values())
+    add_transactions(spark, f"{base}/in", range(70, 90))
+    second = run()  # a new query goes on with the stored state
+    assert second == expected(list(range(90))) and {i: second[i] for i in first} == first
+    add_transactions(spark, f"{base}/in", range(200, 203), minutes=20)  # late: scored against what is earlier, and kept
+    third = run()
+    assert {i: third[i] for i in range(200, 203)} == expected([200, 201, 202])
+    assert {i: third[i] for i in second} == second
+    add_transactions(spark, f"{base}/in", range(300, 310))
+    assert {i: v for i, v in run().items() if i >= 300} == expected(list(range(300, 310)))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from finsearch.functions.vectors import cosine_distance, rounded
 from finsearch.operators import vector_search as vs
+from finsearch.registry.search import LSH
 from finsearch.session import work_dir
 
 SCHEMA = "id long, embedding array<float>"
@@ -120,9 +121,13 @@ def test_recall_of_the_approximate_searches(spark):
     exact = found(vs.vector_search(corpus, asked, 10, 0.9))
     cells = vs.build_ivf(corpus, 16, work_dir(spark, "t-recall"))
     assert recall(found(vs.ivf_search(spark, cells, asked, 12, 10, 0.9)), exact) >= 0.9
-    bands = vs.build_lsh(corpus, work_dir(spark, "t-recall"), 64)
-    assert bands.bits == 3
-    assert recall(found(vs.lsh_search(spark, bands, asked, 10, 0.9)), exact) >= 0.9
+    for bits in (None, 11, 13):  # 11 bits belong to 131,000 rows, 13 to half a million
+        # these vectors have no clusters: the tenth neighbours lie at 0.7 to 0.8
+        bands = vs.build_lsh(corpus, work_dir(spark, "t-recall"), 64, bits=bits, reach=0.8)
+        assert bands.bands == 4 and bands.bits == (bits or 3)
+        assert recall(found(vs.lsh_search(spark, bands, asked, 10, 0.9)), exact) >= 0.9
+    pinned = vs.build_lsh(corpus, work_dir(spark, "t-recall"), 64, LSH.bands, LSH.bits, LSH.seed, LSH.probes)
+    assert recall(found(vs.lsh_search(spark, pinned, asked, 10, 0.9)), exact) >= 0.9
 
 
 def test_probed_cells_prune_folders(spark, tables):
@@ -210,19 +215,68 @@ def test_only_scored_keys_are_compared(spark):
     assert {r.id for r in rows} == {i for i in range(30) if i % 3 == 1 and i != 4}
 
 
-def test_bands_grow_with_the_bits(spark):
-    assert [max(16, vs.bands_for(b)) for b in (1, 3)] == [16, 16] and vs.bands_for(11) > 16
+def test_probes_find_neighbours_at_the_stated_distance(spark):
     rng = np.random.default_rng(9)
     base = rng.standard_normal((200, 16))
     base /= np.linalg.norm(base, axis=1, keepdims=True)
     other = rng.standard_normal((200, 16))
     other -= (other * base).sum(1, keepdims=True) * base
     other /= np.linalg.norm(other, axis=1, keepdims=True)
-    near = 0.8 * base + 0.6 * other  # at cosine distance 0.2
+    near = 0.5 * base + 0.75**0.5 * other  # at cosine distance 0.5
     corpus = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(near)], "id long, embedding array<float>")
     asked = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(base)], "query_id long, vector array<float>")
     for bits in (8, 12):
         index = vs.build_lsh(corpus, work_dir(spark, "t-grow"), 16, bits=bits)
-        assert index.bands == max(16, vs.bands_for(bits))
-        got = found(vs.lsh_search(spark, index, asked, 50, 0.5))
+        assert index.probes < 1 << bits
+        got = found(vs.lsh_search(spark, index, asked, 200, None))
         assert sum(i in {j for j, _ in got.get(i, [])} for i in range(200)) >= 0.85 * 200
+
+
+def test_probes_follow_the_cost():
+    costs = np.random.default_rng(2).random(9)
+    every = sorted(range(1 << 9), key=lambda m: sum(costs[j] for j in range(9) if m >> j & 1))
+    assert vs.probe_order(costs, 512) == every and vs.probe_order(costs, 20) == every[:20]
+    sums = vs._subsets(costs)
+    assert all(abs(sums[m] - sum(costs[j] for j in range(9) if m >> j & 1)) < 1e-12 for m in range(512))
+
+
+def test_storage_stays_below_twice_the_vectors(spark, tmp_path):
+    _, corpus = make(spark, 5000, dim=64)
+    corpus.write.parquet(f"{tmp_path}/plain")
+    for bits in (4, 14):
+        vs.build_lsh(corpus, f"{tmp_path}/bands{bits}", 64, bits=bits, probes=1)
+    size = lambda name: sum(f.stat().st_size for f in (tmp_path / name).rglob("*.parquet"))
+    assert max(size("bands4"), size("bands14")) < 2 * size("plain")
+
+
+def test_candidates_in_a_grid(spark, tables):
+    """Many queries meet their candidates in packs; the result is that of one pack."""
+    _, corpus_df, _, _ = tables
+    _, many = make(spark, 60, seed=6, schema="query_id long, vector array<float>")
+    index = vs.build_lsh(corpus_df, work_dir(spark, "t-grid"), 8, bits=4, probes=3)
+    assert found(vs.lsh_search(spark, index, many, 5, 0.8, pack_rows=7)) == found(vs.lsh_search(spark, index, many, 5, 0.8))
+
+
+def test_grid_has_more_tasks_than_packs(spark, tables):
+    many = spark.range(20_000).select(F.col("id").alias("query_id"), F.array(*[F.rand(i).cast("float") for i in range(8)]).alias("vector"))
+    result = vs.vector_search(tables[1], many, 3, None)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = result._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "Join" not in plan and "BroadcastExchange" not in plan
+    assert "REPARTITION_BY_ID" in plan.upper() or "40" in plan  # 20 packs by two slabs
+    assert result.where("rn = 1").count() == 20_000
+
+
+def test_later_blocks_are_not_sent(spark):
+    rows = spark.range(3000).select("id", F.lit(7).alias("client"), F.timestamp_seconds("id").cast("timestamp_ntz").alias("date"), F.array(F.rand(1), F.rand(2)).alias("embedding"))
+    blocks = vs._time_blocks(rows, "client", "date", 100)
+    pairs = vs.block_pairs(blocks, blocks)
+    n = blocks.count()
+    assert n >= 30 and pairs.count() <= n * (n + 1) / 2
+    first, last = {}, {}
+    for r in blocks.select("no", "first", "last").collect():
+        first[r["no"]], last[r["no"]] = r["first"], r["last"]
+    assert all(first[r["history_no"]] < last[r["scored_no"]] for r in pairs.collect())
