@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
+from hashlib import md5
 from math import log
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,30 +18,20 @@ from finsearch.functions.text import words
 SLOTS = 256
 
 
-def _once(value: Column, use) -> Column:
-    """``use(value)`` with the value worked out a single time, where it is used more than once."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
+def slot_counts(held: pa.ListArray, dim: int) -> np.ndarray:
+    """How often each slot occurs in each text, texts by slots, from the words of the texts.
 
+    Words hash by the first eight hex digits of their MD5, each distinct word once.
+    """
+    distinct = held.flatten().dictionary_encode()
+    slots = np.array([int(md5(w.encode()).hexdigest()[:8], 16) % dim if w else -1 for w in distinct.dictionary.to_pylist()], np.int64)
+    slots = slots[distinct.indices.to_numpy()] if len(slots) else slots
+    rows = np.repeat(np.arange(len(held)), np.diff(held.offsets.to_numpy()))
+    return np.bincount((rows * dim + slots)[slots >= 0], minlength=len(held) * dim).reshape(len(held), dim)
 
-def _slots(text: Column, dim: int) -> Column:
-    """The slot of every word, sorted; words hash by the first eight hex digits of their MD5."""
-    held = F.filter(words(F.coalesce(text, F.lit(""))), lambda w: w != "")
-    slot = lambda w: (F.conv(F.substring(F.md5(w.cast("binary")), 1, 8), 16, 10).cast("long") % dim).cast("int")
-    return F.sort_array(F.transform(held, slot))
-
-
-def _entries(slots: Column) -> Column:
-    """``array<struct<slot, tf>>`` of sorted slots: where a run begins, and how long it is."""
-
-    def runs(held: Column) -> Column:
-        places = F.sequence(F.lit(0), F.size(held))
-        starts = F.filter(places, lambda i: (i == 0) | (i == F.size(held)) | (F.get(held, i) != F.get(held, i - 1)))
-        return F.transform(
-            F.filter(F.arrays_zip(starts.alias("at"), F.slice(starts, 2, 1 << 30).alias("next")), lambda p: p["next"].isNotNull()),
-            lambda p: F.struct(F.get(held, p["at"]).alias("slot"), (p["next"] - p["at"]).alias("tf")),
-        )
 
-    return _once(slots, runs)
+def _words(text: Column) -> Column:
+    return words(F.coalesce(text, F.lit("")))
 
 
 @dataclass(frozen=True)
@@ -53,32 +46,21 @@ class Embedder:
     n_docs: int
     df: tuple[int, ...]
 
-    def idf(self) -> Column:
-        return F.array(*[F.lit(log((self.n_docs + 1) / (df + 1))) for df in self.df])
+    def idf(self) -> list[float]:
+        return [log((self.n_docs + 1) / (df + 1)) for df in self.df]
 
     def transform(self, docs: DataFrame, text_col: str = "text", name: str = "embedding") -> DataFrame:
         """``docs`` with a unit vector of each text; texts without a weighted word have the zero vector."""
+        dim, idf = self.dim, self.idf()
 
-        def dense(entries: Column) -> Column:
-            gap = lambda e, i: e["slot"] - F.coalesce(F.get(entries, i - 1)["slot"], F.lit(-1)) - 1
-            filled = F.transform(entries, lambda e, i: F.concat(F.array_repeat(F.lit(0.0), gap(e, i)), F.array(e["w"])))
-            last = F.coalesce(F.try_element_at(entries, F.lit(-1))["slot"], F.lit(-1))
-            return F.concat(F.flatten(filled), F.array_repeat(F.lit(0.0), F.lit(self.dim - 1) - last))
-
-        def weighted(entries: Column) -> Column:
-            return F.transform(entries, lambda e: F.struct(e["slot"].alias("slot"), (e["tf"] * F.get(F.col("_idf"), e["slot"])).alias("w")))
+        @F.arrow_udf("array<double>")
+        def vectors(held: pa.Array) -> pa.Array:
+            out = slot_counts(held, dim) * np.array(idf)
+            norms = np.sqrt(np.einsum("ij,ij->i", out, out))
+            out /= np.where(norms > 0, norms, 1.0)[:, None]
+            return pa.ListArray.from_arrays(pa.array(np.arange(0, out.size + 1, dim, dtype=np.int32)), pa.array(out.ravel()))
 
-        def unit(entries: Column) -> Column:
-            length = F.sqrt(F.aggregate(entries, F.lit(0.0), lambda total, e: total + e["w"] * e["w"]))
-
-            def scaled(norm: Column) -> Column:
-                return F.transform(entries, lambda e: F.struct(e["slot"].alias("slot"), F.when(norm > 0, e["w"] / norm).otherwise(F.lit(0.0)).alias("w")))
-
-            return _once(_once(length, scaled), dense)
-
-        entries = _entries(_slots(F.col(text_col), self.dim))
-        rows = docs.withColumn("_idf", self.idf())
-        return rows.withColumn(name, _once(weighted(entries), unit)).drop("_idf")
+        return docs.withColumn(name, vectors(_words(F.col(text_col))))
 
     def save(self, spark: SparkSession, path: str) -> None:
         spark.createDataFrame([(self.dim, self.n_docs, list(self.df))], "dim int, n_docs long, df array<long>").write.parquet(path)
@@ -91,9 +73,15 @@ def load_embedder(spark: SparkSession, path: str) -> Embedder:
 
 def fit_embedder(docs: DataFrame, text_col: str = "text", dim: int = SLOTS) -> Embedder:
     """Count in how many texts each slot occurs; ``dim`` numbers come to the driver, whatever the corpus."""
-    slots = docs.select(F.array_distinct(_slots(F.col(text_col), dim)).alias("slots"))
-    counts = slots.select(F.explode("slots").alias("slot")).groupBy("slot").count().collect()
-    found = {r["slot"]: r["count"] for r in counts}
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(dim, np.int64)
+        for batch in batches:
+            total += (slot_counts(batch.column(0), dim) > 0).sum(axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(dim, dtype=np.int32)), pa.array(total)], names=["slot", "n"])
+
+    held = docs.select(_words(F.col(text_col)).alias("words")).mapInArrow(count, "slot int, n long")
+    found = {r["slot"]: r["n"] for r in held.groupBy("slot").agg(F.sum("n").alias("n")).collect()}
     return Embedder(dim, docs.count(), tuple(found.get(i, 0) for i in range(dim)))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from finsearch.functions.stemming import stem_words
@@ -98,6 +98,60 @@ def matches(index: TextIndex, queries: DataFrame, scorer: str = "bm25", k1: floa
     )
 
 
+def _positions(index: TextIndex, terms: DataFrame) -> DataFrame:
+    """Postings of the asked ``terms(query_id, term, ...)`` with the places of their words, where they are stored."""
+    if "positions" not in index.postings.columns:
+        raise ValueError("the index has no positions: build it with positions=True")
+    terms = terms.withColumn("bucket", index.bucket(F.col("term")))
+    postings = index.postings.select("bucket", "term", "id", "positions")
+    return postings.join(small_side(terms, terms.count()), ["bucket", "term"])
+
+
+def phrase_matches(index: TextIndex, queries: DataFrame) -> DataFrame:
+    """Documents that hold the words of a query in its order and at its distances: ``(query_id, id, occurrences, first_at)``.
+
+    Stop words and empty words are skipped on both sides but keep their places. Every word of the query moves its
+    positions back by its own place; what all words have in common are the starts of the phrase. Postings of a document
+    lie in one shard, so words meet without a shuffle, and only documents with all of them are intersected.
+    """
+    placed = queries.select("query_id", F.posexplode(words(F.col("text"))).alias("offset", "term")).where(is_indexed(F.col("term"), index.stopwords))
+    if index.stem:
+        placed = placed.withColumn("term", stem_words(F.col("term")))
+    placed = written(placed, "phrase")
+    sizes = placed.groupBy("query_id").agg(F.count("*").alias("n_words"))
+    placed = placed.join(small_side(sizes, sizes.count()), "query_id")
+    starts = F.transform("positions", lambda p: p - F.col("offset"))
+    held = _positions(index, placed).groupBy("query_id", "id", "n_words").agg(F.collect_list(starts).alias("starts"))
+    held = held.where(F.size("starts") == F.col("n_words"))
+    common = F.aggregate(F.slice("starts", 2, F.size("starts")), F.get("starts", F.lit(0)), lambda found, more: F.array_intersect(found, more))
+    found = held.select("query_id", "id", common.alias("at")).where(F.size("at") > 0)
+    return found.select("query_id", "id", F.size("at").cast("long").alias("occurrences"), F.array_min("at").cast("long").alias("first_at"))
+
+
+def window_matches(index: TextIndex, queries: DataFrame) -> DataFrame:
+    """The smallest run of words that holds all terms of a query, for documents that hold them all: ``(query_id, id, window, score)``.
+
+    The positions of all terms are swept once, in order; after each the window from the earliest last sight of a term
+    is looked at. The score is 1 for adjacent terms and falls with the mean number of words between them.
+    """
+    terms = written(query_terms(index, queries), "terms")
+    held = _positions(index, terms).groupBy("query_id", "id", "n_terms").agg(F.collect_list("positions").alias("places"))
+    held = held.where(F.size("places") == F.col("n_terms"))
+    sights = F.transform("places", lambda own, i: F.transform(own, lambda p: F.struct(p.cast("long").alias("at"), i.alias("term"))))
+    never, none = F.lit(-1).cast("long"), F.lit(1 << 62).cast("long")
+
+    def step(state: Column, sight: Column) -> Column:
+        last = F.transform(state["last"], lambda p, i: F.when(i == sight["term"], sight["at"]).otherwise(p))
+        start = F.array_min(last)
+        return F.struct(last.alias("last"), F.when(start >= 0, F.least(state["best"], sight["at"] - start)).otherwise(state["best"]).alias("best"))
+
+    first = F.struct(F.array_repeat(never, F.col("n_terms").cast("int")).alias("last"), none.alias("best"))
+    best = F.aggregate(F.sort_array(F.flatten(sights)), first, step)["best"]
+    found = held.select("query_id", "id", "n_terms", (best + 1).alias("window"))
+    gap = (F.col("window") - F.col("n_terms")) / F.greatest(F.col("n_terms") - 1, F.lit(1))
+    return found.select("query_id", "id", "window", rounded(F.lit(1.0) / (F.lit(1.0) + gap), SCORE_DIGITS).alias("score"))
+
+
 def text_pool(index: TextIndex, queries: DataFrame, pool: int, scorer: str = "bm25") -> DataFrame:
     """The best documents per query, by score and then id, with ``rn``."""
     return top_k(matches(index, queries, scorer), ["query_id"], [F.desc("score"), F.asc("id")], pool)

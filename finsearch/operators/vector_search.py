@@ -51,12 +51,16 @@ class Nearest:
         self.reach = np.full(len(vectors), np.inf)  # the k-th distance; what is farther cannot enter
         self.found: list[tuple[np.ndarray, np.ndarray] | None] = [None] * len(vectors)
 
-    def meet(self, ids: pa.Array, embeddings: pa.Array, asked: np.ndarray | None = None) -> None:
+    def far(self, rows: pa.Array) -> np.ndarray:
+        """The distance of every query and row."""
+        return distances(self.vectors, matrix(rows))
+
+    def meet(self, ids: pa.Array, rows: pa.Array, asked: np.ndarray | None = None) -> None:
         """Rows for all queries, or for those that ``asked`` (queries by rows) has."""
         if not len(ids) or not len(self.vectors):
             return
         names, numbers = _numbers(ids)
-        dist = distances(self.vectors, matrix(embeddings))
+        dist = self.far(rows)
         near = (dist < self.cutoff) & (dist <= self.reach[:, None])
         if asked is not None:
             near &= asked
@@ -90,9 +94,11 @@ def _mask(lists: pa.Array, query_ids: pa.Array) -> np.ndarray:
     return asked
 
 
-def _nearest(rows: DataFrame, queries: DataFrame, k: int, cutoff: float | None, pack_rows: int) -> DataFrame:
+def _nearest(rows: DataFrame, queries: DataFrame, k: int, cutoff: float | None, pack_rows: int, kind: type[Nearest] = Nearest, *given) -> DataFrame:
     """The k nearest of ``rows(id, embedding[, asked])`` per query, ``(query_id, id, distance, rn)``.
 
+    ``kind`` tells how far rows are; ``embedding`` is whatever it reads.
+
     ``asked`` lists the queries that a row is for; without it, rows are for all. Up to ``pack_rows``
     queries go to the tasks, and the rows stay where they are. More of them meet the rows in a grid of packs
     of queries and slabs of rows: a task per cell holds one pack and lets one slab stream by, so the work is
@@ -109,7 +115,7 @@ def _nearest(rows: DataFrame, queries: DataFrame, k: int, cutoff: float | None,
         query_ids, vectors = (pa.concat_arrays(few.column(c).chunks or [pa.array([], few.schema.field(c).type)]) for c in (0, 1))
 
         def scan(batches):
-            near = Nearest(vectors, k, cutoff)
+            near = kind(vectors, k, cutoff, *given)
             for batch in batches:
                 near.meet(batch.column(0), batch.column(1), _mask(batch.column(2), query_ids) if listed else None)
             yield near.rows(query_ids, id_type)
@@ -119,18 +125,19 @@ def _nearest(rows: DataFrame, queries: DataFrame, k: int, cutoff: float | None,
 
     packs = -(-n_queries // pack_rows)
     slabs = max(2, -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // packs))
-    kind = _type(rows, "embedding") if _type(rows, "embedding") == _type(queries, "vector") else "array<double>"
+    payload = _type(rows, "embedding")
     pack_of = lambda query: F.pmod(F.xxhash64(query), F.lit(packs)).cast("int")
     lists = F.col("asked") if listed else F.lit(None).cast(f"array<{_type(queries, 'query_id')}>")
     # a query goes to all slabs of its pack, a row to the packs that it is for
     left = asked.withColumn("slab", F.explode(F.sequence(F.lit(0), F.lit(slabs - 1)))).select(
         (F.col("slab") * packs + pack_of(F.col("query_id"))).alias("cell"), F.lit(0).alias("side"), "query_id",
-        F.lit(None).cast(_type(rows, "id")).alias("id"), F.col("vector").cast(kind).alias("vector"), F.lit(None).cast(f"array<{_type(queries, 'query_id')}>").alias("asked"),
+        F.lit(None).cast(_type(rows, "id")).alias("id"), "vector", F.lit(None).cast(payload).alias("row"), F.lit(None).cast(f"array<{_type(queries, 'query_id')}>").alias("asked"),
     )
     own_packs = F.array_distinct(F.transform("asked", pack_of)) if listed else F.sequence(F.lit(0), F.lit(packs - 1))
     right = rows.withColumn("pack", F.explode(own_packs)).select(
         (F.pmod(F.xxhash64("id"), F.lit(slabs)).cast("int") * packs + F.col("pack")).alias("cell"), F.lit(1).alias("side"),
-        F.lit(None).cast(_type(queries, "query_id")).alias("query_id"), "id", F.col("embedding").cast(kind).alias("vector"), lists.alias("asked"),
+        F.lit(None).cast(_type(queries, "query_id")).alias("query_id"), "id", F.lit(None).cast(_type(queries, "vector")).alias("vector"),
+        F.col("embedding").alias("row"), lists.alias("asked"),
     )
     cells = left.unionByName(right).repartitionById(packs * slabs, F.col("cell")).sortWithinPartitions("side")
 
@@ -142,11 +149,11 @@ def _nearest(rows: DataFrame, queries: DataFrame, k: int, cutoff: float | None,
                 ids.append(batch.column(2).slice(0, first))
                 vectors.append(batch.column(4).slice(0, first))
             if first < batch.num_rows and ids:
-                near = near or Nearest(pa.concat_arrays(vectors), k, cutoff)
+                near = near or kind(pa.concat_arrays(vectors), k, cutoff, *given)
                 query_ids, part = pa.concat_arrays(ids), batch.slice(first)
                 for at in range(0, part.num_rows, BLOCK_ROWS):
                     block = part.slice(at, BLOCK_ROWS)
-                    near.meet(block.column(3), block.column(4), _mask(block.column(5), query_ids) if listed else None)
+                    near.meet(block.column(3), block.column(5), _mask(block.column(6), query_ids) if listed else None)
         if near is not None:
             yield near.rows(pa.concat_arrays(ids).cast(query_type), id_type)
 
@@ -220,6 +227,127 @@ def ivf_search(
     return near if cutoff is None else near.where(F.col("distance") < cutoff)
 
 
+@dataclass(frozen=True)
+class CodeIndex:
+    """Vectors as product-quantised codes by cell, the vectors themselves beside them, and what the codes mean.
+
+    A code has a byte per part: the number of the part's nearest centre to the vector's difference from its cell's centre.
+    """
+
+    path: str
+    centres: np.ndarray  # (cells, dim)
+    books: np.ndarray  # (parts, centres of a part, dim of a part)
+
+    @property
+    def row_bytes(self) -> tuple[int, int]:
+        """What a row costs to look at: its code, and its vector in single precision."""
+        return len(self.books), 4 * self.centres.shape[1]
+
+
+def _lloyd(rows: DataFrame, start: np.ndarray, read, turns: int) -> np.ndarray:
+    """Centres ``(parts, n, width)`` of what ``read`` makes of batches, ``(rows, parts, width)``, learned from all rows.
+
+    Sums and counts per centre come to the driver, whatever the number of rows.
+    """
+    centres = start
+    parts, number, width = start.shape
+    for _ in range(turns):
+
+        def add(batches, centres=centres):
+            sums = np.zeros((parts, number, width + 1))
+            for batch in batches:
+                for at in range(0, batch.num_rows, BLOCK_ROWS):
+                    values = read(batch.slice(at, BLOCK_ROWS))
+                    for part in range(parts):
+                        best = _closest(values[:, part], centres[part])
+                        np.add.at(sums[part], best, np.concatenate([values[:, part], np.ones((len(values), 1))], axis=1))
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(sums.size, dtype=np.int32)), pa.array(sums.ravel())], names=["cell", "value"])
+
+        found = rows.mapInArrow(add, "cell int, value double").groupBy("cell").agg(F.sum("value").alias("value")).toArrow()
+        sums = np.zeros(parts * number * (width + 1))
+        sums[found.column("cell").to_numpy()] = found.column("value").to_numpy()
+        sums = sums.reshape(parts, number, width + 1)
+        centres = np.where(sums[:, :, -1:] > 0, sums[:, :, :-1] / np.maximum(sums[:, :, -1:], 1), centres)
+    return centres
+
+
+def _closest(values: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return np.argmin((centres**2).sum(axis=1) - 2 * values @ centres.T, axis=1)
+
+
+def build_codes(corpus: DataFrame, nlist: int, path: str, parts: int = 16, centres: int = 64, turns: int = 6, seed: int = 7) -> CodeIndex:
+    """Cells and codes of ``corpus(id, embedding)``, learned from all rows; ``parts`` divides the dimension, a part has 256 centres at most.
+
+    Codes are stored by cell, ranged over cell and id; vectors once, for the rows that a search looks at exactly.
+    """
+    spark = corpus.sparkSession
+    corpus.where(F.col("embedding").isNotNull()).select("id", "embedding").write.parquet(f"{path}/vectors")
+    vectors = spark.read.parquet(f"{path}/vectors")
+    first = vectors.orderBy(F.xxhash64("id", F.lit(seed))).limit(max(nlist, centres)).select("embedding").toArrow()
+    if not first.num_rows:
+        raise ValueError("no vectors to learn cells and codes from")
+    start = np.nan_to_num(matrix(first.column(0)))
+    cells = _lloyd(vectors.select("embedding"), start[None, :nlist], lambda b: np.nan_to_num(matrix(b.column("embedding")))[:, None], turns)[0]
+
+    def differences(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        units = np.nan_to_num(matrix(batch.column("embedding")))
+        cell = _closest(units, cells)
+        return cell, (units - cells[cell]).reshape(len(units), parts, -1)
+
+    begun = (start[:centres] - cells[_closest(start[:centres], cells)]).reshape(-1, parts, start.shape[1] // parts).swapaxes(0, 1)
+    books = _lloyd(vectors.select("embedding"), begun, lambda b: differences(b)[1], turns)
+
+    def encode(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, BLOCK_ROWS):
+                part = batch.slice(at, BLOCK_ROWS)
+                cell, values = differences(part)
+                codes = np.stack([_closest(values[:, p], books[p]) for p in range(parts)], axis=1).astype(np.uint8)
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(cell.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary())], names=["id", "cell", "code"])
+
+    coded = vectors.mapInArrow(encode, f"id {_type(vectors, 'id')}, cell int, code binary")
+    coded.repartitionByRange("cell", "id").sortWithinPartitions("cell", "id").write.partitionBy("cell").parquet(f"{path}/codes")
+    return CodeIndex(path, cells, books)
+
+
+class NearestCodes(Nearest):
+    """Rows as ``struct<cell, code>``: distances are sums of looked-up parts, for the queries that probe the cell."""
+
+    def __init__(self, vectors: pa.Array, k: int, cutoff: float | None, centres: np.ndarray, books: np.ndarray, nprobe: int):
+        super().__init__(vectors, k, None)
+        self.centres, self.books = centres, books
+        units = np.nan_to_num(self.vectors)
+        order = np.argsort(distances(units, unit_rows(centres)) if len(units) else np.zeros((0, len(centres))), axis=1, kind="stable")[:, :nprobe]
+        self.probed = np.zeros((len(units), len(centres)), bool)
+        self.probed[np.arange(len(units))[:, None], order] = True
+
+    def far(self, rows: pa.Array) -> np.ndarray:
+        cells, codes = rows.field("cell").to_numpy(), rows.field("code").to_pylist()
+        codes = np.frombuffer(b"".join(codes), np.uint8).reshape(len(codes), -1)
+        out = np.full((len(self.vectors), len(cells)), np.inf)
+        parts, _, width = self.books.shape
+        for cell in np.unique(cells):
+            asking, places = np.flatnonzero(self.probed[:, cell]), np.flatnonzero(cells == cell)
+            apart = (self.vectors[asking] - self.centres[cell]).reshape(len(asking), parts, width)
+            sums = np.zeros((len(asking), len(places)))
+            for p in range(parts):
+                table = ((apart[:, p, None] - self.books[p][None]) ** 2).sum(axis=2)
+                sums += table[:, codes[places, p]]
+            out[np.ix_(asking, places)] = sums / 2  # unit vectors: half the squared distance is the cosine distance
+        return out
+
+
+def codes_search(
+    spark: SparkSession, index: CodeIndex, queries: DataFrame, nprobe: int, k: int = 50, cutoff: float | None = 0.5, short_list: int = 8, pack_rows: int = PACK_ROWS
+) -> DataFrame:
+    """The k nearest rows per query among the ``short_list * k`` best by code in the ``nprobe`` closest cells, with exact distances."""
+    coded = spark.read.parquet(f"{index.path}/codes").select("id", F.struct(F.col("cell").cast("int").alias("cell"), "code").alias("embedding"))
+    best = _nearest(coded, queries, k * short_list, None, pack_rows, NearestCodes, index.centres, index.books, nprobe)
+    met = best.groupBy("id").agg(F.collect_list("query_id").alias("asked"))
+    rows = spark.read.parquet(f"{index.path}/vectors").join(met, "id").select("id", "embedding", "asked")
+    return _nearest(rows, queries, k, cutoff, pack_rows)
+
+
 @dataclass(frozen=True)
 class BandIndex:
     """Ids stored by ``(band, signature)`` and the vectors beside them, and what the signatures are made of."""

@@ -48,9 +48,11 @@ class Roles:
         return self.table("embeddings").select(F.col("vec_id").alias("id"), "embedding")
 
     def queries(self) -> DataFrame:
+        """Every benchmark text as a query, and a few short ones, since texts that long are found where they are quoted only."""
         rows = ", ".join(f"('{q}', '{t}', {v}L)" for q, t, v in QUERIES)
         asked = self.spark.sql(f"SELECT * FROM VALUES {rows} AS t(query_id, text, vec_id)")
-        return self.table("embeddings").join(asked, "vec_id").select("query_id", "text", F.col("embedding").alias("vector"))
+        texts = self.table("benchmark").select(F.concat(F.lit("b"), "item_id").alias("query_id"), "text", F.col("item_id").alias("vec_id"))
+        return self.table("embeddings").join(asked.unionByName(texts), "vec_id").select("query_id", "text", F.col("embedding").alias("vector"))
 
     def query_batch(self) -> DataFrame:
         """Every benchmark text as a query."""
@@ -171,15 +173,24 @@ class Roles:
     def requests(self) -> DataFrame:
         return self.table("events").select("event_id", "ts", request_kind().alias("kind"))
 
-    def text_index(self) -> TextIndex:
-        """The saved index of the chunks, built once per session and set of files."""
-        key = (self.spark.sparkContext.applicationId, *self.table("documents").inputFiles())
+    def text_index(self, positions: bool = False) -> TextIndex:
+        """The saved index of the chunks, built once per session and state of the files."""
+        key = (self.spark.sparkContext.applicationId, positions, *_stamps(self.spark, self.table("documents").inputFiles()))
         if key not in _INDEXES:
-            index = build_text_index(self.texts(), "id", "chunk_text", buckets=8)
+            index = build_text_index(self.texts(), "id", "chunk_text", buckets=8, positions=positions)
             _INDEXES[key] = save_text_index(index, work_dir(self.spark, "text-index"))
         return _INDEXES[key]
 
 
+def _stamps(spark: SparkSession, files: list[str]) -> list[tuple[str, int, int]]:
+    """Files with their size and time of change: a table that is written again under its name is another one."""
+    out = []
+    for name in sorted(files):
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        status = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path)
+        out.append((name, status.getLen(), status.getModificationTime()))
+    return out
+
 
 def request_kind() -> Column:
     """What an event stands for in the load log."""
@@ -203,7 +214,7 @@ def _chunk_columns(docs: DataFrame, *more: str) -> DataFrame:
     )
 
 
-_INDEXES: dict[tuple[str, ...], TextIndex] = {}
+_INDEXES: dict[tuple, TextIndex] = {}
 
 # --- the same tables as SQL common table expressions ---------------------------------------------
 
@@ -217,7 +228,7 @@ SQL = {
         FROM documents LEFT JOIN embeddings ON vec_id = doc_id""",
     "queries": """SELECT query_id, text, embedding::DOUBLE[] AS vector FROM (VALUES """
     + ", ".join(f"('{q}', '{t}', {v})" for q, t, v in QUERIES)
-    + """) AS t(query_id, text, vec_id) JOIN embeddings USING (vec_id)""",
+    + """ UNION ALL SELECT 'b' || item_id, text, item_id FROM benchmark) AS t(query_id, text, vec_id) JOIN embeddings USING (vec_id)""",
     "query_batch": """SELECT item_id AS query_id, text, embedding::DOUBLE[] AS vector
         FROM benchmark JOIN embeddings ON vec_id = item_id""",
     "transactions": f"""SELECT event_id AS id, ts AS date, user_id AS client_id, user_id AS card_id, value AS amount,

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from finsearch.functions.text import TOKEN_GAP
 from finsearch.functions.vectors import cosine_distance, rounded
 from finsearch.operators import hybrid, text_search, vector_search
 from finsearch.operators.hybrid import ranked
@@ -14,10 +15,8 @@ from finsearch.operators.text_index import build_text_index, save_text_index
 from finsearch.plans.search import SearchTables, search
 from finsearch.plans.search import analyze_hits as explain_hits
 from finsearch.registry import query
-from finsearch.registry.roles import CUTOFF, QUERIES, Roles, with_roles
-from finsearch.session import work_dir
-
-N_QUERIES = len(QUERIES)
+from finsearch.registry.roles import CUTOFF, Roles, with_roles
+from finsearch.session import work_dir, written
 
 TEXT_POOL = """SELECT query_id, id, {score} AS score, row_number() OVER (PARTITION BY query_id ORDER BY {score} DESC, id) AS rn
     FROM matched QUALIFY rn <= {k}"""
@@ -112,6 +111,45 @@ def fts_proximity(r: Roles) -> DataFrame:
     return text_search.matches(r.text_index(), r.queries(), "distance")
 
 
+@query(
+    "fts_phrase",
+    with_roles(
+        "tokens",
+        "queries",
+        more={
+            "phrase": f"""SELECT query_id, pos AS place, term FROM (SELECT query_id, generate_subscripts(w, 1) - 1 AS pos, unnest(w) AS term
+                FROM (SELECT query_id, regexp_split_to_array(lower(text), '{TOKEN_GAP}') AS w FROM queries)) WHERE term <> '' AND term NOT IN (SELECT term FROM stop)""",
+            "begun": "SELECT query_id, id, pos - place AS begin_at, count(*) AS n FROM phrase JOIN tokens USING (term) GROUP BY ALL",
+        },
+        body="""SELECT query_id, id, count(*) AS occurrences, CAST(min(begin_at) AS BIGINT) AS first_at
+        FROM begun JOIN (SELECT query_id, count(*) AS n FROM phrase GROUP BY query_id) USING (query_id, n) GROUP BY query_id, id""",
+    ),
+)
+def fts_phrase(r: Roles) -> DataFrame:
+    return text_search.phrase_matches(r.text_index(positions=True), r.queries())
+
+
+@query(
+    "fts_window",
+    with_roles(
+        "matched",
+        "tokens",
+        "query_terms",
+        more={
+            "seen": "SELECT query_id, id, term, pos FROM matched JOIN query_terms USING (query_id) JOIN tokens USING (id, term)",
+            "sizes": "SELECT query_id, count(*) AS n_terms FROM query_terms GROUP BY query_id",
+            "lasts": """SELECT a.query_id, a.id, a.pos, b.term, max(b.pos) AS last FROM (SELECT DISTINCT query_id, id, pos FROM seen) a
+                JOIN seen b ON a.query_id = b.query_id AND a.id = b.id AND b.pos <= a.pos GROUP BY ALL""",
+            "ends": "SELECT query_id, id, pos - min(last) + 1 AS size, count(*) AS n_terms FROM lasts GROUP BY query_id, id, pos",
+            "best": "SELECT query_id, id, n_terms, CAST(min(size) AS BIGINT) AS size FROM ends JOIN sizes USING (query_id, n_terms) GROUP BY query_id, id, n_terms",
+        },
+        body='''SELECT query_id, id, size AS "window", round(1.0::DOUBLE / (1.0::DOUBLE + (size - n_terms) / greatest(n_terms - 1, 1)::DOUBLE), 9) + 0.0 AS score FROM best''',
+    ),
+)
+def fts_window(r: Roles) -> DataFrame:
+    return text_search.window_matches(r.text_index(positions=True), r.queries())
+
+
 def _fulltext_sql(score: str) -> str:
     return with_roles(
         "matched",
@@ -248,6 +286,34 @@ def vector_search_grid(r: Roles) -> DataFrame:
     return vector_search.vector_search(r.vectors(), r.query_batch(), 50, CUTOFF, pack_rows=32)
 
 
+def _codes_search(r: Roles) -> DataFrame:
+    index = vector_search.build_codes(r.vectors(), 16, work_dir(r.spark, "codes"))
+    return vector_search.codes_search(r.spark, index, r.query_batch(), 12, 50, CUTOFF)
+
+
+@query("ivf_codes_search")
+def ivf_codes_search(r: Roles) -> DataFrame:
+    """Short lists by codes of 16 bytes in part of the cells, then exact distances; approximate, so without a SQL form."""
+    return _codes_search(r)
+
+
+@query(
+    "ivf_codes_recall",
+    with_roles(
+        "vector_far",
+        body=f"""SELECT query_id, count(*) AS n_nearest, true AS recalled FROM (SELECT query_id, id FROM vector_far WHERE distance < {CUTOFF}
+        QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY distance, id) <= 10) GROUP BY query_id""",
+    ),
+)
+def ivf_codes_recall(r: Roles) -> DataFrame:
+    """Per query, its ten exact neighbours, and whether all queries together find nine of ten of them by codes."""
+    exact = vector_search.vector_search(r.vectors(), r.query_batch(), 10, CUTOFF).select("query_id", "id")
+    found = _codes_search(r).where("rn <= 10").select("query_id", "id", F.lit(1).alias("hit"))
+    counted = written(exact.join(found, ["query_id", "id"], "left").groupBy("query_id").agg(F.count("*").alias("n_nearest"), F.count("hit").alias("hits")), "recall")
+    share = counted.agg((F.sum("hits") / F.sum("n_nearest")).alias("share")).scalar()
+    return counted.select("query_id", "n_nearest", (share >= 0.9).alias("recalled"))
+
+
 LSH = vector_search.BandIndex("", 64, 4, 7, 7, 48)  # bits of a larger table; probes for a reach of 0.8
 PLANES = ", ".join("(" + f"{i}, [" + ", ".join(f"{x:.17g}::DOUBLE" for x in plane) + "])" for i, plane in enumerate(LSH.planes()))
 
@@ -423,9 +489,9 @@ def hybrid_rerank(r: Roles) -> DataFrame:
     ),
 )
 def candidate_arrays(r: Roles) -> DataFrame:
-    corpus = r.chunks()
-    top = hybrid.hybrid_candidates(r.text_index(), corpus, r.queries(), 100, 100, "rrf", CUTOFF)
-    arrays = hybrid.candidate_arrays(top, r.texts(), 100 * N_QUERIES)
+    queries = r.queries()
+    top = hybrid.hybrid_candidates(r.text_index(), r.chunks(), queries, 100, 100, "rrf", CUTOFF)
+    arrays = hybrid.candidate_arrays(top, r.texts(), 100 * queries.count())
     return arrays.select(
         "query_id", F.size("documents").cast("long").alias("n_documents"), F.md5(F.array_join("documents", "|")).alias("digest")
     )

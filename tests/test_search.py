@@ -215,3 +215,38 @@ def test_summary_keeps_order(spark):
     rows = {r.id: r.summary for r in summarize(docs, n_sentences=2).collect()}
     assert rows[1] == "Rare zebra appears! Unique quagga sleeps."
     assert rows[2] == "Plain words here."
+
+
+
+def test_phrases_and_windows_by_hand(spark):
+    rng = __import__("random").Random(4)
+    letters = ["ab", "cd", "ef", "the", "gh"]
+    texts = {i: " ".join(rng.choice(letters) for _ in range(rng.choice((1, 4, 30, 80)))) for i in range(80)}
+    texts[100], texts[101] = "", "cd the ab, the the ef"
+    docs = spark.createDataFrame(list(texts.items()) + [(102, None)], "id long, text string").repartition(3)
+    index = save_text_index(build_text_index(docs, buckets=3, positions=True), work_dir(spark, "t-phrase"), shards=3)
+    queries = {"q0": "ab cd", "q1": "ab the ef", "q2": "cd", "q3": "ab ab", "q4": "the", "q5": "nowhere ab", "q6": "ef ab cd ab"}
+    frame = spark.createDataFrame(list(queries.items()), "query_id string, text string")
+    kept = {i: [(p, w) for p, w in enumerate(t.split()) if w not in STOPWORDS] for i, t in ((i, t.replace(",", "")) for i, t in texts.items())}
+    phrases, windows = {}, {}
+    for q, text in queries.items():
+        own = [(p, w) for p, w in enumerate(text.split()) if w not in STOPWORDS]
+        terms = {w for _, w in own}
+        for i, at in kept.items():
+            places = set(at)
+            starts = [s for s in range(-10, 100) if own and all((s + p, w) in places for p, w in own)]
+            if starts:
+                phrases[q, i] = (len(starts), min(starts))
+            ends = [p - min(max((a for a, x in at if x == w and a <= p), default=-1000) for w in terms) for p, _ in at] if terms else []
+            ends = [e for e in ends if e < 1000]
+            if terms and ends and terms <= {w for _, w in at}:
+                gap = (min(ends) + 1 - len(terms)) / max(len(terms) - 1, 1)
+                windows[q, i] = (min(ends) + 1, round(1 / (1 + gap), 9))
+    assert {(r.query_id, r.id): (r.occurrences, r.first_at) for r in text_search.phrase_matches(index, frame).collect()} == phrases
+    assert {(r.query_id, r.id): (r.window, r.score) for r in text_search.window_matches(index, frame).collect()} == windows
+    assert ("q1", 101) not in phrases and len(windows) > len(phrases) > 20
+
+
+def test_phrases_need_positions(spark, index):
+    with pytest.raises(ValueError, match="positions"):
+        text_search.phrase_matches(index, asked(spark, "bank"))

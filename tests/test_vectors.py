@@ -280,3 +280,20 @@ def test_later_blocks_are_not_sent(spark):
     for r in blocks.select("no", "first", "last").collect():
         first[r["no"]], last[r["no"]] = r["first"], r["last"]
     assert all(first[r["history_no"]] < last[r["scored_no"]] for r in pairs.collect())
+
+
+def test_codes(spark):
+    folder = "/root/testdata/sf0.01"
+    corpus = spark.read.parquet(f"{folder}/embeddings.parquet").select(F.col("vec_id").alias("id"), "embedding")
+    asked = corpus.where("id < 40").select(F.col("id").alias("query_id"), F.col("embedding").alias("vector"))
+    exact = found(vs.vector_search(corpus, asked, 10, 0.9))
+    index = vs.build_codes(corpus, 16, work_dir(spark, "t-codes"))
+    assert index.row_bytes == (16, 256)
+    near = found(vs.codes_search(spark, index, asked, 12, 10, 0.9))
+    assert recall(near, exact) >= 0.9 and recall(found(vs.codes_search(spark, index, asked, 2, 10, 0.9)), exact) < recall(near, exact)
+    assert found(vs.codes_search(spark, index, asked, 12, 10, 0.9, pack_rows=9)) == near  # in the grid
+    assert found(vs.codes_search(spark, index, asked, 16, 10, 0.9, short_list=100)) == exact  # all rows are looked at
+    dist = {(q, i): d for q, rows in exact.items() for i, d in rows}
+    assert all(dist.get((q, i), d) == d for q, rows in near.items() for i, d in rows)
+    with pytest.raises(ValueError, match="no vectors"):
+        vs.build_codes(corpus.limit(0), 4, work_dir(spark, "t-codes"))
