@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from finsearch.llm.common import blocks_of, once, span_of
+from finsearch.llm.common import blocks_of, once, scan, span_of
 
 # The template's control strings. Other roles are named in the mark.
 OPEN = {"system": "<<SYS>>", "user": "[INST]", "assistant": "<s>"}
@@ -108,18 +108,16 @@ def read_back(rows: DataFrame, column: str = "formatted") -> DataFrame:
 
 
 def masked_text(rows: DataFrame, column: str = "formatted", runs: str = "loss_runs") -> DataFrame:
-    """``rows`` with ``loss_text``: all text under the loss mask, unescaped, nothing in between."""
-    state = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<at:bigint,n:bigint>>").alias("spans"))
-    walked = F.aggregate(
-        runs,
-        state,
-        lambda s, run: F.struct(
-            (s["at"] + run["n_chars"]).alias("at"),
-            F.when(run["loss"], F.concat(s["spans"], F.array(F.struct(s["at"].alias("at"), run["n_chars"].alias("n"))))).otherwise(s["spans"]).alias("spans"),
-        ),
-    )
-    def cut(blocks: Column) -> Column:
-        spans = F.filter(walked["spans"], lambda s: s["n"] > 0)
-        return F.transform(spans, lambda s: unescaped(span_of(blocks, s["at"], s["n"])))
+    """``rows`` with ``loss_text``: all text under the loss mask, unescaped, nothing in between; empty without a run.
+
+    Time grows with the number of turns, not with its square. Repeated rows and null keys are rows like others.
+    """
+    none = F.array().cast("array<struct<at:bigint,n:bigint>>")
+
+    def step(at: Column, run: Column) -> Column:
+        span = F.array(F.struct(at.alias("at"), run["n_chars"].alias("n")))
+        return F.struct((at + run["n_chars"]).alias("state"), F.when(run["loss"] & (run["n_chars"] > 0), span).otherwise(none).alias("out"))
 
+    spans = scan(F.col(runs), F.lit(0).cast("long"), step, none)
+    cut = lambda blocks: F.transform(spans, lambda s: unescaped(span_of(blocks, s["at"], s["n"])))
     return rows.withColumn("loss_text", F.array_join(once(blocks_of(F.col(column)), cut), ""))

@@ -70,3 +70,13 @@ def test_empty_table(spark):
 def test_query_has_the_planted_conversation(spark):
     rows = queries.QUERIES["op7_chat_formatting"](spark, "/root/testdata/sf0.001").where("conv_id = -1").collect()
     assert [(r["n_turns"], r["loss_chars"]) for r in rows] == [(2, 21)]
+
+
+def test_many_turns_end_in_seconds(spark):
+    import time
+
+    rows = spark.range(60_000).selectExpr("1L AS conv_id", "id AS turn", "CASE WHEN id % 2 = 0 THEN 'user' ELSE 'assistant' END AS role", "concat('say [INST] ', id) AS text")
+    start = time.time()
+    back = chat.masked_text(chat.read_back(chat.formatted(rows))).selectExpr("size(turns) AS n", "loss_text").first()
+    assert time.time() - start < 60
+    assert back["n"] == 60_000 and back["loss_text"] == "".join(f"say [INST] {i}" for i in range(1, 60_000, 2))
