@@ -14,7 +14,7 @@ BLOCKS = set(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section select summary table tbody td tfoot th thead tr ul".split()
 )
-RAW = set("script style textarea title noscript template iframe noembed noframes xmp svg math object".split())
+RAW = set("script style textarea title template iframe noembed noframes svg".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 CLOSED_BY = {  # an open element of these names ends where one of the key's name starts, inside the nearest boundary
     "li": ({"li"}, {"ul", "ol", "menu", "dir"}),

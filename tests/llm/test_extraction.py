@@ -113,3 +113,13 @@ def test_query_on_given_pages(spark):
         article = re.search(r"<article>(.*)</article>", html[r["page_id"]], re.S)[1]
         blocks = [re.sub(r"\s+", " ", unescape(re.sub(r"<[^>]+>", " ", b))).strip() for b in re.split(r"</?(?:p|h1)>", article)]
         assert r["text"] == "\n\n".join(b for b in blocks if b) and r["n_chars"] == len(r["text"])
+
+
+def test_text_of_formulas_and_fallbacks_stays():
+    para = "<p>" + "A sentence of the article that says a thing or two, and then one more of them. " * 4 + "</p>"
+    inner = "<p>The value <math><mi>alpha</mi><mo>=</mo><mn>42</mn></math> is known, <object>fallback words</object> and <noscript>plain words</noscript> stay in the text of it.</p>"
+    html = f"<html><body><nav><ul><li><a href='/'>Home</a></li></ul></nav><article><h1>A title</h1>{para}{inner}<xmp>typed words as they are</xmp>{para}</article></body></html>"
+    text = extraction.main_texts([html], extraction.fitted())[0]
+    for words in ("alpha=42", "fallback words", "plain words", "typed words as they are"):
+        assert words in text, text
+    assert "Home" not in text
