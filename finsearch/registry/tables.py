@@ -158,6 +158,25 @@ def load_evolving(r: Roles) -> DataFrame:
     return sources.load_evolving(r.spark, [f"{base}/first", f"{base}/second"])
 
 
+@query(
+    "load_reconciled",
+    """SELECT o_orderkey, o_custkey, CASE WHEN o_orderstatus = 'F' OR o_orderpriority <> '5-LOW' THEN o_totalprice END AS o_totalprice,
+    CAST(o_orderdate AS DATE) AS o_orderdate, CASE WHEN o_orderstatus <> 'F' THEN o_orderpriority END AS o_orderpriority,
+    (SELECT count(*) FROM orders WHERE o_orderstatus <> 'F' AND o_orderpriority = '5-LOW') AS n_rejected FROM orders""",
+)
+def load_reconciled(r: Roles) -> DataFrame:
+    """Two loads of the orders that disagree: keys and days as numbers in one, prices as text with gaps and a further column in the other."""
+    base = work_dir(r.spark, "reconciled")
+    orders = r.table("orders").select("o_orderkey", "o_custkey", "o_totalprice", F.col("o_orderdate").cast("date").alias("o_orderdate"), "o_orderpriority", "o_orderstatus")
+    filled = F.col("o_orderstatus") == "F"
+    day = F.date_format("o_orderdate", "yyyyMMdd").cast("int")
+    orders.where(filled).select("o_orderkey", F.col("o_custkey").cast("int").alias("o_custkey"), "o_totalprice", day.alias("o_orderdate")).write.parquet(f"{base}/first")
+    price = F.when(F.col("o_orderpriority") == "5-LOW", "n/a").otherwise(F.col("o_totalprice").cast("string"))
+    orders.where(~filled).select("o_orderkey", "o_custkey", price.alias("o_totalprice"), "o_orderdate", "o_orderpriority").write.parquet(f"{base}/second")
+    rows, rejected = sources.load_reconciled(r.spark, [f"{base}/first", f"{base}/second"], {"o_totalprice": "double"})
+    return rows.crossJoin(F.broadcast(rejected.agg(F.count("*").alias("n_rejected"))))
+
+
 CONCEPT_SUMS = "count(*) AS n_rows, CAST(round(sum(CAST(val AS DECIMAL(28,10))), 2) AS DOUBLE) AS total, count(DISTINCT cik) AS n_companies"
 
 

@@ -307,3 +307,29 @@ def test_a_text_has_one_vector_alone_and_in_the_corpus(spark):
         assert alone == together[r.id] and len(alone) == 64
         norm = sum(x * x for x in alone)
         assert abs(norm - 1) < 1e-9 if r.text else norm == 0
+
+
+def test_types_are_joined_in_the_lattice():
+    from pyspark.sql import types as T
+
+    w = lambda a, b: sources.wider(T.DataType.fromDDL(a), T.DataType.fromDDL(b)).simpleString()
+    want = {
+        ("int", "bigint"): "bigint", ("bigint", "date"): "date", ("date", "timestamp_ntz"): "timestamp_ntz", ("int", "double"): "double", ("decimal(10,2)", "int"): "decimal(38,2)",
+        ("decimal(10,2)", "decimal(12,4)"): "decimal(38,4)", ("float", "int"): "double", ("string", "int"): "string", ("boolean", "int"): "string", ("date", "date"): "date", ("void", "int"): "int",
+    }
+    for (a, b), kind in want.items():
+        assert w(a, b) == w(b, a) == kind, (a, b)
+
+
+def test_conflicting_files_load(spark, tmp_path):
+    a = spark.createDataFrame([(1, 20240229, "1.5"), (2, 20240231, "x"), (3, None, None)], "id int, period int, amount string")
+    b = spark.createDataFrame([(2**40, "2024-03-01", "2.25", "more")], "ID long, day string, amount string, extra string").selectExpr("ID", "cast(day as date) period", "cast(amount as decimal(10,2)) amount", "extra")
+    a.write.parquet(f"{tmp_path}/a")
+    b.write.parquet(f"{tmp_path}/b")
+    rows, rejected = sources.load_reconciled(spark, [f"{tmp_path}/a", f"{tmp_path}/b"], {"amount": "decimal(18,2)"})
+    assert rows.dtypes == [("id", "bigint"), ("period", "date"), ("amount", "decimal(18,2)"), ("extra", "string")]
+    found = {r["id"]: (str(r["period"]), str(r["amount"]), r["extra"]) for r in rows.collect()}
+    assert found == {1: ("2024-02-29", "1.50", None), 2: ("None", "None", None), 3: ("None", "None", None), 2**40: ("2024-03-01", "2.25", "more")}
+    assert sorted((r["source"].rsplit("/", 1)[1], r["column"], r["value"]) for r in rejected.collect()) == [("a", "amount", "x"), ("a", "period", "20240231")]
+    alone, none = sources.load_reconciled(spark, [f"{tmp_path}/b"])
+    assert none.count() == 0 and alone.count() == 1
