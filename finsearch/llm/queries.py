@@ -121,7 +121,7 @@ def html_extraction(spark: SparkSession, folder: str) -> DataFrame:
     ), common AS (
         SELECT source, line FROM (SELECT source, line, count(DISTINCT text) AS n FROM line GROUP BY source, line)
         JOIN (SELECT source, count(DISTINCT text) AS texts FROM d GROUP BY source) USING (source)
-        WHERE n >= 10 AND n >= 0.02 * texts
+        WHERE n >= 10 AND (n >= 0.02 * texts OR n >= 200)
     ), depleted AS (
         SELECT doc_id, sum(length(l)) FILTER (common.line IS NULL) AS remain, sum(length(l)) AS total
         FROM line LEFT JOIN common USING (source, line) GROUP BY doc_id
