@@ -4,7 +4,7 @@ Patterns find e-mail addresses, IP addresses, card and phone numbers: the protec
 A term in a document of an entity reveals it as far as the corpus says so: its pointwise mutual information
 with the entity, log2(p(t | e) / p(t)), against the information of the entity itself, -log2 p(e).
 Most entities are seen in one text or two, so p(t | e) is shrunken to what the terms of its kind of entity
-are: one further text that has the term as often as the texts of that kind do. Terms that give away more
+are: one further text that has the term as often as the other texts of that kind do. Terms that give away more
 than a share of the information are generalised, those that give away nearly all of it are removed.
 """
 
@@ -33,7 +33,7 @@ _JOIN = r"['\u2019\u2010\u2011-]"
 TERM = rf"(?<![^{SPACE}]){_SIGN}*+(?={_PART}(?:{_PART}|{_JOIN}{_PART}))(?=(?:[\p{{M}}\p{{N}}]|{_JOIN})*+\p{{L}})({_PART}++(?:{_JOIN}{_PART}++)*+){_SIGN}*+(?![^{SPACE}])"
 
 PRIOR = 1  # texts that the kind of an entity counts for beside its own
-SALTS = 8  # parts of the documents of one entity when they meet its terms
+PART_TEXTS = 4096  # texts of one entity that meet its terms together, about
 GENERALISE, REMOVE = 0.8, 0.95  # shares of an entity's information that a term may not reach
 
 SPAN = "struct<start:bigint,kind_no:int,end:bigint>"
@@ -109,33 +109,54 @@ def term_spans(text: Column, marks: Column) -> Column:
     return scan(pairs, F.lit(0).cast("long"), step, empty)
 
 
-def disclosing(held: DataFrame, docs: DataFrame, text_col: str, generalise: float = GENERALISE, prior: float = PRIOR) -> DataFrame:
-    """``(entity, term, share)``: terms that reveal at least a share of an entity's information.
+def _held_texts(held: DataFrame) -> DataFrame:
+    """A written table of a row per text and entity: ``(text_hash, words, entity, kind, n_entity, texts)``, the documents and texts of the entity with it.
 
-    ``held(id, text_hash, entities, words)`` are the documents with entities: the different entities and terms
-    of each. Evidence for a pair are different texts, so that copies alone reveal nothing; how rare terms and
-    entities are is counted in documents. An entity that every document has tells nothing. Equal
-    texts meet their terms once.
+    ``held(text_hash, entities array<long>, words)`` are the documents with entities, whose last two bits are the kind. Equal texts have one row.
     """
     texts = held.groupBy("text_hash").agg(F.count("*").alias("n"), F.first("entities").alias("entities"), F.first("words").alias("words"))
-    holders = texts.select("n", F.explode("entities").alias("entity")).groupBy("entity").agg(F.sum("n").alias("n_entity"), F.count("*").alias("texts"))
-    # a row per text and entity before the terms: the terms of one entity are spread over the tasks of all its texts
-    met = texts.select("words", F.explode("entities").alias("entity"))
-    both = written(met.select("entity", F.explode("words").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("both")), "term-pairs")
-    kind = lambda entity: F.substring_index(entity, ":", 1)
-    by_kind = texts.select("words", F.explode(F.array_distinct(F.transform("entities", kind))).alias("kind"))
+    rows = texts.select("text_hash", "n", "words", F.explode("entities").alias("entity")).withColumn("kind", F.col("entity").bitwiseAND(3).cast("int"))
+    holders = rows.groupBy("entity").agg(F.sum("n").alias("n_entity"), F.count("*").alias("texts"))
+    return written(rows.drop("n").join(holders, "entity"), "held-texts")
+
+
+def disclosing(holds: DataFrame, docs: DataFrame, text_col: str, generalise: float = GENERALISE, prior: float = PRIOR) -> DataFrame:
+    """``(entity, term, texts, share)``: terms that reveal at least a share of an entity's information, of ``_held_texts``.
+
+    Evidence for a pair are different texts, so that copies alone reveal nothing; how rare terms and
+    entities are is counted in documents. An entity that every document has tells nothing.
+    """
+    first = [F.first(c).alias(c) for c in ("kind", "n_entity", "texts")]
+    both = holds.select("entity", "kind", "n_entity", "texts", F.explode("words").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("both"), *first)
+    by_kind = holds.groupBy("text_hash", "kind").agg(F.first("words").alias("words"))
     kinds = by_kind.groupBy("kind").agg(F.count("*").alias("kind_texts"))
-    usual = by_kind.select("kind", F.explode("words").alias("term")).groupBy("kind", "term").agg(F.count("*").alias("kind_both"))
-    usual = usual.join(F.broadcast(kinds), "kind").select("kind", "term", (F.col("kind_both") / F.col("kind_texts")).alias("usual"))
+    of_kind = [F.count(F.when(F.col("kind") == i, 1)).alias(f"k{i}") for i in range(len(KINDS) - 1)]
+    kind_counts = by_kind.select("kind", F.explode("words").alias("term")).groupBy("term").agg(*of_kind)
     # counted per task before the join, which a semi join would not be: a term that every document has is a row per task
     counts = docs.select(F.explode(terms_of(text_of(text_col))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
     total = docs.agg(F.count("*").alias("n_all"))
-    known = counts.join(both.withColumn("kind", kind(F.col("entity"))), "term").join(usual, ["kind", "term"]).join(holders, "entity").crossJoin(F.broadcast(total))
+    known = counts.join(kind_counts, "term").join(both, "term").join(F.broadcast(kinds), "kind").crossJoin(F.broadcast(total))
     own = F.log2(F.col("n_all") / F.col("n_entity"))
-    likely = (F.col("both") + prior * F.col("usual")) / (F.col("texts") + prior)
+    kind_both = F.get(F.array(*[f"k{i}" for i in range(len(KINDS) - 1)]), F.col("kind"))
+    others = F.col("kind_texts") - F.col("texts")
+    usual = F.when(others > 0, (kind_both - F.col("both")) / others).otherwise(F.lit(0.0))
+    likely = (F.col("both") + prior * usual) / (F.col("texts") + prior)
     pmi = F.log2(likely * F.col("n_all") / F.col("n_term"))
     share = F.when(own > 0, F.round(pmi / own, 9)).otherwise(F.lit(0.0))
-    return known.select("entity", "term", share.alias("share")).where(F.col("share") >= generalise)
+    return known.select("entity", "term", "texts", share.alias("share")).where(F.col("share") >= generalise)
+
+
+def revealed(holds: DataFrame, revealing: DataFrame) -> DataFrame:
+    """``(text_hash, marks)``: the text's own terms that one of its entities makes telling, as a map of term to whether it is removed.
+
+    The texts of a common entity are dealt to parts.
+    """
+    parts = F.ceil(F.col("texts") / PART_TEXTS).cast("int")
+    pair = F.xxhash64("entity", "term").alias("pair")
+    asked = holds.select("text_hash", "entity", F.pmod(F.col("text_hash"), parts).cast("int").alias("part"), F.explode("words").alias("term")).select("text_hash", pair, "part", "term")
+    telling = revealing.select(pair, (F.col("share") >= REMOVE).alias("removed"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    met = asked.join(telling, ["pair", "part"]).groupBy("text_hash", "term").agg(F.max("removed").alias("removed"))
+    return met.groupBy("text_hash").agg(F.map_from_entries(F.collect_list(F.struct("term", "removed"))).alias("marks"))
 
 
 def found_in(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -149,17 +170,13 @@ def found_in(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     first = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("text_hash"), text.alias("text"), entities(text).alias("entities"))
     # the text stays only where there is something to find in it
     base = written(first.withColumn("text", F.when(F.size("entities") > 0, F.col("text"))), "entities")
-    own = F.array_distinct(F.transform("entities", lambda e: e["entity"]))
-    held = base.where("text is not null").select("id", "text_hash", own.alias("entities"), terms_of(F.col("text")).alias("words"))
-    revealing = disclosing(held, docs.select(text_col), text_col)
-    # a document's own terms meet those that its entities make telling; the documents of a common entity are dealt to parts
-    own_terms = base.where("text is not null").select("id", "text_hash", own.alias("entities"), terms_of(F.col("text")).alias("words"))
-    own_terms = own_terms.dropDuplicates(["id", "text_hash"]).withColumn("part", F.pmod(F.xxhash64("id", "text_hash"), F.lit(SALTS)))
-    own_terms = own_terms.select("id", "text_hash", "part", "words", F.explode("entities").alias("entity")).select("id", "text_hash", "part", "entity", F.explode("words").alias("term"))
-    parts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("part")
-    told = own_terms.join(revealing.select("entity", "term", "share", parts), ["entity", "term", "part"])
-    terms = told.groupBy("id", "text_hash", "term").agg((F.max("share") >= REMOVE).alias("removed"))
-    terms = terms.groupBy(F.col("id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.map_from_entries(F.collect_list(F.struct("term", "removed"))).alias("marks"))
+    # numbers are told apart by a hash set, structs pair by pair: the kind stands in the last bits of the entity's hash
+    own = F.array_distinct(F.transform("entities", lambda e: F.xxhash64(e["entity"]).bitwiseAND(-4).bitwiseOR(e["kind_no"].cast("long"))))
+    holds = _held_texts(base.where("text is not null").select("text_hash", own.alias("entities"), terms_of(F.col("text")).alias("words")))
+    marks = revealed(holds, disclosing(holds, docs.select(text_col), text_col))
+    # the rows of a text are told apart by their id, so that many copies are not one key
+    ids = base.where("text is not null").select("id", "text_hash").distinct()
+    terms = ids.join(marks, "text_hash").select(F.col("id").alias("_id"), F.col("text_hash").alias("_hash"), "marks")
     same = base["id"].eqNullSafe(terms["_id"]) & (base["text_hash"] == terms["_hash"])
     none = F.array().cast("array<struct<start:bigint,end:bigint,removed:boolean>>")
     clear = lambda t: ~F.exists("entities", lambda e: (e["start"] < t["end"]) & (t["start"] < e["end"]))

@@ -60,14 +60,14 @@ def statement() -> str:
     own AS (SELECT DISTINCT doc_id, term FROM places),
     pairs AS (SELECT entity, kind, term, count(DISTINCT text) AS n_both FROM holds JOIN own USING (doc_id) GROUP BY entity, kind, term),
     usual AS (
-        SELECT kind, term, n / n_kind AS usual
+        SELECT kind, term, n AS kind_both, n_kind AS kind_texts
         FROM (SELECT kind, term, count(DISTINCT text)::DOUBLE AS n FROM holds JOIN own USING (doc_id) GROUP BY kind, term)
         JOIN (SELECT kind, count(DISTINCT text) AS n_kind FROM holds GROUP BY kind) USING (kind)
     ), holders AS (SELECT entity, count(DISTINCT doc_id) AS n_entity, count(DISTINCT text) AS texts FROM holds GROUP BY entity),
     total AS (SELECT count(*) AS n_all FROM d),
     revealing AS (
         SELECT entity, term FROM pairs JOIN usual USING (kind, term) JOIN holders USING (entity) JOIN has USING (term) CROSS JOIN total
-        WHERE n_all > n_entity AND round(log2((n_both + {PRIOR} * usual) / (texts + {PRIOR}) * n_all / n_term) / log2(n_all::DOUBLE / n_entity), 9) >= {GENERALISE}
+        WHERE n_all > n_entity AND round(log2((n_both + {PRIOR} * CASE WHEN kind_texts > texts THEN (kind_both - n_both) / (kind_texts - texts) ELSE 0 END) / (texts + {PRIOR}) * n_all / n_term) / log2(n_all::DOUBLE / n_entity), 9) >= {GENERALISE}
     ), terms AS (
         SELECT DISTINCT doc_id, 4 AS no, 'term' AS kind, CAST(s AS BIGINT) AS s, CAST(e AS BIGINT) AS e
         FROM places JOIN holds USING (doc_id) JOIN revealing USING (entity, term)
