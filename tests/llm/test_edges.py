@@ -7,7 +7,7 @@ import corpus_pipeline
 from finsearch.llm import queries
 
 LONG = "word " * 30_000 + "x" * 60_000 + "é😀" * 5_000
-CLASHES = ["text_hash", "fingerprint", "ids", "tokens", "length", "rank", "score", "lang_pred", "kept", "removed", "piece", "row", "row_id", "label", "node", "part", "place", "entities", "payload", "formatted", "html_text"]
+CLASHES = ["text_hash", "fingerprint", "ids", "tokens", "length", "rank", "score", "lang_pred", "kept", "removed", "piece", "row", "row_id", "label", "node", "part", "place", "entities", "payload", "formatted", "html_text", "held_out", "run", "radix", "words", "asked", "doc", "item"]
 
 
 def tables(spark, path, empty):
@@ -20,11 +20,13 @@ def tables(spark, path, empty):
         "pages": spark.createDataFrame(pages, "page_id long, url string, html string"),
         "conversations": spark.createDataFrame(talks, "conv_id long, turn long, role string, text string"),
     }
+    items = [(1, "One plain text"), (2, None), (None, "sans"), (3, "")]
+    frames["benchmark"] = spark.createDataFrame(items, "item_id long, text string")
     for name, df in frames.items():
         for clash in CLASHES:
             df = df.withColumn(clash, F.lit("mine") if clash != "rank" else F.lit(None).cast("int"))
         (df.limit(0) if empty else df).repartition(3).write.parquet(f"{path}/{name}.parquet")
-    return {"op3": 6, "op5": 6, "op7": 5, "docs": len(docs)}
+    return {"op3": 6, "op5": 6, "op7": 5, "op13": 3, "docs": len(docs)}
 
 
 @pytest.fixture(scope="module")
