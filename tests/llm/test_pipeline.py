@@ -115,7 +115,7 @@ def test_run_gives_the_same(spark, stages):
 def test_registered():
     names = entry_points.queries()
     found = sorted(int(m[1]) for n in names if (m := re.match(r"op(\d+)_", n)))
-    assert found == list(range(1, 11)) and "pipeline" in names
+    assert found == list(range(1, 14)) and "pipeline" in names
     assert set(queries.ORACLES) <= set(queries.QUERIES)
 
 
