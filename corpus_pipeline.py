@@ -26,7 +26,10 @@ def _sized(docs: DataFrame) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Documents that pass the rules, without the lines that their host repeats."""
+    """Documents that pass the rules, without the lines that their host repeats.
+
+    Null, empty and short texts go; repeated rows and null ids are judged by their text; no rows give no rows.
+    """
     return _sized(quality.cleaned(docs))
 
 
@@ -41,7 +44,10 @@ def language_id(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """One document of every group that links of few differing bits connect."""
+    """One document of every group that links of few differing bits connect: that of the smallest id.
+
+    Equal texts are one group, repeated rows leave one; documents with a null id count as well. No rows give no rows.
+    """
     return simhash.representatives(docs, queries.SHINGLE, queries.MAX_BITS)
 
 
@@ -51,7 +57,10 @@ def information_theoretic_pii(spark: SparkSession, docs: DataFrame, folder: str)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """All documents as pieces with their ids and places in sequences."""
+    """All documents as pieces with their ids and places in sequences.
+
+    A null or empty text is one piece, its end; long texts are several; repeated rows are packed each; no rows give no rows.
+    """
     return packing.pack(docs, queries.TOKENIZER)
 
 

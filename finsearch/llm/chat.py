@@ -89,7 +89,11 @@ def formatted(
 
 
 def read_back(rows: DataFrame, column: str = "formatted") -> DataFrame:
-    """``rows`` with ``turns array<struct<role, text>>`` read from the formatted string alone."""
+    """``rows`` with ``turns array<struct<role, text>>`` read from the formatted string alone.
+
+    A null or empty string has no turns. Rows are read one by one, whatever their length and number; a
+    column ``turns`` is replaced.
+    """
     mark = rf"(?<!\\)(?:<<ROLE [^ >]*+>>|{CONTROL})"
     opening = {mark: name for name, mark in OPEN.items()}
 

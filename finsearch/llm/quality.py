@@ -134,7 +134,11 @@ def judged(
 
 
 def cleaned(docs: DataFrame, id_col: str = "doc_id", host_col: str = "source", text_col: str = "text") -> DataFrame:
-    """The documents that pass, with all their columns and without their boilerplate lines."""
+    """The documents that pass, with all their columns and without their boilerplate lines.
+
+    Null and empty texts do not pass. Repeated rows pass or fail together and stay as many as they were; null
+    ids are matched by their text. An empty table gives no rows; columns of any name stay as they are.
+    """
     kept = judged(docs.select(id_col, host_col, text_col), id_col, host_col, text_col).where("kept")
     kept = kept.groupBy(F.col(id_col).alias("_id"), F.col("text_hash").alias("_hash")).agg(F.first("removed").alias("_removed"))
     own = docs.withColumn("_text_hash", F.xxhash64(text_of(text_col)))

@@ -63,7 +63,11 @@ def anchors(units: Column) -> Column:
 
 
 def anchored(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``anchors``, an ``array<struct<start, end, anchor>>``: all anchors with their code points in the text, end exclusive."""
+    """``docs`` with ``anchors``, an ``array<struct<start, end, anchor>>``: all anchors with their code points in the text, end exclusive.
+
+    Null, empty and blank texts have none; texts of fewer than K units have one. Texts are read whole.
+    Repeated rows get equal anchors, an empty table gives no rows, and a column ``anchors`` is replaced.
+    """
     text = text_of(text_col)
     letters = F.split(text, "")
 
@@ -112,7 +116,10 @@ def likeness(one: Column, other: Column) -> Column:
 
 
 def fingerprinted(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``fingerprint``, an ``array<long>``; a null text counts as empty."""
+    """``docs`` with ``fingerprint``, an ``array<int>``; null, empty and blank texts have an empty one.
+
+    Equal texts have equal fingerprints, whatever their length. An empty table gives no rows; a column ``fingerprint`` is replaced.
+    """
     return docs.withColumn("fingerprint", fingerprint(text_of(text_col)))
 
 
