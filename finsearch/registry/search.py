@@ -10,12 +10,13 @@ from finsearch.functions.vectors import cosine_distance, rounded
 from finsearch.operators import hybrid, text_search, vector_search
 from finsearch.operators.hybrid import ranked
 from finsearch.operators.embedding import Embedder, embed, fit_embedder, load_embedder
+from finsearch.operators.segments import SegmentedIndex
 from finsearch.operators.summarize import summarize
 from finsearch.operators.text_index import build_text_index, save_text_index
 from finsearch.plans.search import SearchTables, search
 from finsearch.plans.search import analyze_hits as explain_hits
 from finsearch.registry import query
-from finsearch.registry.roles import CUTOFF, Roles, with_roles
+from finsearch.registry.roles import CUTOFF, SQL, Roles, with_roles
 from finsearch.session import work_dir, written
 
 TEXT_POOL = """SELECT query_id, id, {score} AS score, row_number() OVER (PARTITION BY query_id ORDER BY {score} DESC, id) AS rn
@@ -86,6 +87,27 @@ def text_index_positions(r: Roles) -> DataFrame:
     return index.postings.select("term", "id", F.array_join(F.transform("positions", lambda p: p.cast("string")), " ").alias("places"))
 
 
+@query(
+    "text_index_append",
+    with_roles(
+        "postings",
+        "stats",
+        replace={"chunks": SQL["chunks"] + " WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)"},
+        body="""SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS occurrences, max(n_docs) AS n_docs, round(max(avg_len), 6) AS avg_len
+        FROM postings CROSS JOIN stats GROUP BY term""",
+    ),
+)
+def text_index_append(r: Roles) -> DataFrame:
+    """Half the documents, then the rest, then without the toxic ones: what an index of the others says, built at once."""
+    index = SegmentedIndex.create(r.spark, work_dir(r.spark, "segments"), buckets=8)
+    for half in (0, 1):
+        index.append(r.texts().where(F.col("id") % 2 == half), "id", "chunk_text")
+    index.delete(r.fraud_labels().where("is_fraud"), "transaction_id")
+    found = index.open()
+    n_docs, avg_len = (found.stats.select(c).scalar() for c in ("n_docs", "avg_len"))
+    return found.vocabulary.withColumn("n_docs", n_docs).withColumn("avg_len", F.round(avg_len, 6))
+
+
 @query("fts_stemmed")
 def fts_stemmed(r: Roles) -> DataFrame:
     """Keyword search over stems; SQL has no stemmer, a test compares it with plain code."""

@@ -202,6 +202,26 @@ def snapshot_refresh(r: Roles) -> DataFrame:
     )
 
 
+@query(
+    "snapshot_delta",
+    with_roles(
+        "concepts",
+        body=f"""SELECT fy, {CONCEPT_SUMS}, bool_or(fy = {FISCAL_YEAR} AND fp = '{FISCAL_PERIOD}') AS rewritten FROM concepts GROUP BY fy""",
+    ),
+)
+def snapshot_delta(r: Roles) -> DataFrame:
+    """A first version without the reports of one year's period, then a refresh with all rows, which copies that year only."""
+    base = work_dir(r.spark, "delta")
+    concepts, year = r.concepts(), F.col("fy")
+    snapshots.refresh_delta(concepts.where(~((year == FISCAL_YEAR) & (F.col("fp") == FISCAL_PERIOD))), base, year)
+    current = snapshots.refresh_delta(concepts, base, year)
+    sums = current.groupBy("fy").agg(F.count("*").alias("n_rows"), exact_sum("val").alias("total"), F.countDistinct("cik").alias("n_companies"))
+    first = snapshots.read_manifest(r.spark, base, 1).select(F.col("folder").alias("first"), "part")
+    manifest = snapshots.read_manifest(r.spark, base).join(first, "part", "left")
+    files = manifest.select(F.col("part").cast("long").alias("fy"), (~F.col("folder").eqNullSafe(F.col("first"))).alias("rewritten"))
+    return sums.join(files, "fy")
+
+
 @query(
     "hot_concepts",
     with_roles("concepts", body=f"SELECT cik, tag, val, fy, fp FROM concepts WHERE fy = {FISCAL_YEAR} AND fp = '{FISCAL_PERIOD}'"),

@@ -3,8 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, MapType, StructField, StructType
+
+from finsearch.operators.ranking import small_side
+from finsearch.session import written
 
 
 def _filesystem(spark: SparkSession, path: str):
@@ -80,3 +87,104 @@ def refresh_snapshot(df: DataFrame, base_path: str, keep: int = 2, view: str | N
         target, fs = _filesystem(spark, f"{base_path}/v={old}")
         fs.delete(target, True)
     return current
+
+
+# --- refresh by difference -----------------------------------------------------------------------
+
+MANIFEST = "part string, folder string, n_rows long, sum_a decimal(38,0), sum_b decimal(38,0)"
+
+
+def _hashed(field: StructField) -> Column:
+    """Columns as they enter the hash; nested ones as text, because nulls inside them would leave no trace."""
+    column = F.col(f"`{field.name}`")
+    nested = isinstance(field.dataType, (ArrayType, MapType, StructType))
+    return F.to_json(F.struct(column), {"ignoreNullFields": "false"}) if nested else column
+
+
+def _stored(df: DataFrame) -> StructType:
+    """Columns as files give them back: every one may be null."""
+    return StructType([StructField(f.name, f.dataType) for f in df.schema.fields])
+
+
+def part_hashes(df: DataFrame, part: Column) -> DataFrame:
+    """``(part, n_rows, sum_a, sum_b)``: the content of every part in 128 bits, whatever the order of its rows.
+
+    Hashes are added, so repeated rows count, a task sends one row per part, and a part that holds most rows is no
+    burden. A null leaves a hash as it was, so which columns are null is hashed as well.
+    """
+    columns = [_hashed(f) for f in df.schema.fields]
+    nulls = [F.col(f"`{c}`").isNull() for c in df.columns]
+    one = lambda seed: F.sum(F.xxhash64(F.lit(seed), *columns, *nulls).cast("decimal(20,0)")).cast("decimal(38,0)")
+    return df.groupBy(part.cast("string").alias("part")).agg(F.count("*").alias("n_rows"), one(1).alias("sum_a"), one(2).alias("sum_b"))
+
+
+def read_manifest(spark: SparkSession, base_path: str, version: int | None = None) -> DataFrame:
+    """The parts of a version (the newest without a number): folder, rows and hash of each. No version: no rows."""
+    version = next(newest_parts(spark, base_path, "v"), None) if version is None else version
+    if version is None:
+        return spark.createDataFrame([], MANIFEST)
+    return spark.read.schema(MANIFEST).parquet(f"{base_path}/v={version}")
+
+
+def read_delta(spark: SparkSession, base_path: str, version: int | None = None) -> DataFrame:
+    """The rows of a version, from the files that its manifest names, old and new."""
+    version = next(newest_parts(spark, base_path, "v"), None) if version is None else version
+    if version is None:
+        raise FileNotFoundError(f"no complete snapshot below {base_path}")
+    schema = spark.read.parquet(f"{base_path}/schema/v={version}").schema
+    folders = [r["folder"] for r in read_manifest(spark, base_path, version).select("folder").collect()]  # one per part
+    return spark.read.schema(schema).parquet(*folders) if folders else spark.createDataFrame([], schema)
+
+
+def refresh_delta(df: DataFrame, base_path: str, part: Column, view: str | None = None) -> DataFrame:
+    """Copy the parts of ``df`` whose content differs from the newest version; the new version names their files and the old ones.
+
+    ``part`` is an expression over the rows that names their range of keys, such as ``F.floor(F.col("cik") / 1000)`` or
+    ``F.date_trunc("month", "filed")``; a null is a part as well. The source is read twice, once for the hashes and once
+    for what changed; the manifest holds the hashes of what was written, so rows that change in between are found by the next
+    refresh. A part that the source no longer has is left out. Other columns than before make every part a changed one.
+
+    The manifest is written last and its success marker makes the version count, so a failed refresh is not seen and
+    leaves only files that no version names. Refreshes that run at once fill folders of their own; the later number wins.
+    """
+    spark = df.sparkSession
+    base = next(newest_parts(spark, base_path, "v"), None)
+    same_columns = base is not None and spark.read.parquet(f"{base_path}/schema/v={base}").schema.simpleString() == _stored(df).simpleString()
+    version = claim_part(spark, base_path, "v", first=1)
+    now = written(part_hashes(df, part), "hashes")
+    old = read_manifest(spark, base_path, base) if same_columns else spark.createDataFrame([], MANIFEST)
+    met = now.alias("n").join(old.alias("o"), F.col("n.part").eqNullSafe(F.col("o.part")), "left")
+    equal = [F.col(f"n.{c}").eqNullSafe(F.col(f"o.{c}")) for c in ("n_rows", "sum_a", "sum_b")]
+    met = met.select("n.part", *[F.col(f"o.{c}").alias(c) for c in ("folder", "n_rows", "sum_a", "sum_b")], reduce(and_, equal).alias("kept"))
+    met = written(met, "parts")
+    changed = met.where(~F.col("kept")).select(F.col("part").alias("_changed"))
+    n_changed = changed.count()
+    kept = met.where("kept").select("part", "folder", "n_rows", "sum_a", "sum_b")
+    target = f"{base_path}/data/v={version}"
+    if n_changed:
+        rows = df.withColumn("_part", part.cast("string"))
+        rows = rows.join(small_side(changed, n_changed), F.col("_part").eqNullSafe(F.col("_changed")), "left_semi")
+        # files by part; Spark cuts a large part into several tasks and puts small ones together
+        name = F.coalesce(F.hex(F.encode("_part", "UTF-8")), F.lit("null"))
+        rows.withColumn("_name", F.concat(F.lit("p"), name)).drop("_part").hint("rebalance", "_name").write.partitionBy("_name").parquet(target)
+        copied = spark.read.schema(_stored(df).add("_name", "string")).parquet(target)
+        sums = part_hashes(copied.drop("_name"), part)
+        folder = F.concat(F.lit(f"{target}/_name=p"), F.coalesce(F.hex(F.encode("part", "UTF-8")), F.lit("null")))
+        kept = kept.unionByName(sums.withColumn("folder", folder))
+    spark.createDataFrame([], _stored(df)).write.mode("overwrite").parquet(f"{base_path}/schema/v={version}")
+    kept.select("part", "folder", "n_rows", "sum_a", "sum_b").write.mode("overwrite").parquet(f"{base_path}/v={version}")
+    current = read_delta(spark, base_path, version)
+    if view:
+        current.createOrReplaceTempView(view)
+    return current
+
+
+def expire_versions(spark: SparkSession, base_path: str, keep: int = 2) -> None:
+    """Drop all but the newest versions, and the files that only they name. Not to be run while a refresh runs."""
+    versions = snapshot_versions(spark, base_path)
+    keep = max(keep, 1)
+    folders = lambda chosen: {r["folder"] for v in chosen for r in read_manifest(spark, base_path, v).select("folder").collect()}
+    unused = folders(versions[:-keep]) - folders(versions[-keep:])
+    for path in [f"{base_path}/{at}v={v}" for v in versions[:-keep] for at in ("", "schema/")] + sorted(unused):
+        target, fs = _filesystem(spark, path)
+        fs.delete(target, True)

@@ -333,3 +333,56 @@ def test_conflicting_files_load(spark, tmp_path):
     assert sorted((r["source"].rsplit("/", 1)[1], r["column"], r["value"]) for r in rejected.collect()) == [("a", "amount", "x"), ("a", "period", "20240231")]
     alone, none = sources.load_reconciled(spark, [f"{tmp_path}/b"])
     assert none.count() == 0 and alone.count() == 1
+
+
+def rows_of(df):
+    return sorted((tuple(r) for r in df.collect()), key=repr)
+
+
+def files_below(spark, path):
+    return {r.path: r.length for r in spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length").collect()}
+
+
+def test_refresh_by_difference_copies_changed_parts_only(spark):
+    base, part = work_dir(spark, "delta"), F.floor(F.col("k") / 10)
+    kinds = "k int, t string, a array<int>"
+    first = [(k, f"t{k}", [k, None]) for k in range(35)] + [(None, "x", None), (7, "t7", [7, None])]
+    with pytest.raises(FileNotFoundError):
+        snapshots.read_delta(spark, base)
+    assert rows_of(snapshots.refresh_delta(spark.createDataFrame(first, kinds), base, part, view="delta_t")) == sorted(first, key=repr)
+    folders = lambda v: {r.part: r.folder for r in snapshots.read_manifest(spark, base, v).collect()}
+    one = folders(1)
+    assert set(one) == {"0", "1", "2", "3", None}
+    files = files_below(spark, f"{base}/data/v=1")
+    # a null moves inside an array, a repeated row goes, a part goes, a part comes
+    second = [(k, t, [None, 15] if k == 15 else a) for k, t, a in first[:30]] + [(None, "x", None), (99, None, [])]
+    current = snapshots.refresh_delta(spark.createDataFrame(second, kinds).repartition(3), base, part, view="delta_t")
+    assert rows_of(current) == rows_of(spark.table("delta_t")) == sorted(second, key=repr)
+    two = folders(2)
+    assert set(two) == {"0", "1", "2", "9", None}
+    assert {p for p in two if two[p] == one.get(p)} == {"2", None}
+    assert files_below(spark, f"{base}/data/v=1") == files
+    assert rows_of(snapshots.read_delta(spark, base, 1)) == sorted(first, key=repr)  # the old version stays whole
+    # nothing changed: a new version without a new file
+    assert rows_of(snapshots.refresh_delta(spark.createDataFrame(second, kinds), base, part)) == sorted(second, key=repr)
+    assert folders(3) == two
+    snapshots.expire_versions(spark, base, keep=1)
+    assert snapshots.snapshot_versions(spark, base) == [3]
+    assert rows_of(snapshots.read_delta(spark, base)) == sorted(second, key=repr)
+    assert set(files_below(spark, f"{base}/data/v=1")) < set(files)
+    # nulls in different columns, equal otherwise
+    swapped = [(1, None, "a"), (2, "a", None)], [(1, "a", None), (2, None, "a")]
+    sums = [rows_of(snapshots.part_hashes(spark.createDataFrame(rows, "k int, a string, b string"), F.lit(0))) for rows in swapped]
+    assert sums[0] != sums[1]
+
+
+def test_refresh_by_difference_with_other_columns_and_without_rows(spark):
+    base, part = work_dir(spark, "delta"), F.col("id") % 2
+    snapshots.refresh_delta(spark.range(4), base, part)
+    wider = snapshots.refresh_delta(spark.range(4).withColumn("x", F.lit(None).cast("string")), base, part)
+    assert rows_of(wider) == [(i, None) for i in range(4)]
+    empty = snapshots.refresh_delta(spark.range(0), base, part)
+    assert empty.columns == ["id"] and empty.count() == 0
+    assert snapshots.refresh_delta(spark.range(3), base, part).count() == 3
+    spark.range(9).write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(f"{base}/v=9")
+    assert snapshots.read_delta(spark, base).count() == 3  # a version without its marker is not seen
