@@ -243,6 +243,18 @@ def predict(docs: DataFrame, model: LanguageFilter, text_col: str = "text") -> D
     return source.mapInArrow(run, ", ".join(x for x in (kinds, "lang_pred string, score double") if x))
 
 
+def least_scores(docs: DataFrame, model: LanguageFilter, share: float = 0.02, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """``(lang_pred, least)``: the score that all but a ``share`` of the rightly named texts of a language reach.
+
+    ``docs`` are texts with a known language that the model did not see. How many of a text's n-grams a language knows
+    depends on how many signs it has, so a bound on scores has to be its own. One row per language at most; languages without
+    such a text, and null or empty texts, have none.
+    """
+    asked = docs.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("known"), F.col(text_col).alias("text"))
+    right = predict(asked, model).where((F.col("known") == F.col("lang_pred")) & (F.col("score") > 0))
+    return right.groupBy("lang_pred").agg(F.percentile_approx("score", share).alias("least"))
+
+
 def held_out(id_col: str = "doc_id", folds: int = 5) -> Column:
     """Rows that are kept from training: those whose id, as text, has a CRC-32 divisible by ``folds``."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % folds == 0, F.lit(False))

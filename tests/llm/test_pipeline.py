@@ -1,8 +1,10 @@
 """The pipeline, stage by stage, against plain versions of the stages; registration of the queries."""
 
+import random
 import re
 import subprocess
 import sys
+import zlib
 from collections import Counter
 
 import public_tokenizers
@@ -125,3 +127,26 @@ def test_task_functions_travel_with_their_code(tmp_path):
     code = f"import pickle; f = pickle.load(open({str(tmp_path / 'functions.pickle')!r}, 'rb')); print(f[0](b'a b c d e', 4), len(f[4]({{5: 3}}, 16)))"
     out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, env={"PATH": "/usr/bin"})
     assert out.stdout.split() == [str(simhash.simhash(b"a b c d e", 4)), "1"], out.stderr
+
+
+def test_languages_of_many_signs_stay(spark):
+    """Few of their n-grams are frequent enough to be learned, so a bound that suits an alphabet would reject all of them."""
+    rng = random.Random(4)
+    signs, weights = [chr(0x4E00 + i) for i in range(4000)], [1 / (i + 20) for i in range(4000)]
+    spelt = lambda n: "".join(rng.choices(signs, weights, k=n))
+    rows = [(i, " ".join(spelt(rng.randint(4, 12)) for _ in range(60)), "many") for i in range(300)]
+    stems = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 7))) for _ in range(200)]
+    rows += [(1000 + i, " ".join(rng.choice(stems) for _ in range(80)), "few") for i in range(300)]
+    rows += [(2000, "12 34 !", None), (2001, None, None), (2002, "ж" * 50, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("score", F.lit(1))
+    model = queries.language_filter(docs)
+    held = [r for r in rows if r[2] and zlib.crc32(str(r[0]).encode()) % 5 == 0]
+    names, scores = model.predict([r[1] for r in held])
+    assert any(n == "many" and s < corpus_pipeline.MIN_SCORE for n, s in zip(names, scores))
+    kept = corpus_pipeline.language_id(spark, docs, FOLDER)
+    assert kept.columns == docs.columns
+    stay = {r["doc_id"] for r in kept.collect()}
+    for lang in ("many", "few"):
+        own = [r[0] for r in held if r[2] == lang]
+        assert len(own) > 30 and len([i for i in own if i in stay]) >= 0.95 * len(own)
+    assert not stay & {2000, 2001, 2002}
