@@ -17,7 +17,7 @@ from finsearch.session import written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-MIN_SCORE = 0.2  # of the n-grams of a text, the share that its language must know
+MIN_SCORE = 0.2  # of the n-grams of a text, the share that its language must know, unless its held-out texts reach less
 
 
 def _sized(docs: DataFrame) -> DataFrame:
@@ -34,12 +34,19 @@ def quality_rules(spark: SparkSession, docs: DataFrame, folder: str) -> DataFram
 
 
 def language_id(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Documents whose language is known. Without any labelled document nothing can be told, and all stay."""
+    """Documents whose language is known. Without any labelled document nothing can be told, and all stay.
+
+    Texts without a letter go, and those of which the language knows fewer n-grams than ``MIN_SCORE`` and than
+    nearly all of its own held-out texts show. Languages without a held-out text are judged by ``MIN_SCORE`` alone.
+    """
     model = queries.language_filter(docs)
     if not model.languages:
         return docs
+    least = langid.least_scores(docs.where(langid.held_out()), model).select(F.col("lang_pred").alias("_known"), F.col("least").alias("_least"))
     named = langid.predict(docs.withColumnsRenamed({"lang_pred": "_lang_pred", "score": "_score"}), model)
-    known = named.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= MIN_SCORE)).drop("lang_pred", "score")
+    bounded = named.join(F.broadcast(least), F.col("lang_pred") == F.col("_known"), "left")  # a row per language
+    enough = F.col("score") >= F.least(F.lit(MIN_SCORE), F.col("_least"))  # least() passes nulls over
+    known = bounded.where((F.col("lang_pred") != langid.UNKNOWN) & enough).drop("lang_pred", "score", "_known", "_least")
     return known.withColumnsRenamed({"_lang_pred": "lang_pred", "_score": "score"})
 
 
