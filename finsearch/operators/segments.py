@@ -116,11 +116,9 @@ class SegmentedIndex:
         gone = self._read(tombstones, "vocabulary", "segment int, term string, df long, occurrences long", segments)
         counts.append(gone.select("term", (-F.col("df")).alias("df"), (-F.col("occurrences")).alias("occurrences")))
         vocabulary = _union(counts).groupBy("term").agg(F.sum("df").alias("df"), F.sum("occurrences").alias("occurrences")).where("df > 0")
-        dead = self._dead(segments, tombstones)[0].agg(F.count("*").alias("n"))
-        gone_terms = gone.agg(F.coalesce(F.sum("occurrences"), F.lit(0)).alias("n"))
-        n_docs = F.lit(sum(s[3] for s in segments)) - dead.scalar()
-        total = F.lit(sum(s[4] for s in segments)) - gone_terms.scalar()
-        stats = self.spark.range(1).select(n_docs.alias("n_docs"), (total / n_docs).alias("avg_len"))
+        n_docs = sum(s[3] for s in segments) - (self._dead(segments, tombstones)[0].count() if tombstones else 0)
+        n_terms = sum(s[4] for s in segments) - (gone.agg(F.sum("occurrences")).first()[0] or 0 if tombstones else 0)
+        stats = self.spark.createDataFrame([(n_docs, n_terms / n_docs if n_docs else None)], "n_docs long, avg_len double")
         return TextIndex(self._postings(settings, segments, tombstones).drop("segment"), vocabulary, stats, stop, stem, buckets)
 
     # --- changes ---------------------------------------------------------------------------------

@@ -47,7 +47,7 @@ def build_text_index(
     """
     stop = tuple(stopwords)
     docs = df.select(F.col(id_col).alias("id"), words(F.col(text_col)).alias("words")).withColumn(
-        "doc_len", F.size(F.filter("words", lambda w: is_indexed(w, stop)))
+        "doc_len", F.coalesce(F.size(F.filter("words", lambda w: is_indexed(w, stop))), F.lit(0))
     )
     tokens = docs.select("id", "doc_len", F.posexplode_outer("words").alias("pos", "term")).where(
         is_indexed(F.col("term"), stop)
