@@ -297,3 +297,17 @@ def test_codes(spark):
     assert all(dist.get((q, i), d) == d for q, rows in near.items() for i, d in rows)
     with pytest.raises(ValueError, match="no vectors"):
         vs.build_codes(corpus.limit(0), 4, work_dir(spark, "t-codes"))
+
+
+@pytest.mark.parametrize("pack_rows", [1024, 3])
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_rows_that_come_in_several_batches(spark, tables, kind, pack_rows):
+    """A task's later batches meet what its earlier ones found."""
+    _, corpus_df, _, asked_df = tables
+    rows = corpus_df.select(F.col("id").cast(kind).alias("id"), "embedding")
+    whole = found(vs.vector_search(rows, asked_df, 9, None))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 30)
+    try:
+        assert found(vs.vector_search(rows.coalesce(1), asked_df, 9, None, pack_rows)) == whole
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
