@@ -77,10 +77,8 @@ def coverage_scores(index: TextIndex, queries: DataFrame, candidates: DataFrame,
     total = asked.weighted.groupBy("query_id").agg(F.sum("idf").alias("query_weight"))
     avg_len = index.stats.select("avg_len").scalar()
     norm = F.lit(1.2) * (F.lit(0.25) + F.lit(0.75) * F.col("doc_len") / avg_len)
-    few = small_side(candidates.select("query_id", "id"), n_candidates)
     found = (
-        term_hits(index, asked)
-        .join(few, ["query_id", "id"])
+        term_hits(index, asked, candidates.select("query_id", "id"), n_candidates)
         .groupBy("query_id", "id")
         .agg(
             F.sum("idf").alias("weight"),

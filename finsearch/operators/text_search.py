@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from finsearch.functions.stemming import stem_words
@@ -68,14 +69,46 @@ def asked_terms(index: TextIndex, queries: DataFrame) -> AskedTerms:
     return AskedTerms(weighted, bound, literals)
 
 
-def term_hits(index: TextIndex, asked: AskedTerms) -> DataFrame:
-    """One row per query, document and common term.
+def term_hits(index: TextIndex, asked: AskedTerms, found: DataFrame, max_found: int) -> DataFrame:
+    """One row per term of a query and document of ``found(query_id, id, ...)`` that holds it.
 
-    The query side is broadcast when its counted size allows, so frequent terms are
-    matched where their postings lie; joining on the bucket prunes the other folders.
+    Postings are cut to the found documents before they meet the queries, and both sides are broadcast when
+    their counted sizes allow, so postings are matched where they lie; joining on the bucket prunes the other folders.
     """
     postings = asked.narrow(index.postings.select("bucket", "term", "id", "tf", "first_pos", "doc_len"))
-    return postings.join(small_side(asked.weighted, asked.bound), ["bucket", "term"])
+    return postings.join(small_side(found, max_found), "id").join(small_side(asked.weighted, asked.bound), ["bucket", "term", "query_id"])
+
+
+def _candidates(index: TextIndex, asked: AskedTerms) -> DataFrame:
+    """``(id, asking)``: documents, and the queries for which they hold one of the rarest terms.
+
+    What holds n of c terms holds one of any c - n + 1 of them: the rarest alone, unless queries share an id.
+    Found where the postings lie, like all that follows: a shard has all terms of its documents.
+    """
+    own = Window.partitionBy("query_id", "n_terms")
+    few = F.count("*").over(own) - F.col("n_terms") + 1
+    rarest = asked.weighted.withColumns({"few": few, "place": F.row_number().over(own.orderBy("df", "term"))}).where("place <= few")
+    postings = asked.narrow(index.postings.select("bucket", "term", "id")).where(F.col("id").isNotNull())
+    held = postings.join(small_side(rarest.select("bucket", "term", "query_id"), asked.bound), ["bucket", "term"])
+    return held.groupBy("id").agg(F.collect_set(F.struct("query_id")).alias("asking"))
+
+
+def _met(index: TextIndex, asked: AskedTerms, columns: Sequence[str], terms: DataFrame, max_terms: int) -> list[DataFrame]:
+    """Postings with ``columns`` and the ``terms(bucket, term, query_id, ...)`` they hold, of documents that may hold all terms of the query.
+
+    Without the candidates every document would meet every query that has a frequent term. Documents without an id
+    are one document, which is looked at for itself.
+    """
+    names = small_side(terms.select("bucket", "term").distinct(), max_terms)
+    postings = asked.narrow(index.postings.select("bucket", "term", "id", *columns)).join(names, ["bucket", "term"], "left_semi")
+    some = postings.join(_candidates(index, asked).hint("shuffle_hash"), "id").withColumn("asker", F.explode("asking")).drop("asking")
+    some = some.join(small_side(terms.withColumn("asker", F.struct("query_id")), max_terms), ["bucket", "term", "asker"]).drop("asker")
+    return [some, postings.where(F.col("id").isNull()).join(small_side(terms, max_terms), ["bucket", "term"])]
+
+
+def _conjunctive(met: list[DataFrame], whole: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``whole`` of either part; their documents differ."""
+    return reduce(DataFrame.unionByName, map(whole, met))
 
 
 def matches(index: TextIndex, queries: DataFrame, scorer: str = "bm25", k1: float = 1.2, b: float = 0.75) -> DataFrame:
@@ -89,22 +122,21 @@ def matches(index: TextIndex, queries: DataFrame, scorer: str = "bm25", k1: floa
         score = F.lit(1.0) / (F.lit(1.0) + gap)
     else:
         raise ValueError(f"unknown scorer {scorer!r}")
-    return (
-        term_hits(index, asked_terms(index, queries))
-        .groupBy("query_id", "id", "n_terms")
-        .agg(F.count("*").alias("n_matched"), rounded(score, SCORE_DIGITS).alias("score"))
-        .where(F.col("n_matched") == F.col("n_terms"))
-        .select("query_id", "id", "score")
-    )
+    asked = asked_terms(index, queries)
+
+    def whole(hits: DataFrame) -> DataFrame:
+        found = hits.groupBy("query_id", "id", "n_terms").agg(F.count("*").alias("n_matched"), rounded(score, SCORE_DIGITS).alias("score"))
+        return found.where(F.col("n_matched") == F.col("n_terms")).select("query_id", "id", "score")
 
+    return _conjunctive(_met(index, asked, ["tf", "first_pos", "doc_len"], asked.weighted, asked.bound), whole)
 
-def _positions(index: TextIndex, terms: DataFrame) -> DataFrame:
-    """Postings of the asked ``terms(query_id, term, ...)`` with the places of their words, where they are stored."""
+
+def _positions(index: TextIndex, queries: DataFrame, terms: DataFrame) -> list[DataFrame]:
+    """Postings of the ``terms(query_id, term, ...)`` of queries with the places of their words, where they are stored."""
     if "positions" not in index.postings.columns:
         raise ValueError("the index has no positions: build it with positions=True")
     terms = terms.withColumn("bucket", index.bucket(F.col("term")))
-    postings = index.postings.select("bucket", "term", "id", "positions")
-    return postings.join(small_side(terms, terms.count()), ["bucket", "term"])
+    return _met(index, asked_terms(index, queries), ["positions"], terms, terms.count())
 
 
 def phrase_matches(index: TextIndex, queries: DataFrame) -> DataFrame:
@@ -121,8 +153,12 @@ def phrase_matches(index: TextIndex, queries: DataFrame) -> DataFrame:
     sizes = placed.groupBy("query_id").agg(F.count("*").alias("n_words"))
     placed = placed.join(small_side(sizes, sizes.count()), "query_id")
     starts = F.transform("positions", lambda p: p - F.col("offset"))
-    held = _positions(index, placed).groupBy("query_id", "id", "n_words").agg(F.collect_list(starts).alias("starts"))
-    held = held.where(F.size("starts") == F.col("n_words"))
+
+    def whole(hits: DataFrame) -> DataFrame:
+        held = hits.groupBy("query_id", "id", "n_words").agg(F.collect_list(starts).alias("starts"))
+        return held.where(F.size("starts") == F.col("n_words"))
+
+    held = _conjunctive(_positions(index, queries, placed), whole)
     common = F.aggregate(F.slice("starts", 2, F.size("starts")), F.get("starts", F.lit(0)), lambda found, more: F.array_intersect(found, more))
     found = held.select("query_id", "id", common.alias("at")).where(F.size("at") > 0)
     return found.select("query_id", "id", F.size("at").cast("long").alias("occurrences"), F.array_min("at").cast("long").alias("first_at"))
@@ -135,8 +171,12 @@ def window_matches(index: TextIndex, queries: DataFrame) -> DataFrame:
     is looked at. The score is 1 for adjacent terms and falls with the mean number of words between them.
     """
     terms = written(query_terms(index, queries), "terms")
-    held = _positions(index, terms).groupBy("query_id", "id", "n_terms").agg(F.collect_list("positions").alias("places"))
-    held = held.where(F.size("places") == F.col("n_terms"))
+
+    def whole(hits: DataFrame) -> DataFrame:
+        held = hits.groupBy("query_id", "id", "n_terms").agg(F.collect_list("positions").alias("places"))
+        return held.where(F.size("places") == F.col("n_terms"))
+
+    held = _conjunctive(_positions(index, queries, terms), whole)
     sights = F.transform("places", lambda own, i: F.transform(own, lambda p: F.struct(p.cast("long").alias("at"), i.alias("term"))))
     never, none = F.lit(-1).cast("long"), F.lit(1 << 62).cast("long")
 
@@ -174,12 +214,10 @@ def fulltext_search(
 def match_evidence(index: TextIndex, queries: DataFrame, pool: int = 10, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """Why a document was found: its query terms, their weights and their share of the score."""
     queries = written(queries, "queries")
+    n_found = pool * queries.count()
     found = text_pool(index, queries, pool).select("query_id", "id", "score", "rn")
     avg_len = index.stats.select("avg_len").scalar()
     norm = F.lit(k1) * (F.lit(1.0 - b) + F.lit(b) * F.col("doc_len") / avg_len)
     part = F.col("idf") * F.col("tf") * F.lit(k1 + 1.0) / (F.col("tf") + norm)
-    return (
-        term_hits(index, asked_terms(index, queries))
-        .join(small_side(found, pool * queries.count()), ["query_id", "id"])
-        .select("query_id", "id", "rn", "term", "tf", "idf", (part / F.col("score")).alias("share"))
-    )
+    hits = term_hits(index, asked_terms(index, queries), found, n_found)
+    return hits.select("query_id", "id", "rn", "term", "tf", "idf", (part / F.col("score")).alias("share"))

@@ -296,3 +296,61 @@ def test_segments_equal_a_fresh_build(spark):
     agrees()
     _, _, left, tombstones = segments._state()
     assert len(left) == 1 and not tombstones
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("stem", [False, True])
+def test_texts_are_dealt_once_and_postings_never(docs, stem):
+    built = build_text_index(docs, stem=stem, positions=True)
+    plan = plan_of(built.postings).split("== Physical Plan ==")[1]
+    assert plan.count("Exchange hashpartitioning") == 1 and "Exchange hashpartitioning(term" not in plan
+
+
+def test_stems_are_remembered_over_batches(spark, monkeypatch):
+    """Each word is stemmed once per task, however many batches hold it, and again once the memory is full."""
+    from finsearch.functions import stemming
+
+    again = spark.sparkContext.accumulator(0)
+    plain = stemming.stem
+
+    def counted(word):
+        again.add(1)
+        return plain(word)
+
+    monkeypatch.setattr(stemming, "stem", counted)
+    rows = spark.range(0, 500, 1, 1).select(F.element_at(F.array(*map(F.lit, ["cats", "relational", None])), (F.col("id") % 3 + 1).cast("int")).alias("term"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10)
+    try:
+        for memo, calls in ((10, 2), (1, 60)):
+            monkeypatch.setattr(stemming, "MEMO_WORDS", memo)
+            before = again.value
+            got = [r.stem for r in rows.select(stemming.stem_words(F.col("term")).alias("stem")).collect()]
+            assert got == [["cat", "relat", None][i % 3] for i in range(500)]
+            assert (again.value - before == calls) if memo == 10 else (again.value - before >= calls)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_frequent_terms_meet_candidates_only(spark):
+    """Documents without the rarest term of a query never meet the query."""
+    docs = spark.createDataFrame([(i, "common often" + (" seldom" if i < 2 else "")) for i in range(50)], "id long, text string")
+    index = build_text_index(docs, buckets=4)
+    terms = text_search.asked_terms(index, asked(spark, "common often seldom", "common nowhere"))
+    met = text_search._met(index, terms, ["tf"], terms.weighted, terms.bound)
+    assert sorted((r.query_id, r.id, r.term) for r in met[0].collect()) == sorted(("q0", i, t) for i in (0, 1) for t in ("common", "often", "seldom"))
+    assert {(r.query_id, r.id) for r in text_search.matches(index, asked(spark, "common often seldom", "common nowhere", "often")).collect()} == {
+        ("q0", 0), ("q0", 1), *[("q2", i) for i in range(50)]
+    }
+
+
+def test_null_ids_and_repeated_queries(spark):
+    """Documents without an id are one document; queries of one id and as many terms share what they find."""
+    docs = spark.createDataFrame([(None, "bank risk"), (None, "credit"), (1, "bank risk credit"), (2, "weather bank")], "id long, text string")
+    index = build_text_index(docs, buckets=4, positions=True)
+    queries = spark.createDataFrame([("a", "bank credit"), (None, "bank risk"), ("b", "bank risk"), ("b", "weather snow")], "query_id string, text string")
+    found = {(r.query_id, r.id) for r in text_search.matches(index, queries).collect()}
+    assert found == {("a", None), ("a", 1), (None, None), (None, 1), ("b", None), ("b", 1), ("b", 2)}
+    assert {(r.query_id, r.id) for r in text_search.phrase_matches(index, queries.where("query_id = 'a' OR query_id IS NULL")).collect()} <= found
