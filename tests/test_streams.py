@@ -160,3 +160,26 @@ def test_state_gives_the_scores_of_the_batch_and_survives_a_restart(spark):
     assert {i: third[i] for i in second} == second
     add_transactions(spark, f"{base}/in", range(300, 310))
     assert {i: v for i, v in run().items() if i >= 300} == expected(list(range(300, 310)))
+
+
+def test_clients_of_a_bucket_keep_apart_and_open_few_states(spark, monkeypatch):
+    """400 clients and 3 buckets of 2 parts: a batch opens 6 states, not 800."""
+    base, opened = work_dir(spark, "buckets"), spark.sparkContext.accumulator(0)
+    plain = streams.EarlierNeighbours.handleInputRows
+
+    def counting(self, key, rows, timers):
+        opened.add(1)
+        yield from plain(self, key, rows, timers)
+
+    rows = [(i, START + timedelta(minutes=i), i % 400, 1, 1, [float(i % 7 + 1), float(i % 5), 1.0]) for i in range(1600)]
+    for part in (rows[:1000], rows[1000:]):
+        spark.createDataFrame(part, TRANSACTIONS).coalesce(1).write.mode("append").parquet(f"{base}/in")
+    cards, codes = spark.createDataFrame([(1,)], "id long"), spark.createDataFrame([(1,)], "mcc short")
+    monkeypatch.setattr(streams.EarlierNeighbours, "handleInputRows", counting)
+    streams.score_state_stream(read(spark, f"{base}/in", TRANSACTIONS), cards, codes, 0.01, f"{base}/out", f"{base}/checkpoint", k=2, parts=2, buckets=3).awaitTermination()
+    columns = ["id", "avg_distance", "n_neighbours", "is_anomalous"]
+    found = sorted(map(tuple, spark.read.parquet(f"{base}/out").select(columns).collect()))
+    known = spark.read.parquet(f"{base}/in")
+    wanted = sorted(map(tuple, fraud.score_transactions(known, known, cards, codes, 0.01, k=2, as_of=True).select(columns).collect()))
+    assert found == wanted and any(w[2] for w in wanted)
+    assert 0 < opened.value <= 12
