@@ -311,3 +311,21 @@ def test_rows_that_come_in_several_batches(spark, tables, kind, pack_rows):
         assert found(vs.vector_search(rows.coalesce(1), asked_df, 9, None, pack_rows)) == whole
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_rows_of_keys_that_are_not_busy_are_not_written(spark, monkeypatch):
+    """Two keys of 30 and 200 rows: only the busy one is cut into blocks of time."""
+    kept, plain = [], vs.written
+    monkeypatch.setattr(vs, "written", lambda df, label: kept.append((label, plain(df, label))) or kept[-1][1])
+    rows = [(i, "a" if i % 23 < 3 else "b", i // 2, [float(i % 7 + 1), float(i % 5), float(i % 3)]) for i in range(230)]
+    df = spark.createDataFrame(rows, "id long, client string, date int, embedding array<float>")
+    found = {}
+    for r in vs.knn_within(df, df, "client", 4, "date", 100).collect():
+        found.setdefault(r["scored_id"], []).append((r["rn"], r["id"], r["distance"]))
+    blocks = [table.select("key").distinct().collect() for label, table in kept if label == "time-blocks"]
+    assert blocks and all([r["key"] for r in keys] == ["b"] for keys in blocks)
+    assert {label: table.count() for label, table in kept}["key-sizes"] == 4
+    for i, client, date, vector in rows:
+        other = [(j, np.round(1 - np.dot(vector, v) / (np.linalg.norm(vector) * np.linalg.norm(v)), 9) + 0.0) for j, c, d, v in rows if c == client and d < date]
+        best = sorted((far, j) for j, far in other)[:4]
+        assert [(j, far) for _, j, far in sorted(found.get(i, []))] == [(j, pytest.approx(far, abs=1e-9)) for far, j in best]
