@@ -355,3 +355,11 @@ def test_null_ids_and_repeated_queries(spark):
     found = {(r.query_id, r.id) for r in text_search.matches(index, queries).collect()}
     assert found == {("a", None), ("a", 1), (None, None), (None, 1), ("b", None), ("b", 1), ("b", 2)}
     assert {(r.query_id, r.id) for r in text_search.phrase_matches(index, queries.where("query_id = 'a' OR query_id IS NULL")).collect()} <= found
+
+
+def test_summaries_move_texts_and_different_words_only(spark):
+    """Texts are joined with no table by word: neither their words nor their sentences are shuffled or sorted."""
+    docs = spark.createDataFrame([(i, f"Alpha beta {i}. Gamma gamma alpha. Delta!") for i in range(40)], "id long, text string")
+    plan = summarize(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "Generate" not in plan and "sentence_no" not in plan
+    assert summarize(docs, n_sentences=1).count() == 40
